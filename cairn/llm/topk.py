@@ -176,17 +176,17 @@ def top_inner_products(vectors: DataFrame, k: int = K, scale: int = SCALE, is_qu
         start, cut = F.when(F.col("length_block") == b, F.lit(at)).otherwise(start), F.when(F.col("length_block") == b, F.lit(m)).otherwise(cut)
     placed = placed.select("vec_id", "v", "sq", (start + F.pmod(spread, cut.cast("long"))).cast("int").alias("block"))
     tops = [top for _, _, m, top in spans for _ in range(m)]
-    asked = own.where(F.col("vec_id") % QUERY_EVERY == 0 if is_query is None else is_query)
+    asked = own.where(F.col("vec_id") % QUERY_EVERY == 0 if is_query is None else is_query).select(F.col("vec_id").alias("asked_id"), F.col("v").alias("asked_v"), F.col("sq").alias("asked_sq"))
     groups = max(1, -(-asked.count() // group))
-    asked = asked.withColumn("group", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(groups)).cast("int"))
+    asked = asked.withColumn("group", F.pmod(F.xxhash64("asked_id", F.lit(1)), F.lit(groups)).cast("int"))
     names = ["query_id", "vec_id", "score"]
 
     def run(key, left, right):
         ids, lengths = left.column("vec_id").to_numpy(), left.column("sq").to_numpy()
         by = np.lexsort((ids, -lengths))
         c = matrix(left.column("v").combine_chunks(), width)[by]
-        qids = right.column("vec_id").to_numpy()
-        found = search_block(ids[by], c, qids, matrix(right.column("v").combine_chunks(), width), right.column("floor").to_numpy(), turn.value, k)
+        qids = right.column("asked_id").to_numpy()
+        found = search_block(ids[by], c, qids, matrix(right.column("asked_v").combine_chunks(), width), right.column("floor").to_numpy(), turn.value, k)
         return pa.table([pa.array(qids[found.of]), pa.array(found.vec), pa.array(found.score)], names)
 
     def against(parts: DataFrame, queries: DataFrame) -> DataFrame:
@@ -196,15 +196,15 @@ def top_inner_products(vectors: DataFrame, k: int = K, scale: int = SCALE, is_qu
 
     fan = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
     # The longest block first: it gives every query a floor.
-    seeds = against(placed.where("block = 0").select("vec_id", "v", "sq", "block", fan), asked.select("vec_id", "v", F.lit(float("-inf")).alias("floor"), F.lit(0).alias("block"), "group"))
+    seeds = against(placed.where("block = 0").select("vec_id", "v", "sq", "block", fan), asked.select("asked_id", "asked_v", F.lit(float("-inf")).alias("floor"), F.lit(0).alias("block"), "group"))
     seeds = materialize(seeds, "topk-first")
     if len(tops) == 1:
         found = seeds
     else:
         floors = seeds.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
-        known = asked.join(floors, F.col("vec_id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-        known = known.withColumn("block", F.explode(F.filter(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(tops[b]).alias("top")) for b in range(1, len(tops))]), lambda s: F.sqrt(F.col("sq")) * F.sqrt(s["top"]) * (1 + 1e-9) + 1e-6 >= F.col("floor"))))
-        known = known.select("vec_id", "v", "floor", F.col("block.b").alias("block"), "group")
+        known = asked.join(floors, F.col("asked_id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        known = known.withColumn("block", F.explode(F.filter(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(tops[b]).alias("top")) for b in range(1, len(tops))]), lambda s: F.sqrt(F.col("asked_sq")) * F.sqrt(s["top"]) * (1 + 1e-9) + 1e-6 >= F.col("floor"))))
+        known = known.select("asked_id", "asked_v", "floor", F.col("block.b").alias("block"), "group")
         found = seeds.union(against(placed.where("block > 0").select("vec_id", "v", "sq", "block", fan), known))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

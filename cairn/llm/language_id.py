@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cairn.llm.common import bounded_batches
 
@@ -162,7 +163,7 @@ def annotate(docs: DataFrame, lang: str, score: str, model: Model | None = None)
     spark = docs.sparkSession
     bounded_batches(spark)
     held = spark.sparkContext.broadcast(train(docs) if model is None else model)
-    schema = docs.schema.add(lang, "string").add(score, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
     at = docs.columns.index("text")
 
     def run(batches):

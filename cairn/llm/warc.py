@@ -30,6 +30,8 @@ MIN_REVISIT = 100
 #: Payload bytes of one archive file, about; a larger single payload has a file of its own.
 FILE_BYTES = 16 << 20
 CRLF = "\r\n"
+#: Stands for a null page_id where rows are matched.
+NO_PAGE = -(1 << 63)
 INDEX = "urlkey string, ts string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long"
 
 
@@ -41,14 +43,24 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), tail)
 
 
-def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """(page_id, record): the text of each page's record without the CRLF CRLF that ends it."""
+def records(pages: DataFrame, min_revisit: int = MIN_REVISIT, files: int | None = None) -> DataFrame:
+    """(page_id, record): the text of each page's record without the CRLF CRLF that ends it.
+
+    Which pages are revisits is found without their payloads; these move once, by page and digest, to ``files``
+    partitions, so pages with equal payloads are spread over all of them.
+    """
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), payload.alias("payload"))
     own = own.withColumns({"n": F.octet_length("payload").cast("long"), "digest": F.sha2(F.col("payload").cast("binary"), 256)})
-    groups = own.where(F.col("n") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).where("rows > 1 AND first IS NOT NULL").select("digest", "first")
-    own = own.join(groups, "digest", "left")  # a digest with very many pages is split by the adaptive skew join
-    revisit = F.col("first").isNotNull() & ~F.coalesce(F.col("page_id") == F.col("first"), F.lit(False))
+    sized = own.where(F.col("n") >= min_revisit)
+    groups = sized.groupBy(F.col("digest").alias("same")).agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).where("rows > 1 AND first IS NOT NULL")
+    again = sized.select("page_id", "digest").join(groups, F.col("digest") == F.col("same"))  # a very common digest is split by the adaptive skew join
+    again = again.where("NOT page_id <=> first").select(F.coalesce("page_id", F.lit(NO_PAGE)).alias("key"), F.col("digest").alias("again"), "first").distinct()
+    own = own.withColumn("key", F.coalesce("page_id", F.lit(NO_PAGE)))
+    if files:
+        own, again = own.repartition(files, "key", "digest"), again.repartition(files, "key", "again")
+    own = own.join(again.withColumnRenamed("key", "again_key"), (F.col("key") == F.col("again_key")) & (F.col("digest") == F.col("again")), "left")
+    revisit = F.col("first").isNotNull()
     number = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
     target = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]+", "%0D%0A")
     date = F.date_format(F.timestamp_seconds(F.lit(1577836800) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(315360000))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -66,8 +78,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT,
     """Write the records of pages as gzip-compressed WARC files under path; their number follows the payload's size."""
     total = pages.agg(F.sum(F.octet_length(F.col("html").cast("string")).cast("long"))).first()[0] or 0
     files = max(1, -(-total // file_bytes))
-    spread = F.xxhash64("page_id", F.length("record"))
-    rows = records(pages, min_revisit).repartition(files, spread).select("record")
+    rows = records(pages, min_revisit, files).select("record")
     rows.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 

@@ -31,7 +31,7 @@ def filtered(chunks: DataFrame, options: SearchOptions) -> DataFrame:
 def nearest(rows: DataFrame, query: list[float], k: int, metric: str = "l2", vector: str = "vector", ties: tuple[str, ...] = TIES, digits: int | None = None) -> DataFrame:
     """The k rows of least distance with columns distance and score, without their vectors."""
     d = distance(F.col(vector), F.lit([float(x) for x in query]), metric)
-    ranked = rows.withColumn("distance", d if digits is None else F.round(d, digits)).drop(vector)
+    ranked = rows.withColumn("distance", d if digits is None else F.round(d, digits) + 0.0).drop(vector)
     return ranked.orderBy("distance", *ties).limit(k).withColumn("score", score(F.col("distance")))
 
 

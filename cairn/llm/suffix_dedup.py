@@ -19,7 +19,8 @@ earlier start) is removed; strings are judged on the input and never cross docum
 Before anything moves, each task drops what is not first among its own documents; that splits hot groups of copies.
 
 Defined cases: a null or empty text has 0 bytes and the digest of nothing; texts under LENGTH bytes stay whole; rows
-that repeat a doc_id count as that document (a string is earlier only if its doc_id or its start is smaller); a null
+that repeat a doc_id, with the same or other texts, count as that document (a string is earlier only if its doc_id or
+its start is smaller) and are returned one by one; a null
 doc_id comes after all others; very long texts are hashed in segments; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -300,9 +301,9 @@ def stretches(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: A verdict's kinds: removed whole; its context's bytes are wanted; its strings' hashes are wanted.
 REMOVED, WANTED, SPREAD = 0, 1, 2
-ANCHOR = "QQqqqB"  # anchor, context, doc, first and last start, whether known to be removed
-VERDICT = "qqqQB"  # doc, first and last start, anchor, kind
-WINDOW = "QQqq"  # two hashes, doc, start
+ANCHOR = "QQqQqqB"  # anchor, context, doc and text number, first and last start, whether known to be removed
+VERDICT = "qQqqQB"  # doc and text number, first and last start, anchor, kind
+WINDOW = "QQqQq"  # two hashes, doc and text number, start
 BUCKET_ROW = "bucket long, blob binary"
 
 
@@ -326,20 +327,20 @@ def home(doc: np.ndarray, homes: int) -> np.ndarray:
 
 def anchor_rows(docs: DataFrame, buckets: int) -> DataFrame:
     def flush(held):
-        a, c, doc, first, last = (np.concatenate(x) for x in zip(*held))
+        a, c, doc, part, first, last = (np.concatenate(x) for x in zip(*held))
         by, known = later([a, c], doc, first)
-        a, c, doc, first, last = (x[by] for x in (a, c, doc, first, last))
+        a, c, doc, part, first, last = (x[by] for x in (a, c, doc, part, first, last))
         # What is known goes on only as a verdict, by a bucket that spreads it.
         bucket = (np.where(known, mix(doc.astype(U64) + first.astype(U64)), a) % U64(buckets)).astype(np.int64)
-        return rows(dealt(bucket, [a, c, doc, first, last, known.astype(np.uint8)]))
+        return rows(dealt(bucket, [a, c, doc, part, first, last, known.astype(np.uint8)]))
 
     def run(batches):
         held, n = [], 0
         for b in batches:
-            for doc, data in zip(b.column(0).to_pylist(), b.column(1)):
+            for doc, part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 a, c, first, last = anchors(np.frombuffer(data.as_buffer(), np.uint8))
                 if len(a):
-                    held.append((a, c, np.full(len(a), doc), first, last))
+                    held.append((a, c, np.full(len(a), doc), np.full(len(a), part, U64), first, last))
                     n += len(a)
                 if n >= HELD:
                     yield flush(held)
@@ -347,12 +348,12 @@ def anchor_rows(docs: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return docs.select("doc_id", "data").mapInArrow(run, BUCKET_ROW)
+    return docs.select("doc_id", "part", "data").mapInArrow(run, BUCKET_ROW)
 
 
 def judge_anchors(grouped: DataFrame, homes: int, hot: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        a, c, doc, first, last, known = unpack((x.as_buffer() for x in table.column("blob")), ANCHOR)
+        a, c, doc, part, first, last, known = unpack((x.as_buffer() for x in table.column("blob")), ANCHOR)
         own = np.flatnonzero(known == 0)
         by, dup = later([a[own], c[own]], doc[own], first[own])
         own = own[by]
@@ -365,33 +366,39 @@ def judge_anchors(grouped: DataFrame, homes: int, hot: int) -> DataFrame:
         asked = np.zeros(len(a), bool)
         asked[own] = dup | several
         asked |= known == 1
-        cols = [doc[asked], first[asked], last[asked], np.where(kind == REMOVED, U64(0), a)[asked], kind[asked]]
+        cols = [doc[asked], part[asked], first[asked], last[asked], np.where(kind == REMOVED, U64(0), a)[asked], kind[asked]]
         return pa.Table.from_batches([rows(dealt(home(cols[0], homes), cols))])
 
     return grouped.groupBy("bucket").applyInArrow(run, BUCKET_ROW)
 
 
 #: What the first pass leaves of each document: its result, or (text not null) what is still to be judged.
-LEFT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, bucket long, data binary, removed binary, wanted binary"
+LEFT = "doc_id long, part long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, bucket long, data binary, removed binary, wanted binary"
+
+
+def own_rows(doc: np.ndarray, part: np.ndarray, i: int, p: int) -> tuple[int, int]:
+    """Where the rows of one document's text stand in columns sorted by doc and part."""
+    s, e = np.searchsorted(doc, i), np.searchsorted(doc, i, "right")
+    return s + np.searchsorted(part[s:e], p), s + np.searchsorted(part[s:e], p, "right")
 
 
 def first_pass(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        doc, first, last, anchor, kind = unpack((x.as_buffer() for x in right.column("blob")), VERDICT)
-        by = np.argsort(doc, kind="stable")
-        doc, first, last, anchor, kind = (x[by] for x in (doc, first, last, anchor, kind))
+        doc, part, first, last, anchor, kind = unpack((x.as_buffer() for x in right.column("blob")), VERDICT)
+        by = np.lexsort((part, doc))
+        doc, part, first, last, anchor, kind = (x[by] for x in (doc, part, first, last, anchor, kind))
         out = []
-        for i, data in zip(left.column("doc_id").to_pylist(), left.column("data")):
-            s, e = np.searchsorted(doc, i), np.searchsorted(doc, i, "right")
+        for i, p, data in zip(left.column("doc_id").to_pylist(), left.column("part").to_pylist(), left.column("data")):
+            s, e = own_rows(doc, part, i, p)
             gone, data = kind[s:e] == REMOVED, data.as_py()
             if gone.all():
-                out.append((i, len(data), *kept(data, first[s:e], last[s:e]), key[0].as_py(), None, None, None))
+                out.append((i, p, len(data), *kept(data, first[s:e], last[s:e]), key[0].as_py(), None, None, None))
             else:
                 wanted = pack([x[s:e][~gone] for x in (first, last, anchor, kind)])
-                out.append((i, len(data), None, None, None, key[0].as_py(), data, pack([first[s:e][gone], last[s:e][gone]]), wanted))
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.int64()] + [pa.binary()] * 3
+                out.append((i, p, len(data), None, None, None, key[0].as_py(), data, pack([first[s:e][gone], last[s:e][gone]]), wanted))
+        kinds = [pa.int64()] * 5 + [pa.string(), pa.int64()] + [pa.binary()] * 3
         names = [c.split(" ")[0] for c in LEFT.split(", ")]
-        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 9, kinds)], names)
+        return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 10, kinds)], names)
 
     return docs.groupBy("bucket").cogroup(verdicts.groupBy("bucket")).applyInArrow(run, LEFT)
 
@@ -400,10 +407,10 @@ def context_rows(left: DataFrame, buckets: int) -> DataFrame:
     """(bucket, blob, contexts): contexts to be sorted in buckets of their anchors, hashes of windows in others."""
 
     def spread(held):
-        h1, h2, doc, start = (np.concatenate(x) for x in zip(*held))
+        h1, h2, doc, part, start = (np.concatenate(x) for x in zip(*held))
         by, dup = later([h1, h2], doc, start)
         # Those known to be later are sent on under hashes of their own, with the document's number turned, as verdicts.
-        cols = [x[by] for x in (h1, h2, doc, start)]
+        cols = [x[by] for x in (h1, h2, doc, part, start)]
         cols[0] = np.where(dup, mix(doc[by].astype(U64) * U64(31) + start[by].astype(U64)), cols[0])
         flag = dup.astype(np.uint8)
         for bucket, blob in dealt((cols[0] % U64(buckets)).astype(np.int64), [*cols, flag]):
@@ -416,17 +423,17 @@ def context_rows(left: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         held, n, windows, w = {}, 0, [], 0
         for b in batches:
-            for doc, data, wanted in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            for doc, number, data, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 raw = np.frombuffer(data.as_buffer(), np.uint8)
                 first, last, anchor, kind = unpack([wanted.as_buffer()], "qqQB")
                 for f, l, a, k in zip(first.tolist(), last.tolist(), anchor.tolist(), kind.tolist()):
                     part = raw[f : l + LENGTH]
                     if k == SPREAD:
                         places = np.arange(l - f + 1)
-                        windows.append((Hashed(part, 0).of(places, places + LENGTH), Hashed(part, 1).of(places, places + LENGTH), np.full(len(places), doc), places + f))
+                        windows.append((Hashed(part, 0).of(places, places + LENGTH), Hashed(part, 1).of(places, places + LENGTH), np.full(len(places), doc), np.full(len(places), number, U64), places + f))
                         w += len(places)
                     else:
-                        held.setdefault(a % buckets, []).append((doc, f, part.tobytes()))
+                        held.setdefault(a % buckets, []).append((doc, number, f, part.tobytes()))
                         n += len(part)
                 if n >= SHARE_BYTES or w >= HELD:
                     yield batch(_context_blobs(held))
@@ -435,32 +442,33 @@ def context_rows(left: DataFrame, buckets: int) -> DataFrame:
         yield batch(_context_blobs(held))
         yield batch(spread(windows) if windows else ())
 
-    return left.select("doc_id", "data", "wanted").mapInArrow(run, "bucket long, blob binary, contexts binary")
+    return left.select("doc_id", "part", "data", "wanted").mapInArrow(run, "bucket long, blob binary, contexts binary")
 
 
 def _context_blobs(held: dict):
     for bucket, parts in held.items():
-        yield bucket, pack([np.array([p[0] for p in parts]), np.array([p[1] for p in parts]), np.array([len(p[2]) for p in parts])]), b"".join(p[2] for p in parts)
+        yield bucket, pack([np.array([p[0] for p in parts]), np.array([p[1] for p in parts], U64), np.array([p[2] for p in parts]), np.array([len(p[3]) for p in parts])]), b"".join(p[3] for p in parts)
 
 
 def sort_contexts(grouped: DataFrame, homes: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:
-            h1, h2, doc, start, known = unpack((x.as_buffer() for x in table.column("blob")), WINDOW + "B")
+            h1, h2, doc, part, start, known = unpack((x.as_buffer() for x in table.column("blob")), WINDOW + "B")
             own = np.flatnonzero(known == 0)
             by, dup = later([h1[own], h2[own]], doc[own], start[own])
             found = np.concatenate([np.flatnonzero(known == 1), own[by][dup]])
-            cols = [doc[found], start[found], start[found]]
+            cols = [doc[found], part[found], start[found], start[found]]
         else:
             contexts = []
             for blob, text in zip(table.column("blob"), table.column("contexts")):
-                doc, first, size = unpack([blob.as_buffer()], "qqq")
+                doc, part, first, size = unpack([blob.as_buffer()], "qQqq")
                 text, at = text.as_py(), 0
-                for d, f, n in zip(doc.tolist(), first.tolist(), size.tolist()):
-                    contexts.append((text[at : at + n], d, f))
+                for d, p, f, n in zip(doc.tolist(), part.tolist(), first.tolist(), size.tolist()):
+                    contexts.append((text[at : at + n], d, f, p))
                     at += n
-            found = [(c[1], c[2], *stretches(dup)) for c, dup in zip(contexts, context_classes(contexts))]
-            cols = [np.concatenate([np.zeros(0, np.int64), *(np.full(len(f[2]), f[0]) for f in found)]), *(np.concatenate([np.zeros(0, np.int64), *(f[k] + f[1] for f in found)]) for k in (2, 3))]
+            found = [(c[1], c[3], *(x + c[2] for x in stretches(dup))) for c, dup in zip(contexts, context_classes([c[:3] for c in contexts]))]
+            none = [np.zeros(0, np.int64)]
+            cols = [np.concatenate(none + [np.full(len(f[2]), f[0]) for f in found]), np.concatenate(none + [np.full(len(f[2]), f[1]) for f in found]).astype(U64), *(np.concatenate(none + [f[k] for f in found]) for k in (2, 3))]
         return pa.Table.from_batches([rows(dealt(home(cols[0], homes), cols))])
 
     return grouped.groupBy("bucket").applyInArrow(run, BUCKET_ROW)
@@ -471,12 +479,12 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def second_pass(left: DataFrame, verdicts: DataFrame) -> DataFrame:
     def run(key, mine: pa.Table, right: pa.Table) -> pa.Table:
-        doc, first, last = unpack((x.as_buffer() for x in right.column("blob")), "qqq")
-        by = np.argsort(doc, kind="stable")
-        doc, first, last = doc[by], first[by], last[by]
+        doc, part, first, last = unpack((x.as_buffer() for x in right.column("blob")), "qQqq")
+        by = np.lexsort((part, doc))
+        doc, part, first, last = doc[by], part[by], first[by], last[by]
         out = []
-        for i, data, removed in zip(mine.column("doc_id").to_pylist(), mine.column("data"), mine.column("removed")):
-            s, e = np.searchsorted(doc, i), np.searchsorted(doc, i, "right")
+        for i, p, data, removed in zip(mine.column("doc_id").to_pylist(), mine.column("part").to_pylist(), mine.column("data"), mine.column("removed")):
+            s, e = own_rows(doc, part, i, p)
             a, b = unpack([removed.as_buffer()], "qq")
             data = data.as_py()
             out.append((i, len(data), *kept(data, np.concatenate([a, first[s:e]]), np.concatenate([b, last[s:e]]))))
@@ -486,6 +494,14 @@ def second_pass(left: DataFrame, verdicts: DataFrame) -> DataFrame:
     return left.groupBy("bucket").cogroup(verdicts.groupBy("bucket")).applyInArrow(run, RESULT)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, part, data): part tells the different texts of one doc_id apart by their hash; it is 0 everywhere where
+    no doc_id has several, as is usual."""
+    several = docs.select("doc_id", F.xxhash64("data").alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
+    part = F.lit(0) if several.isEmpty() else F.xxhash64("data").bitwiseAND(F.lit(LAST_ID))
+    return docs.select("doc_id", part.cast("long").alias("part"), "data")
+
+
 def remove_repeats(docs: DataFrame, share_bytes: int = SHARE_BYTES, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs."""
     spark = docs.sparkSession
@@ -494,16 +510,17 @@ def remove_repeats(docs: DataFrame, share_bytes: int = SHARE_BYTES, hot: int = H
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
     buckets = max(8, -(-total // share_bytes))
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), data.alias("data"))
+    own = numbered(own)
 
     def homed(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(home(b.column(0).to_numpy(), buckets))], ["doc_id", "data", "bucket"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home(b.column(0).to_numpy(), buckets))], ["doc_id", "part", "data", "bucket"])
 
     verdicts = judge_anchors(anchor_rows(own, buckets), buckets, hot)
-    left = first_pass(own.mapInArrow(homed, "doc_id long, data binary, bucket long"), verdicts)
+    left = first_pass(own.mapInArrow(homed, "doc_id long, part long, data binary, bucket long"), verdicts)
     left = materialize(left, "repeats-left")
     waiting = left.where("data IS NOT NULL")
     settled = sort_contexts(context_rows(waiting, buckets), buckets)
     done = left.where("data IS NULL").select(*[c.split(" ")[0] for c in RESULT.split(", ")])
-    result = done.union(second_pass(waiting.select("doc_id", "data", "removed", "bucket"), settled))
+    result = done.union(second_pass(waiting.select("doc_id", "part", "data", "removed", "bucket"), settled))
     return result.withColumn("doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")))

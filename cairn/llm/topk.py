@@ -89,7 +89,7 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
 
 def exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Whole-number inner products of paired rows."""
-    if np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1] < EXACT:
+    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1] < EXACT:
         return np.einsum("ij,ij->i", q, c).astype(np.int64)
     low, high = -(2**63), 2**63 - 1
     return np.array([min(high, max(low, sum(int(x) * int(y) for x, y in zip(a, b)))) for a, b in zip(q, c)], np.int64)
@@ -186,7 +186,8 @@ def top_inner_products(vectors: DataFrame, k: int = K, scale: int = SCALE, is_qu
         by = np.lexsort((ids, -lengths))
         c = matrix(left.column("v").combine_chunks(), width)[by]
         qids = right.column("asked_id").to_numpy()
-        found = search_block(ids[by], c, qids, matrix(right.column("asked_v").combine_chunks(), width), right.column("floor").to_numpy(), turn.value, k)
+        with np.errstate(all="ignore"):  # what overflows stays open and is scored in whole numbers
+            found = search_block(ids[by], c, qids, matrix(right.column("asked_v").combine_chunks(), width), right.column("floor").to_numpy(), turn.value, k)
         return pa.table([pa.array(qids[found.of]), pa.array(found.vec), pa.array(found.score)], names)
 
     def against(parts: DataFrame, queries: DataFrame) -> DataFrame:

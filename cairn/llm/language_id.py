@@ -60,7 +60,9 @@ def presence(text: str, chunk: int = 1 << 18) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and LETTER.search(text) is not None
+    """Whether a character of category L is there; numbers such as superscripts don't count."""
+    m = LETTER.search(text) if text else None
+    return m is not None and (m[0].isalpha() or any(map(str.isalpha, text)))
 
 
 def fit(rows: np.ndarray, names: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:

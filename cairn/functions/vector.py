@@ -43,8 +43,8 @@ def pad(v: Column, dims: int) -> Column:
 
 def hash_vector(text: Column, dims: int) -> Column:
     """The offline embedding: bytes of the text's SHA-256 in turn, taken to -1..1, at length 1."""
-    digest = F.sha2(text.cast("binary"), 256)
-    byte = lambda i: F.conv(F.substring(digest, 2 * (i % 32) + 1, F.lit(2)), 16, 10).cast("double")
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: byte(i) / 255 * 2 - 1)
-    length = F.sqrt(_sum(F.transform(raw, lambda x: x * x)))
-    return F.transform(raw, lambda x: (x / length).cast("float"))
+    # Each step's value is bound by a lambda over an array of one, so that no element makes it anew.
+    given = lambda value, then: F.transform(F.array(value), then)[0]
+    byte = lambda h, i: F.conv(F.substring(h, 2 * (i % 32) + 1, F.lit(2)), 16, 10).cast("double")
+    raw = given(F.sha2(text.cast("binary"), 256), lambda h: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: byte(h, i) / 255 * 2 - 1))
+    return given(raw, lambda r: given(F.sqrt(_sum(F.transform(r, lambda x: x * x))), lambda n: F.transform(r, lambda x: (x / n).cast("float"))))

@@ -27,14 +27,14 @@ def extension_set(given: list[str] | tuple[str, ...]) -> tuple[str, ...]:
 def scan(spark: SparkSession, root: str, paths: list[str], extensions: tuple[str, ...] | None = None) -> DataFrame:
     """Files under root/paths with paths relative to root; missing paths give nothing, a path that is given twice gives
     its files twice; extensions are matched case and all."""
-    base = "file://" + os.path.realpath(root)
+    base = os.path.realpath(root).rstrip("/")
     out = spark.createDataFrame([], FILES)
     for p in paths:
-        full = os.path.join(os.path.realpath(root), p)
+        full = os.path.join(base, p)
         if not os.path.exists(full):
             continue
         own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load("file://" + full)
-        inside = F.regexp_replace(F.url_decode(F.regexp_replace(F.regexp_replace("path", r"\Afile:/+", "/"), r"\+", "%2B")), "\\A" + re.escape(base.removeprefix("file://")) + "/", "")
+        inside = F.substring(F.regexp_replace("path", r"\Afile:/+", "/"), len(base) + 2, 1 << 30)
         own = own.select(inside.alias("path"), "content")
         out = out.unionByName(own.where(extension(F.col("path")).isin(*extensions)) if extensions is not None else own)
     return out

@@ -21,7 +21,7 @@ def read_trials(spark: SparkSession, run: str, schema=None) -> DataFrame:
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """(trial_id, line_no, value): trial_id is the log's file name, line_no its line's place."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.regexp_extract("_metadata.file_name", r"\A(.*?)(?:\.ndjson|\.jsonl)?\z", 1).alias("trial_id"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"\A(.*?)(?:\.ndjson|\.jsonl)?\z", 1).alias("trial_id"), "value")
     return text.select("trial_id", F.posexplode(F.split(F.trim("value"), "\r?\n")).alias("line_no", "value"))
 
 

@@ -424,7 +424,7 @@ def wilcoxon_w(spark, sf_dir):
     return stats.wilcoxon(_pairs(spark, sf_dir), "d", "metric").select("metric", F.round("W", 3).alias("w"))
 
 
-@query("WITH c AS (SELECT event_type, value AS v, user_id > 50 AS x FROM events), s AS (SELECT event_type, v, count(*) FILTER (WHERE x) AS nx, count(*) FILTER (WHERE NOT x) AS ny FROM c GROUP BY 1, 2), t AS (SELECT *, coalesce(sum(ny) OVER (PARTITION BY event_type ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(ny) OVER (PARTITION BY event_type) AS every FROM s), d AS (SELECT event_type, (sum(nx * below) - sum(nx * (every - below - ny)))::DOUBLE / (sum(nx) * sum(ny)) AS delta FROM t GROUP BY event_type) SELECT event_type, round(delta, 6) AS delta, CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS effect FROM d")
+@query("WITH c AS (SELECT event_type, value AS v, user_id > 50 AS x FROM events), s AS (SELECT event_type, v, count(*) FILTER (WHERE x) AS nx, count(*) FILTER (WHERE NOT x) AS ny FROM c GROUP BY 1, 2), t AS (SELECT *, coalesce(sum(ny) OVER (PARTITION BY event_type ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(ny) OVER (PARTITION BY event_type) AS every FROM s), d AS (SELECT event_type, (sum(nx * below) - sum(nx * (every - below - ny)))::DOUBLE / nullif(sum(nx) * sum(ny), 0) AS delta FROM t GROUP BY event_type) SELECT event_type, round(coalesce(delta, 0), 6) AS delta, CASE WHEN abs(coalesce(delta, 0)) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS effect FROM d")
 def cliffs_delta(spark, sf_dir):
     return stats.cliffs_delta(table(spark, sf_dir, "events"), "value", F.col("user_id") > 50, "event_type").withColumn("delta", F.round("delta", 6))
 
@@ -441,14 +441,14 @@ def holm(spark, sf_dir):
     return stats.holm(tests, "p", "user_id").select("user_id", F.round("p_corrected", 5).alias("p_corrected"), "significant")
 
 
-_TRIALS_SQL = "SELECT c_mktsegment AS task_id, c_nationkey AS repetition, CASE o_orderstatus WHEN 'O' THEN 'with' ELSE 'without' END AS condition, count(*) AS num_turns, round(avg(o_totalprice), 2) AS total_cost_usd FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' GROUP BY 1, 2, 3"
+_TRIALS_SQL = "SELECT c_mktsegment AS task_id, c_nationkey AS repetition, CASE o_orderstatus WHEN 'O' THEN 'with' ELSE 'without' END AS condition, count(*) AS num_turns, round(sum(o_totalprice), 2) AS total_cost_usd FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' GROUP BY 1, 2, 3"
 
 
 def _trials(spark, sf_dir):
     """One trial for each segment, nation and order status; nation 0 is a warm-up."""
     o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     side = F.when(F.col("o_orderstatus") == "O", "with").otherwise("without")
-    out = o.groupBy(F.col("c_mktsegment").alias("task_id"), F.col("c_nationkey").alias("repetition"), side.alias("condition")).agg(F.count("*").alias("num_turns"), F.round(F.avg("o_totalprice"), 2).alias("total_cost_usd"))
+    out = o.groupBy(F.col("c_mktsegment").alias("task_id"), F.col("c_nationkey").alias("repetition"), side.alias("condition")).agg(F.count("*").alias("num_turns"), F.round(F.sum("o_totalprice"), 2).alias("total_cost_usd"))
     return out.withColumns({"trial_order": F.lit(0), "engagement": F.col("num_turns") / 100, "index_calls": F.col("num_turns") - 5, "composite_quality": F.lit(None).cast("double")})
 
 
@@ -467,13 +467,13 @@ def task_summary(spark, sf_dir):
     return analysis.by_task(_trials(spark, sf_dir), "with")
 
 
-@query(f"WITH t AS ({_TRIALS_SQL}) SELECT count(*) AS trials, round(count(*) FILTER (WHERE condition = 'with' AND num_turns > 5) / (count(*) FILTER (WHERE condition = 'with'))::DOUBLE, 6) AS engaged_share, round(sum(total_cost_usd), 1) AS total_cost_usd FROM t WHERE repetition > 0")
+@query(f"WITH t AS ({_TRIALS_SQL}) SELECT count(*) AS trials, round(count(*) FILTER (WHERE condition = 'with' AND num_turns > 5) / (count(*) FILTER (WHERE condition = 'with'))::DOUBLE, 6) AS engaged_share, round(sum(total_cost_usd), 2) AS total_cost_usd FROM t WHERE repetition > 0")
 def run_summary(spark, sf_dir):
     out = analysis.summary(_trials(spark, sf_dir), "with")
-    return out.select("trials", F.round("engaged_share", 6).alias("engaged_share"), F.round("total_cost_usd", 1).alias("total_cost_usd"))
+    return out.select("trials", F.round("engaged_share", 6).alias("engaged_share"), "total_cost_usd")
 
 
-@query("WITH p AS (SELECT c_mktsegment AS metric, avg(c_acctbal) AS a FROM customer GROUP BY 1) SELECT metric, 25::BIGINT AS n FROM p")
+@query("SELECT c_mktsegment AS metric, count(DISTINCT c_nationkey) AS n FROM customer GROUP BY 1")
 def compare_metrics(spark, sf_dir):
     """All statistics of the paired comparison at once."""
     s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("y"))

@@ -41,9 +41,9 @@ GRAM = 36
 PERIOD = 32
 HOT = 20_000
 #: Text bytes of one task's share: of anchors, contexts or documents.
-SHARE_BYTES = 16 << 20
+SHARE_BYTES = 8 << 20
 #: Anchors held by one task before they are passed on, and window starts hashed at a time.
-HELD = 1_000_000
+HELD = 400_000
 SEGMENT = 1 << 21
 #: Suffixes of one block.
 BLOCK = 1 << 20

@@ -351,6 +351,11 @@ def anchor_rows(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("doc_id", "part", "data").mapInArrow(run, BUCKET_ROW)
 
 
+def by_bucket(rows_: DataFrame, buckets: int):
+    """Rows of one bucket together, a task for each bucket whatever the session's number of shuffle partitions is."""
+    return rows_.repartition(buckets, "bucket").groupBy("bucket")
+
+
 def judge_anchors(grouped: DataFrame, homes: int, hot: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         a, c, doc, part, first, last, known = unpack((x.as_buffer() for x in table.column("blob")), ANCHOR)
@@ -369,7 +374,7 @@ def judge_anchors(grouped: DataFrame, homes: int, hot: int) -> DataFrame:
         cols = [doc[asked], part[asked], first[asked], last[asked], np.where(kind == REMOVED, U64(0), a)[asked], kind[asked]]
         return pa.Table.from_batches([rows(dealt(home(cols[0], homes), cols))])
 
-    return grouped.groupBy("bucket").applyInArrow(run, BUCKET_ROW)
+    return by_bucket(grouped, homes).applyInArrow(run, BUCKET_ROW)
 
 
 #: What the first pass leaves of each document: its result, or (text not null) what is still to be judged.
@@ -382,7 +387,7 @@ def own_rows(doc: np.ndarray, part: np.ndarray, i: int, p: int) -> tuple[int, in
     return s + np.searchsorted(part[s:e], p), s + np.searchsorted(part[s:e], p, "right")
 
 
-def first_pass(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+def first_pass(docs: DataFrame, verdicts: DataFrame, homes: int) -> DataFrame:
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         doc, part, first, last, anchor, kind = unpack((x.as_buffer() for x in right.column("blob")), VERDICT)
         by = np.lexsort((part, doc))
@@ -400,7 +405,7 @@ def first_pass(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
         names = [c.split(" ")[0] for c in LEFT.split(", ")]
         return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 10, kinds)], names)
 
-    return docs.groupBy("bucket").cogroup(verdicts.groupBy("bucket")).applyInArrow(run, LEFT)
+    return by_bucket(docs, homes).cogroup(by_bucket(verdicts, homes)).applyInArrow(run, LEFT)
 
 
 def context_rows(left: DataFrame, buckets: int) -> DataFrame:
@@ -471,13 +476,13 @@ def sort_contexts(grouped: DataFrame, homes: int) -> DataFrame:
             cols = [np.concatenate(none + [np.full(len(f[2]), f[0]) for f in found]), np.concatenate(none + [np.full(len(f[2]), f[1]) for f in found]).astype(U64), *(np.concatenate(none + [f[k] for f in found]) for k in (2, 3))]
         return pa.Table.from_batches([rows(dealt(home(cols[0], homes), cols))])
 
-    return grouped.groupBy("bucket").applyInArrow(run, BUCKET_ROW)
+    return by_bucket(grouped, homes).applyInArrow(run, BUCKET_ROW)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def second_pass(left: DataFrame, verdicts: DataFrame) -> DataFrame:
+def second_pass(left: DataFrame, verdicts: DataFrame, homes: int) -> DataFrame:
     def run(key, mine: pa.Table, right: pa.Table) -> pa.Table:
         doc, part, first, last = unpack((x.as_buffer() for x in right.column("blob")), "qQqq")
         by = np.lexsort((part, doc))
@@ -491,7 +496,7 @@ def second_pass(left: DataFrame, verdicts: DataFrame) -> DataFrame:
         kinds = [pa.int64()] * 4 + [pa.string()]
         return pa.table([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], [c.split(" ")[0] for c in RESULT.split(", ")])
 
-    return left.groupBy("bucket").cogroup(verdicts.groupBy("bucket")).applyInArrow(run, RESULT)
+    return by_bucket(left, homes).cogroup(by_bucket(verdicts, homes)).applyInArrow(run, RESULT)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -517,10 +522,10 @@ def remove_repeats(docs: DataFrame, share_bytes: int = SHARE_BYTES, hot: int = H
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(home(b.column(0).to_numpy(), buckets))], ["doc_id", "part", "data", "bucket"])
 
     verdicts = judge_anchors(anchor_rows(own, buckets), buckets, hot)
-    left = first_pass(own.mapInArrow(homed, "doc_id long, part long, data binary, bucket long"), verdicts)
+    left = first_pass(own.mapInArrow(homed, "doc_id long, part long, data binary, bucket long"), verdicts, buckets)
     left = materialize(left, "repeats-left")
     waiting = left.where("data IS NOT NULL")
     settled = sort_contexts(context_rows(waiting, buckets), buckets)
     done = left.where("data IS NULL").select(*[c.split(" ")[0] for c in RESULT.split(", ")])
-    result = done.union(second_pass(waiting.select("doc_id", "part", "data", "removed", "bucket"), settled))
+    result = done.union(second_pass(waiting.select("doc_id", "part", "data", "removed", "bucket"), settled, buckets))
     return result.withColumn("doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")))

@@ -31,6 +31,8 @@ QUERY_EVERY = 50
 BLOCK = 8192
 GROUP = 1024
 STRETCH = 512
+#: Levels of length at most; a level with more rows than a block is cut into blocks by a hash.
+LEVELS = 256
 LEADING = 0.5
 #: Products below this are exact in doubles.
 EXACT = 2.0**53
@@ -156,26 +158,23 @@ def top_inner_products(vectors: DataFrame, k: int = K, scale: int = SCALE, is_qu
         return empty
     width = max(1, width)
     turn = spark.sparkContext.broadcast(rotation(own, width))  # width x width
-    blocks = -(-n // block)
-    # Bounds of the blocks by descending length: quantiles of the squared length, so that each has about `block` rows.
-    spread = F.xxhash64("vec_id")  # ties in length, such as one vector that is very common, are dealt by this hash
-    cuts = own.select(F.percentile_approx("sq", [1 - i / blocks for i in range(1, blocks)], 10000)).first()[0] if blocks > 1 else []
+    levels = min(LEVELS, -(-n // block))
+    # Levels by descending length: quantiles of the squared length, so that each has about as many rows.
+    cuts = own.select(F.percentile_approx("sq", [1 - i / levels for i in range(1, levels)], 10000)).first()[0] if levels > 1 else []
     number = F.lit(0)
     for cut in sorted(set(cuts), reverse=True):
         number = number + F.when(F.col("sq") <= cut, 1).otherwise(0)
-    placed = own.withColumn("length_block", number)
-    sizes = {r["length_block"]: (r["rows"], r["top"]) for r in placed.groupBy("length_block").agg(F.count("*").alias("rows"), F.max("sq").alias("top")).collect()}
-    # A block with many more rows (equal lengths) is cut by the hash into parts of bounded size.
-    first, spans = 0, []
-    for b in sorted(sizes):
-        cut = -(-sizes[b][0] // block)
-        spans.append((b, first, cut, float(sizes[b][1])))
+    placed = own.withColumn("level", number)
+    sizes = {r["level"]: (r["rows"], r["top"]) for r in placed.groupBy("level").agg(F.count("*").alias("rows"), F.max("sq").alias("top")).collect()}
+    # Ties in length, such as one vector that is very common, are dealt to a level's blocks by a hash.
+    spans, first = [], 0
+    start, parts = F.lit(0), F.lit(1)
+    for lv in sorted(sizes):
+        cut = -(-sizes[lv][0] // block)
+        spans.append(F.struct(F.lit(first).alias("first"), F.lit(first + cut - 1).alias("last"), F.lit(float(sizes[lv][1])).alias("top")))
+        start, parts = F.when(F.col("level") == lv, F.lit(first)).otherwise(start), F.when(F.col("level") == lv, F.lit(cut)).otherwise(parts)
         first += cut
-    start, cut = F.lit(0), F.lit(1)
-    for b, at, m, _ in spans:
-        start, cut = F.when(F.col("length_block") == b, F.lit(at)).otherwise(start), F.when(F.col("length_block") == b, F.lit(m)).otherwise(cut)
-    placed = placed.select("vec_id", "v", "sq", (start + F.pmod(spread, cut.cast("long"))).cast("int").alias("block"))
-    tops = [top for _, _, m, top in spans for _ in range(m)]
+    placed = placed.select("vec_id", "v", "sq", (start + F.pmod(F.xxhash64("vec_id"), parts.cast("long"))).cast("int").alias("block"))
     asked = own.where(F.col("vec_id") % QUERY_EVERY == 0 if is_query is None else is_query).select(F.col("vec_id").alias("asked_id"), F.col("v").alias("asked_v"), F.col("sq").alias("asked_sq"))
     groups = max(1, -(-asked.count() // group))
     asked = asked.withColumn("group", F.pmod(F.xxhash64("asked_id", F.lit(1)), F.lit(groups)).cast("int"))
@@ -199,13 +198,14 @@ def top_inner_products(vectors: DataFrame, k: int = K, scale: int = SCALE, is_qu
     # The longest block first: it gives every query a floor.
     seeds = against(placed.where("block = 0").select("vec_id", "v", "sq", "block", fan), asked.select("asked_id", "asked_v", F.lit(float("-inf")).alias("floor"), F.lit(0).alias("block"), "group"))
     seeds = materialize(seeds, "topk-first")
-    if len(tops) == 1:
+    if first == 1:
         found = seeds
     else:
         floors = seeds.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
         known = asked.join(floors, F.col("asked_id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-        known = known.withColumn("block", F.explode(F.filter(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(tops[b]).alias("top")) for b in range(1, len(tops))]), lambda s: F.sqrt(F.col("asked_sq")) * F.sqrt(s["top"]) * (1 + 1e-9) + 1e-6 >= F.col("floor"))))
-        known = known.select("asked_id", "asked_v", "floor", F.col("block.b").alias("block"), "group")
+        reachable = lambda span: F.sqrt(F.col("asked_sq")) * F.sqrt(span["top"]) * (1 + 1e-9) + 1e-6 >= F.col("floor")
+        known = known.withColumn("span", F.explode(F.filter(F.array(*spans), reachable)))
+        known = known.select("asked_id", "asked_v", "floor", F.explode(F.sequence("span.first", "span.last")).alias("block"), "group").where("block > 0")
         found = seeds.union(against(placed.where("block > 0").select("vec_id", "v", "sq", "block", fan), known))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -12,13 +12,16 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="cairn-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if not path and app not in _own_dirs:
+        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="cairn-")
+    return (path or _own_dirs[app]).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -529,3 +529,18 @@ def remove_repeats(docs: DataFrame, share_bytes: int = SHARE_BYTES, hot: int = H
     done = left.where("data IS NULL").select(*[c.split(" ")[0] for c in RESULT.split(", ")])
     result = done.union(second_pass(waiting.select("doc_id", "part", "data", "removed", "bucket"), settled, buckets))
     return result.withColumn("doc_id", F.when(F.col("doc_id") != LAST_ID, F.col("doc_id")))
+
+
+#: Every string of LENGTH bytes by its digest, its first place, and runs of what starts later.
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, h, unnest(range(n - {LENGTH - 1})) AS i FROM d WHERE n >= {LENGTH}),
+s AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * LENGTH})) AS g FROM w),
+f AS (SELECT g, min(doc_id::HUGEINT * 4294967296 + i) AS first FROM s GROUP BY g HAVING count(*) > 1),
+dup AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM s JOIN f USING (g) WHERE doc_id::HUGEINT * 4294967296 + i <> first),
+run AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM dup),
+span AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM run GROUP BY doc_id, r),
+gap AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM span),
+cut AS (SELECT g.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, (2 * z + 1)::BIGINT, (2 * (a - z))::BIGINT), '' ORDER BY a) AS kept FROM gap g JOIN d USING (doc_id) GROUP BY g.doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)
+"""

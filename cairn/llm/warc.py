@@ -214,3 +214,14 @@ def capture_index(pages: DataFrame, path: str | None = None, min_revisit: int =
     path = path or scratch_path(spark, "warc")
     write_archives(pages, path, min_revisit, file_bytes)
     return merge_runs(materialize(capture_runs(spark, path), "runs"))
+
+
+#: The query's rows; the order of captures is left to the reader.
+ORACLE_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest, lower(regexp_replace(coalesce(url, ''), '\\A[^:/]*://', '')) AS rest FROM pages),
+f AS (SELECT *, CASE WHEN strlen(html) >= {MIN_REVISIT} THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+  array_to_string(list_reverse(string_split(regexp_extract(rest, '\\A([^/?#]*)', 1), '.')), ',') || ')' || regexp_extract(rest, '\\A[^/?#]*([^#]*)', 1) AS urlkey,
+  strftime(make_timestamp((1577836800 + page_id % 315360000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS ts
+FROM f
+"""

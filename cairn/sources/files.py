@@ -6,6 +6,7 @@ import os
 import re
 import subprocess
 import tempfile
+import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,18 +25,34 @@ def extension_set(given: list[str] | tuple[str, ...]) -> tuple[str, ...]:
     return tuple(e if e.startswith(".") else "." + e for e in given) or CODE_EXTENSIONS
 
 
+def shared_copy(spark: SparkSession, root: str, path: str) -> str:
+    """Where executors find root/path, as the folder that path is relative to: a copy in the folder that
+    ``spark.checkpoint.dir`` names, or root itself where that is unset, as on one machine."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        return "file://" + root
+    target = f"{shared.rstrip('/')}/cairn-files-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    place = hadoop(hadoop(target), path) if path != "." else hadoop(target)
+    fs.mkdirs(place.getParent())
+    fs.copyFromLocalFile(hadoop("file://" + os.path.join(root, path)), place)
+    fs.deleteOnExit(hadoop(target))
+    return target
+
+
 def scan(spark: SparkSession, root: str, paths: list[str], extensions: tuple[str, ...] | None = None) -> DataFrame:
     """Files under root/paths with paths relative to root; missing paths give nothing, a path that is given twice gives
     its files twice; extensions are matched case and all."""
-    base = os.path.realpath(root).rstrip("/")
+    root = os.path.realpath(root).rstrip("/")
     out = spark.createDataFrame([], FILES)
-    for p in paths:
-        full = os.path.join(base, p)
-        if not os.path.exists(full):
+    for p in map(os.path.normpath, paths):
+        if not os.path.exists(os.path.join(root, p)):
             continue
-        own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load("file://" + full)
-        inside = F.substring(F.regexp_replace("path", r"\Afile:/+", "/"), len(base) + 2, 1 << 30)
-        own = own.select(inside.alias("path"), "content")
+        base = shared_copy(spark, root, p)
+        own = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{base}/{p}")
+        tail = F.regexp_extract("path", "\\Q" + base.split("://", 1)[-1].lstrip("/") + "\\E/+(.*)\\z", 1)
+        own = own.select(tail.alias("path"), "content")
         out = out.unionByName(own.where(extension(F.col("path")).isin(*extensions)) if extensions is not None else own)
     return out
 
@@ -65,8 +82,8 @@ def checkout(source: str, ref: str, into: str) -> str:
 
 
 def fetch(spark: SparkSession, source: str, ref: str, docs: list[str], code: list[str], code_extensions: list[str] | None = None) -> tuple[str, DataFrame]:
-    """(commit, files): documents first, then code. The clone is a driver's work; its files must be visible to the
-    executors when the plan runs, as they are on one machine or a shared temporary folder."""
+    """(commit, files): documents first, then code. The clone is the driver's work; scan() takes its files to where the
+    executors find them."""
     into = tempfile.mkdtemp(prefix="cairn-git-")
     commit = checkout(source, ref, into)
     files = scan(spark, into, docs, DOC_EXTENSIONS).unionByName(scan(spark, into, code, extension_set(code_extensions or [])))

@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, insort
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ BASE = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
+#: The ip pattern's matches begin and end at the ends of digit runs; so said, a long run is read once, not from each digit.
+IP_RUNS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 #: Looser patterns that propose candidates.
 LOOSE = {
     "email": re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.%+-]{0,63} ?(?:\(at\)|\[at\]|\{at\}|＠| at ) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]+)+", re.A | re.I),
@@ -97,6 +101,26 @@ def emails(text: str):
         at = text.find("@", max(at + 1, done))
 
 
+class Taken:
+    """Stretches of one text that are taken; each question and addition is a binary search."""
+
+    def __init__(self, stretches: list[tuple[int, int]]) -> None:
+        ordered = sorted(stretches)
+        self.starts = [s for s, _ in ordered]
+        self.reach = list(accumulate((e for _, e in ordered), max))
+        self.added: list[tuple[int, int]] = []  # these don't overlap one another
+
+    def free(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        if i and self.reach[i - 1] > start:
+            return False
+        i = bisect_left(self.added, (end,))
+        return not i or self.added[i - 1][1] <= start
+
+    def add(self, start: int, end: int) -> None:
+        insort(self.added, (start, end))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind's number, start, end), by kind and start."""
     out = []
@@ -106,7 +130,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         elif kind == "phone" and "+" not in text:
             continue
         else:
-            matches = BASE[kind].finditer(text)
+            matches = (IP_RUNS if kind == "ip" else BASE[kind]).finditer(text)
         out += [(k, m.start(), m.end()) for m in matches if passes(kind, m.group())]
     return out
 
@@ -141,9 +165,7 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
 def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
     """Base spans; and (kind, start, end, votes as a number) of all candidates, base spans first."""
     base = base_spans(text)
-    taken: dict[int, list[tuple[int, int]]] = {}
-    for k, s, e in base:
-        taken.setdefault(k, []).append((s, e))
+    taken = [Taken([(s, e) for k, s, e in base if k == kind]) for kind in range(len(KINDS))]
     proposed = list(base)
     low = text.lower()
     if "\uff20" in low or "(at)" in low or "[at]" in low or "{at}" in low or " at " in low and " dot " in low:
@@ -153,7 +175,7 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
             for k in (1, 2, 3):
                 proposed += [(k, m.start(), m.end()) for m in LOOSE[KINDS[k]].finditer(text, zone.start(), zone.end())]
     own = set(base)
-    proposed[len(base) :] = [(k, s, e) for k, s, e in proposed[len(base) :] if (k, s, e) not in own and not any(x < e and s < y for x, y in taken.get(k, []))]
+    proposed[len(base) :] = [(k, s, e) for k, s, e in proposed[len(base) :] if (k, s, e) not in own and taken[k].free(s, e)]
     out = []
     for k, s, e in proposed:
         code = 0
@@ -256,8 +278,10 @@ def decide(base: list[int], found: list[int], model: Classifier, threshold: floa
         k, s, e, code = found[i : i + 4]
         if (k, s, e) not in fixed and (p := model.probability(k, code)) >= threshold:
             more.append((-p, s, e, k))
+    taken = Taken([(s, e) for _, s, e in spans])
     for _, s, e, k in sorted(more):
-        if not any(x < e and s < y for _, x, y in spans):
+        if taken.free(s, e):
+            taken.add(s, e)
             spans.append((k, s, e))
     return sorted(spans)
 

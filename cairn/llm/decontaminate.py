@@ -10,9 +10,10 @@ begin and end anywhere in the window's surroundings.
 Only windows that could pass are embedded: an item within e edits keeps one of its e + 1 equal pieces unchanged, so a
 window must hold a piece of the item near its place. This drops no window that the verification would keep.
 
-The number of tables follows from ``recall``: an item at the largest distance is found with that probability, a closer
-one with more. Items are handled in groups of ``GROUP_ITEMS``, so what is sent to the executors is bounded; more items
-mean more passes over the documents.
+The sampled steps and tables follow from ``recall``: an item at the largest distance is found with that probability, a
+closer one with more. Items are handled in groups of at most ``GROUP_ITEMS`` items and ``GROUP_WORDS`` words (an item with more
+words is a group of its own), so what is sent to the executors is bounded; more items mean more passes over the
+documents.
 
 Defined cases: null or wordless texts and items are never leaked; items shorter than five words are only found
 unchanged; repeated rows of documents are judged one by one; repeated items count once by (item_id, text); null ids
@@ -22,8 +23,10 @@ are carried through; empty tables give an empty result; other columns are ignore
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +38,17 @@ from cairn.llm.common import bounded_batches
 SIMILARITY = 0.8
 RECALL = 0.999
 GROUP_ITEMS = 20_000
-#: A walk has three steps for each word; so many of them are sampled for one table.
+GROUP_WORDS = 2_000_000
+#: A walk has three steps for each word; so many of them at most are sampled for one table.
 SAMPLED = 4
+TRIALS = 200
 WALKS = 4
 MAX_TABLES = 64
+#: Classes of words with bits of their own at each step; fewer where an item is so long that the bits would pass WALK_BYTES.
+CLASSES = 1021
+WALK_BYTES = 64 << 20
+#: Bytes that the embeddings of the windows looked at together may take.
+EMBED_BYTES = 128 << 20
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -57,10 +67,42 @@ def pieces(m: int, e: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
-def tables_for(m: int, e: int, recall: float = RECALL) -> int:
-    """Tables that find a window at Hamming distance 2e or less of 3m sampled steps with the given probability."""
-    agree = max(1e-3, 1 - 2 * e / (3 * m)) ** SAMPLED
-    return 1 if agree >= recall else min(MAX_TABLES, int(np.ceil(np.log(1 - recall) / np.log(1 - agree))))
+@lru_cache(maxsize=None)
+def tables_for(m: int, e: int, recall: float = RECALL) -> tuple[int, int]:
+    """(steps sampled for a table, tables) that find an item of m words after e edits with the given probability.
+
+    How many steps of a walk outlive e edits is measured on ``TRIALS`` invented items with edits at random places:
+    the walks of long items drift apart more than the edits alone say. As many steps are sampled as ``MAX_TABLES``
+    allow; where even one step is too many, nothing is sampled and every window is verified.
+    """
+    if e == 0:
+        return min(SAMPLED, 2 * m), 1
+    rng = np.random.default_rng(11)
+    trials = max(8, min(TRIALS, EMBED_BYTES // (WALKS * 3 * m * 8)))
+    rows = np.zeros((trials + 1, m), np.int64)
+    rows[0] = np.arange(1, m + 1)
+    for row in rows[1:]:
+        kinds, places = rng.integers(0, 3, e), np.sort(rng.choice(m, e, replace=False))
+        own = rows[0].copy()
+        own[places[kinds == 0]] = rng.integers(m + 1, 1 << 20, (kinds == 0).sum())
+        own[places[kinds == 1]] = -1
+        own = np.insert(own, places[kinds == 2], rng.integers(m + 1, 1 << 20, (kinds == 2).sum()))
+        own = own[own > 0][:m]
+        row[: len(own)] = own
+    codes = walks(rows, walk_bits(rng, m))[:, :, : 2 * m]
+    agree = (codes[:, 1:] == codes[:, :1]).mean(axis=2)
+    for sampled in range(SAMPLED, 0, -1):
+        missed = np.prod(1 - agree**sampled, axis=0)  # by one table of each walk
+        for each in range(1, MAX_TABLES // WALKS + 1):
+            if (missed**each).mean() <= 1 - recall:
+                return sampled, WALKS * each
+    return 0, 1
+
+
+def walk_bits(rng: np.random.Generator, longest: int) -> np.ndarray:
+    """The shared random bits of each walk for items of up to ``longest`` words, by step and class of words."""
+    classes = min(CLASSES, max(61, WALK_BYTES // (WALKS * 3 * longest)))
+    return rng.integers(0, 2, (WALKS, 3 * longest, classes)).astype(np.int8)
 
 
 def walks(windows: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -110,7 +152,7 @@ class Index:
             self.rows.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int64))
         rng = np.random.default_rng(7)
         longest = max((len(r) for r in self.rows), default=1)
-        self.walks = rng.integers(0, 2, (WALKS, 3 * longest, 1021)).astype(np.int8)
+        self.walks = walk_bits(rng, longest)
         # Pieces by their first words (three at most), as one number; pieces of one size share a key space.
         found: dict[int, list[tuple[int, int, int, int]]] = {}
         self.codes, self.picks = [], []
@@ -119,8 +161,9 @@ class Index:
             for a, b in pieces(len(row), e):
                 size = min(3, b - a)
                 found.setdefault(size, []).append((int(gram_keys(row[a : a + size], size)[0]), k, a, b))
-            tables = tables_for(len(row), e, self.recall)
-            self.picks.append([np.sort(rng.choice(3 * len(row), min(SAMPLED, 3 * len(row)), replace=False)) for _ in range(tables)])
+            sampled, tables = tables_for(len(row), e, self.recall)
+            # After twice its length a walk has mostly passed the item's end.
+            self.picks.append([np.sort(rng.choice(2 * len(row), sampled, replace=False)) for _ in range(tables)])
             self.codes.append(walks(row[None], self.walks)[:, 0])
         self.seeds = {}
         for size, entries in found.items():
@@ -154,25 +197,28 @@ class Index:
             if not shifts:
                 continue
             padded = np.concatenate([np.zeros(m + e, np.int64), ids, np.zeros(m + 2 * e + 1, np.int64)])
-            passed: list[int] = []
-            for at in range(0, len(shifts), 2048):
-                part = np.array(shifts[at : at + 2048])
-                windows = padded[part[:, None] + np.arange(m + e, 2 * m + e)[None]]
-                near = np.zeros(len(part), bool)
-                codes = walks(windows, self.walks)
+            size = max(1, min(2048, EMBED_BYTES // (WALKS * 3 * m * ids.itemsize)))
+            best, last, at = None, None, 0
+            while at < len(shifts):
+                part = np.array(shifts[at : at + size])
+                near = np.full(len(part), not len(self.picks[k][0]))
+                codes = [] if near.all() else walks(padded[part[:, None] + np.arange(m + e, 2 * m + e)[None]], self.walks)
                 for i, pick in enumerate(self.picks[k]):  # the tables take the walks in turn
+                    if not len(pick):
+                        break
                     w = i % len(codes)
                     near |= (codes[w][:, pick] == self.codes[k][w][pick]).all(axis=1)
-                passed += part[near].tolist()
-            best, last = None, None
-            for s in passed:
-                if last is not None and s <= last + e:  # the surroundings verified last cover this window's
-                    continue
-                last = s
-                low = max(0, s - e)
-                edits, end = edit_anywhere(row, ids[low : s + m + 2 * e])
-                if edits <= e and (best is None or edits < best[1]):
-                    best = (k, edits, max(0, low + end - m))
+                at += size
+                for s in part[near].tolist():
+                    if last is not None and s <= last + e:  # the surroundings verified last cover this window's
+                        continue
+                    last = s
+                    low = max(0, s - e)
+                    edits, end = edit_anywhere(row, ids[low : s + m + 2 * e])
+                    if edits <= e and (best is None or edits < best[1]):
+                        best = (k, edits, max(0, low + end - m))
+                if last is not None:  # and those that it covers needn't be embedded
+                    at = max(at, bisect_right(shifts, last + e))
             if best:
                 found.append(best)
         return found
@@ -184,27 +230,32 @@ class Index:
 
 
 def gram_keys(ids: np.ndarray, size: int) -> np.ndarray:
-    """One number for the ``size`` words at each place, -1 where a word is not in the vocabulary (id 0)."""
+    """One number for the ``size`` words at each place, -1 where a word is not in the vocabulary (id 0).
+
+    Words beyond 2^21 may share a number with others; who looks keys up compares the words too.
+    """
     n = len(ids) - size + 1
     key, known = np.zeros(n, np.int64), np.ones(n, bool)
     for i in range(size):
         part = ids[i : i + n]
-        key = (key << 21) + part  # a group has fewer than 2^21 words
+        key = ((key << 21) + part) & (2**63 - 1)
         known &= part > 0
     return np.where(known, key, -1)
 
 
-def item_groups(benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> list[Index]:
-    """The items by groups of GROUP_ITEMS at most, each as the index that one pass over the documents takes."""
+def item_groups(benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> Iterator[Index]:
+    """The items by groups, each as the index that one pass over the documents takes; the driver holds one at a time."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").distinct()
-    groups, held = [], []
+    held, size = [], 0
     for r in items.orderBy("item_id", "text").toLocalIterator():
         if ws := words(r["text"]):
+            if held and (len(held) == GROUP_ITEMS or size + len(ws) > GROUP_WORDS):
+                yield Index(held, similarity, recall)
+                held, size = [], 0
             held.append((r["item_id"], ws))
-        if len(held) == GROUP_ITEMS:
-            groups.append(Index(held, similarity, recall))
-            held = []
-    return groups + ([Index(held, similarity, recall)] if held else [])
+            size += len(ws)
+    if held:
+        yield Index(held, similarity, recall)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -213,10 +264,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     bounded_batches(spark)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, item_id long, window_start long, edits int, similarity double"
-    groups = item_groups(benchmark, similarity, recall)
 
     def pass_over(index: Index) -> DataFrame:
-        sent = spark.sparkContext.broadcast(index)  # GROUP_ITEMS items at most
+        sent = spark.sparkContext.broadcast(index)  # bounded by GROUP_ITEMS and GROUP_WORDS
 
         def run(batches):
             for b in batches:
@@ -231,7 +281,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 
         return own.mapInArrow(run, schema)
 
-    return reduce(DataFrame.union, [pass_over(g) for g in groups]) if groups else spark.createDataFrame([], schema)
+    passes = [pass_over(g) for g in item_groups(benchmark, similarity, recall)]
+    return reduce(DataFrame.union, passes) if passes else spark.createDataFrame([], schema)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:

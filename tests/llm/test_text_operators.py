@@ -168,6 +168,38 @@ def test_more_items_than_a_group(spark, sf_dir, monkeypatch):
     assert rows_of(decontaminate.contamination(docs, bench), "doc_id", "item_id", "edits") == want
 
 
+def test_long_items_and_large_vocabularies_stay_bounded(monkeypatch):
+    names = [f"w{i}" for i in range(1500)]
+    monkeypatch.setattr(decontaminate, "WALK_BYTES", 1 << 20)
+    monkeypatch.setattr(decontaminate, "EMBED_BYTES", 1 << 22)
+    index = decontaminate.Index([(1, names)], 0.8, 0.999)
+    assert index.walks.nbytes <= 2 << 20
+    changed = ["x" if i % 10 == 5 else w for i, w in enumerate(names)]
+    assert index.find(" ".join(["one", *changed, "two"])) == [(0, 150, 1)]
+    assert index.find(" ".join(names[:700])) == []
+    assert decontaminate.tables_for(20, 4)[0] > 0
+    keys = decontaminate.gram_keys(np.array([2**21 + 5, 3 * 2**21, 2**22 - 1, 0]), 3)
+    assert keys[0] >= 0 and keys[1] == -1
+
+
+@pytest.mark.parametrize("m, trials", [(20, 300), (100, 200), (300, 40)])
+def test_recall_at_the_largest_distance(m, trials):
+    """Substitutions spread over the item, as many as may be; before and after it stand known words."""
+    rng = random.Random(m)
+    item = [f"w{rng.randrange(5000)}" for _ in range(m)]
+    index, e = decontaminate.Index([(1, item)], 0.8, 0.999), decontaminate.allowed(m)
+    missed = 0
+    for _ in range(trials):
+        text = list(item)
+        for i in rng.sample(range(1, m - 1), e):
+            text[i] = "other"
+        held = any(text[a:b] == item[a:b] for a, b in decontaminate.pieces(m, e))
+        found = index.find(" ".join([*item[: m // 2 : 3], *text, *item[:: m // 5]]))
+        assert held and all(f[1] <= e for f in found)
+        missed += not found
+    assert missed <= max(1, trials // 100)
+
+
 def test_walk_of_equal_windows_is_equal():
     rng = np.random.default_rng(0)
     bits = rng.integers(0, 2, (2, 60, 1021)).astype(np.int8)
@@ -197,6 +229,25 @@ def test_base_spans_equal_the_patterns(text):
     assert pii.base_spans(text) == plain_base(text)
 
 
+@pytest.mark.parametrize("text", ["1" * 300_000, "+1 415 555 0199, " * 20_000, "1.2.3.4 " * 30_000, "(555) 555-1234 " * 20_000, "a@" * 150_000, "x at y dot com " * 20_000])
+def test_pii_of_long_texts_is_not_quadratic(text):
+    base, found = pii.candidates(text)
+    spans = pii.decide([v for s in base for v in s], [v for s in found for v in s], pii.Classifier(np.ones(len(pii.KINDS) + 3 * len(pii.LABELERS))))
+    assert set(base) <= set(spans) and len(spans) == len(set(base) | {s[:3] for s in found})
+
+
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6))), st.lists(st.tuples(st.integers(0, 30), st.integers(1, 6))))
+def test_taken_stretches_equal_comparisons(fixed, asked):
+    plain = [(s, s + n) for s, n in fixed]
+    taken = pii.Taken(plain)
+    for s, n in asked:
+        free = not any(x < s + n and s < y for x, y in plain)
+        assert taken.free(s, s + n) == free
+        if free:
+            taken.add(s, s + n)
+            plain.append((s, s + n))
+
+
 def test_pii_on_the_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}

@@ -1,0 +1,141 @@
+"""Near-duplicates by the exact Jaccard similarity of word shingles.
+
+A text's set holds the XXH64 hashes of its shingles of ``SHINGLE`` words. MinHash proposes: ``BANDS`` keys of ``ROWS``
+minima each, so that a pair at similarity 0.8 shares no key with probability (1 - 0.8^4)^24, 3 in a million, and a closer
+one with less. Every proposed pair within a cluster of proposals is then held against the exact similarity of its sets;
+pairs whose place in the cluster is already settled are not compared.
+
+A 64-bit SimHash cannot propose these pairs: at similarity 0.8 they differ in up to 13 bits, and keys that find all such
+pairs would have four bits.
+
+Defined cases: words are cut as in ``simhash``; a text of fewer than ``SHINGLE`` words is one shingle; a null text counts
+as empty and texts without words are alike; equal sets are settled once by their hash.
+"""
+
+from __future__ import annotations
+
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from cairn.llm.common import bounded_batches, materialize, partitions
+from cairn.llm.simhash import SEED, _then_none, connected_components
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 24, 4
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles whose minima are taken at once.
+CHUNK = 1 << 12
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of the text's shingles, ascending."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    lasts = ends[-max(1, len(words) - shingle + 1) :]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[s : e - 1], SEED) for s, e in zip([0, *ends], lasts)), np.uint64, len(lasts)))
+
+
+def name_of(own: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), SEED)
+
+
+def band_keys(own: np.ndarray) -> np.ndarray:
+    """One key for each band: its number and minima mixed."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(own), CHUNK):
+        np.minimum(low, (own[at : at + CHUNK, None] * _ODD[0] + _ODD[1]).min(axis=0), out=low)
+    low = (low ^ (low >> np.uint64(29))) * _ODD[1]
+    return (low.reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)) * _ODD[0, 0]
+
+
+def peel_sets(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """For each set the index of the first one in its component; visited ones are compared no more."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    own = [element[a:b] for a, b in zip(starts[:-1], starts[1:])]
+    label = np.full(len(sets), -1)
+    left = np.ones(len(sets), bool)
+    kept = len(sets)
+    flag = np.zeros(element.max(initial=0) + 1, bool)
+    for root in range(len(sets)):
+        if label[root] >= 0:
+            continue
+        label[root], left[root] = root, False
+        frontier = [root]
+        while frontier and left.any():
+            i = frontier.pop()
+            if 2 * int(left.sum()) < kept:  # what is settled goes
+                still = left[owner]
+                owner, element, kept = owner[still], element[still], int(left.sum())
+            flag[own[i]] = True
+            both = np.bincount(owner[flag[element]], minlength=len(sets))
+            flag[own[i]] = False
+            found = np.flatnonzero(left & (both >= similarity * (sizes + sizes[i] - both) - 1e-9))
+            label[found], left[found] = root, False
+            frontier.extend(found.tolist())
+    return label
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) for every row of docs; component_id is the least doc_id of those linked at SIMILARITY."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+    def sketch(batches):
+        for b in batches:
+            own = [shingle_set(t.as_py()) for t in b.column(1)]
+            names = np.array([name_of(s) for s in own], np.uint64).view(np.int64)
+            keys = [band_keys(s).view(np.int64) for s in own]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "name", "keys"])
+
+    sketches = materialize(texts.mapInArrow(sketch, "doc_id long, name long, keys array<long>"), "sketches")
+    nodes = materialize(sketches.groupBy("name").agg(F.min("doc_id").alias("low"), F.first("keys").alias("keys")), "shingle-nodes")
+    keyed = nodes.select(F.explode("keys").alias("key"), "name")
+    links = keyed.select(F.col("name").alias("src"), F.min("name").over(Window.partitionBy("key")).alias("dst")).where("src <> dst").distinct()
+    stars = connected_components(links, "shingle-links")
+    clusters = stars.union(stars.select(F.col("dst").alias("src"), "dst").distinct()).join(nodes.select(F.col("name").alias("src"), "low"), "src")
+    asked = texts.join(clusters, texts.doc_id == clusters.low).select("dst", "src", "text")
+
+    def cut(batches):
+        for b in batches:
+            own = [shingle_set(t.as_py()) for t in b.column(2)]
+            same = pa.array([name_of(s) for s in own], pa.uint64()).cast(pa.int64(), safe=False).to_numpy(zero_copy_only=False) == b.column(1).to_numpy()
+            keep = pa.array(np.flatnonzero(same))  # a doc_id may be there again with another text
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array([s.astype("<u8").tobytes() for s in own], pa.binary()).take(keep)], ["root", "name", "own"])
+
+    def verify(batches):
+        held: list[tuple] = []  # of the cluster that may go on in the next batch
+        root = None
+        for b in _then_none(batches):
+            names, labels = [], []
+            rows = [(None, None, None)] if b is None else zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist())
+            for r, name, own in rows:
+                if r != root and held:
+                    held.sort()
+                    label = peel_sets([np.frombuffer(s, "<u8") for _, s in held])
+                    names += [n for n, _ in held]
+                    labels += [held[i][0] for i in label.tolist()]
+                    held = []
+                root = r
+                if own is not None:
+                    held.append((name, own))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(labels, pa.int64())], ["name", "root"])
+
+    parts = asked.mapInArrow(cut, "root long, name long, own binary").repartition(partitions(spark), "root").sortWithinPartitions("root")
+    settled = materialize(parts.mapInArrow(verify, "name long, root long").distinct(), "shingle-components")
+    rooted = nodes.select("name", "low").join(settled, "name", "left").select("name", "low", F.coalesce("root", "name").alias("root"))
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    return sketches.select("doc_id", "name").join(rooted.join(lows, "root").select("name", "component_id"), "name").select("doc_id", "component_id")

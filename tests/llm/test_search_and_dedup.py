@@ -12,7 +12,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cairn.llm import simhash, suffix_dedup, topk
+import corpus_pipeline
+from cairn.llm import shingles, simhash, suffix_dedup, topk
 from cairn.llm.common import table
 
 DOCS = "doc_id long, text string"
@@ -199,3 +200,49 @@ def test_spark_hash_is_the_contract_hash(spark):
 
     got = spark.createDataFrame([("a b c d",)], "s string").select(F.xxhash64("s")).first()[0]
     assert got % (1 << 64) == xxhash.xxh64_intdigest(b"a b c d", 42)
+
+
+# Near-duplicates of the pipeline
+
+
+def brute_shingle_components(rows, shingle=5, similarity=0.8):
+    sets = []
+    for _, t in rows:
+        words = (t or "").encode().lower().split()
+        sets.append({b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set())
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b):
+                parent[root(i)] = root(j)
+    low = {}
+    for i, (d, _) in enumerate(rows):
+        low[root(i)] = min(low.get(root(i), d), d)
+    return sorted((d, low[root(i)]) for i, (d, _) in enumerate(rows))
+
+
+def test_pipeline_links_all_texts_of_similarity_08(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = table(spark, sf, "documents")
+    want = brute_shingle_components([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    assert sorted(tuple(r) for r in shingles.near_copies(docs).collect()) == want
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()
+    assert {r["doc_id"] for r in kept} == {c for _, c in want}
+
+
+def test_near_copies_cases(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeiourst") for _ in range(5))
+    base = [word() for _ in range(120)]
+    rows = [(i, " ".join(base[:i] + [word()] + base[i + 1 :])) for i in range(100)]  # one cluster
+    rows += [(200 + i, " ".join(base[: 120 - 3 * i] + [word() for _ in range(3 * i)])) for i in range(12)]  # a chain
+    rows += [(300, None), (301, ""), (302, "One two"), (303, "one TWO"), (303, "three four"), (303, "three four"), (304, "three four")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in shingles.near_copies(df).collect()) == brute_shingle_components(rows)
+    assert shingles.near_copies(df.limit(0)).collect() == []

@@ -1,7 +1,8 @@
 """Packing into optimal length buckets.
 
-The global histogram of lengths goes to a dynamic programme that chooses the bucket boundaries with the least padding;
-inside each bucket documents are put into batches whose padded size stays within a token budget.
+The global histogram of exact lengths goes to a dynamic programme that chooses the bucket boundaries with the least
+padding. It has a row for each length that is there, at most the root of twice the tokens of the corpus (some 100,000 for
+30 GB), and the programme takes time m log m for each bucket. Inside each bucket documents are put into batches whose padded size stays within a token budget.
 
 A bucket with many documents is cut into shards by a hash of doc_id, each of about ``SHARD_ROWS`` rows, and batches are
 filled shard by shard: no task ever orders a whole bucket, and at most one batch of each shard is not full.
@@ -23,7 +24,6 @@ from cairn.llm.common import materialize
 BUCKETS = 16
 TOKEN_BUDGET = 65536
 SHARD_ROWS = 50_000
-#: Distinct lengths that the dynamic programme takes; beyond that lengths are rounded up to a grain first.
 GRID = 4096
 
 
@@ -47,11 +47,23 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
     back = []
     for _ in range(min(buckets, m)):
         nxt, cut = best.copy(), np.full(m + 1, -1)  # -1: one bucket fewer does as well
-        for j in range(1, m + 1):
-            cost = best[:j] + lengths[j - 1] * (rows[j] - rows[:j]) - (tokens[j] - tokens[:j])
-            i = int(cost.argmin())
-            if cost[i] < nxt[j]:
-                nxt[j], cut[j] = cost[i], i
+        # The best i doesn't fall as j grows (cost is a Monge array): the middle j of each range bounds both halves.
+        first, last, low, high = (np.array([x]) for x in (1, m, 0, m - 1))
+        while len(first):
+            j = (first + last) // 2
+            width = np.minimum(high, j - 1) - low + 1
+            start = np.cumsum(width) - width
+            i = np.arange(width.sum()) - np.repeat(start - low, width)
+            to = np.repeat(j, width)
+            cost = best[i] + lengths[to - 1] * (rows[to] - rows[i]) - (tokens[to] - tokens[i])
+            least = np.minimum.reduceat(cost, start)
+            hit = np.flatnonzero(cost == np.repeat(least, width))
+            at = i[hit[np.searchsorted(hit, start)]]  # the first of the least
+            better = least < nxt[j]
+            nxt[j[better]], cut[j[better]] = least[better], at[better]
+            first, last, low, high = (np.concatenate(x) for x in ((first, j + 1), (j - 1, last), (low, at), (at, high)))
+            some = first <= last
+            first, last, low, high = first[some], last[some], low[some], high[some]
         back.append(cut)
         best = nxt
     ends, j = [], m
@@ -63,7 +75,7 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
 
 
 def grain_of(longest: int, grid: int = GRID) -> int:
-    """The least power of two that leaves at most ``grid`` lengths up to the longest."""
+    """The least power of two that leaves at most ``grid`` lengths up to the longest; ``length_buckets`` rounds nothing."""
     grain = 1
     while longest // grain + 1 > grid:
         grain *= 2
@@ -79,10 +91,7 @@ def length_buckets(docs: DataFrame, buckets: int = BUCKETS, token_budget: int =
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long"), (token_count(F.col("text")) if length is None else F.coalesce(length.cast("long"), F.lit(0))).cast("long").alias("n_tokens"))
     own = materialize(own, "lengths")
-    longest = own.agg(F.max("n_tokens")).first()[0]
-    grain = grain_of(longest or 0)
-    rounded = (F.ceil(F.col("n_tokens") / grain) * grain).cast("long")
-    histogram = sorted(tuple(r) for r in own.groupBy(rounded.alias("n")).agg(F.count("*")).collect())  # GRID rows at most
+    histogram = sorted(tuple(r) for r in own.groupBy("n_tokens").agg(F.count("*")).collect())  # see the module's text
     lengths, counts = (np.array([r[i] for r in histogram], np.int64) for i in (0, 1))
     ends = boundaries(lengths, counts, buckets)
     if not ends:

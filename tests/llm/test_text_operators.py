@@ -417,6 +417,37 @@ def test_packing_cases(spark):
     assert packing.grain_of(4095) == 1 and packing.grain_of(4096) == 2
 
 
+def plain_boundaries_padding(lengths, counts, buckets):
+    """The least padding by the quadratic programme."""
+    rows, tokens = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * lengths)])
+    best = np.array([0.0] + [np.inf] * len(lengths))
+    for _ in range(buckets):
+        best = np.array([0.0] + [min(best[j], (best[:j] + lengths[j - 1] * (rows[j] - rows[:j]) - (tokens[j] - tokens[:j])).min()) for j in range(1, len(best))])
+    return best[-1]
+
+
+def padding_of(ends, lengths, counts):
+    return int((counts * (np.array(ends)[np.searchsorted(ends, lengths)] - lengths)).sum())
+
+
+def test_boundaries_of_many_lengths():
+    rng = np.random.default_rng(5)
+    for m, buckets in ((700, 16), (1500, 5), (3, 16)):
+        lengths = np.sort(rng.choice(100_000, m, replace=False))
+        counts = rng.integers(1, 1000, m)
+        ends = packing.boundaries(lengths, counts, buckets)
+        assert len(ends) <= buckets and padding_of(ends, lengths, counts) == plain_boundaries_padding(lengths, counts, buckets)
+
+
+def test_one_long_text_leaves_the_others_optimal(spark):
+    rng = np.random.default_rng(6)
+    own = np.concatenate([rng.integers(1, 900, 3000), [2_000_000]])
+    df = spark.createDataFrame([(i, int(n)) for i, n in enumerate(own)], "doc_id long, n long").selectExpr("doc_id", "'' AS text", "n")
+    lengths, counts = np.unique(own, return_counts=True)
+    got = packing.length_buckets(df, length=df["n"]).collect()
+    assert sum(r["padded_to"] - r["n_tokens"] for r in got) == plain_boundaries_padding(lengths, counts, packing.BUCKETS)
+
+
 # Pipeline
 
 

@@ -1,7 +1,9 @@
 """Masked pseudo-likelihood by a bidirectional window network, trained in numpy.
 
-Tokens are words and single other signs. The ``VOCABULARY`` most frequent ones of the whole corpus have numbers of
-their own, the rest share ``BUCKETS`` hashed numbers. The network sees ``SIDE`` tokens on either side of a position,
+Tokens are words and single other signs. Those that make up ``OWN_SHARE`` of all tokens of the corpus or more, and the
+``VOCABULARY`` most frequent ones in any case, have numbers of their own; the rest share ``BUCKETS`` hashed numbers. A
+token of a bucket is scored with its own share of the bucket's count, which comes from the corpus-wide table of counts by
+a join on its XXH64; one count in each bucket is kept for tokens never seen. The network sees ``SIDE`` tokens on either side of a position,
 never the token itself: their embeddings, one table for each place, are summed into a hidden layer that predicts the
 token's class; tokens are put into ``CLASSES`` classes of nearly equal mass by frequency, and the token is drawn within
 its class in proportion to its count. log p(token | both sides) = log p(class | both sides) + log p(token | class); a
@@ -13,7 +15,7 @@ weighted by their positions. What is gathered grows with the corpus, what the dr
 
 Defined cases: a null, empty or blank text has no tokens, score 0 and a null mean; very long texts go in stretches;
 repeated rows are scored one by one; a null doc_id is carried through; an empty table gives an empty result; other
-columns are ignored.
+columns are ignored. A model that is given without its counts scores a bucket's token as the bucket.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +35,8 @@ from pyspark.sql import types as T
 from cairn.llm.common import bounded_batches, materialize, partitions
 
 VOCABULARY = 4000
+#: Tokens of at least this share have numbers of their own: 50,000 at most, which two bytes can hold.
+OWN_SHARE = 2e-5
 BUCKETS = 95
 CLASSES = 48
 SIDE = 3
@@ -93,14 +98,31 @@ class Lexicon:
         total = np.bincount(self.class_of[1:], self.counts, CLASSES)
         self.within = np.zeros(len(self.counts) + 1, np.float32)
         self.within[1:] = np.log(self.counts / total[self.class_of[1:]])
+        self.log_bucket = np.log(self.counts[len(self.words) :])
 
     def encode(self, text: str | None) -> np.ndarray:
         get, base = self.number.get, len(self.words) + 1
         return np.array([get(t) or base + bucket(t) for t in tokens(text)], np.uint16)
 
-
-def lexicon(counts: DataFrame, size: int = VOCABULARY) -> Lexicon:
-    """From counts of the whole corpus; size words and BUCKETS sums come to the driver."""
+    def encode_rare(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers as by ``encode``, and the XXH64 (as Spark's xxhash64 gives it) of each token in a bucket."""
+        own, get = tokens(text), self.number.get
+        ids = np.array([get(t, 0) for t in own], np.uint16)
+        places = np.flatnonzero(ids == 0)
+        rare = [own[i] for i in places.tolist()]
+        ids[places] = [len(self.words) + 1 + bucket(t) for t in rare]
+        return ids, np.array([xxhash.xxh64_intdigest(t.encode(), 42) for t in rare], np.uint64).view(np.int64)
+
+    def bucket_mass(self, ids: np.ndarray) -> float:
+        """Sum of the logs of the buckets' counts over the tokens that are in buckets."""
+        return float(self.log_bucket[ids[ids > len(self.words)] - len(self.words) - 1].sum())
+
+
+def lexicon(counts: DataFrame, size: int | None = None) -> Lexicon:
+    """From counts of the whole corpus; the words (1 / OWN_SHARE at most) and BUCKETS sums come to the driver."""
+    if size is None:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        size = max(VOCABULARY, counts.where(F.col("n") >= OWN_SHARE * total).count() if total else 0)
     top = counts.orderBy(F.desc("n"), "token").limit(size)
     words = [(r["token"], r["n"]) for r in top.collect()]
     known = counts.sparkSession.createDataFrame([(w,) for w, _ in words], "token string")
@@ -173,16 +195,25 @@ def score(ids: np.ndarray, words: Lexicon, net: Network) -> float:
 
 
 def encoded(docs: DataFrame, words: Lexicon, *keep: str) -> DataFrame:
-    """(keep..., ids): each text's token numbers, two bytes each, so that texts are cut into tokens only once more."""
+    """(keep..., ids): each text's token numbers, two bytes each, so that texts are cut into tokens only once more.
+
+    Where ``keep`` has rare, that column holds the hashes of the tokens without a number of their own.
+    """
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(words)
-    own = docs.select(*keep, F.col("text").cast("string").alias("ids"))
-    schema = T.StructType([*own.schema.fields[:-1], T.StructField("ids", T.BinaryType())])
+    own = docs.select(*(k for k in keep if k != "rare"), F.col("text").cast("string").alias("ids"))
+    hashes = [T.StructField("rare", T.ArrayType(T.LongType()))] if "rare" in keep else []
+    schema = T.StructType([*own.schema.fields[:-1], T.StructField("ids", T.BinaryType()), *hashes])
 
     def run(batches):
         for b in batches:
-            ids = [sent.value.encode(t.as_py()).astype("<u2").tobytes() for t in b.columns[-1]]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary())], b.schema.names)
+            ids, rare = [], []
+            for t in b.columns[-1]:
+                own, others = sent.value.encode_rare(t.as_py()) if hashes else (sent.value.encode(t.as_py()), None)
+                ids.append(own.astype("<u2").tobytes())
+                rare.append(others)
+            held = [pa.array(rare, pa.list_(pa.int64()))] if hashes else []
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary()), *held], schema.names)
 
     return own.mapInArrow(run, schema)
 
@@ -251,14 +282,26 @@ def train(coded: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Network:
     return net
 
 
-def pseudo_likelihood(docs: DataFrame, model: tuple[Lexicon, Network] | None = None) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for every row of docs; trained on docs if no model is given."""
+def rare_counts(coded: DataFrame, counts: DataFrame) -> DataFrame:
+    """(row, rare_log): for each row of coded the sum of log n over its tokens without a number of their own."""
+    known = counts.where("n > 1").select(F.xxhash64("token").alias("h"), F.log("n").alias("log_n"))  # 1, or never seen: 0
+    asked = coded.select("row", F.explode("rare").alias("h"))
+    return asked.join(known, "h").groupBy("row").agg(F.sum("log_n").alias("rare_log"))
+
+
+def pseudo_likelihood(docs: DataFrame, model: tuple[Lexicon, Network] | tuple[Lexicon, Network, DataFrame] | None = None) -> DataFrame:
+    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for every row of docs; trained on docs if no model is given.
+
+    A model is a lexicon, a network and the table (token, n) of the counts behind the lexicon; see above for one without.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
-    words = lexicon(materialize(token_counts(docs), "token-counts")) if model is None else model[0]
-    coded = encoded(docs.select(F.col("doc_id").cast("long"), "text"), words, "doc_id")
-    if model is None:
-        coded = materialize(coded, "token-ids")
+    counts = materialize(token_counts(docs), "token-counts") if model is None else model[2] if len(model) > 2 else None
+    words = lexicon(counts) if model is None else model[0]
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    coded = encoded(own, words, "row", "doc_id", *(["rare"] if counts is not None else []))
+    if counts is not None:
+        coded = materialize(coded, "token-ids")  # the numbers of the rows are fixed from here on
     net = train(coded, words) if model is None else model[1]
     sent = spark.sparkContext.broadcast((words, net.flat))  # of fixed size
 
@@ -267,11 +310,16 @@ def pseudo_likelihood(docs: DataFrame, model: tuple[Lexicon, Network] | None = N
         own = Network(len(lexicon.counts) + 1, flat)
         for b in batches:
             sizes, totals = [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 ids = numbers_of(t)
                 sizes.append(len(ids))
-                totals.append(score(ids, lexicon, own))
-            means = [t / n if n else None for t, n in zip(totals, sizes)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.float64()), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return coded.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double")
+                totals.append(score(ids, lexicon, own) - (lexicon.bucket_mass(ids) if split else 0.0))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(totals, pa.float64())], ["row", "doc_id", "n_tokens", "log_likelihood"])
+
+    split = counts is not None
+    scored = coded.select("row", "doc_id", "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, log_likelihood double")
+    if split:
+        scored = scored.join(rare_counts(coded, counts), "row", "left")
+        scored = scored.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("rare_log", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return scored.select("doc_id", "n_tokens", "log_likelihood", mean.alias("mean_log_likelihood"))

@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -119,6 +120,35 @@ def test_lm_cases(spark):
     assert lm_score.pseudo_likelihood(df.limit(0)).collect() == []
 
 
+def test_rare_tokens_have_their_own_share(spark):
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("bcdfghjk") for _ in range(9))
+    texts = [" ".join([f"w{i}"] * 3 + ["often"] * 50) for i in range(600)] + ["seldom seldom", name(), None]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    counts = materialize(lm_score.token_counts(df), "c")
+    words = lm_score.lexicon(counts, 5)
+    net = lm_score.train(materialize(lm_score.encoded(df, words), "t"), words)
+    ask = spark.createDataFrame([(1, "w599"), (2, "seldom"), (3, texts[601]), (4, name()), (5, "often")], DOCS)
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm_score.pseudo_likelihood(ask, (words, net, counts)).collect()}
+    held = Counter({r["token"]: r["n"] for r in counts.collect()})
+    for i, t in ask.collect():
+        ids = words.encode(t).astype(int).tolist()
+        share = 0 if t in words.number else math.log(max(1, held[t]) / words.counts[ids[0] - 1])
+        assert got[i] == pytest.approx(brute_score(ids, words, net) + share, rel=1e-4)
+    # What a bucket's tokens and one unseen token are given makes up the bucket.
+    for b in range(lm_score.BUCKETS):
+        own = [n for t, n in held.items() if t not in words.number and lm_score.bucket(t) == b]
+        assert sum(own) + 1 == words.counts[len(words.words) + b]
+    assert got[4] < min(got[1], got[5])
+
+
+def test_vocabulary_follows_the_counts(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "VOCABULARY", 2)
+    monkeypatch.setattr(lm_score, "OWN_SHARE", 0.01)
+    counts = spark.createDataFrame([(f"t{i}", n) for i, n in enumerate([500, 300, 100, 50, 40, 9, 1])], "token string, n long")
+    assert lm_score.lexicon(counts).words == [f"t{i}" for i in range(5)]
+
+
 # Decontamination
 
 

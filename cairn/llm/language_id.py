@@ -31,6 +31,15 @@ ROWS_PER_LANGUAGE = 500
 LANDMARKS = 192
 RIDGE = 1e-3
 UNKNOWN = "und"
+#: The gate's texts go in pieces of this length, and it is calibrated on held-out prefixes of these lengths.
+PIECE = 1024
+LENGTHS = tuple(1 << k for k in range(3, 11))
+#: Share of the held-out texts of each length that the gate may reject, and how many of them a threshold needs.
+REJECTED = 0.001
+LEAST_HELD = 1000  # fewer cannot show 1 in 1,000
+HELD_ROWS = 2000
+#: Landmarks that a text is nearest to.
+NEAREST = 20
 LETTER = re.compile(r"[^\W\d_]")
 #: Odd 32-bit multipliers that spread the code points of a gram over the cells.
 SPREAD = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
@@ -174,3 +183,78 @@ def annotate(docs: DataFrame, lang: str, score: str, model: Model | None = None)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, lang, score])
 
     return docs.mapInArrow(run, schema)
+
+
+def pieces(text: str, piece: int = PIECE) -> list[str]:
+    """The text cut into pieces of ``piece`` characters, the last one up to twice as long."""
+    n = max(1, len(text) // piece)
+    return [text[i * piece : (i + 1) * piece if i < n - 1 else len(text)] for i in range(n)]
+
+
+def claims(model: Model, text: str) -> tuple[str, float, float]:
+    """Language, score and nearness, each from the mean over the text's pieces, so that they don't fall with its length.
+
+    Nearness is the mean kernel with the NEAREST nearest landmarks; it tells strange texts apart where the outputs, whose
+    sum is fixed, cannot: with one language the score is always 1.
+    """
+    f, near, n = np.zeros(len(model.languages)), 0.0, 0
+    own = pieces(text)
+    for at in range(0, len(own), 64):
+        x = np.stack([presence(t) for t in own[at : at + 64]]).astype(np.float32)
+        k = (x @ model.landmarks) / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+        f += (k @ model.weights + model.bias).sum(axis=0)
+        near += float(np.sort(k, axis=1)[:, -NEAREST:].mean(axis=1).sum())
+        n += len(x)
+    best = int(f.argmax())
+    return model.languages[best], (1 + float(f[best]) / n) / 2, near / n
+
+
+def calibrate(docs: DataFrame, model: Model, rows: int = HELD_ROWS) -> dict[int, tuple[float, float]]:
+    """For each of LENGTHS the least score and nearness that the gate lets pass, from held-out labelled rows.
+
+    A bounded sample, of about ``rows`` rows in equal parts of the languages, comes to the driver; a length of which fewer than LEAST_HELD held-out texts are there is left out.
+    """
+    own = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    own = own.where(F.col("lang").isin(model.languages) & held_out(F.col("doc_id")))
+    share = F.lit(None)
+    for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect():
+        share = F.when(F.col("lang") == r["lang"], F.lit(int((1 << 30) * min(1.0, rows / len(model.languages) / r["n"])))).otherwise(share)
+    drawn = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("text")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for b in batches:
+            prefixes = [t[:n] for t in b.column(0).to_pylist() for n in LENGTHS if t and len(t) >= n and has_letter(t[:n])]
+            found = [claims(sent.value, t)[1:] for t in prefixes]
+            yield pa.RecordBatch.from_arrays([pa.array(map(len, prefixes), pa.int64()), *(pa.array([c[i] for c in found], pa.float64()) for i in (0, 1))], ["length", "score", "near"])
+
+    held: dict[int, list] = {}
+    for r in drawn.mapInArrow(run, "length long, score double, near double").collect():
+        held.setdefault(r["length"], []).append((r["score"], r["near"]))
+    return {n: tuple(np.quantile(np.array(c), REJECTED, axis=0).tolist()) for n, c in held.items() if len(c) >= LEAST_HELD}
+
+
+def passes(gate: dict[int, tuple[float, float]], length: int, score: float, near: float, otherwise: float) -> bool:
+    """Held against the calibrated length next below, as both measures rise with it; otherwise: where none is there."""
+    at = max((n for n in gate if n <= length), default=None)
+    return score >= otherwise if at is None else score >= gate[at][0] and near >= gate[at][1]
+
+
+def claimed(docs: DataFrame, lang: str, model: Model, otherwise: float) -> DataFrame:
+    """The rows of docs that a language claims, with one more column, that language."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    held = spark.sparkContext.broadcast((model, calibrate(docs, model)))
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang, T.StringType())])
+    at = docs.columns.index("text")
+
+    def run(batches):
+        own, gate = held.value
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            found = [claims(own, t) if has_letter(t) else None for t in texts]
+            keep = [i for i, c in enumerate(found) if c and passes(gate, len(texts[i]), c[1], c[2], otherwise)]
+            rows = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in b.columns), pa.array([found[i][0] for i in keep], pa.string())], [*b.schema.names, lang])
+
+    return docs.mapInArrow(run, schema)

@@ -527,5 +527,23 @@ def test_pipeline_with_languages_to_learn(spark, tmp_path):
     assert set(out) == {*range(60), 101} and out[101] == "en"
 
 
+@pytest.mark.parametrize("known", [("en",), ("en", "fr"), ("de", "en", "es", "fr")])
+def test_language_stage_rejects_other_languages(spark, known):
+    sf = "/root/testdata/sf0.1"
+    docs = table(spark, sf, "documents").where(F.col("lang").isin(*known) & (F.col("doc_id") < 6000)).select("doc_id", "text", "lang")
+    own = [r["text"] for r in docs.where("lang = 'en' AND length(text) > 2000").orderBy("doc_id").limit(40).collect()]
+    strange = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+        "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+        hashlib.sha512(b"a").hexdigest() * 2,
+    ]
+    rows = [(100_000 + i, t * 10, None) for i, t in enumerate(strange)] + [(200_000, " ".join(own), None)]
+    out = corpus_pipeline.identify_language(spark, docs.union(spark.createDataFrame(rows, docs.schema)), sf)
+    kept = {r["doc_id"]: r["lang"] for r in out.select("doc_id", "lang").collect()}
+    assert not {100_000 + i for i in range(len(strange))} & set(kept) and kept[200_000] == "en"
+    assert len(kept) - 1 >= 0.99 * docs.count()
+
+
 def test_every_operator_is_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]

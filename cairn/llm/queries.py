@@ -51,4 +51,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_lm_score, op3_language_id, op4_topk, op5_suffix_dedup, op6_decontaminate, op7_simhash, op8_pii, op9_warc, op10_packing)} | {"pipeline": corpus_pipeline.run}
-ORACLE_SQL = {"op1_url_filter": url_filter.ORACLE_SQL, "op4_topk": topk.ORACLE_SQL, "op5_suffix_dedup": suffix_dedup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL}
+ORACLE_SQL = {"op1_url_filter": url_filter.ORACLE_SQL, "op4_topk": topk.ORACLE_SQL, "op5_suffix_dedup": suffix_dedup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_packing": packing.ORACLE_SQL}

@@ -444,7 +444,13 @@ def test_packing_cases(spark):
     got = rows_of(packing.length_buckets(df, token_budget=10), "doc_id", "n_tokens")
     assert got == [(1, 0), (2, 0), (3, 3), (3, 3), (4, 200_000), (None, 1)]
     assert packing.length_buckets(df.limit(0)).collect() == []
-    assert packing.grain_of(4095) == 1 and packing.grain_of(4096) == 2
+
+
+def test_equal_rows_are_spread_over_shards(spark):
+    df = spark.createDataFrame([(None, "a b")] * 200 + [(7, "a b c")] * 100, DOCS)
+    got = packing.length_buckets(df, buckets=1, shard_rows=30).collect()
+    assert len(got) == 300
+    assert max(sum(r["shard"] == s for r in got) for s in range(10)) < 60
 
 
 def plain_boundaries_padding(lengths, counts, buckets):

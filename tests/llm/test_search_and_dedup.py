@@ -23,16 +23,16 @@ DOCS = "doc_id long, text string"
 
 
 def brute_topk(rows, k=5, every=50):
-    whole = {}
+    whole = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            own = [math.floor(256 * x) for x in v]
-            whole[i] = min(whole.get(i, own), own)
+            whole.append((i, [math.floor(256 * x) for x in v]))
     out = []
-    for q in sorted(i for i in whole if i % every == 0):
-        scored = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
-        out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
-    return out
+    for q, own in whole:
+        if q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in whole if i != q)
+            out += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:k], 1)]
+    return sorted(out)
 
 
 def found_topk(df):
@@ -44,6 +44,7 @@ def test_topk_equals_brute_force(spark, block, group):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=12) * rng.choice([0.2, 1, 4])]) for i in range(600)]
     rows += [(600 + i, rows[3][1]) for i in range(40)]  # ties
+    rows += [(i, [float(x) for x in rng.normal(size=12)]) for i in (7, 50, 50, 51, 100)]  # repeated ids
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert found_topk(topk.top_inner_products(df, block=block, group=group)) == brute_topk(rows)
 
@@ -51,13 +52,27 @@ def test_topk_equals_brute_force(spark, block, group):
 def test_topk_cases(spark):
     rows = [(0, [1.0, 2.0]), (50, [0.5]), (1, [1.0, None]), (2, None), (3, [float("nan"), 0.0]), (4, [float("inf"), 0.0]), (None, [1.0, 1.0]), (5, []), (6, [-0.001, 1e-20]), (7, [3.0, -1.0]), (7, [3.0, -1.0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")
-    want = [(0, 1, 7, 256 * 768 - 512 * 256), (0, 2, 50, 256 * 128), (0, 3, 5, 0), (0, 4, 6, -256)]
+    want = [(0, 1, 7, 256 * 768 - 512 * 256), (0, 2, 7, 256 * 768 - 512 * 256), (0, 3, 50, 256 * 128), (0, 4, 5, 0), (0, 5, 6, -256)]
     got = found_topk(topk.top_inner_products(df))
-    assert got[:4] == want
-    assert [r[2] for r in got if r[0] == 50] == [7, 0, 5, 6]
+    assert got[:5] == want
+    assert [r[2] for r in got if r[0] == 50] == [7, 7, 0, 5, 6]
     assert topk.top_inner_products(df.limit(0)).collect() == []
 
 
+def test_topk_keeps_every_row_of_an_id(spark):
+    df = spark.createDataFrame([(0, [1.0]), (7, [2.0]), (7, [3.0]), (8, [0.5])], "vec_id long, embedding array<double>")
+    assert found_topk(topk.top_inner_products(df)) == [(0, 1, 7, 196608), (0, 2, 7, 131072), (0, 3, 8, 32768)]
+
+
+def test_topk_of_wide_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TURN", 40)
+    rng = np.random.default_rng(3)
+    shape = np.exp(-np.arange(100) / 10)
+    rows = [(i, [float(x) for x in rng.normal(size=100) * shape]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found_topk(topk.top_inner_products(df, block=64)) == brute_topk(rows)
+
+
 def test_topk_large_components_stay_exact(spark):
     rows = [(0, [2e6, 1.0]), (1, [2e6, 0.25]), (2, [2e6, 0.5]), (3, [1e300, 1.0])]
     got = found_topk(topk.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
@@ -89,8 +104,8 @@ def brute_repeats(rows, length=100):
 def test_repeats_on_the_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     want = brute_repeats([tuple(r) for r in docs.select("doc_id", "text").collect()])
-    for hot in (20_000, 1):
-        got = [tuple(r) for r in suffix_dedup.remove_repeats(docs, hot=hot).collect()]
+    for share in (suffix_dedup.HOT_SHARE, 0.0):
+        got = [tuple(r) for r in suffix_dedup.remove_repeats(docs, hot_share=share).collect()]
         assert sorted(got) == sorted(want)
 
 
@@ -120,8 +135,30 @@ def test_blockwise_sorting_equals_sets(texts, copies):
     assert [f.tolist() for f in suffix_dedup.context_classes(contexts)] == want
 
 
+def test_repeats_under_colliding_hashes(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(300))) for i in range(40)]
+    rows += [(100 + i, t + "x") for i, t in rows[:20]]
+    real, flat = suffix_dedup.byte_values, [np.full(256, 3, np.uint64)] * 2
+    monkeypatch.setattr(suffix_dedup, "byte_values", lambda seed: flat if seed == 1 else real(seed))
+    got = [tuple(r) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS), seeds=(1, 2)).collect()]
+    assert sorted(got) == sorted(brute_repeats(rows))
+    with pytest.raises(Exception, match=suffix_dedup.FALSE_PROPOSAL):
+        suffix_dedup.remove_repeats(spark.createDataFrame(rows, DOCS), seeds=(1,))
+
+
+def test_texts_are_read_where_they_are(spark):
+    docs = spark.createDataFrame([(i, "word " * 50) for i in range(50)], DOCS)
+    suffix_dedup.homed(docs, 1000).write.bucketBy(8, "home").saveAsTable("homes_test")
+    texts = spark.table("homes_test")
+    said = spark.createDataFrame([], suffix_dedup.ROW)
+    plan = suffix_dedup.first_pass(texts, said, 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # of what is said, not of the texts
+    spark.sql("DROP TABLE homes_test")
+
+
 def test_difference_cover():
-    for period in (4, 7, 32, 64):
+    for period in (4, 7, 31, 32, 64):
         cover = suffix_dedup.difference_cover(period)
         shift = suffix_dedup.shifts(period, cover)
         for i in range(period):
@@ -132,11 +169,14 @@ def test_difference_cover():
 def test_segments_of_long_texts(monkeypatch):
     rng = np.random.default_rng(2)
     data = rng.integers(97, 101, 5000).astype(np.uint8)
-    whole = suffix_dedup.anchors(data)
+    values = suffix_dedup.byte_values(5)
+    whole = suffix_dedup.anchors(data, values)
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
-    cut = suffix_dedup.anchors(data)
+    cut = suffix_dedup.anchors(data, values)
+    hot = suffix_dedup.anchors(data, values, np.sort(whole[0]))
     cover = lambda a: sorted(p for f, l in zip(a[2].tolist(), a[3].tolist()) for p in range(f, l + 1))  # noqa: E731,E741
-    assert cover(whole) == cover(cut) == list(range(4901))
+    assert cover(whole) == cover(cut) == cover(hot) == list(range(4901))
+    assert (hot[2] == hot[3]).all()
 
 
 # SimHash

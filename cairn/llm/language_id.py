@@ -1,16 +1,20 @@
 """Language identification with a blended-spectrum string kernel.
 
-A text's features are the presences of its character 1- to 3-grams, hashed to ``DIMENSIONS`` cells. The kernel of two
-texts is the number of cells that both fill over the root of the product of the cells that each fills. Landmark texts
+A text's features are the presences of its character 1- to 3-grams, each known by its exact number. The kernel of two
+texts is the number of grams that both hold over the root of the product of the numbers that each holds. Landmark texts
 give the Nyström map x -> K(x, landmarks) K(landmarks, landmarks)^(-1/2); one ridge regression for each language, that
-language against the rest, is fitted on the mapped training rows. Scoring is one matrix product for each batch.
+language against the rest, is fitted on the mapped training rows. Both are linear in the presences of the landmarks'
+grams, so scoring is one product of a batch's sparse presences with the matrix (grams x languages).
 
-The fit uses at most ``ROWS_PER_LANGUAGE`` labelled rows of each language and ``LANDMARKS`` landmarks, all drawn by a
-hash of doc_id over the whole table; scoring reads every whole text.
+The fit uses at most ``SAMPLE_ROWS`` labelled rows of the ``LANGUAGES`` most frequent languages, at most
+``ROWS_PER_LANGUAGE`` different ones of each and ``TRAIN_CHARS`` characters of each, all drawn by a hash of doc_id and
+text over the whole table; scoring reads every whole text, one over twice ``STRETCH`` characters stretch by stretch with
+the outputs' mean.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no labelled rows everything is
 ``und`` with score 0; a null doc_id is never in the training set's other fold (its hash is null) and is not trained on;
-repeated rows are predicted one by one; an empty table gives an empty result; other columns are ignored.
+rows that repeat doc_id and text are trained on once and predicted one by one; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,14 +24,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.llm.common import bounded_batches
 
-DIMENSIONS = 1 << 13
 ROWS_PER_LANGUAGE = 500
+LANGUAGES = 256
+SAMPLE_ROWS = 20_000
+TRAIN_CHARS = 4096
+STRETCH = 1 << 16
 LANDMARKS = 192
 RIDGE = 1e-3
 UNKNOWN = "und"
@@ -41,31 +48,31 @@ HELD_ROWS = 2000
 #: Landmarks that a text is nearest to.
 NEAREST = 20
 LETTER = re.compile(r"[^\W\d_]")
-#: Odd 32-bit multipliers that spread the code points of a gram over the cells.
-SPREAD = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+#: Bits of one character in a gram's number.
+BITS = np.int64(21)
 
 
 @dataclass
 class Model:
     languages: list[str]
-    landmarks: np.ndarray  # cells x landmarks, each column over the root of its sum
+    grams: np.ndarray  # the landmarks' gram numbers, ascending
+    marks: np.ndarray  # grams x landmarks, 0 or 1; a last row of zeros stands for all other grams
+    scale: np.ndarray  # by landmark, one over the root of its number of grams
     weights: np.ndarray  # landmarks x languages, the Nyström map included
     bias: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.by_gram = (self.marks * self.scale) @ self.weights if len(self.languages) else self.weights
 
-def presence(text: str, chunk: int = 1 << 18) -> np.ndarray:
-    """Which cells the text's grams fill, as bytes 0 and 1; long texts go chunk by chunk with overlap."""
-    cells = np.zeros(DIMENSIONS, np.uint8)
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    shift = np.uint32(32 - DIMENSIONS.bit_length() + 1)
-    for at in range(0, len(points), chunk):
-        part = points[at : at + chunk + 2]
-        key = part * np.uint32(SPREAD[0])
-        cells[key >> shift] = 1
-        for n in (1, 2):
-            key = (key[:-1] ^ (part[n:] + np.uint32(n))) * np.uint32(SPREAD[n])
-            cells[key >> shift] = 1
-    return cells
+
+def grams(text: str) -> np.ndarray:
+    """The numbers of the text's different 1- to 3-grams, ascending."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+    two = points[:-1] | points[1:] << BITS
+    three = two[:-1] | points[2:] << (2 * BITS)
+    keys = np.concatenate([points, two, three])
+    keys.sort()
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
 def has_letter(text: str | None) -> bool:
@@ -74,16 +81,26 @@ def has_letter(text: str | None) -> bool:
     return m is not None and (m[0].isalpha() or any(map(str.isalpha, text)))
 
 
-def fit(rows: np.ndarray, names: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """rows: presences of the training texts, dealt so that any leading part has all languages in equal shares."""
+def rows_of(known: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Where each gram stands among the known ones; the place after the last for all others."""
+    at = np.searchsorted(known, own)
+    return np.where(np.append(known, -1)[at] == own, at, len(known))
+
+
+def fit(rows: list[np.ndarray], names: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """rows: the training texts' grams, dealt so that any leading part has all languages in equal shares."""
     languages = sorted(set(names))
-    x = rows.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-    marks = x[:landmarks].T
-    values, vectors = np.linalg.eigh((marks.T @ marks).astype(np.float64))
+    chosen = rows[: max(landmarks, 2 * len(languages))]
+    known = np.unique(np.concatenate(chosen))
+    marks = np.zeros((len(known) + 1, len(chosen)), np.uint8)
+    for i, own in enumerate(chosen):
+        marks[np.searchsorted(known, own), i] = 1
+    scale = 1 / np.sqrt([float(len(own)) for own in chosen])
+    kernel = np.stack([marks[rows_of(known, own)].sum(axis=0, dtype=np.float64) * scale / np.sqrt(len(own)) for own in rows])
+    values, vectors = np.linalg.eigh(kernel[: len(chosen)])
     keep = values > 1e-6 * max(values.max(), 1e-12)
     root = vectors[:, keep] / np.sqrt(values[keep])
-    z = (x @ marks).astype(np.float64) @ root
+    z = kernel @ root
     target = np.where(np.array(names)[:, None] == np.array(languages)[None], 1.0, -1.0)
     count = np.array([max(1, names.count(k)) for k in languages], float)
     weight = np.sqrt(np.array([1 / count[languages.index(k)] for k in names]))[:, None]  # each language weighs the same
@@ -91,22 +108,54 @@ def fit(rows: np.ndarray, names: list[str], landmarks: int = LANDMARKS, ridge: f
     penalty = ridge * np.eye(zz.shape[1])
     penalty[-1, -1] = 1e-9
     w = np.linalg.solve(zz.T @ zz + penalty, zz.T @ (target * weight))
-    return Model(languages, marks, (root @ w[:-1]).astype(np.float32), w[-1].astype(np.float32))
+    return Model(languages, known, marks, scale, root @ w[:-1], w[-1])
+
+
+def untaught() -> Model:
+    return Model([], np.zeros(0, np.int64), np.zeros((1, 0), np.uint8), np.zeros(0), np.zeros((0, 0)), np.zeros(0))
+
+
+def cut(text: str, piece: int) -> list[str]:
+    """The text cut into pieces of ``piece`` characters, the last one up to twice as long."""
+    n = max(1, len(text) // piece)
+    return [text[i * piece : (i + 1) * piece if i < n - 1 else len(text)] for i in range(n)]
 
 
-def predict(model: Model, texts: list[str | None], rows: int = 64) -> tuple[list[str], np.ndarray]:
+def outputs(model: Model, texts: list[str], chars: int = 1 << 18) -> np.ndarray:
+    """texts x languages: the regressions' values, for a long text their mean over its stretches."""
+    out = np.zeros((len(texts), len(model.languages)))
+    held, owner, share, size = [], [], [], 0
+
+    def flush():
+        sizes = np.array([len(g) for g in held])
+        at = np.cumsum(sizes) - sizes
+        sums = np.add.reduceat(model.by_gram[rows_of(model.grams, np.concatenate(held))], at, axis=0)
+        np.add.at(out, owner, (sums / np.sqrt(sizes)[:, None] + model.bias) * np.array(share)[:, None])
+
+    for i, t in enumerate(texts):
+        parts = cut(t, STRETCH)
+        for p in parts:
+            held.append(grams(p))
+            owner.append(i)
+            share.append(1 / len(parts))
+            size += len(p)
+            if size >= chars:
+                flush()
+                held, owner, share, size = [], [], [], 0
+    if held:
+        flush()
+    return out
+
+
+def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text: (1 + the winning regression's value) / 2, held within 0 and 1."""
     names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
     known = [i for i, t in enumerate(texts) if has_letter(t)] if model.languages else []
-    for at in range(0, len(known), rows):
-        own = known[at : at + rows]
-        x = np.stack([presence(texts[i]) for i in own]).astype(np.float32)
-        k = (x @ model.landmarks) / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-        f = k @ model.weights + model.bias
-        best = f.argmax(axis=1)
-        for i, j, v in zip(own, best, f[np.arange(len(own)), best]):
+    if known:
+        f = outputs(model, [texts[i] for i in known])
+        for i, j, v in zip(known, f.argmax(axis=1).tolist(), f.max(axis=1).tolist()):
             names[i] = model.languages[j]
-            scores[i] = min(1.0, max(0.0, (1 + float(v)) / 2))
+            scores[i] = min(1.0, max(0.0, (1 + v) / 2))
     return names, scores
 
 
@@ -114,44 +163,43 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def labelled(docs: DataFrame, held: bool) -> DataFrame:
+    """(lang, text, draw) of the rows of one fold that have a language and a letter; draw: a hash of doc_id and text."""
+    own = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    fold = held_out(F.col("doc_id"))
+    own = own.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold if held else ~fold) & F.regexp_like("text", F.lit(r"\p{L}")))
+    return own.select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
+
+
+def drawn(rows: DataFrame, each: int, counts: DataFrame) -> DataFrame:
+    """At most ``each`` different rows of each language of counts, those with the least hashes.
+
+    First a share that follows from a language's count is taken where the rows are, then they are ordered.
+    """
+    share = (F.lit(float(1 << 30)) * F.least(F.lit(1.0), F.lit(2.0 * each + 20) / F.col("n"))).cast("long")
+    own = rows.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang").where(F.pmod("draw", F.lit(1 << 30)) < F.col("share"))
+    own = own.groupBy("lang", "draw").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    return own.withColumn("place", place).where(F.col("place") <= each)
+
+
 def train(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model:
     """Fit on a bounded sample of the rows that have a language and aren't held out.
 
-    The sample's share of each language follows from its count, so it is the same rule at every size; what comes to
-    the driver is one bitmap of DIMENSIONS bits for each of at most 2 * per_language rows of a language (about 1 KB).
+    It is drawn by the same rule at every size; at most SAMPLE_ROWS texts of TRAIN_CHARS characters come to the driver.
     """
     bounded_batches(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    own = own.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return Model([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    share = F.lit(None)
-    for k, n in counts.items():
-        share = F.when(F.col("lang") == k, F.lit(int((1 << 30) * min(1.0, 1.5 * per_language / n)))).otherwise(share)
-
-    def run(batches):
-        for b in batches:
-            texts = b.column(3).to_pylist()
-            keep = [i for i, t in enumerate(texts) if has_letter(t)]
-            bits = [np.packbits(presence(texts[i])).tobytes() for i in keep]
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(keep, pa.int64())) for i in range(3)), pa.array(bits, pa.binary())], ["draw", "doc_id", "lang", "bits"])
-
-    drawn = own.select(draw.alias("draw"), "doc_id", "lang", "text").where(F.col("draw") < share)
-    rows = sorted(tuple(r) for r in drawn.mapInArrow(run, "draw long, doc_id long, lang string, bits binary").collect())
-    seats: dict[str, int] = {}
-    dealt = []
-    for d, i, k, bits in rows:
-        seat = seats.get(k, 0)
-        seats[k] = seat + 1
-        if seat < per_language:
-            dealt.append((seat, k, d, i, bits))
-    dealt.sort()
-    if not dealt:
-        return Model([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(0, np.float32))
-    x = np.stack([np.unpackbits(np.frombuffer(r[4], np.uint8)) for r in dealt])
-    return fit(x, [r[1] for r in dealt], landmarks)
+    own = labelled(docs, False)
+    # LANGUAGES rows at most, so they may be broadcast.
+    found = own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not found:
+        return untaught()
+    counts = docs.sparkSession.createDataFrame(found, "lang string, n long")
+    each = min(per_language, SAMPLE_ROWS // len(found))
+    start = F.pmod("draw", F.greatest(F.lit(1), F.length("text") - TRAIN_CHARS)) + 1
+    rows = drawn(own, each, counts).select("place", "lang", F.substring("text", start.cast("int"), F.lit(TRAIN_CHARS)).alias("text"))
+    dealt = sorted((r["place"], r["lang"], r["text"]) for r in rows.collect() if has_letter(r["text"]))
+    return fit([grams(r[2]) for r in dealt], [r[1] for r in dealt], landmarks) if dealt else untaught()
 
 
 def language_id(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -185,28 +233,22 @@ def annotate(docs: DataFrame, lang: str, score: str, model: Model | None = None)
     return docs.mapInArrow(run, schema)
 
 
-def pieces(text: str, piece: int = PIECE) -> list[str]:
-    """The text cut into pieces of ``piece`` characters, the last one up to twice as long."""
-    n = max(1, len(text) // piece)
-    return [text[i * piece : (i + 1) * piece if i < n - 1 else len(text)] for i in range(n)]
-
-
 def claims(model: Model, text: str) -> tuple[str, float, float]:
     """Language, score and nearness, each from the mean over the text's pieces, so that they don't fall with its length.
 
     Nearness is the mean kernel with the NEAREST nearest landmarks; it tells strange texts apart where the outputs, whose
     sum is fixed, cannot: with one language the score is always 1.
     """
-    f, near, n = np.zeros(len(model.languages)), 0.0, 0
-    own = pieces(text)
-    for at in range(0, len(own), 64):
-        x = np.stack([presence(t) for t in own[at : at + 64]]).astype(np.float32)
-        k = (x @ model.landmarks) / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
-        f += (k @ model.weights + model.bias).sum(axis=0)
-        near += float(np.sort(k, axis=1)[:, -NEAREST:].mean(axis=1).sum())
-        n += len(x)
+    f, near = np.zeros(len(model.languages)), 0.0
+    own = cut(text, PIECE)
+    for t in own:
+        g = grams(t)
+        at = rows_of(model.grams, g)
+        k = model.marks[at[at < len(model.grams)]].sum(axis=0) * model.scale / np.sqrt(len(g))
+        f += k @ model.weights + model.bias
+        near += float(np.partition(k, -min(NEAREST, len(k)))[-NEAREST:].mean())
     best = int(f.argmax())
-    return model.languages[best], (1 + float(f[best]) / n) / 2, near / n
+    return model.languages[best], (1 + float(f[best]) / len(own)) / 2, near / len(own)
 
 
 def calibrate(docs: DataFrame, model: Model, rows: int = HELD_ROWS) -> dict[int, tuple[float, float]]:
@@ -214,12 +256,12 @@ def calibrate(docs: DataFrame, model: Model, rows: int = HELD_ROWS) -> dict[int,
 
     A bounded sample, of about ``rows`` rows in equal parts of the languages, comes to the driver; a length of which fewer than LEAST_HELD held-out texts are there is left out.
     """
-    own = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    own = own.where(F.col("lang").isin(model.languages) & held_out(F.col("doc_id")))
-    share = F.lit(None)
-    for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect():
-        share = F.when(F.col("lang") == r["lang"], F.lit(int((1 << 30) * min(1.0, rows / len(model.languages) / r["n"])))).otherwise(share)
-    drawn = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("text")
+    own = labelled(docs, True)
+    found = own.where(F.col("lang").isin(model.languages)).groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not found:
+        return {}
+    counts = docs.sparkSession.createDataFrame(found, "lang string, n long")
+    texts = drawn(own, -(-rows // len(found)), counts).select("text")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -229,7 +271,7 @@ def calibrate(docs: DataFrame, model: Model, rows: int = HELD_ROWS) -> dict[int,
             yield pa.RecordBatch.from_arrays([pa.array(map(len, prefixes), pa.int64()), *(pa.array([c[i] for c in found], pa.float64()) for i in (0, 1))], ["length", "score", "near"])
 
     held: dict[int, list] = {}
-    for r in drawn.mapInArrow(run, "length long, score double, near double").collect():
+    for r in texts.mapInArrow(run, "length long, score double, near double").collect():
         held.setdefault(r["length"], []).append((r["score"], r["near"]))
     return {n: tuple(np.quantile(np.array(c), REJECTED, axis=0).tolist()) for n, c in held.items() if len(c) >= LEAST_HELD}
 

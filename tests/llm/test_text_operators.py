@@ -58,21 +58,57 @@ def test_language_fold_is_the_contract(spark):
     assert {r["doc_id"]: r["h"] for r in df.collect()} == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in ids}
 
 
-def test_presence_equals_plain_sets(monkeypatch):
+def plain_grams(text):
+    low = text.lower()
+    return {low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1)}
+
+
+def plain_kernel(x, y):
+    a, b = plain_grams(x), plain_grams(y)
+    return len(a & b) / math.sqrt(len(a) * len(b))
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.text(min_size=1, max_size=50))
+def test_grams_equal_plain_sets(text):
+    own = language_id.grams(text)
+    assert len(own) == len(plain_grams(text)) and (np.diff(own) > 0).all()
+
+
+def test_prediction_equals_plain_kernel_ridge_regression():
     rng = random.Random(1)
-    text = "".join(rng.choice("abcé日 ") for _ in range(3000))
-    whole = language_id.presence(text)
-    assert (language_id.presence(text, chunk=100) == whole).all()
-    shift = 32 - int(math.log2(language_id.DIMENSIONS))
-    cells = set()
-    for i in range(len(text)):
-        key = ord(text[i]) * language_id.SPREAD[0] & 0xFFFFFFFF
-        cells.add(key >> shift)
-        for n in (1, 2):
-            if i + n < len(text):
-                key = (key ^ (ord(text[i + n]) + n)) * language_id.SPREAD[n] & 0xFFFFFFFF
-                cells.add(key >> shift)
-    assert set(np.flatnonzero(whole).tolist()) == cells
+    words = {k: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(30)] for k, letters in (("a", "abcdef"), ("b", "defghi"), ("c", "日本語文字列"))}
+    make = lambda k: " ".join(rng.choice(words[k]) for _ in range(25))
+    names = ["a", "b", "c"] * 20
+    texts = [make(k) for k in names]
+    model = language_id.fit([language_id.grams(t) for t in texts], names, landmarks=12)
+    kernel = np.array([[plain_kernel(x, m) for m in texts[:12]] for x in texts])
+    values, vectors = np.linalg.eigh(kernel[:12])
+    z = np.hstack([kernel @ (vectors / np.sqrt(values)), np.ones((60, 1))])
+    target = np.array([[1.0 if n == k else -1.0 for k in "abc"] for n in names])
+    penalty = np.diag([language_id.RIDGE] * 12 + [1e-9])
+    w = np.linalg.solve(z.T @ z / 20 + penalty, z.T @ target / 20)
+    fresh = [make(k) for k in "abcabc"]
+    plain = np.hstack([np.array([[plain_kernel(x, m) for m in texts[:12]] for x in fresh]) @ (vectors / np.sqrt(values)), np.ones((6, 1))]) @ w
+    assert np.allclose(language_id.outputs(model, fresh, chars=100), plain, atol=1e-6)
+    assert language_id.predict(model, [*fresh, "12", None])[0] == [*"abcabc", "und", "und"]
+
+
+def test_long_texts_of_many_signs_stay_apart():
+    rng = random.Random(2)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 6000)]
+    one, two = ("".join(rng.choice(s) for _ in range(60_000)) for s in (signs[:3000], signs[3000:]))
+    assert not set(language_id.grams(one).tolist()) & set(language_id.grams(two).tolist())
+    model = language_id.fit([language_id.grams(t[i : i + 4000]) for i in range(0, 40_000, 4000) for t in (one, two)], ["x", "y"] * 10)
+    assert language_id.predict(model, [one * 3, two, one[50_000:], two[50_000:]])[0] == ["x", "y", "x", "y"]
+
+
+def test_repeated_ids_leave_the_sample_bounded(spark):
+    own = spark.range(3000).selectExpr("1L AS doc_id", "concat('the cat ', id % 1500) AS text", "'en' AS lang")
+    counts = spark.createDataFrame([("en", 3000)], "lang string, n long")
+    assert language_id.labelled(own, False).count() == 3000
+    assert language_id.drawn(language_id.labelled(own, False), 50, counts).count() == 50
+    assert language_id.drawn(own.select("lang", "text", F.lit(5).cast("long").alias("draw")), 50, counts).count() == 1
 
 
 # LM scoring

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from cairn.llm import shingles, simhash, suffix_dedup, topk
+from cairn.llm import simhash, suffix_dedup, topk
 from cairn.llm.common import table
 
 DOCS = "doc_id long, text string"
@@ -231,8 +232,71 @@ def test_simhash_cases(spark):
 
 def test_peeling_connects_chains():
     fps = np.array([0, 0b1111, 0b11111111, 1 << 40, (1 << 40) | 0b111], np.uint64)
-    assert simhash.peel(fps, 4).tolist() == [0, 0, 0, 0, 0]
-    assert simhash.peel(fps, 2).tolist() == [0, 1, 2, 0, 1]
+    assert simhash.peel(fps[:, None], 4).tolist() == [0, 0, 0, 0, 0]
+    assert simhash.peel(fps[:, None], 2).tolist() == [0, 1, 2, 0, 1]
+
+
+def strangers_and_kin(n, kin, rng):
+    """Different fingerprints that share their lowest 22 bits: strangers, and some a few bits from one of them."""
+    own = (rng.integers(0, 1 << 42, n, np.uint64) << np.uint64(22)) | np.uint64(12345)
+    near = rng.choice(own, kin)
+    for _ in range(4):
+        near = near ^ (np.uint64(1) << rng.integers(22, 64, kin, np.uint64))
+    return np.unique(np.concatenate([own, near]))
+
+
+def components_of(n, a, b):
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for x, y in zip(a, b):
+        parent[root(x)] = root(y)
+    return [root(i) for i in range(n)]
+
+
+def same_classes(one, two):
+    return len(set(zip(one, two))) == len(set(one)) == len(set(two))
+
+
+def test_long_runs_of_strangers():
+    fps = strangers_and_kin(3000, 500, np.random.default_rng(4))
+    plain = simhash.peel(fps[:, None], 4).tolist()
+    a, b = simhash.run_links(np.zeros(len(fps), np.uint64), fps[:, None], 4, np.full(len(fps), (1 << 22) - 1, np.uint64))
+    assert same_classes(plain, components_of(len(fps), a.tolist(), b.tolist()))
+    fps = strangers_and_kin(200_000, 100, np.random.default_rng(5))
+    began = time.perf_counter()
+    a, b = simhash.run_links(np.zeros(len(fps), np.uint64), fps[:, None], 4, np.full(len(fps), (1 << 22) - 1, np.uint64))
+    assert len(a) >= 99 and time.perf_counter() - began < 60
+    assert (np.bitwise_count(fps[a] ^ fps[b]) <= 4).all()
+
+
+def test_very_long_runs_go_on_under_finer_keys(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "LINK_ROWS", 300)
+    fps = strangers_and_kin(2000, 300, np.random.default_rng(6))
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    number = {int(f): i for i, f in enumerate(fps.view(np.int64))}
+    for max_run in (500, 1 << 22):
+        links = [(number[r["src"]], number[r["dst"]]) for r in simhash.near_links(df, max_run=max_run).collect()]
+        assert same_classes(simhash.peel(fps[:, None], 4).tolist(), components_of(len(fps), *zip(*links)))
+
+
+def test_wide_fingerprints_differ_as_stated():
+    rng = np.random.default_rng(7)
+    blocks = simhash.wide_blocks()
+    bits = simhash.CHECK_BITS + blocks * simhash.WIDE_BLOCK
+    found = far = 0
+    for _ in range(300):  # pairs at a similarity of 0.8
+        both, one, two = rng.integers(0, 1 << 63, 160, np.uint64) * np.uint64(2) + np.uint64(rng.integers(0, 2)), *rng.integers(0, 1 << 63, (2, 20), np.uint64)
+        both = both ^ (rng.integers(0, 2, 160, np.uint64) << np.uint64(63))
+        x, y = simhash.wide_fingerprints([np.concatenate([both, one]), np.concatenate([both, two])], bits)
+        far += (x != y)[: simhash.CHECK_BITS].sum() > simhash.check_distance()
+        found += (x == y)[simhash.CHECK_BITS :].reshape(-1, simhash.WIDE_BLOCK).all(axis=1).any()
+    assert found >= 298 and far <= 2
 
 
 def test_spark_hash_is_the_contract_hash(spark):
@@ -271,7 +335,7 @@ def test_pipeline_links_all_texts_of_similarity_08(spark):
     sf = "/root/testdata/sf0.01"
     docs = table(spark, sf, "documents")
     want = brute_shingle_components([tuple(r) for r in docs.select("doc_id", "text").collect()])
-    assert sorted(tuple(r) for r in shingles.near_copies(docs).collect()) == want
+    assert sorted(tuple(r) for r in simhash.near_copies(docs).collect()) == want
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()
     assert {r["doc_id"] for r in kept} == {c for _, c in want}
 
@@ -284,5 +348,5 @@ def test_near_copies_cases(spark):
     rows += [(200 + i, " ".join(base[: 120 - 3 * i] + [word() for _ in range(3 * i)])) for i in range(12)]  # a chain
     rows += [(300, None), (301, ""), (302, "One two"), (303, "one TWO"), (303, "three four"), (303, "three four"), (304, "three four")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(tuple(r) for r in shingles.near_copies(df).collect()) == brute_shingle_components(rows)
-    assert shingles.near_copies(df.limit(0)).collect() == []
+    assert sorted(tuple(r) for r in simhash.near_copies(df).collect()) == brute_shingle_components(rows)
+    assert simhash.near_copies(df.limit(0)).collect() == []

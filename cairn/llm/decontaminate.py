@@ -3,17 +3,21 @@
 Texts and items become words (runs of letters and digits, lower-cased). An item of m words is leaked by a window of
 words whose word edit distance to it is at most floor((1 - similarity) * m). Windows of an item's size are embedded by
 the CGK random walk, which copies the current word and moves on or stays as a shared random bit of (step, word) says:
-edit distance becomes Hamming distance. Each of several independent walks is sampled at a few positions, and windows
-that agree with the item there (or whose sampled codes do) are candidates, verified by an exact edit distance that may
-begin and end anywhere in the window's surroundings.
+edit distance becomes Hamming distance. Repeated bit sampling finds candidates: each of several tables samples a few
+steps of one of ``WALKS`` walks, and a window is a candidate of the items in its cell. Candidates are verified by an
+exact edit distance that may begin and end anywhere in the window's surroundings.
 
-Only windows that could pass are embedded: an item within e edits keeps one of its e + 1 equal pieces unchanged, so a
-window must hold a piece of the item near its place. This drops no window that the verification would keep.
+An item of over ``LONG`` words is looked for by the blocks of at most so many words that it is cut into: one of them has
+no more than its share of the edits, so no length is too long for the walks.
 
-The sampled steps and tables follow from ``recall``: an item at the largest distance is found with that probability, a
-closer one with more. Items are handled in groups of at most ``GROUP_ITEMS`` items and ``GROUP_WORDS`` words (an item with more
-words is a group of its own), so what is sent to the executors is bounded; more items mean more passes over the
-documents.
+Windows that no item can match are not embedded: within e edits a window of m words keeps m - e words and m - 1 - 2 e
+pairs of neighbours of the item, so it holds at least so many words and pairs that occur in the benchmark at all. This
+says nothing about which item it is and drops no window that the verification would keep.
+
+The sampled steps and tables follow from ``recall``: an item at the largest distance, by substitutions, insertions and
+deletions alike, is found with that probability, a closer one with more. Items are handled in groups of at most
+``GROUP_ITEMS`` items and ``GROUP_WORDS`` words (an item with more words is a group of its own), so what is sent to the
+executors is bounded; more items mean more passes over the documents.
 
 Defined cases: null or wordless texts and items are never leaked; items shorter than five words are only found
 unchanged; repeated rows of documents are judged one by one; repeated items count once by (item_id, text); null ids
@@ -23,7 +27,6 @@ are carried through; empty tables give an empty result; other columns are ignore
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache, reduce
@@ -39,87 +42,106 @@ SIMILARITY = 0.8
 RECALL = 0.999
 GROUP_ITEMS = 20_000
 GROUP_WORDS = 2_000_000
-#: A walk has three steps for each word; so many of them at most are sampled for one table.
-SAMPLED = 4
-TRIALS = 200
-WALKS = 4
-MAX_TABLES = 64
-#: Classes of words with bits of their own at each step; fewer where an item is so long that the bits would pass WALK_BYTES.
+LONG = 64
+WALKS = 32
+#: Steps of a walk that one table samples at most, and tables at most: as many steps as the recall leaves.
+SAMPLED = 3
+MAX_TABLES = 512
+TRIALS = 400
+#: Classes of words with bits of their own at each step.
 CLASSES = 1021
-WALK_BYTES = 64 << 20
-#: Bytes that the embeddings of the windows looked at together may take.
-EMBED_BYTES = 128 << 20
+#: Windows that are embedded at a time, characters that are cut into words at a time, and words searched at a time.
+WINDOWS = 2048
+STRETCH = 1 << 20
+BATCH_WORDS = 1 << 20
 WORD = re.compile(r"[^\W_]+")
+BREAK = re.compile(r"[\W_]")
+ODD = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9], np.uint64)
 
 
 def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def stretches(text: str | None, size: int = STRETCH) -> Iterator[str]:
+    """The text cut between words into stretches of about ``size`` characters."""
+    at, text = 0, text or ""
+    while at < len(text):
+        m = BREAK.search(text, at + size)
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
+
+
 def allowed(m: int, similarity: float = SIMILARITY) -> int:
     """Edits that an item of m words may have."""
     return 0 if m < 5 else int((1 - similarity) * m + 1e-9)
 
 
-def pieces(m: int, e: int) -> list[tuple[int, int]]:
-    """e + 1 stretches that cut m words into parts of nearly equal size."""
-    cuts = [m * i // (e + 1) for i in range(e + 2)]
-    return list(zip(cuts, cuts[1:]))
+def blocks_of(m: int, e: int) -> list[tuple[int, int, int]]:
+    """(start, words, edits) of the blocks by which an item is looked for: one of them has at most that many edits."""
+    n = -(-m // LONG)
+    cuts = [m * i // n for i in range(n + 1)]
+    return [(a, b - a, e // n) for a, b in zip(cuts, cuts[1:])]
+
+
+def walk_bits() -> np.ndarray:
+    """The shared random bits of each walk, by step and class of words."""
+    return np.random.default_rng(7).integers(0, 2, (WALKS, 2 * LONG, CLASSES)).astype(np.int8)
+
+
+def walks(windows: np.ndarray, bits: np.ndarray, steps: int) -> np.ndarray:
+    """The CGK embeddings of each row by each walk: so many steps over word ids, 0 beyond the end.
+
+    bits[w, t, c]: whether walk w moves on after copying a word of class c at step t.
+    """
+    n, m = windows.shape
+    padded = np.hstack([windows, np.zeros((n, 1), windows.dtype)])
+    class_of = padded % bits.shape[2]
+    flat, kinds = padded.reshape(-1), class_of.reshape(-1)
+    rows = np.arange(n)[None] * (m + 1)
+    place = np.zeros((len(bits), n), np.int64)
+    each = np.arange(len(bits))[:, None]
+    out = np.empty((steps, len(bits), n), windows.dtype)
+    for t in range(steps):
+        at = rows + place
+        out[t] = flat[at]
+        place += bits[each, t, kinds[at]]
+        np.minimum(place, m, out=place)
+    return out
+
+
+def edited(rng: np.random.Generator, m: int, e: int, width: int) -> np.ndarray:
+    """The words 1 to m after e edits at random places, a third of each kind, and strange words up to width."""
+    kinds, places = rng.integers(0, 3, e), np.sort(rng.choice(m, e, replace=False))
+    own = np.arange(1, m + 1)
+    own[places[kinds == 0]] = rng.integers(m + 1, 1 << 20, (kinds == 0).sum())
+    own[places[kinds == 1]] = -1
+    own = np.insert(own, places[kinds == 2], rng.integers(m + 1, 1 << 20, (kinds == 2).sum()))
+    return np.concatenate([own[own > 0], rng.integers(m + 1, 1 << 20, width)])[:width]
 
 
 @lru_cache(maxsize=None)
 def tables_for(m: int, e: int, recall: float = RECALL) -> tuple[int, int]:
-    """(steps sampled for a table, tables) that find an item of m words after e edits with the given probability.
+    """(steps sampled for a table, tables) that find a block of m words after e edits with the given probability.
 
-    How many steps of a walk outlive e edits is measured on ``TRIALS`` invented items with edits at random places:
-    the walks of long items drift apart more than the edits alone say. As many steps are sampled as ``MAX_TABLES``
-    allow; where even one step is too many, nothing is sampled and every window is verified.
+    How many steps of a walk outlive e edits is measured on ``TRIALS`` invented blocks with edits at random places: walks
+    drift apart more than the edits alone say. As many steps are sampled as ``MAX_TABLES`` allow.
     """
     if e == 0:
         return min(SAMPLED, 2 * m), 1
     rng = np.random.default_rng(11)
-    trials = max(8, min(TRIALS, EMBED_BYTES // (WALKS * 3 * m * 8)))
-    rows = np.zeros((trials + 1, m), np.int64)
-    rows[0] = np.arange(1, m + 1)
-    for row in rows[1:]:
-        kinds, places = rng.integers(0, 3, e), np.sort(rng.choice(m, e, replace=False))
-        own = rows[0].copy()
-        own[places[kinds == 0]] = rng.integers(m + 1, 1 << 20, (kinds == 0).sum())
-        own[places[kinds == 1]] = -1
-        own = np.insert(own, places[kinds == 2], rng.integers(m + 1, 1 << 20, (kinds == 2).sum()))
-        own = own[own > 0][:m]
-        row[: len(own)] = own
-    codes = walks(rows, walk_bits(rng, m))[:, :, : 2 * m]
-    agree = (codes[:, 1:] == codes[:, :1]).mean(axis=2)
+    rows = np.stack([edited(rng, m, e, 2 * m) for _ in range(TRIALS)])
+    whole = np.zeros((1, 2 * m), np.int64)
+    whole[0, :m] = np.arange(1, m + 1)
+    codes = walks(np.vstack([whole, rows]), walk_bits(), 2 * m)
+    agree = (codes[:, :, 1:] == codes[:, :, :1]).mean(axis=0)
     for sampled in range(SAMPLED, 0, -1):
         missed = np.prod(1 - agree**sampled, axis=0)  # by one table of each walk
         for each in range(1, MAX_TABLES // WALKS + 1):
             if (missed**each).mean() <= 1 - recall:
                 return sampled, WALKS * each
-    return 0, 1
-
-
-def walk_bits(rng: np.random.Generator, longest: int) -> np.ndarray:
-    """The shared random bits of each walk for items of up to ``longest`` words, by step and class of words."""
-    classes = min(CLASSES, max(61, WALK_BYTES // (WALKS * 3 * longest)))
-    return rng.integers(0, 2, (WALKS, 3 * longest, classes)).astype(np.int8)
-
-
-def walks(windows: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """The CGK embeddings of each row by each walk: 3 * width steps over word ids, 0 beyond the end.
-
-    bits[w, t, c]: whether walk w moves on after copying a word of class c at step t.
-    """
-    n, m = windows.shape
-    padded = np.hstack([windows, np.zeros((n, 1), windows.dtype)])
-    place = np.zeros((len(bits), n), np.int64)
-    out = np.empty((len(bits), n, 3 * m), windows.dtype)
-    rows, each = np.arange(n)[None], np.arange(len(bits))[:, None]
-    for t in range(3 * m):
-        own = padded[rows, place]
-        out[:, :, t] = own
-        place = np.minimum(place + bits[each, t, own % bits.shape[2]], m)
-    return out
+    return 1, MAX_TABLES
 
 
 def edit_anywhere(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -137,6 +159,29 @@ def edit_anywhere(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def cells(codes: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """codes: steps x walks x rows. rows x tables: one number for what each table samples of each row."""
+    tables = np.arange(len(picks))
+    out = np.zeros((codes.shape[2], len(picks)), np.uint64)
+    for i in range(picks.shape[1]):
+        own = codes[picks[:, i], tables % codes.shape[1]].T.astype(np.uint64)
+        out = (out ^ own) * ODD[i]
+        out ^= out >> np.uint64(29)
+    return out * ODD[3] + tables.astype(np.uint64)
+
+
+@dataclass
+class Blocks:
+    """All blocks of one size and number of edits."""
+
+    size: int
+    edits: int
+    items: np.ndarray  # item and offset of each block
+    picks: np.ndarray  # tables x sampled steps
+    keys: np.ndarray  # cells in order
+    owner: np.ndarray  # the block of each
+
+
 @dataclass
 class Index:
     """What the executors need to find the items of one group."""
@@ -148,99 +193,103 @@ class Index:
     rows: list[np.ndarray] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        for _, ws in self.items:
-            self.rows.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int64))
-        rng = np.random.default_rng(7)
-        longest = max((len(r) for r in self.rows), default=1)
-        self.walks = walk_bits(rng, longest)
-        # Pieces by their first words (three at most), as one number; pieces of one size share a key space.
-        found: dict[int, list[tuple[int, int, int, int]]] = {}
-        self.codes, self.picks = [], []
-        for k, row in enumerate(self.rows):
-            e = allowed(len(row), self.similarity)
-            for a, b in pieces(len(row), e):
-                size = min(3, b - a)
-                found.setdefault(size, []).append((int(gram_keys(row[a : a + size], size)[0]), k, a, b))
-            sampled, tables = tables_for(len(row), e, self.recall)
-            # After twice its length a walk has mostly passed the item's end.
-            self.picks.append([np.sort(rng.choice(2 * len(row), sampled, replace=False)) for _ in range(tables)])
-            self.codes.append(walks(row[None], self.walks)[:, 0])
-        self.seeds = {}
-        for size, entries in found.items():
-            entries.sort()
-            self.seeds[size] = np.array(entries, np.int64)
-
-    def candidates(self, ids: np.ndarray) -> dict[int, list[int]]:
-        """For each item the window starts in ids that hold one of its pieces near its place."""
-        out: dict[int, set[int]] = {}
-        for size, entries in self.seeds.items():
-            if len(ids) < size:
-                continue
-            keys = gram_keys(ids, size)
-            some = np.flatnonzero(keys >= 0)
-            lo, hi = np.searchsorted(entries[:, 0], keys[some]), np.searchsorted(entries[:, 0], keys[some], "right")
-            hit = hi > lo
-            for at, x, y in zip(some[hit], lo[hit], hi[hit]):
-                for _, k, a, b in entries[x:y]:
-                    if at + b - a <= len(ids) and (ids[at : at + b - a] == self.rows[k][a:b]).all():
-                        out.setdefault(int(k), set()).add(int(at - a))
-        return {k: sorted(v) for k, v in out.items()}
-
-    def leaks(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, edits, first word of the window) for each leaked item, with the fewest edits, then leftmost."""
-        found = []
-        for k, starts in self.candidates(ids).items():
-            row = self.rows[k]
-            m, e = len(row), allowed(len(row), self.similarity)
-            # A piece's place tells the window's start up to the edits before it.
-            shifts = sorted({s + d for s in starts for d in range(-e, e + 1) if -e <= s + d <= len(ids) - m + e})
-            if not shifts:
-                continue
-            padded = np.concatenate([np.zeros(m + e, np.int64), ids, np.zeros(m + 2 * e + 1, np.int64)])
-            size = max(1, min(2048, EMBED_BYTES // (WALKS * 3 * m * ids.itemsize)))
-            best, last, at = None, None, 0
-            while at < len(shifts):
-                part = np.array(shifts[at : at + size])
-                near = np.full(len(part), not len(self.picks[k][0]))
-                codes = [] if near.all() else walks(padded[part[:, None] + np.arange(m + e, 2 * m + e)[None]], self.walks)
-                for i, pick in enumerate(self.picks[k]):  # the tables take the walks in turn
-                    if not len(pick):
-                        break
-                    w = i % len(codes)
-                    near |= (codes[w][:, pick] == self.codes[k][w][pick]).all(axis=1)
-                at += size
-                for s in part[near].tolist():
-                    if last is not None and s <= last + e:  # the surroundings verified last cover this window's
-                        continue
-                    last = s
-                    low = max(0, s - e)
-                    edits, end = edit_anywhere(row, ids[low : s + m + 2 * e])
-                    if edits <= e and (best is None or edits < best[1]):
-                        best = (k, edits, max(0, low + end - m))
-                if last is not None:  # and those that it covers needn't be embedded
-                    at = max(at, bisect_right(shifts, last + e))
-            if best:
-                found.append(best)
-        return found
-
-    def find(self, text: str | None) -> list[tuple[int, int, int]]:
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for k, (_, ws) in enumerate(self.items):
+            row = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int64)
+            self.rows.append(row)
+            for a, size, e in blocks_of(len(row), allowed(len(row), self.similarity)):
+                found.setdefault((size, e), []).append((k, a))
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(r[:-1] << 32 | r[1:] for r in self.rows)]))
+        self.bits = walk_bits()
+        rng = np.random.default_rng(13)
+        self.blocks = []
+        for (size, e), items in sorted(found.items()):
+            sampled, tables = tables_for(size, e, self.recall)
+            # After twice its length a walk has mostly passed the block's end.
+            picks = np.stack([np.sort(rng.choice(2 * size, sampled, replace=False)) for _ in range(tables)])
+            own = np.zeros((len(items), 2 * size), np.int64)
+            for i, (k, a) in enumerate(items):
+                own[i, :size] = self.rows[k][a : a + size]
+            keys = np.concatenate([cells(walks(part, self.bits, 2 * size), picks) for part in np.array_split(own, -(-len(own) // WINDOWS))]).reshape(-1)
+            by = np.argsort(keys, kind="stable")
+            self.blocks.append(Blocks(size, e, np.array(items, np.int64), picks, keys[by], by // tables))
+
+    def windows(self, ids: np.ndarray, count: int) -> Iterator[tuple[Blocks, np.ndarray]]:
+        """For each kind of blocks the first ``count`` starts in ids of windows with enough words and pairs of the benchmark."""
+        n = len(ids)
+        pair = ids[:-1] << 32 | ids[1:]
+        some = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+        known = np.zeros(n + 1, np.int32)
+        at = np.searchsorted(self.pairs, pair[some])
+        known[some + 1] = np.append(self.pairs, -1)[at] == pair[some]
+        known, single = np.cumsum(known), np.concatenate([[0], np.cumsum(ids > 0)])
+        starts = np.arange(min(count, n))
+        for b in self.blocks:
+            end = np.minimum(starts + b.size + b.edits, n)
+            enough = single[end] - single[starts] >= b.size - b.edits
+            if b.size - 1 - 2 * b.edits > 0:
+                enough &= known[np.maximum(end - 1, starts)] - known[starts] >= b.size - 1 - 2 * b.edits
+            enough = np.flatnonzero(enough)
+            if len(enough):
+                yield b, enough
+
+    def candidates(self, ids: np.ndarray) -> np.ndarray:
+        """(item, start) of each item that a table proposes for a window in ids; start is where the whole item would be."""
+        out = [np.zeros((0, 2), np.int64)]
+        for first in range(0, len(ids), BATCH_WORDS):
+            near = ids[first : first + BATCH_WORDS + 2 * LONG].astype(np.int64)
+            out += [found + [0, first] for found in self._proposed(near)]
+        return np.unique(np.concatenate(out), axis=0)
+
+    def _proposed(self, ids: np.ndarray) -> Iterator[np.ndarray]:
+        padded = np.concatenate([ids, np.zeros(2 * LONG, np.int64)])
+        for b, starts in self.windows(ids, BATCH_WORDS):
+            for at in range(0, len(starts), WINDOWS):
+                part = starts[at : at + WINDOWS]
+                own = cells(walks(padded[part[:, None] + np.arange(2 * b.size)], self.bits, 2 * b.size), b.picks)
+                lo, hi = np.searchsorted(b.keys, own), np.searchsorted(b.keys, own, "right")
+                row, table = np.nonzero(hi > lo)
+                count = (hi - lo)[row, table]
+                place = np.repeat(lo[row, table] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                hit = np.unique(np.repeat(row, count) * len(b.items) + b.owner[place])
+                item = b.items[hit % len(b.items)]
+                yield np.stack([item[:, 0], part[hit // len(b.items)] - item[:, 1]], axis=1)
+
+    def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
+        """(text, item, edits, first word) for each leaked item of each text, with the fewest edits, then leftmost."""
         get = self.vocabulary.get
-        ids = np.fromiter((get(w, 0) for w in words(text)), np.int64)
-        return self.leaks(ids) if len(ids) else []
-
-
-def gram_keys(ids: np.ndarray, size: int) -> np.ndarray:
-    """One number for the ``size`` words at each place, -1 where a word is not in the vocabulary (id 0).
-
-    Words beyond 2^21 may share a number with others; who looks keys up compares the words too.
-    """
-    n = len(ids) - size + 1
-    key, known = np.zeros(n, np.int64), np.ones(n, bool)
-    for i in range(size):
-        part = ids[i : i + n]
-        key = ((key << 21) + part) & (2**63 - 1)
-        known &= part > 0
-    return np.where(known, key, -1)
+        own = [np.concatenate([np.zeros(0, np.int32), *(np.fromiter((get(w, 0) for w in words(part)), np.int32) for part in stretches(t))]) for t in texts]
+        out, first = [], 0
+        while first < len(own):  # many short texts are searched together, a word that is in no item between them
+            last, n = first, 0
+            while last < len(own) and (last == first or n + len(own[last]) < BATCH_WORDS):
+                n += len(own[last]) + 1
+                last += 1
+            ids = np.concatenate([x for t in own[first:last] for x in (t, np.zeros(1, np.int32))])
+            ends = np.cumsum([len(t) + 1 for t in own[first:last]])
+            found = self.candidates(ids)
+            # A proposed start may lie before its text: the word that it was proposed for tells the text.
+            for k in np.unique(found[:, 0]).tolist():
+                row, e = self.rows[k], allowed(len(self.rows[k]), self.similarity)
+                out += self._verified(k, row, e, found[found[:, 0] == k, 1], ends, own, first)
+            first = last
+        return sorted(out)
+
+    def _verified(self, k: int, row: np.ndarray, e: int, starts: np.ndarray, ends: np.ndarray, own: list, first: int) -> list[tuple]:
+        """The texts among own that hold the item near one of the starts; starts near each other are verified at once."""
+        m, best = len(row), {}
+        at = 0
+        while at < len(starts):
+            until = int(np.searchsorted(starts, starts[at] + m + e, "right"))
+            low, high = int(starts[at]) - e, int(starts[until - 1]) + m + 2 * e
+            for i in range(int(np.searchsorted(ends, max(low, 0), "right")), min(len(ends) - 1, int(np.searchsorted(ends, max(high, 0), "right"))) + 1):
+                begin = int(ends[i]) - len(own[first + i]) - 1
+                a = max(0, low - begin)
+                edits, end = edit_anywhere(row, own[first + i][a : max(0, high - begin)])
+                if edits <= e and (i not in best or edits < best[i][0]):
+                    best[i] = (edits, max(0, a + end - m))
+            at = until
+        return [(first + i, k, *b) for i, b in best.items()]
 
 
 def item_groups(benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> Iterator[Index]:
@@ -270,11 +319,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 
         def run(batches):
             for b in batches:
-                rows = []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
-                    for k, edits, start in sent.value.find(text.as_py()):
-                        item, ws = sent.value.items[k]
-                        rows.append((doc, item, start, edits, 1 - edits / len(ws)))
+                docs, rows = b.column(0).to_pylist(), []
+                for i, k, edits, start in sent.value.find(b.column(1).to_pylist()):
+                    item, ws = sent.value.items[k]
+                    rows.append((docs[i], item, start, edits, 1 - edits / len(ws)))
                 columns = list(zip(*rows)) or [()] * 5
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "window_start", "edits", "similarity"])
@@ -295,7 +343,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 
         def run(batches, sent=sent):
             for b in batches:
-                yield b.filter(pa.array([not sent.value.find(t.as_py()) for t in b.column(at)], pa.bool_()))
+                keep = np.ones(b.num_rows, bool)
+                keep[[f[0] for f in sent.value.find(b.column(at).to_pylist())]] = False
+                yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -234,45 +234,71 @@ def test_more_items_than_a_group(spark, sf_dir, monkeypatch):
     assert rows_of(decontaminate.contamination(docs, bench), "doc_id", "item_id", "edits") == want
 
 
-def test_long_items_and_large_vocabularies_stay_bounded(monkeypatch):
+def test_long_items_are_found_by_their_blocks():
     names = [f"w{i}" for i in range(1500)]
-    monkeypatch.setattr(decontaminate, "WALK_BYTES", 1 << 20)
-    monkeypatch.setattr(decontaminate, "EMBED_BYTES", 1 << 22)
     index = decontaminate.Index([(1, names)], 0.8, 0.999)
-    assert index.walks.nbytes <= 2 << 20
     changed = ["x" if i % 10 == 5 else w for i, w in enumerate(names)]
-    assert index.find(" ".join(["one", *changed, "two"])) == [(0, 150, 1)]
-    assert index.find(" ".join(names[:700])) == []
-    assert decontaminate.tables_for(20, 4)[0] > 0
-    keys = decontaminate.gram_keys(np.array([2**21 + 5, 3 * 2**21, 2**22 - 1, 0]), 3)
-    assert keys[0] >= 0 and keys[1] == -1
+    assert index.find([" ".join(["one", *changed, "two"]), None, " ".join(names[:700])]) == [(0, 0, 150, 1)]
+    for m in (1, 4, 64, 65, 200, 1500):
+        blocks = decontaminate.blocks_of(m, decontaminate.allowed(m))
+        assert sum(b[1] for b in blocks) == m and all(1 <= b[1] <= decontaminate.LONG for b in blocks)
+        assert sum(b[2] + 1 for b in blocks) > decontaminate.allowed(m)  # not every block can have more
 
 
-@pytest.mark.parametrize("m, trials", [(20, 300), (100, 200), (300, 40)])
-def test_recall_at_the_largest_distance(m, trials):
-    """Substitutions spread over the item, as many as may be; before and after it stand known words."""
+def test_stretches_and_batches_of_words_change_nothing(monkeypatch):
+    rng = random.Random(3)
+    items = [(i, [f"w{rng.randrange(300)}" for _ in range(rng.randrange(3, 90))]) for i in range(12)]
+    texts = [" ".join([f"w{rng.randrange(300)}" for _ in range(40)] + ws[: len(ws) - n % 3] + ["end"]) for n, (_, ws) in enumerate(items * 3)] + [None, "", "-"]
+    index = decontaminate.Index(items, 0.8, 0.999)
+    whole = index.find(texts)
+    assert len(whole) >= 30 and sorted((i, *f[1:]) for i, t in enumerate(texts) for f in index.find([t])) == whole
+    assert ["".join(decontaminate.stretches(t, 50)) for t in texts] == [t or "" for t in texts]
+    monkeypatch.setattr(decontaminate, "BATCH_WORDS", 37)
+    monkeypatch.setattr(decontaminate, "WINDOWS", 5)
+    assert index.find(texts) == whole
+
+
+@pytest.mark.parametrize("kinds", ["substitute", "insert", "delete", "any"])
+@pytest.mark.parametrize("m, trials", [(14, 300), (37, 300), (64, 200), (100, 100), (300, 20)])
+def test_recall_at_the_largest_distance(m, trials, kinds):
+    """Edits at random places of the item, as many as may be; before and after it stand known words."""
     rng = random.Random(m)
     item = [f"w{rng.randrange(5000)}" for _ in range(m)]
     index, e = decontaminate.Index([(1, item)], 0.8, 0.999), decontaminate.allowed(m)
-    missed = 0
+    texts = []
     for _ in range(trials):
-        text = list(item)
+        text = [[w] for w in item]
         for i in rng.sample(range(1, m - 1), e):
-            text[i] = "other"
-        held = any(text[a:b] == item[a:b] for a, b in decontaminate.pieces(m, e))
-        found = index.find(" ".join([*item[: m // 2 : 3], *text, *item[:: m // 5]]))
-        assert held and all(f[1] <= e for f in found)
-        missed += not found
-    assert missed <= max(1, trials // 100)
+            kind = rng.choice(["substitute", "insert", "delete"]) if kinds == "any" else kinds
+            text[i] = {"substitute": ["other"], "insert": [item[i], "other"], "delete": []}[kind]
+        texts.append(" ".join([*item[: m // 2 : 3], *(w for ws in text for w in ws), *item[:: m // 5]]))
+    found = index.find(texts)
+    assert all(f[2] <= e for f in found)
+    assert trials - len(found) <= max(1, trials // 100)
+
+
+def test_filter_drops_no_window():
+    """Windows with as many edits as may be pass the counts of words and pairs."""
+    rng = random.Random(5)
+    for m in (5, 9, 20, 41, 64):
+        item, e = [f"w{i}" for i in range(m)], decontaminate.allowed(m)
+        index = decontaminate.Index([(1, item)], 0.8, 0.999)
+        for _ in range(30):
+            own = list(range(1, m + 1))
+            for _ in range(e):
+                at = rng.randrange(len(own))
+                own[at : at + rng.randrange(2)] = rng.choice([[], [0]])
+            ids = np.array([0, 0, *own, 0], np.int64)
+            starts = [s for _, found in index.windows(ids, len(ids)) for s in found.tolist()]
+            assert 2 in starts
 
 
 def test_walk_of_equal_windows_is_equal():
     rng = np.random.default_rng(0)
-    bits = rng.integers(0, 2, (2, 60, 1021)).astype(np.int8)
     w = rng.integers(1, 50, (1, 20))
-    two = decontaminate.walks(np.vstack([w, w]), bits)
-    assert (two[:, 0] == two[:, 1]).all()
-    assert (two[0, 0] != 0).sum() >= 20
+    two = decontaminate.walks(np.vstack([w, w]), decontaminate.walk_bits(), 40)
+    assert (two[:, :, 0] == two[:, :, 1]).all()
+    assert (two[:, 0, 0] != 0).sum() >= 20
 
 
 # Personal data

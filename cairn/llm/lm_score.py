@@ -1,325 +1,433 @@
 """Masked pseudo-likelihood by a bidirectional window network, trained in numpy.
 
-Tokens are words and single other signs. Those that make up ``OWN_SHARE`` of all tokens of the corpus or more, and the
-``VOCABULARY`` most frequent ones in any case, have numbers of their own; the rest share ``BUCKETS`` hashed numbers. A
-token of a bucket is scored with its own share of the bucket's count, which comes from the corpus-wide table of counts by
-a join on its XXH64; one count in each bucket is kept for tokens never seen. The network sees ``SIDE`` tokens on either side of a position,
-never the token itself: their embeddings, one table for each place, are summed into a hidden layer that predicts the
-token's class; tokens are put into ``CLASSES`` classes of nearly equal mass by frequency, and the token is drawn within
-its class in proportion to its count. log p(token | both sides) = log p(class | both sides) + log p(token | class); a
-document's score is the sum over all its tokens.
-
-Counts are taken over all documents. Training goes in rounds: every partition of the corpus trains a copy of the
-network on a fixed share of its positions, and the copies' parameters are averaged block by block on the executors,
-weighted by their positions. What is gathered grows with the corpus, what the driver holds does not.
-
-Defined cases: a null, empty or blank text has no tokens, score 0 and a null mean; very long texts go in stretches;
-repeated rows are scored one by one; a null doc_id is carried through; an empty table gives an empty result; other
-columns are ignored. A model that is given without its counts scores a bucket's token as the bucket.
+Tokens are words and single other signs, lower-cased and known by a hash of their characters. Those that make up
+``OWN_SHARE`` of all tokens of the corpus or more, and the ``VOCABULARY`` most frequent ones in any case (``MOST`` at
+most), have numbers of their own; the rest share ``BUCKETS`` hashed numbers. The network sees ``SIDE`` tokens on either
+side of a position, never the token itself: their embeddings go through a hidden layer, from which it predicts the
+token's class among ``CLASSES`` (of like frequency), and then, by a vector for each token, the token within its class. A
+token of a bucket has its part of the bucket's probability: the rare tokens are hashed into ``CELLS`` cells, and each
+token of a cell has an equal share of the cell's count, which is the token's own count unless it shares the cell; one
+count in each bucket is kept for tokens never seen. log p(token | both sides) is the sum of these; a document's score is
+the sum over all its tokens.
+
+Counts are taken over all documents. Training goes in rounds; each takes its part of the documents (by a hash of the
+text), all positions of them. Every partition of the corpus trains a copy of the network, and the copies' parameters are
+averaged block by block on the executors, weighted by their positions. What is gathered grows with the corpus, what the
+driver holds does not.
+
+Defined cases: a null, empty or blank text has no tokens, score 0 and a null mean; very long texts go in stretches, cut
+between tokens; repeated rows are scored one by one; a null doc_id is carried through; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cairn.llm.common import bounded_batches, materialize, partitions
+from cairn.llm.common import bounded_batches, materialize
+from cairn.llm.suffix_dedup import mix
 
 VOCABULARY = 4000
-#: Tokens of at least this share have numbers of their own: 50,000 at most, which two bytes can hold.
+#: Tokens of at least this share of the corpus have numbers of their own, MOST of them at most.
 OWN_SHARE = 2e-5
+MOST = 12_000
 BUCKETS = 95
+#: Each cell is of one bucket.
+CELLS = BUCKETS * 44_000
 CLASSES = 48
 SIDE = 3
 WIDTH = 16
+HIDDEN = 16
 ROUNDS = 2
-#: One of so many positions is trained on in each round, in all documents alike.
-TRAIN_EVERY = 8
-RATE = 0.5
-MINI = 512
-STRETCH = 1 << 14
-#: Counted tokens of one partition are passed on when so many differ.
-HELD_COUNTS = 200_000
-BLOCK = 1024
-TOKEN = re.compile(r"\w+|[^\w\s]")
-
-
-def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall((text or "").lower())
-
-
-def bucket(token: str) -> int:
-    return zlib.crc32(token.encode()) % BUCKETS
+#: The documents are dealt to so many parts, of which each round takes one.
+PARTS = 2
+RATE = 0.1
+#: Tokens of one step, and characters that are cut into tokens at a time.
+STEP = 8192
+STRETCH = 1 << 18
+#: Tokens that one task counts before it passes them on, and numbers of a block of parameters or cells.
+HELD_TOKENS = 4_000_000
+BLOCK = 1 << 14
+U64 = np.uint64
+BASE = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """By code point: 0 white space, 1 part of a word, 2 another sign."""
+    out = np.full(0x110000, 2, np.uint8)
+    for i in range(0x110000):
+        c = chr(i)
+        if c.isalnum() or c == "_":
+            out[i] = 1
+        elif c.isspace():
+            out[i] = 0
+    return out
+
+
+@lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, BASE, U64), np.full(n, pow(BASE, -1, 1 << 64), U64)
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=U64), np.cumprod(down, dtype=U64)
+
+
+def _cut(points: np.ndarray) -> np.ndarray:
+    """The hashes of the tokens in a stretch of code points: a polynomial of the characters, from running sums."""
+    kind = kinds()[points]
+    word = kind == 1
+    start = kind == 2
+    start[0] |= word[0]
+    start[1:] |= word[1:] & ~word[:-1]
+    end = kind == 2
+    end[-1] |= word[-1]
+    end[:-1] |= word[:-1] & ~word[1:]
+    s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
+    up, down = powers(max(STRETCH * 2, 1 << (len(points) + 1).bit_length()))
+    sums = np.zeros(len(points) + 1, U64)
+    np.cumsum(mix(points.astype(U64) * U64(0xD1342543DE82EF95) + U64(1)) * up[: len(points)], out=sums[1:])
+    return mix((sums[e] - sums[s]) * down[s])
+
+
+def tokens(text: str | None) -> np.ndarray:
+    """The hashes of the text's tokens."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    out, at = [np.zeros(0, U64)], 0
+    while at < len(points):
+        end = min(at + STRETCH, len(points))
+        while end < len(points) and kinds()[points[end - 1]] == 1 and kinds()[points[end]] == 1:  # to the end of the word
+            end += 1
+        out.append(_cut(points[at:end]))
+        at = end
+    return np.concatenate(out) if len(out) != 2 else out[1]
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """(token, n) over all documents; each partition adds up what it has before anything moves."""
+    """(token, n) over all documents, by the tokens' hashes; each task adds up what it has before anything moves."""
 
-    def batch(counts):
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["token", "n"])
+    def batch(held):
+        token, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
 
     def run(batches):
-        counts: Counter = Counter()
+        held, size = [np.zeros(0, U64)], 0
         for b in batches:
             for t in b.column(0):
-                counts.update(tokens(t.as_py()))
-                if len(counts) > HELD_COUNTS:
-                    yield batch(counts)
-                    counts = Counter()
-        yield batch(counts)
-
-    own = docs.select(F.col("text").cast("string")).mapInArrow(run, "token string, n long")
+                held.append(tokens(t.as_py()))
+                size += len(held[-1])
+                if size > HELD_TOKENS:
+                    yield batch(held)
+                    held, size = [np.zeros(0, U64)], 0
+        yield batch(held)
+
+    own = docs.select(F.col("text").cast("string")).mapInArrow(run, "token long, n long")
     return own.groupBy("token").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Lexicon:
-    """Token numbers 1..; 0 stands beyond a document's ends."""
+    """Numbers 1.. by falling count; 0 stands beyond a document's ends."""
 
-    words: list[str]
-    counts: np.ndarray  # by number - 1: the words, then the buckets
+    words: np.ndarray  # hashes, ascending
+    own: np.ndarray  # their numbers
+    bucket: np.ndarray  # the buckets' numbers
+    counts: np.ndarray  # by number - 1
+    first: np.ndarray  # the first number of each class, and one past the last
+    cells: np.ndarray  # by cell, the log of a rare token's count
 
     def __post_init__(self) -> None:
-        self.number = {w: i + 1 for i, w in enumerate(self.words)}
-        # Classes of nearly equal mass of the root of the count, by falling count.
-        by = np.argsort(-self.counts, kind="stable")
-        mass = np.cumsum(np.sqrt(self.counts[by]))
-        self.class_of = np.zeros(len(self.counts) + 1, np.int16)
-        self.class_of[by + 1] = np.minimum(CLASSES - 1, (CLASSES * (mass - mass[0] * 0.5) / mass[-1]).astype(int))
-        total = np.bincount(self.class_of[1:], self.counts, CLASSES)
-        self.within = np.zeros(len(self.counts) + 1, np.float32)
-        self.within[1:] = np.log(self.counts / total[self.class_of[1:]])
-        self.log_bucket = np.log(self.counts[len(self.words) :])
-
-    def encode(self, text: str | None) -> np.ndarray:
-        get, base = self.number.get, len(self.words) + 1
-        return np.array([get(t) or base + bucket(t) for t in tokens(text)], np.uint16)
-
-    def encode_rare(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers as by ``encode``, and the XXH64 (as Spark's xxhash64 gives it) of each token in a bucket."""
-        own, get = tokens(text), self.number.get
-        ids = np.array([get(t, 0) for t in own], np.uint16)
-        places = np.flatnonzero(ids == 0)
-        rare = [own[i] for i in places.tolist()]
-        ids[places] = [len(self.words) + 1 + bucket(t) for t in rare]
-        return ids, np.array([xxhash.xxh64_intdigest(t.encode(), 42) for t in rare], np.uint64).view(np.int64)
-
-    def bucket_mass(self, ids: np.ndarray) -> float:
-        """Sum of the logs of the buckets' counts over the tokens that are in buckets."""
-        return float(self.log_bucket[ids[ids > len(self.words)] - len(self.words) - 1].sum())
+        self.class_of = np.zeros(len(self.counts) + 1, np.uint8)
+        self.is_bucket = np.zeros(len(self.counts) + 1, bool)
+        self.is_bucket[self.bucket] = True
+        self.class_of[1:] = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        mass = np.add.reduceat(self.counts, self.first[:-1] - 1)
+        self.log_class = np.log(mass / mass.sum())
+        self.log_within = np.log(self.counts / np.repeat(mass, np.diff(self.first)))
+
+    def numbers(self, own: np.ndarray) -> np.ndarray:
+        """The numbers of tokens given by their hashes."""
+        at = np.minimum(np.searchsorted(self.words, own), len(self.words) - 1)
+        return np.where(self.words[at] == own, self.own[at], self.bucket[own % U64(BUCKETS)]).astype(np.int32)
+
+    def rare_logs(self, own: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """For each token the log of its part of its bucket's probability; 0 for one with a number of its own."""
+        out = np.zeros(len(own))
+        rare = np.flatnonzero(self.is_bucket[numbers])
+        out[rare] = self.cells[cell_of(own[rare])] - np.log(self.counts[numbers[rare] - 1])
+        return out
+
+
+def cell_of(own: np.ndarray) -> np.ndarray:
+    return (own % U64(CELLS)).astype(np.int64)
 
 
 def lexicon(counts: DataFrame, size: int | None = None) -> Lexicon:
-    """From counts of the whole corpus; the words (1 / OWN_SHARE at most) and BUCKETS sums come to the driver."""
+    """From counts of the whole corpus; the words (MOST at most), BUCKETS sums and CELLS numbers come to the driver."""
     if size is None:
         total = counts.agg(F.sum("n")).first()[0] or 0
-        size = max(VOCABULARY, counts.where(F.col("n") >= OWN_SHARE * total).count() if total else 0)
-    top = counts.orderBy(F.desc("n"), "token").limit(size)
-    words = [(r["token"], r["n"]) for r in top.collect()]
-    known = counts.sparkSession.createDataFrame([(w,) for w, _ in words], "token string")
-    rest = counts.join(F.broadcast(known), "token", "left_anti").groupBy((F.crc32(F.col("token").cast("binary")) % BUCKETS).alias("b")).agg(F.sum("n").alias("n"))
-    others = np.ones(BUCKETS)  # one each, so that an unseen token has some chance
-    for r in rest.collect():
-        others[r["b"]] += r["n"]
-    return Lexicon([w for w, _ in words], np.concatenate([[float(n) for _, n in words], others]))
+        size = min(MOST, max(VOCABULARY, counts.where(F.col("n") >= OWN_SHARE * total).count() if total else 0))
+    top = counts.orderBy(F.desc("n"), "token").limit(size).toArrow()
+    words, n = top.column("token").to_numpy().view(U64), top.column("n").to_numpy()
+    sent = counts.sparkSession.sparkContext.broadcast(np.sort(words))
 
+    def rare(batches):
+        for b in batches:
+            own, n, known = b.column(0).to_numpy().view(U64), b.column(1).to_numpy(), sent.value
+            at = np.searchsorted(known, own)
+            left = np.append(known, U64(0))[at] != own
+            left |= at == len(known)
+            cell = cell_of(own[left])
+            yield pa.RecordBatch.from_arrays([pa.array(cell // BLOCK), pa.array(cell % BLOCK), pa.array(cell % BUCKETS), pa.array(n[left])], ["block", "cell", "bucket", "n"])
+
+    others = counts.select("token", "n").mapInArrow(rare, "block long, cell long, bucket long, n long")
+    each = materialize(others.groupBy("block", "cell", "bucket").agg(F.sum("n").alias("n"), F.count("*").alias("types")), "cells")  # CELLS rows at most
+    cells = np.zeros(CELLS, np.float32)
+    share = np.ones(BUCKETS)  # one each, so that an unseen token has some chance
+
+    def log_block(table):
+        cell = table.column("cell").to_numpy()
+        mass, types = (np.bincount(cell, table.column(c).to_numpy(), BLOCK) for c in ("n", "types"))
+        out = np.log(np.maximum(mass, 1) / np.maximum(types, 1)).astype(np.float32)
+        return pa.table([pa.array([table.column("block")[0].as_py()], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["block", "logs"])
+
+    for r in each.groupBy("block").applyInArrow(log_block, "block long, logs binary").toLocalIterator():
+        at = r["block"] * BLOCK
+        cells[at : at + BLOCK] = np.frombuffer(r["logs"], np.float32)[: CELLS - at]
+    for r in each.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        share[r["bucket"]] += r["n"]
+    every = np.concatenate([n, share])
+    by = np.argsort(-every, kind="stable")
+    number = np.empty(len(by), np.int64)
+    number[by] = np.arange(1, len(by) + 1)
+    every = every[by]
+    # Classes of nearly equal mass of the root of the count, by falling count.
+    mass = np.cumsum(np.sqrt(every))
+    class_of = np.minimum(CLASSES - 1, (CLASSES * (mass - mass[0] * 0.5) / mass[-1]).astype(int))
+    first = np.append(np.flatnonzero(np.concatenate([[True], class_of[1:] != class_of[:-1]])), len(every)) + 1
+    order = np.argsort(words)
+    return Lexicon(words[order], number[: len(words)][order], number[len(words) :], every, first, cells)
 
-class Network:
-    """tables: place x number x WIDTH, hidden bias, output matrix and bias, all in one flat array."""
 
-    def __init__(self, numbers: int, flat: np.ndarray | None = None) -> None:
-        sizes = [(2 * SIDE, numbers, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,)]
-        length = sum(int(np.prod(s)) for s in sizes)
-        if flat is None:
-            rng = np.random.default_rng(11)
-            flat = rng.normal(0, 0.1, length).astype(np.float32)
-            flat[-CLASSES:] = 0
+class Network:
+    """Embeddings, hidden layer, classes and tokens, all in one flat array."""
+
+    def __init__(self, words: Lexicon, flat: np.ndarray | None = None) -> None:
+        n, c = len(words.counts), len(words.first) - 1
+        shapes = [(n + 1, WIDTH), (2 * SIDE * WIDTH, HIDDEN), (HIDDEN,), (HIDDEN, c), (c,), (n, HIDDEN), (n,)]
+        sizes = [int(np.prod(s)) for s in shapes]
+        fresh = flat is None
+        if fresh:
+            flat = np.zeros(sum(sizes), np.float32)
         self.flat, self.parts, at = flat, [], 0
-        for s in sizes:
-            self.parts.append(flat[at : at + int(np.prod(s))].reshape(s))
-            at += int(np.prod(s))
-
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """context: rows x 2 SIDE numbers. The hidden layer and the log-probabilities of the classes."""
-        table, bias, out, out_bias = self.parts
-        z = bias + table[0][context[:, 0]]
-        for i in range(1, 2 * SIDE):
-            z += table[i][context[:, i]]
-        h = np.tanh(z)
+        for s, size in zip(shapes, sizes):
+            self.parts.append(flat[at : at + size].reshape(s))
+            at += size
+        if fresh:
+            rng = np.random.default_rng(11)
+            self.parts[0][1:] = rng.normal(0, 0.3, (n, WIDTH))
+            self.parts[1][:] = rng.normal(0, (2 * SIDE * WIDTH) ** -0.5, shapes[1])
+            self.parts[4][:] = words.log_class
+            self.parts[6][:] = words.log_within
+
+    def hidden(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids: numbers with SIDE further ones at both ends. What each inner position sees, and the hidden layer."""
+        n = len(ids) - 2 * SIDE
+        seen = self.parts[0][ids]
+        x = np.hstack([seen[o : o + n] for o in (*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1))])
+        return x, np.tanh(x @ self.parts[1] + self.parts[2])
+
+
+def by_class(class_of: np.ndarray):
+    """The order by class, and (class, first, last + 1) of each in it."""
+    order = np.argsort(class_of, kind="stable")
+    counts = np.bincount(class_of)
+    ends = np.cumsum(counts)
+    return order, [(c, int(ends[c] - counts[c]), int(ends[c])) for c in np.flatnonzero(counts).tolist()]
+
+
+def log_likelihoods(ids: np.ndarray, words: Lexicon, net: Network) -> np.ndarray:
+    """log p(number | both sides) of each inner position of ids; 0 where the number is 0."""
+    _, _, _, out, out_bias, vectors, bias = net.parts
+    _, h = net.hidden(ids)
+    own = ids[SIDE : len(ids) - SIDE]
+    cls = words.class_of[own]
+    y = h @ out + out_bias
+    y -= y.max(axis=1, keepdims=True)
+    total = y[np.arange(len(own)), cls] - np.log(np.exp(y).sum(axis=1))
+    order, runs = by_class(cls)
+    sorted_h, sorted_own = h[order], own[order]
+    for c, s, e in runs:
+        a, b = words.first[c] - 1, words.first[c + 1] - 1
+        if b - a > 1:
+            y = sorted_h[s:e] @ vectors[a:b].T + bias[a:b]
+            y -= y.max(axis=1, keepdims=True)
+            at = np.maximum(sorted_own[s:e] - 1 - a, 0)
+            total[order[s:e]] += y[np.arange(e - s), at] - np.log(np.exp(y).sum(axis=1))
+    return np.where(own > 0, total, 0.0)
+
+
+class Learner:
+    """Steps of AdaGrad on the mean log-loss."""
+
+    def __init__(self, words: Lexicon, net: Network) -> None:
+        self.words, self.net = words, net
+        self.seen = [np.full(p.shape[:1] if i in (0, 5) else p.shape, 1e-8, np.float32) for i, p in enumerate(net.parts)]
+
+    def move(self, i: int, rows, gradient: np.ndarray) -> None:
+        part, seen = self.net.parts[i], self.seen[i]
+        square = gradient * gradient
+        if i in (0, 5):  # one pace for each token
+            seen[rows] += square.mean(axis=1)
+            part[rows] -= RATE * gradient / np.sqrt(seen[rows])[:, None]
+        else:
+            seen[rows] += square
+            part[rows] -= RATE * gradient / np.sqrt(seen[rows])
+
+    def step(self, ids: np.ndarray) -> None:
+        words, net = self.words, self.net
+        _, inner, _, out, out_bias, vectors, bias = net.parts
+        x, h = net.hidden(ids)
+        own = ids[SIDE : len(ids) - SIDE]
+        real = own > 0
+        n = max(1, int(real.sum()))
+        cls = words.class_of[own]
+        rows = np.arange(len(own))
         y = h @ out + out_bias
         y -= y.max(axis=1, keepdims=True)
-        return h, y - np.log(np.exp(y).sum(axis=1, keepdims=True))
-
-    def step(self, context: np.ndarray, classes: np.ndarray, rate: float) -> None:
-        """One gradient step on the mean log-loss; the embedding tables get their rows' gradients scaled up, as each
-        row is seen seldom."""
-        table, bias, out, out_bias = self.parts
-        h, log_p = self.forward(context)
-        d = np.exp(log_p)
-        d[np.arange(len(d)), classes] -= 1
-        d /= len(d)
-        dz = (d @ out.T) * (1 - h * h)
-        out -= rate * (h.T @ d)
-        out_bias -= rate * d.sum(axis=0)
-        bias -= rate * dz.sum(axis=0)
-        dz *= rate * 8
-        for i in range(2 * SIDE):
-            np.subtract.at(table[i], context[:, i], dz)
-
-
-def contexts(ids: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The SIDE numbers before and after each place; the number there isn't among them."""
-    padded = np.concatenate([np.zeros(SIDE, ids.dtype), ids, np.zeros(SIDE, ids.dtype)])
-    offsets = np.array([*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1)])
-    return padded[places[:, None] + offsets[None]]
-
-
-def score(ids: np.ndarray, words: Lexicon, net: Network) -> float:
-    """Sum of log p(token | both sides) over all tokens."""
-    total = 0.0
-    for at in range(0, len(ids), STRETCH):
-        places = np.arange(at, min(len(ids), at + STRETCH))
-        own = ids[places]
-        _, log_p = net.forward(contexts(ids, places))
-        total += float(log_p[np.arange(len(own)), words.class_of[own]].sum(dtype=np.float64) + words.within[own].sum(dtype=np.float64))
-    return total
-
-
-def encoded(docs: DataFrame, words: Lexicon, *keep: str) -> DataFrame:
-    """(keep..., ids): each text's token numbers, two bytes each, so that texts are cut into tokens only once more.
-
-    Where ``keep`` has rare, that column holds the hashes of the tokens without a number of their own.
-    """
-    bounded_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-    own = docs.select(*(k for k in keep if k != "rare"), F.col("text").cast("string").alias("ids"))
-    hashes = [T.StructField("rare", T.ArrayType(T.LongType()))] if "rare" in keep else []
-    schema = T.StructType([*own.schema.fields[:-1], T.StructField("ids", T.BinaryType()), *hashes])
-
-    def run(batches):
-        for b in batches:
-            ids, rare = [], []
-            for t in b.columns[-1]:
-                own, others = sent.value.encode_rare(t.as_py()) if hashes else (sent.value.encode(t.as_py()), None)
-                ids.append(own.astype("<u2").tobytes())
-                rare.append(others)
-            held = [pa.array(rare, pa.list_(pa.int64()))] if hashes else []
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary()), *held], schema.names)
-
-    return own.mapInArrow(run, schema)
-
-
-def numbers_of(value: pa.BinaryScalar) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), "<u2").astype(np.int32)
-
-
-def train_round(coded: DataFrame, words: Lexicon, net: Network, number: int) -> Network:
-    """One round over encoded texts: each partition trains a copy from net; their weighted mean is the new network."""
-    spark = coded.sparkSession
+        np.exp(y, out=y)
+        y /= y.sum(axis=1, keepdims=True)
+        y[rows, cls] -= 1
+        y *= (real / np.float32(n)).astype(np.float32)[:, None]
+        dh = y @ out.T
+        d_out, d_out_bias = h.T @ y, y.sum(axis=0)
+        order, runs = by_class(cls)
+        sorted_h, sorted_own, sorted_real = h[order], own[order], real[order]
+        dh_within = np.zeros_like(sorted_h)
+        for c, s, e in runs:
+            a, b = words.first[c] - 1, words.first[c + 1] - 1
+            if b - a > 1:
+                y = sorted_h[s:e] @ vectors[a:b].T + bias[a:b]
+                y -= y.max(axis=1, keepdims=True)
+                np.exp(y, out=y)
+                y /= y.sum(axis=1, keepdims=True)
+                y[np.arange(e - s), np.maximum(sorted_own[s:e] - 1 - a, 0)] -= 1
+                y *= (sorted_real[s:e] / np.float32(n)).astype(np.float32)[:, None]
+                dh_within[s:e] = y @ vectors[a:b]
+                self.move(5, slice(a, b), y.T @ sorted_h[s:e])
+                self.move(6, slice(a, b), y.sum(axis=0))
+        dh[order] += dh_within
+        dz = dh * (1 - h * h)
+        dx = dz @ inner.T
+        seen = np.zeros((len(ids), WIDTH), np.float32)
+        for k, o in enumerate((*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1))):
+            seen[o : o + len(own)] += dx[:, k * WIDTH : (k + 1) * WIDTH]
+        by = np.argsort(ids.astype(np.uint16), kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], ids[by][1:] != ids[by][:-1]]))
+        which, sums = ids[by][begin], np.add.reduceat(seen[by], begin, axis=0)
+        some = which > 0  # what stands beyond the ends stays 0
+        self.move(0, which[some], sums[some])
+        self.move(1, slice(None), x.T @ dz)
+        self.move(2, slice(None), dz.sum(axis=0))
+        self.move(3, slice(None), d_out)
+        self.move(4, slice(None), d_out_bias)
+
+
+def stretches(texts: list[np.ndarray], step: int = STEP):
+    """The numbers of several texts, SIDE zeros between them, in stretches of about ``step`` inner positions with their
+    surroundings. Yields (stretch, where its first inner position stands in all)."""
+    gap = np.zeros(SIDE, np.int32)
+    whole = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
+    for at in range(0, max(0, len(whole) - 2 * SIDE), step):
+        yield whole[at : at + step + 2 * SIDE], at
+
+
+def train_round(docs: DataFrame, words: Lexicon, net: Network, number: int) -> Network:
+    """One round: each partition of its part of docs trains a copy from net; their weighted mean is the new network."""
+    spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((words, net.flat))
-    numbers = len(words.counts) + 1
 
     def run(batches):
         lexicon, flat = sent.value
-        own = Network(numbers, flat.copy())
-        held_c, held_y, waiting, seen = [], [], 0, 0
-        rng = np.random.default_rng(number)
+        own = Network(lexicon, flat.copy())
+        learner, seen, held, size = Learner(lexicon, own), 0, [], 0
+
+        def learn():
+            n = sum(map(len, held))
+            for ids, _ in stretches(held):
+                learner.step(ids)
+            return n
+
         for b in batches:
             for t in b.column(0):
-                ids = numbers_of(t)
-                places = np.arange((zlib.crc32(ids.tobytes()) + number * 5) % TRAIN_EVERY, len(ids), TRAIN_EVERY)
-                if len(places):
-                    held_c.append(contexts(ids, places))
-                    held_y.append(lexicon.class_of[ids[places]])
-                    waiting += len(places)
-                if waiting >= 64 * MINI:  # shuffled over many documents
-                    seen += _learn(own, held_c, held_y, rng)
-                    held_c, held_y, waiting = [], [], 0
-        if waiting:
-            seen += _learn(own, held_c, held_y, rng)
+                held.append(lexicon.numbers(tokens(t.as_py())))
+                size += len(held[-1])
+                if size >= 8 * STEP:
+                    seen += learn()
+                    held, size = [], 0
+        seen += learn()
         if seen:
-            n = len(flat)
-            starts = range(0, n, BLOCK)
-            moved = [(own.flat[s : s + BLOCK].astype(np.float64) - flat[s : s + BLOCK]) * seen for s in starts]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(starts)), pa.int32()), pa.array([float(seen)] * len(starts)), pa.array([m.astype(np.float32) for m in moved], pa.list_(pa.float32()))], ["block", "seen", "moved"])
+            starts = range(0, len(flat), BLOCK)
+            moved = [((own.flat[s : s + BLOCK].astype(np.float64) - flat[s : s + BLOCK]) * seen).astype(np.float32).tobytes() for s in starts]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(starts)), pa.int32()), pa.array([float(seen)] * len(starts)), pa.array(moved, pa.binary())], ["block", "seen", "moved"])
 
-    def mean(key, copies):  # of one block: 4 KB for each partition of the corpus
+    def mean(key, copies):  # of one block: 64 KB for each partition of the corpus
         seen = sum(copies.column("seen").to_pylist())
-        total = sum(np.asarray(m.values, np.float64) for m in copies.column("moved"))
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([(total / seen).astype(np.float32)], pa.list_(pa.float32()))], ["block", "moved"])
+        total = sum(np.frombuffer(m.as_buffer(), np.float32).astype(np.float64) for m in copies.column("moved"))
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], ["block", "moved"])
 
-    copies = coded.select("ids").mapInArrow(run, "block int, seen double, moved array<float>")
+    part = docs.where(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(PARTS)) == number % PARTS)
+    copies = part.select(F.col("text").cast("string")).mapInArrow(run, "block int, seen double, moved binary")
     flat = net.flat.copy()
-    for r in copies.groupBy("block").applyInArrow(mean, "block int, moved array<float>").toLocalIterator():  # one network in all
-        flat[r["block"] * BLOCK : r["block"] * BLOCK + len(r["moved"])] += np.array(r["moved"], np.float32)
-    return Network(numbers, flat)
-
-
-def _learn(net: Network, held_c: list, held_y: list, rng) -> int:
-    c, y = np.concatenate(held_c), np.concatenate(held_y)
-    by = rng.permutation(len(c))
-    for at in range(0, len(by), MINI):
-        part = by[at : at + MINI]
-        net.step(c[part], y[part], RATE)
-    return len(c)
+    for r in copies.groupBy("block").applyInArrow(mean, "block int, moved binary").toLocalIterator():  # one network in all
+        moved = np.frombuffer(r["moved"], np.float32)
+        flat[r["block"] * BLOCK : r["block"] * BLOCK + len(moved)] += moved
+    return Network(words, flat)
 
 
-def train(coded: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Network:
-    """The network after ``rounds`` rounds over all encoded texts."""
-    bounded_batches(coded.sparkSession)
-    net = Network(len(words.counts) + 1)
+def train(docs: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Network:
+    """The network after ``rounds`` rounds; PARTS of them take every position of every document once."""
+    bounded_batches(docs.sparkSession)
+    net = Network(words)
     for number in range(rounds):
-        net = train_round(coded, words, net, number)
+        net = train_round(docs, words, net, number)
     return net
 
 
-def rare_counts(coded: DataFrame, counts: DataFrame) -> DataFrame:
-    """(row, rare_log): for each row of coded the sum of log n over its tokens without a number of their own."""
-    known = counts.where("n > 1").select(F.xxhash64("token").alias("h"), F.log("n").alias("log_n"))  # 1, or never seen: 0
-    asked = coded.select("row", F.explode("rare").alias("h"))
-    return asked.join(known, "h").groupBy("row").agg(F.sum("log_n").alias("rare_log"))
-
-
-def pseudo_likelihood(docs: DataFrame, model: tuple[Lexicon, Network] | tuple[Lexicon, Network, DataFrame] | None = None) -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for every row of docs; trained on docs if no model is given.
-
-    A model is a lexicon, a network and the table (token, n) of the counts behind the lexicon; see above for one without.
-    """
+def pseudo_likelihood(docs: DataFrame, model: tuple[Lexicon, Network] | None = None) -> DataFrame:
+    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for every row of docs; trained on docs if no model is given."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    counts = materialize(token_counts(docs), "token-counts") if model is None else model[2] if len(model) > 2 else None
-    words = lexicon(counts) if model is None else model[0]
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
-    coded = encoded(own, words, "row", "doc_id", *(["rare"] if counts is not None else []))
-    if counts is not None:
-        coded = materialize(coded, "token-ids")  # the numbers of the rows are fixed from here on
-    net = train(coded, words) if model is None else model[1]
-    sent = spark.sparkContext.broadcast((words, net.flat))  # of fixed size
+    if model is None:
+        words = lexicon(materialize(token_counts(docs), "token-counts"))
+        model = words, train(docs, words)
+    sent = spark.sparkContext.broadcast((model[0], model[1].flat))  # of fixed size
 
     def run(batches):
         lexicon, flat = sent.value
-        own = Network(len(lexicon.counts) + 1, flat)
+        net = Network(lexicon, flat)
         for b in batches:
-            sizes, totals = [], []
-            for t in b.column(2):
-                ids = numbers_of(t)
-                sizes.append(len(ids))
-                totals.append(score(ids, lexicon, own) - (lexicon.bucket_mass(ids) if split else 0.0))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(totals, pa.float64())], ["row", "doc_id", "n_tokens", "log_likelihood"])
-
-    split = counts is not None
-    scored = coded.select("row", "doc_id", "ids").mapInArrow(run, "row long, doc_id long, n_tokens long, log_likelihood double")
-    if split:
-        scored = scored.join(rare_counts(coded, counts), "row", "left")
-        scored = scored.withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("rare_log", F.lit(0.0)))
+            held, rare = [], []
+            for t in b.column(1):
+                own = tokens(t.as_py())
+                held.append(lexicon.numbers(own))
+                rare.append(float(lexicon.rare_logs(own, held[-1]).sum()))
+            sums = np.zeros(len(held))
+            begin = np.cumsum([0, *(len(x) + SIDE for x in held)])  # of each text among the inner positions
+            for ids, at in stretches(held):
+                own = np.concatenate([[0.0], np.cumsum(log_likelihoods(ids, lexicon, net))])
+                first, last = np.searchsorted(begin, [at, at + len(own) - 1], "right")
+                for i in range(first - 1, min(last, len(held))):
+                    a, z = np.clip([begin[i] - at, begin[i] + len(held[i]) - at], 0, len(own) - 1)
+                    sums[i] += own[z] - own[a]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in held], pa.int64()), pa.array(sums + rare, pa.float64())], ["doc_id", "n_tokens", "log_likelihood"])
+
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    scored = own.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return scored.select("doc_id", "n_tokens", "log_likelihood", mean.alias("mean_log_likelihood"))

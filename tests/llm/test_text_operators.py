@@ -114,44 +114,73 @@ def test_repeated_ids_leave_the_sample_bounded(spark):
 # LM scoring
 
 
-def brute_score(ids, words, net):
-    table_, bias, out, out_bias = (p.astype(float) for p in net.parts)
-    total = 0.0
-    for i, own in enumerate(ids):
+def plain_tokens(text):
+    return re.findall(r"\w+|[^\w\s]", (text or "").lower())
+
+
+def hash_of(token):
+    return int(lm_score.tokens(token)[0])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=60))
+def test_tokens_equal_the_pattern(text):
+    want = plain_tokens(text)
+    got = lm_score.tokens(text).tolist()
+    assert len(got) == len(want)
+    assert len(set(zip(got, want))) == len(set(want)) == len(set(got))
+
+
+def test_tokens_of_long_texts(monkeypatch):
+    text = "".join(random.Random(1).choice("ab c.é ") for _ in range(3000)) + "x" * 500
+    whole = lm_score.tokens(text)
+    monkeypatch.setattr(lm_score, "STRETCH", 64)
+    assert (lm_score.tokens(text) == whole).all() and len(whole) == len(plain_tokens(text))
+
+
+def brute_scores(text, words, net):
+    """log p of each token by the definition, one at a time."""
+    known = {int(h): int(n) for h, n in zip(words.words, words.own)}
+    own = [hash_of(t) for t in plain_tokens(text)]
+    ids = [known.get(h) or int(words.bucket[h % lm_score.BUCKETS]) for h in own]
+    table_, inner, bias, out, out_bias, vectors, within = (p.astype(float) for p in net.parts)
+    got = []
+    for i, n in enumerate(ids):
         around = [ids[j] if 0 <= j < len(ids) else 0 for j in [*range(i - lm_score.SIDE, i), *range(i + 1, i + lm_score.SIDE + 1)]]
-        h = np.tanh(bias + sum(table_[k][a] for k, a in enumerate(around)))
+        h = np.tanh(np.concatenate([table_[k] for k in around]) @ inner + bias)
         y = h @ out + out_bias
-        total += y[words.class_of[own]] - math.log(np.exp(y).sum()) + float(words.within[own])
-    return total
+        c = int(words.class_of[n])
+        a, b = words.first[c] - 1, words.first[c + 1] - 1
+        z = vectors[a:b] @ h + within[a:b]
+        rare = 0 if own[i] in known else words.cells[own[i] % lm_score.CELLS] - math.log(words.counts[n - 1])
+        got.append(y[c] - math.log(np.exp(y).sum()) + z[n - 1 - a] - math.log(np.exp(z).sum()) + rare)
+    return got
 
 
 def test_scores_equal_brute_force_and_learn(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     words = lm_score.lexicon(lm_score.token_counts(docs), 300)
-    coded = materialize(lm_score.encoded(docs, words, "doc_id"), "t")
-    net = lm_score.train(coded, words)
+    net = lm_score.train(docs, words)
     scored = {r["doc_id"]: r for r in lm_score.pseudo_likelihood(docs, (words, net)).collect()}
     for r in docs.orderBy("doc_id").limit(8).collect():
-        ids = words.encode(r["text"]).astype(int).tolist()
-        assert scored[r["doc_id"]]["n_tokens"] == len(ids)
-        assert scored[r["doc_id"]]["log_likelihood"] == pytest.approx(brute_score(ids, words, net), rel=1e-4)
-    total, n = sum(r["log_likelihood"] for r in scored.values()), sum(r["n_tokens"] for r in scored.values())
-    share = words.counts / words.counts.sum()
-    assert total / n > float((share * np.log(share)).sum())  # better than counts alone
+        want = brute_scores(r["text"], words, net)
+        assert scored[r["doc_id"]]["n_tokens"] == len(want)
+        assert scored[r["doc_id"]]["log_likelihood"] == pytest.approx(sum(want), rel=1e-4)
+    start = lm_score.pseudo_likelihood(docs, (words, lm_score.Network(words))).collect()
+    assert sum(r["log_likelihood"] for r in scored.values()) > sum(r["log_likelihood"] for r in start) + 0.1 * sum(r["n_tokens"] for r in start)
 
 
 def test_counts_cover_all_documents(spark, sf_dir):
-    from collections import Counter
-
     docs = table(spark, sf_dir, "documents")
-    want = Counter(t for r in docs.collect() for t in lm_score.tokens(r["text"]))
-    assert {r["token"]: r["n"] for r in lm_score.token_counts(docs).collect()} == want
+    want = Counter(t for r in docs.collect() for t in plain_tokens(r["text"]))
+    got = {r["token"] % (1 << 64): r["n"] for r in lm_score.token_counts(docs).collect()}
+    assert got == {hash_of(t): n for t, n in want.items()}
 
 
 def test_lm_cases(spark):
     df = spark.createDataFrame([(1, "a b c a b c", 1), (2, None, 1), (3, "", 1), (None, "a b", 1), (1, "a b c a b c", 1), (4, "x " * 50_000, 1)], DOCS + ", n_tokens int")
     got = rows_of(lm_score.pseudo_likelihood(df), "doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood")
-    assert [r[:2] for r in got] == [(1, 6), (1, 6), (2, 0), (3, 0), (4, 50_000), (None, 2)] and got[0] == got[1]
+    assert [r[:2] for r in got] == [(1, 6), (1, 6), (2, 0), (3, 0), (4, 50_000), (None, 2)] and got[0][2] == pytest.approx(got[1][2])
     assert got[2][2:] == got[3][2:] == (0.0, None)
     assert lm_score.pseudo_likelihood(df.limit(0)).collect() == []
 
@@ -161,28 +190,62 @@ def test_rare_tokens_have_their_own_share(spark):
     name = lambda: "".join(rng.choice("bcdfghjk") for _ in range(9))
     texts = [" ".join([f"w{i}"] * 3 + ["often"] * 50) for i in range(600)] + ["seldom seldom", name(), None]
     df = spark.createDataFrame(list(enumerate(texts)), DOCS)
-    counts = materialize(lm_score.token_counts(df), "c")
+    counts = lm_score.token_counts(df)
     words = lm_score.lexicon(counts, 5)
-    net = lm_score.train(materialize(lm_score.encoded(df, words), "t"), words)
+    net = lm_score.train(df, words)
     ask = spark.createDataFrame([(1, "w599"), (2, "seldom"), (3, texts[601]), (4, name()), (5, "often")], DOCS)
-    got = {r["doc_id"]: r["log_likelihood"] for r in lm_score.pseudo_likelihood(ask, (words, net, counts)).collect()}
-    held = Counter({r["token"]: r["n"] for r in counts.collect()})
+    got = {r["doc_id"]: r["log_likelihood"] for r in lm_score.pseudo_likelihood(ask, (words, net)).collect()}
+    held = {r["token"] % (1 << 64): r["n"] for r in counts.collect()}
+    rare = {h: n for h, n in held.items() if h not in set(words.words.tolist())}
+    assert len(rare) == len(held) - 5
+    for h, n in rare.items():
+        in_cell = [m for o, m in rare.items() if o % lm_score.CELLS == h % lm_score.CELLS]
+        assert math.exp(words.cells[h % lm_score.CELLS]) == pytest.approx(sum(in_cell) / len(in_cell), rel=1e-5)
     for i, t in ask.collect():
-        ids = words.encode(t).astype(int).tolist()
-        share = 0 if t in words.number else math.log(max(1, held[t]) / words.counts[ids[0] - 1])
-        assert got[i] == pytest.approx(brute_score(ids, words, net) + share, rel=1e-4)
+        assert got[i] == pytest.approx(sum(brute_scores(t, words, net)), rel=1e-4)
     # What a bucket's tokens and one unseen token are given makes up the bucket.
     for b in range(lm_score.BUCKETS):
-        own = [n for t, n in held.items() if t not in words.number and lm_score.bucket(t) == b]
-        assert sum(own) + 1 == words.counts[len(words.words) + b]
+        assert sum(n for h, n in rare.items() if h % lm_score.BUCKETS == b) + 1 == words.counts[words.bucket[b] - 1]
     assert got[4] < min(got[1], got[5])
 
 
 def test_vocabulary_follows_the_counts(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "VOCABULARY", 2)
     monkeypatch.setattr(lm_score, "OWN_SHARE", 0.01)
-    counts = spark.createDataFrame([(f"t{i}", n) for i, n in enumerate([500, 300, 100, 50, 40, 9, 1])], "token string, n long")
-    assert lm_score.lexicon(counts).words == [f"t{i}" for i in range(5)]
+    counts = spark.createDataFrame([(i, n) for i, n in enumerate([500, 300, 100, 50, 40, 9, 1])], "token long, n long")
+    assert sorted(lm_score.lexicon(counts).words.tolist()) == [0, 1, 2, 3, 4]
+
+
+def grammar_text(rng):
+    """Sentences in which a word tells much about its neighbours."""
+    nouns, verbs, places = ([f"{k}{i}" for i in range(60)] for k in ("noun", "verb", "place"))
+    out = []
+    for _ in range(rng.randrange(8, 20)):
+        i = rng.randrange(60)
+        out += ["the", nouns[i], rng.choice(["will", "must"]), verbs[(i + rng.randrange(3)) % 60], "a", nouns[(i * 7) % 60], "in", places[i], "."]
+    return out
+
+
+def test_real_text_scores_above_broken_text(spark):
+    rng = random.Random(7)
+    corpus = [" ".join(grammar_text(rng)) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(corpus)), DOCS).repartition(2)
+    words = lm_score.lexicon(lm_score.token_counts(df))
+    net = lm_score.Network(words)
+    learner = lm_score.Learner(words, net)
+    coded = [words.numbers(lm_score.tokens(t)) for t in corpus]
+    for _ in range(3):
+        for ids, _ in lm_score.stretches(coded, 512):
+            learner.step(ids)
+    rows = []
+    for i in range(200):
+        own = grammar_text(rng)
+        shuffled = rng.sample(own, len(own))
+        invented = ["".join(rng.choice("abcdefghijkl") for _ in range(7)) for _ in own]
+        rows += [(3 * i + k, " ".join(t)) for k, t in enumerate((own, shuffled, invented))]
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in lm_score.pseudo_likelihood(spark.createDataFrame(rows, DOCS), (words, net)).collect()}
+    assert sum(got[3 * i] > got[3 * i + 1] for i in range(200)) >= 195
+    assert all(min(got[3 * i], got[3 * i + 1]) > got[3 * i + 2] for i in range(200))
 
 
 # Decontamination

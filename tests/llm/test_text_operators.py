@@ -503,15 +503,48 @@ def test_warc_round_trip(spark, sf_dir, tmp_path):
         again = len(b) >= 100 and page != min(same)
         want.append((page, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", min(same) if again else None))
     assert sorted([r[2:7] for r in got], key=str) == sorted(want, key=str)
-    files = sorted((tmp_path / "warc").glob("*.gz"))
+    files = sorted((tmp_path / "warc").glob("part-*"))
     assert len(files) > 1
-    payloads = [c for f in files for _, h, c in warc.parse(gzip.decompress(f.read_bytes())) if h[b"WARC-Type"] == b"response"]
-    assert ("y" * 300_000).encode() in payloads
+    ids = []
+    for f in files:
+        raw = f.read_bytes()
+        plain = gzip.decompress(raw)  # the whole file is a sequence of gzip members
+        assert plain.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and plain.endswith(b"\r\n\r\n")
+        assert warc.parse_record(gzip.decompress(raw[: next(warc.gzip_members(memoryview(raw)))[1]]))[1] == b"software: cairn\r\nformat: 1\r\n"
+        ids += [h[b"WARC-Record-ID"] for _, _, h, _ in warc.parse(memoryview(raw))]
+    assert len(set(ids)) == len(ids) == len(rows)
+    for r in index.collect():  # each record can be fetched by itself
+        raw = (tmp_path / "warc" / r["file"]).read_bytes()[r["offset"] : r["offset"] + r["length"]]
+        headers, block = warc.parse_record(gzip.decompress(raw))
+        if r["record_type"] == "response":
+            assert hashlib.sha256(warc.payload_of(block)).hexdigest() == r["payload_digest"]
+        else:
+            assert headers[b"WARC-Refers-To"] in ids
     assert warc.capture_index(df.limit(0)).collect() == []
     pages = table(spark, sf_dir, "pages")
     assert warc.capture_index(pages).count() == pages.count()
 
 
+def test_large_records_have_several_members(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1000)
+    record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5000\r\n\r\n" + bytes(range(250)) * 20 + b"\r\n\r\n"
+    own = warc.compressed(record)
+    assert len(own) == 6 and all(m[-1] == 0 for m in own)
+    found = list(warc.parse(memoryview(b"".join(own * 2))))
+    assert [f[:2] for f in found] == [(0, len(b"".join(own))), (len(b"".join(own)), len(b"".join(own)))] and found[0][3] == bytes(range(250)) * 20
+    with pytest.raises(ValueError):
+        list(warc.parse(memoryview(b"".join(own)[:-40])))
+
+
+def test_one_common_payload_is_spread(spark, tmp_path):
+    df = spark.range(3000).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "if(id % 3 = 0, repeat('x', 200), concat('page ', id)) AS html")
+    got = warc.capture_index(df, f"file://{tmp_path}/w", file_bytes=200_000)
+    assert got.where("record_type = 'revisit' AND refers_to = 0").count() == 999
+    held = [r["n"] for r in got.groupBy("file").agg(F.count("*").alias("n")).collect()]
+    assert len(held) > 8 and max(held) < 3 * min(held) + 50
+    assert got.where("page_id = 0").first()["record_type"] == "response"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 30), max_size=12), max_size=9))
 def test_loser_tree(runs):

@@ -50,8 +50,10 @@ MAX_TABLES = 512
 TRIALS = 400
 #: Classes of words with bits of their own at each step.
 CLASSES = 1021
+#: Blocks within this ratio of size share their tables.
+BAND = 1.25
 #: Windows that are embedded at a time, characters that are cut into words at a time, and words searched at a time.
-WINDOWS = 2048
+WINDOWS = 512
 STRETCH = 1 << 20
 BATCH_WORDS = 1 << 20
 WORD = re.compile(r"[^\W_]+")
@@ -87,27 +89,26 @@ def blocks_of(m: int, e: int) -> list[tuple[int, int, int]]:
 
 def walk_bits() -> np.ndarray:
     """The shared random bits of each walk, by step and class of words."""
-    return np.random.default_rng(7).integers(0, 2, (WALKS, 2 * LONG, CLASSES)).astype(np.int8)
+    return np.random.default_rng(7).integers(0, 2, (2 * LONG, WALKS, CLASSES)).astype(np.int8)
 
 
-def walks(windows: np.ndarray, bits: np.ndarray, steps: int) -> np.ndarray:
-    """The CGK embeddings of each row by each walk: so many steps over word ids, 0 beyond the end.
+def walks(ids: np.ndarray, starts: np.ndarray, bits: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The CGK embeddings of what stands in ids from each start on, by each walk: the words copied at the given steps
+    (ascending), as steps x walks x starts. ids goes on for as many words as there are steps.
 
-    bits[w, t, c]: whether walk w moves on after copying a word of class c at step t.
+    bits[t, w, c]: whether walk w moves on after copying a word of class c at step t.
     """
-    n, m = windows.shape
-    padded = np.hstack([windows, np.zeros((n, 1), windows.dtype)])
-    class_of = padded % bits.shape[2]
-    flat, kinds = padded.reshape(-1), class_of.reshape(-1)
-    rows = np.arange(n)[None] * (m + 1)
-    place = np.zeros((len(bits), n), np.int64)
-    each = np.arange(len(bits))[:, None]
-    out = np.empty((steps, len(bits), n), windows.dtype)
-    for t in range(steps):
-        at = rows + place
-        out[t] = flat[at]
-        place += bits[each, t, kinds[at]]
-        np.minimum(place, m, out=place)
+    kinds = (ids % bits.shape[2]).astype(np.intp)
+    place = np.repeat(starts[None].astype(np.intp), bits.shape[1], axis=0)
+    row = (np.arange(bits.shape[1]) * bits.shape[2])[:, None]
+    out, k, at = np.empty((len(steps), *place.shape), ids.dtype), 0, np.empty_like(place)
+    for t in range(int(steps[-1]) + 1 if len(steps) else 0):
+        if steps[k] == t:
+            np.take(ids, place, out=out[k], mode="clip")
+            k += 1
+        np.take(kinds, place, out=at, mode="clip")
+        at += row
+        place += np.take(bits[t].reshape(-1), at)
     return out
 
 
@@ -122,25 +123,28 @@ def edited(rng: np.random.Generator, m: int, e: int, width: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=None)
-def tables_for(m: int, e: int, recall: float = RECALL) -> tuple[int, int]:
-    """(steps sampled for a table, tables) that find a block of m words after e edits with the given probability.
+def agreement(m: int, e: int, within: int) -> np.ndarray:
+    """walks x trials: the share of the first 2 * ``within`` steps that outlive e edits of a block of m words, measured on
+    ``TRIALS`` invented blocks with edits at random places: walks drift apart more than the edits alone say."""
+    rng, width = np.random.default_rng(11), 4 * LONG
+    rows = np.zeros((TRIALS + 1, width), np.int64)
+    rows[0, :m] = np.arange(1, m + 1)
+    for row in rows[1:]:
+        row[:] = edited(rng, m, e, width)
+    codes = walks(rows.reshape(-1), np.arange(TRIALS + 1) * width, walk_bits(), np.arange(2 * within))
+    return (codes[:, :, 1:] == codes[:, :, :1]).mean(axis=0)
 
-    How many steps of a walk outlive e edits is measured on ``TRIALS`` invented blocks with edits at random places: walks
-    drift apart more than the edits alone say. As many steps are sampled as ``MAX_TABLES`` allow.
-    """
-    if e == 0:
-        return min(SAMPLED, 2 * m), 1
-    rng = np.random.default_rng(11)
-    rows = np.stack([edited(rng, m, e, 2 * m) for _ in range(TRIALS)])
-    whole = np.zeros((1, 2 * m), np.int64)
-    whole[0, :m] = np.arange(1, m + 1)
-    codes = walks(np.vstack([whole, rows]), walk_bits(), 2 * m)
-    agree = (codes[:, :, 1:] == codes[:, :, :1]).mean(axis=0)
-    for sampled in range(SAMPLED, 0, -1):
-        missed = np.prod(1 - agree**sampled, axis=0)  # by one table of each walk
+
+@lru_cache(maxsize=None)
+def tables_for(sizes: tuple[tuple[int, int], ...], recall: float = RECALL) -> tuple[int, int]:
+    """(steps sampled for a table, tables) that find blocks of each of the (words, edits) with the given probability, by
+    steps that the walk of the shortest one makes before its end. As many steps are sampled as ``MAX_TABLES`` allow."""
+    within = min(m for m, _ in sizes)
+    agree = [agreement(m, e, within) for m, e in sizes if e]
+    for sampled in range(min(SAMPLED, 2 * within), 0, -1):
         for each in range(1, MAX_TABLES // WALKS + 1):
-            if (missed**each).mean() <= 1 - recall:
-                return sampled, WALKS * each
+            if all(np.prod((1 - a**sampled) ** each, axis=0).mean() <= 1 - recall for a in agree):
+                return sampled, WALKS * each if agree else 1
     return 1, MAX_TABLES
 
 
@@ -159,28 +163,31 @@ def edit_anywhere(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
-def cells(codes: np.ndarray, picks: np.ndarray) -> np.ndarray:
-    """codes: steps x walks x rows. rows x tables: one number for what each table samples of each row."""
+def cells(codes: np.ndarray, steps: np.ndarray, picks: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """codes: steps x walks x rows. rows x tables: one number for what each table samples of each of the rows."""
     tables = np.arange(len(picks))
-    out = np.zeros((codes.shape[2], len(picks)), np.uint64)
+    out = np.zeros((len(picks), len(rows)), np.uint64)
     for i in range(picks.shape[1]):
-        own = codes[picks[:, i], tables % codes.shape[1]].T.astype(np.uint64)
-        out = (out ^ own) * ODD[i]
+        own = codes[np.searchsorted(steps, picks[:, i])[:, None], (tables % codes.shape[1])[:, None], rows]
+        out = (out ^ own.astype(np.uint64)) * ODD[i]
         out ^= out >> np.uint64(29)
-    return out * ODD[3] + tables.astype(np.uint64)
+    return (out * ODD[3] + tables[:, None].astype(np.uint64)).T
 
 
 @dataclass
-class Blocks:
-    """All blocks of one size and number of edits."""
+class Band:
+    """Blocks of like size, which share their tables."""
 
-    size: int
-    edits: int
+    sizes: tuple[tuple[int, int], ...]  # words and edits that occur
     items: np.ndarray  # item and offset of each block
     picks: np.ndarray  # tables x sampled steps
     keys: np.ndarray  # cells in order
     owner: np.ndarray  # the block of each
 
+    def needs(self) -> tuple[int, int, int]:
+        """Words of the longest window; least words and pairs of the benchmark in any window that matches."""
+        return max(m + e for m, e in self.sizes), min(m - e for m, e in self.sizes), min(max(0, m - 1 - 2 * e) for m, e in self.sizes)
+
 
 @dataclass
 class Index:
@@ -202,20 +209,33 @@ class Index:
         self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(r[:-1] << 32 | r[1:] for r in self.rows)]))
         self.bits = walk_bits()
         rng = np.random.default_rng(13)
-        self.blocks = []
-        for (size, e), items in sorted(found.items()):
-            sampled, tables = tables_for(size, e, self.recall)
+        grouped: list[list[tuple[int, int]]] = []
+        for size in sorted(found):
+            # Short blocks, and those that may have no edits, share with their equals only.
+            if grouped and size[0] <= grouped[-1][0][0] * BAND and size[0] > 8 and size[1] and grouped[-1][0][1]:
+                grouped[-1].append(size)
+            else:
+                grouped.append([size])
+        self.bands, steps = [], set()
+        for sizes in grouped:
+            sampled, tables = tables_for(tuple(sizes), self.recall)
             # After twice its length a walk has mostly passed the block's end.
-            picks = np.stack([np.sort(rng.choice(2 * size, sampled, replace=False)) for _ in range(tables)])
-            own = np.zeros((len(items), 2 * size), np.int64)
-            for i, (k, a) in enumerate(items):
-                own[i, :size] = self.rows[k][a : a + size]
-            keys = np.concatenate([cells(walks(part, self.bits, 2 * size), picks) for part in np.array_split(own, -(-len(own) // WINDOWS))]).reshape(-1)
+            picks = np.stack([np.sort(rng.choice(2 * sizes[0][0], sampled, replace=False)) for _ in range(tables)])
+            steps |= set(picks.reshape(-1).tolist())
+            own = [b for size in sizes for b in found[size]]
+            lengths = [size[0] for size in sizes for _ in found[size]]
+            whole = np.zeros((len(own), 4 * LONG), np.int64)
+            for row, (k, a), m in zip(whole, own, lengths):
+                row[:m] = self.rows[k][a : a + m]
+            at = np.unique(picks)
+            parts = [np.arange(i, min(i + WINDOWS, len(own))) for i in range(0, len(own), WINDOWS)]
+            keys = np.concatenate([cells(walks(whole.reshape(-1), p * 4 * LONG, self.bits, at), at, picks, np.arange(len(p))) for p in parts]).reshape(-1)
             by = np.argsort(keys, kind="stable")
-            self.blocks.append(Blocks(size, e, np.array(items, np.int64), picks, keys[by], by // tables))
+            self.bands.append(Band(tuple(sizes), np.array(own, np.int64), picks, keys[by], by // tables))
+        self.steps = np.array(sorted(steps), np.int64)
 
-    def windows(self, ids: np.ndarray, count: int) -> Iterator[tuple[Blocks, np.ndarray]]:
-        """For each kind of blocks the first ``count`` starts in ids of windows with enough words and pairs of the benchmark."""
+    def windows(self, ids: np.ndarray, count: int) -> list[np.ndarray]:
+        """For each band the first ``count`` starts in ids of windows with enough words and pairs of the benchmark."""
         n = len(ids)
         pair = ids[:-1] << 32 | ids[1:]
         some = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
@@ -223,15 +243,23 @@ class Index:
         at = np.searchsorted(self.pairs, pair[some])
         known[some + 1] = np.append(self.pairs, -1)[at] == pair[some]
         known, single = np.cumsum(known), np.concatenate([[0], np.cumsum(ids > 0)])
-        starts = np.arange(min(count, n))
-        for b in self.blocks:
-            end = np.minimum(starts + b.size + b.edits, n)
-            enough = single[end] - single[starts] >= b.size - b.edits
-            if b.size - 1 - 2 * b.edits > 0:
-                enough &= known[np.maximum(end - 1, starts)] - known[starts] >= b.size - 1 - 2 * b.edits
-            enough = np.flatnonzero(enough)
-            if len(enough):
-                yield b, enough
+
+        def enough(starts, longest, words, pairs):
+            end = np.minimum(starts + longest, n)
+            held = single[end] - single[starts] >= words
+            if pairs:
+                held &= known[np.maximum(end - 1, starts)] - known[starts] >= pairs
+            return held
+
+        out = []
+        for band in self.bands:
+            starts = np.arange(min(count, n))
+            starts = starts[enough(starts, *band.needs())]
+            held = np.zeros(len(starts), bool)
+            for m, e in band.sizes:
+                held |= enough(starts, m + e, m - e, max(0, m - 1 - 2 * e))
+            out.append(starts[held])
+        return out
 
     def candidates(self, ids: np.ndarray) -> np.ndarray:
         """(item, start) of each item that a table proposes for a window in ids; start is where the whole item would be."""
@@ -243,17 +271,24 @@ class Index:
 
     def _proposed(self, ids: np.ndarray) -> Iterator[np.ndarray]:
         padded = np.concatenate([ids, np.zeros(2 * LONG, np.int64)])
-        for b, starts in self.windows(ids, BATCH_WORDS):
-            for at in range(0, len(starts), WINDOWS):
-                part = starts[at : at + WINDOWS]
-                own = cells(walks(padded[part[:, None] + np.arange(2 * b.size)], self.bits, 2 * b.size), b.picks)
-                lo, hi = np.searchsorted(b.keys, own), np.searchsorted(b.keys, own, "right")
-                row, table = np.nonzero(hi > lo)
-                count = (hi - lo)[row, table]
-                place = np.repeat(lo[row, table] - np.cumsum(count) + count, count) + np.arange(count.sum())
-                hit = np.unique(np.repeat(row, count) * len(b.items) + b.owner[place])
-                item = b.items[hit % len(b.items)]
-                yield np.stack([item[:, 0], part[hit // len(b.items)] - item[:, 1]], axis=1)
+        starts = self.windows(ids, BATCH_WORDS)
+        every = np.unique(np.concatenate([np.zeros(0, np.int64), *starts]))
+        for at in range(0, len(every), WINDOWS):  # one walk serves all bands
+            part = every[at : at + WINDOWS]
+            codes = walks(padded, part, self.bits, self.steps)
+            for band, own in zip(self.bands, starts):
+                own = own[np.searchsorted(own, part[0]) : np.searchsorted(own, part[-1], "right")]
+                if not len(own):
+                    continue
+                cell = cells(codes, self.steps, band.picks, np.searchsorted(part, own))
+                lo = np.searchsorted(band.keys, cell)
+                row, table = np.nonzero(np.append(band.keys, np.uint64(0))[lo] == cell)
+                lo = lo[row, table]
+                count = np.searchsorted(band.keys, cell[row, table], "right") - lo
+                place = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+                hit = np.unique(np.repeat(row, count) * len(band.items) + band.owner[place])
+                item = band.items[hit % len(band.items)]
+                yield np.stack([item[:, 0], own[hit // len(band.items)] - item[:, 1]], axis=1)
 
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(text, item, edits, first word) for each leaked item of each text, with the fewest edits, then leftmost."""

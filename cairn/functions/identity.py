@@ -4,18 +4,50 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PREFIX = "sha256:"
 
 
 def content_hash(files: DataFrame, *keys: str) -> DataFrame:
-    """(keys..., content_hash): the hash over the files of each key, by path: byte length, path, line feed, content."""
-    part = F.concat(F.concat(F.octet_length("content").cast("string"), F.lit(":"), F.col("path"), F.lit("\n")).cast("binary"), F.col("content"))
-    ordered = F.sort_array(F.collect_list(F.struct("path", part.alias("part"))))
-    joined = F.aggregate(ordered, F.lit("").cast("binary"), lambda a, x: F.concat(a, x["part"]))
-    return files.groupBy(*keys).agg(F.concat(F.lit(PREFIX), F.sha2(joined, 256)).alias("content_hash"))
+    """(keys..., content_hash): the hash over the files of each key, by path: byte length, path, line feed, content.
+
+    A source's files are read in their order and hashed one after the other, so that a task holds a batch of them.
+    """
+    own = files.select(*keys, F.col("path").cast("string"), F.col("content").cast("binary"))
+    schema = T.StructType([*own.schema.fields[: len(keys)], T.StructField("content_hash", T.StringType())])
+
+    def run(batches):
+        held, digest = None, None
+        done: list[tuple] = []
+
+        def batch():
+            columns = list(zip(*done)) or [()] * (len(keys) + 1)
+            return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array(columns[-1], pa.string())], [*keys, "content_hash"])
+
+        kinds: list = []
+        for b in batches:
+            kinds = [c.type for c in b.columns[: len(keys)]]
+            for *key, path, content in zip(*(c.to_pylist() for c in b.columns)):
+                if held is None or key != held:
+                    if held is not None:
+                        done.append((*held, PREFIX + digest.hexdigest()))
+                    held, digest = key, hashlib.sha256()
+                content = content or b""
+                digest.update(f"{len(content)}:{path}\n".encode())
+                digest.update(content)
+            if len(done) > 1000:
+                yield batch()
+                done.clear()
+        if held is not None:
+            done.append((*held, PREFIX + digest.hexdigest()))
+            yield batch()
+
+    order = [*keys, "path"]
+    return own.repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def store_key(content: Column, model: str, model_version: str = "", chunker: str = "mixed", languages: tuple[str, ...] = (), target: int = 768, overlap: int = 0) -> Column:

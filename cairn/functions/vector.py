@@ -21,11 +21,13 @@ def squared_l2(a: Column, b: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    """A vector of length 0 is at distance 1 from all; null where an element or a place is missing."""
+    size = F.sqrt(dot(a, a) * dot(b, b))
+    return F.when(size == 0, F.lit(1.0)).otherwise(1 - F.try_divide(dot(a, b), size))
 
 
 def distance(a: Column, b: Column, metric: str = "l2") -> Column:
-    """Smaller is nearer; l2 is squared."""
+    """Smaller is nearer; l2 is squared. Null for vectors that are null, of other sizes, or hold null."""
     if metric not in METRICS:
         raise ValueError(f"metric {metric!r} is none of {METRICS}")
     return squared_l2(a, b) if metric == "l2" else cosine_distance(a, b) if metric == "cosine" else 1 - dot(a, b)

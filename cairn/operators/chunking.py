@@ -1,4 +1,4 @@
-"""Files to chunks: Markdown by sections, code by declarations, the rest by lines, in one plan."""
+"""Files to chunks: Markdown by sections, code by declarations, the rest by lines, in one pass over the files."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from cairn.functions.text import is_blank, is_markdown, language
 from cairn.operators.code import chunk_code
-from cairn.operators.lines import chunk_by_lines
+from cairn.operators.lines import line_chunks
 from cairn.operators.markdown import chunk_markdown
 from cairn.schema import ChunkOptions
 
@@ -41,10 +41,11 @@ def chunk_files(files: DataFrame, options: ChunkOptions = ChunkOptions()) -> Dat
     own = files.withColumn("text", F.col("content").cast("string")).drop("content")
     own = own.where(F.col("text").isNotNull() & ~is_blank(F.col("text")))
     known = F.lower(F.regexp_extract("path", r"(\.[^./]*)\z", 1)).isin(".go", ".py", ".ts", ".tsx", ".js", ".jsx", ".java", ".rs") | is_markdown(F.col("path"))
-    parsed = _structured(own.where(known), options)
+    none = own.where(~known).withColumns({"doc": F.lit(False), "found": F.lit(None).cast(_FOUND)})
+    every = _structured(own.where(known), options).unionByName(none)
     rest = [c for c in own.columns if c != "text"]
-    sectioned = parsed.select(*rest, "doc", F.posexplode("found").alias("chunk_index", "c"))
-    sectioned = sectioned.select(*rest, "chunk_index", F.col("c.text").alias("text"), F.col("c.breadcrumb").alias("breadcrumb"), F.when(F.col("doc"), "doc").otherwise("code").alias("chunk_type"))
-    plain = own.where(~known).select(*rest, "text").union(parsed.where("found IS NULL").select(*rest, "text"))
-    lined = chunk_by_lines(plain, options).select(*sectioned.columns)
-    return sectioned.unionByName(lined).withColumn("language", language(F.col("path")))
+    lined = F.transform(line_chunks(F.col("text"), options), lambda t: F.struct(F.col("path").cast("string").alias("breadcrumb"), t.alias("text")))
+    kind = F.when(F.col("doc") & F.col("found").isNotNull(), "doc").otherwise("code").alias("chunk_type")
+    chunks = every.select(*rest, kind, F.posexplode(F.coalesce("found", lined)).alias("chunk_index", "c"))
+    chunks = chunks.select(*rest, "chunk_index", F.col("c.text").alias("text"), F.col("c.breadcrumb").alias("breadcrumb"), "chunk_type")
+    return chunks.withColumn("language", language(F.col("path")))

@@ -21,6 +21,7 @@ from cairn.functions.vector import hash_vector
 
 MAX_RETRIES = 5
 CACHE_SIZE = 512
+LOCAL_PREFIX = "ollama/"
 
 
 class Embedder(Protocol):
@@ -68,7 +69,8 @@ class RemoteEmbedder:
 
 @dataclass
 class LocalEmbedder:
-    """A local model server that takes {model, input} and gives {embeddings}; dims 0 asks it once."""
+    """A local model server that takes {model, input} and gives {embeddings}; dims 0 asks it once. Its model's id has the
+    server's prefix, so that keys tell it from other models of that name; the server must have the model."""
 
     model: str
     dims: int = 0
@@ -76,14 +78,27 @@ class LocalEmbedder:
     batch: int = 64
 
     def __post_init__(self) -> None:
+        self.name = self.model.removeprefix(LOCAL_PREFIX)
+        self.model = LOCAL_PREFIX + self.name
+        self.check()
         if not self.dims:
             self.dims = len(self.embed(["dimensions"])[0])
 
+    def check(self) -> None:
+        """Whether the server is there and has the model; the tag latest goes without saying."""
+        try:
+            with urllib.request.urlopen(f"{self.url}/api/tags") as answer:
+                known = [m["name"].removesuffix(":latest") for m in json.load(answer).get("models") or []]
+        except (urllib.error.URLError, ValueError, KeyError) as e:
+            raise ValueError(f"no model server at {self.url}: {e}") from e
+        if self.name.removesuffix(":latest") not in known:
+            raise ValueError(f"the server at {self.url} has no model {self.name!r}; pull it first")
+
     def embed(self, texts: list[str]) -> list[list[float]]:
         out: list[list[float]] = []
         for at in range(0, len(texts), self.batch):
             part = texts[at : at + self.batch]
-            rows = post(f"{self.url}/api/embed", {"model": self.model, "input": part})["embeddings"]
+            rows = post(f"{self.url}/api/embed", {"model": self.name, "input": part})["embeddings"]
             if len(rows) != len(part):
                 raise ValueError(f"{self.model} gave {len(rows)} vectors for {len(part)} texts")
             out += rows
@@ -115,8 +130,8 @@ def make_embedder(model: str, dims: int = 0) -> Embedder:
         return RemoteEmbedder(model, 1536, "https://api.voyageai.com/v1/embeddings", 128, "VOYAGE_API_KEY")
     if model == "text-embedding-3-small":
         return RemoteEmbedder(model, 1536, "https://api.openai.com/v1/embeddings", 2048, "OPENAI_API_KEY")
-    if model.startswith("ollama/"):
-        return LocalEmbedder(model.removeprefix("ollama/"), dims)
+    if model.startswith(LOCAL_PREFIX):
+        return LocalEmbedder(model, dims)
     if model == "hash":
         return HashEmbedder(model, dims or 64)
     raise ValueError(f"unknown embedding model {model!r}")

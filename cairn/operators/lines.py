@@ -1,4 +1,8 @@
-"""Line chunks: blocks between blank lines, packed towards the target size; native folds, no Python."""
+"""Line chunks: blocks between blank lines, packed towards the target size; native, no Python.
+
+The fold that packs sees numbers of words only and gives where chunks begin; each chunk is then cut out and joined once,
+so the work grows with the text and not with its square.
+"""
 
 from __future__ import annotations
 
@@ -15,27 +19,44 @@ def blocks(text: Column) -> Column:
     return F.when(is_blank(text), F.array().cast("array<string>")).otherwise(F.split(body, rf"\n(?:{INLINE_SPACE}*\n)+"))
 
 
-def _packed(parts: Column, glue: str, limit: int, big: int | None = None) -> Column:
-    """Parts joined while they stay within limit tokens; a part over ``big`` is cut at its lines instead."""
-    sized = F.transform(parts, lambda t: F.struct(t.alias("t"), F.size(words(t)).alias("n")))
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("t"), F.lit(0).alias("n"))
-    flushed = lambda a: F.when(a["t"].isNull(), a["out"]).otherwise(F.array_append(a["out"], a["t"]))
+def _units(text: Column, most: int) -> Column:
+    """What chunks are made of: (t, n words, whether a line of a block that is too big, whether such a block's first)."""
+    size = lambda t: F.size(words(t))
+    whole = lambda t, n: F.array(F.struct(t.alias("t"), n.alias("n"), F.lit(False).alias("line"), F.lit(False).alias("first")))
+    lines = lambda t: F.transform(F.split(t, "\n"), lambda x, i: F.struct(x.alias("t"), size(x).alias("n"), F.lit(True).alias("line"), (i == 0).alias("first")))
+    sized = F.transform(blocks(text), lambda t: F.struct(t.alias("t"), size(t).alias("n")))
+    return F.flatten(F.transform(sized, lambda b: F.when(tokens_of(b["n"]) > most, lines(b["t"])).otherwise(whole(b["t"], b["n"]))))
+
+
+def _starts(units: Column, options: ChunkOptions) -> Column:
+    """The units with which chunks begin: the first; a big block's first line, and what follows its last; and one that
+    would take a chunk over its size."""
+    start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(False).alias("line"))
 
     def step(a, x):
-        keep = F.struct(a["out"].alias("out"), F.when(a["t"].isNull(), x["t"]).otherwise(F.concat(a["t"], F.lit(glue), x["t"])).alias("t"), (a["n"] + x["n"]).alias("n"))
-        fresh = F.struct(flushed(a).alias("out"), x["t"].alias("t"), x["n"].alias("n"))
-        out = F.when(a["t"].isNull() | (tokens_of(a["n"] + x["n"]) <= limit), keep).otherwise(fresh)
-        if big is None:
-            return out
-        cut = F.struct(F.concat(flushed(a), _packed(F.split(x["t"], "\n"), "\n", big)).alias("out"), F.lit(None).cast("string").alias("t"), F.lit(0).alias("n"))
-        return F.when(tokens_of(x["n"]) > big, cut).otherwise(out)
+        over = tokens_of(a["n"] + x["n"]) > F.when(x["line"], options.most).otherwise(options.target)
+        new = (a["i"] == 0) | x["first"] | (a["line"] & ~x["line"]) | over
+        return F.struct(F.when(new, F.array_append(a["out"], a["i"])).otherwise(a["out"]).alias("out"), (a["i"] + 1).alias("i"), F.when(new, x["n"]).otherwise(a["n"] + x["n"]).alias("n"), x["line"].alias("line"))
 
-    return F.aggregate(sized, start, step, flushed)
+    counts = F.transform(units, lambda u: F.struct(u["n"].alias("n"), u["line"].alias("line"), u["first"].alias("first")))
+    return F.aggregate(counts, start, step, lambda a: a["out"])
 
 
 def line_chunks(text: Column, options: ChunkOptions = ChunkOptions()) -> Column:
     """The chunks' texts in order; none for a blank text."""
-    return _packed(blocks(text), "\n\n", options.target, options.most)
+    bound = lambda value, then: F.transform(F.array(value), then)[0]  # noqa: E731  made once, however often it is used
+
+    def cut(units):
+        def piece(starts):
+            end = lambda i: F.coalesce(F.get(starts, i + 1), F.size(units))
+            own = lambda s, i: F.slice(units, s + 1, end(i) - s)
+            join = lambda part: F.array_join(F.transform(part, lambda u: u["t"]), "\n\n")
+            lines = lambda part: F.array_join(F.transform(part, lambda u: u["t"]), "\n")
+            return F.transform(starts, lambda s, i: bound(own(s, i), lambda part: F.when(part[0]["line"], lines(part)).otherwise(join(part))))
+
+        return bound(_starts(units, options), piece)
+
+    return bound(_units(text, options.most), cut)
 
 
 def chunk_by_lines(files: DataFrame, options: ChunkOptions = ChunkOptions(), text: str = "text", path: str = "path") -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.vector import distance, score
@@ -29,14 +29,17 @@ def filtered(chunks: DataFrame, options: SearchOptions) -> DataFrame:
 
 
 def nearest(rows: DataFrame, query: list[float], k: int, metric: str = "l2", vector: str = "vector", ties: tuple[str, ...] = TIES, digits: int | None = None) -> DataFrame:
-    """The k rows of least distance with columns distance and score, without their vectors."""
+    """The k rows of least distance with columns distance and score, without their vectors. Rows whose vector is null, of
+    another size than the question or holds null or NaN have no distance and are left out."""
     d = distance(F.col(vector), F.lit([float(x) for x in query]), metric)
     ranked = rows.withColumn("distance", d if digits is None else F.round(d, digits) + 0.0).drop(vector)
+    ranked = ranked.where(F.col("distance").isNotNull() & ~F.isnan("distance"))
     return ranked.orderBy("distance", *ties).limit(k).withColumn("score", score(F.col("distance")))
 
 
 def nearest_batched(rows: DataFrame, query: list[float], k: int, vector: str = "vector", key: str = "vec_id") -> DataFrame:
-    """(key, distance) of the k nearest by squared L2: a matrix product a batch, k rows a batch left to be ordered."""
+    """(key, distance) of the k nearest by squared L2: a matrix product a batch, k rows a batch left to be ordered. Rows
+    that ``nearest`` leaves out are left out here too."""
     q = np.array(query, np.float64)
 
     def run(batches):
@@ -47,10 +50,49 @@ def nearest_batched(rows: DataFrame, query: list[float], k: int, vector: str = "
             top = np.lexsort((ids, d))[:k]
             yield pa.RecordBatch.from_arrays([pa.array(ids[top]), pa.array(d[top])], [key, "distance"])
 
-    found = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(run, f"{key} long, distance double")
+    usable = (F.size(vector) == len(q)) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))
+    found = rows.where(F.coalesce(usable, F.lit(False))).select(F.col(key).cast("long"), vector).mapInArrow(run, f"{key} long, distance double")
     return found.orderBy("distance", key).limit(k)
 
 
+def nearest_to_all(rows: DataFrame, asked: DataFrame, k: int, vector: str = "vector", key: str = "vec_id", block: int = 4096) -> DataFrame:
+    """(query_id, key, distance, rank): the k rows nearest by squared L2 of every row of asked, itself left out; ties by key.
+
+    The questions go to every partition of rows in blocks of ``block``, as (block, batch) products; each task keeps k
+    rows a question and batch, so what is ordered in the end is k for each question and task.
+    """
+    usable = lambda df: df.where(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x)))
+    own = usable(rows).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    asks = usable(asked).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    blocks = max(1, -(-asks.count() // block))
+    parts = own.rdd.getNumPartitions()
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = own.withColumn("part", place("id", parts)).withColumn("block", every(blocks))
+    right = asks.withColumn("block", place("id", blocks)).withColumn("part", every(parts))
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
+        sizes = lambda t: np.diff(t.column("v").combine_chunks().offsets.to_numpy())
+        for width in np.unique(sizes(two)):  # vectors are held against those of their size
+            mine, theirs = (t.filter(pa.array(sizes(t) == width)) for t in (one, two))
+            a, b = (np.asarray(t.column("v").combine_chunks().flatten()).reshape(len(t), width) for t in (mine, theirs))
+            ids, asks = mine.column("id").to_numpy(), theirs.column("id").to_numpy()
+            for i in range(0, len(asks), 64):
+                d = ((b[i : i + 64, None, :] - a[None]) ** 2).sum(axis=2)
+                d[asks[i : i + 64, None] == ids[None]] = np.inf
+                for j, row in enumerate(d):
+                    near = np.flatnonzero(row <= np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]) if len(row) else np.zeros(0, int)
+                    near = near[np.isfinite(row[near])]
+                    near = near[np.lexsort((ids[near], row[near]))][:k]
+                    out.append((np.full(len(near), asks[i + j]), ids[near], row[near]))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], ["query_id", key, "distance"])
+
+    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(run, f"query_id long, {key} long, distance double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def search(chunks: DataFrame, query: list[float], options: SearchOptions = SearchOptions(), metric: str = "l2") -> DataFrame:
     """Filter, then rank: every row given back satisfies the filters."""
     return nearest(filtered(chunks, options), query, options.k if options.k > 0 else DEFAULT_K, metric)

@@ -61,8 +61,25 @@ class ChunkStore:
             fs.delete(staged, True)
             self.delete(store_key)
             return
-        self.delete(store_key)
-        fs.rename(staged, self._fs(self._partition(store_key))[1])
+        self._swap(fs, staged, self._fs(self._partition(store_key))[1])
+
+    def _swap(self, fs, staged, place) -> None:
+        """staged takes place's place. The old rows go aside first and only go away when the new ones are there; a failure
+        puts them back."""
+        old = self._fs(f"{self.path}/_old-{uuid.uuid4().hex}")[1]
+        had = fs.exists(place)
+        if had and not fs.rename(place, old):
+            raise OSError(f"cannot move {place} aside")
+        moved = False
+        try:
+            moved = fs.rename(staged, place)
+            if not moved:
+                raise OSError(f"cannot move {staged} to {place}")
+        finally:
+            if had and not moved:
+                fs.rename(old, place)
+        if had:
+            fs.delete(old, True)
 
     def upsert_all(self, chunks: DataFrame) -> None:
         """Replace the chunks of every key that chunks has rows of, in one job."""

@@ -4,8 +4,9 @@ Texts and items become words (runs of letters and digits, lower-cased). An item
 words whose word edit distance to it is at most floor((1 - similarity) * m). Windows of an item's size are embedded by
 the CGK random walk, which copies the current word and moves on or stays as a shared random bit of (step, word) says:
 edit distance becomes Hamming distance. Repeated bit sampling finds candidates: each of several tables samples a few
-steps of one of ``WALKS`` walks, and a window is a candidate of the items in its cell. Candidates are verified by an
-exact edit distance that may begin and end anywhere in the window's surroundings.
+steps of one of ``WALKS`` walks, and a window is a candidate of the items in its cell. Half of the walks go backward from
+the windows' ends, as edits at a window's beginning throw the forward ones off. Candidates are verified by an exact edit
+distance that may begin and end anywhere in the window's surroundings.
 
 An item of over ``LONG`` words is looked for by the blocks of at most so many words that it is cut into: one of them has
 no more than its share of the edits, so no length is too long for the walks.
@@ -43,7 +44,8 @@ RECALL = 0.999
 GROUP_ITEMS = 20_000
 GROUP_WORDS = 2_000_000
 LONG = 64
-WALKS = 32
+#: Walks of each direction.
+WALKS = 16
 #: Steps of a walk that one table samples at most, and tables at most: as many steps as the recall leaves.
 SAMPLED = 3
 MAX_TABLES = 512
@@ -113,8 +115,11 @@ def walks(ids: np.ndarray, starts: np.ndarray, bits: np.ndarray, steps: np.ndarr
 
 
 def edited(rng: np.random.Generator, m: int, e: int, width: int) -> np.ndarray:
-    """The words 1 to m after e edits at random places, a third of each kind, and strange words up to width."""
+    """The words 1 to m after e edits, a third of each kind, and strange words up to width. The edits' places are random in
+    two of three cases and side by side in the third, often at an end."""
     kinds, places = rng.integers(0, 3, e), np.sort(rng.choice(m, e, replace=False))
+    if rng.integers(0, 3) == 0:
+        places = np.arange(e) + rng.choice([0, m - e, rng.integers(0, m - e + 1)])
     own = np.arange(1, m + 1)
     own[places[kinds == 0]] = rng.integers(m + 1, 1 << 20, (kinds == 0).sum())
     own[places[kinds == 1]] = -1
@@ -124,20 +129,25 @@ def edited(rng: np.random.Generator, m: int, e: int, width: int) -> np.ndarray:
 
 @lru_cache(maxsize=None)
 def agreement(m: int, e: int, within: int) -> np.ndarray:
-    """walks x trials: the share of the first 2 * ``within`` steps that outlive e edits of a block of m words, measured on
-    ``TRIALS`` invented blocks with edits at random places: walks drift apart more than the edits alone say."""
+    """walks (of both directions) x trials: the share of the first 2 * ``within`` steps that outlive e edits of a block of m
+    words, measured on ``TRIALS`` invented blocks: walks drift apart more than the edits alone say."""
     rng, width = np.random.default_rng(11), 4 * LONG
-    rows = np.zeros((TRIALS + 1, width), np.int64)
-    rows[0, :m] = np.arange(1, m + 1)
-    for row in rows[1:]:
-        row[:] = edited(rng, m, e, width)
-    codes = walks(rows.reshape(-1), np.arange(TRIALS + 1) * width, walk_bits(), np.arange(2 * within))
-    return (codes[:, :, 1:] == codes[:, :, :1]).mean(axis=0)
+    own = [np.arange(1, m + 1), *(edited(rng, m, e, m + e) for _ in range(TRIALS))]
+    agree = []
+    for turn in (1, -1):
+        rows = rng.integers(m + 1, 1 << 20, (TRIALS + 1, width))
+        rows[0] = 0
+        for row, ws in zip(rows, own):
+            ws = ws[(ws <= m) | (np.arange(len(ws)) <= np.flatnonzero(ws <= m)[-1])][::turn]  # without strangers at the end
+            row[: len(ws)] = ws
+        codes = walks(rows.reshape(-1), np.arange(TRIALS + 1) * width, walk_bits(), np.arange(2 * within))
+        agree.append((codes[:, :, 1:] == codes[:, :, :1]).mean(axis=0))
+    return np.concatenate(agree)
 
 
 @lru_cache(maxsize=None)
 def tables_for(sizes: tuple[tuple[int, int], ...], recall: float = RECALL) -> tuple[int, int]:
-    """(steps sampled for a table, tables) that find blocks of each of the (words, edits) with the given probability, by
+    """(steps sampled for a table, tables of each direction) that find blocks of each of the (words, edits) with the given probability, by
     steps that the walk of the shortest one makes before its end. As many steps are sampled as ``MAX_TABLES`` allow."""
     within = min(m for m, _ in sizes)
     agree = [agreement(m, e, within) for m, e in sizes if e]
@@ -189,24 +199,15 @@ class Band:
         return max(m + e for m, e in self.sizes), min(m - e for m, e in self.sizes), min(max(0, m - 1 - 2 * e) for m, e in self.sizes)
 
 
-@dataclass
-class Index:
-    """What the executors need to find the items of one group."""
-
-    items: list[tuple[int | None, list[str]]]
-    similarity: float
-    recall: float
-    vocabulary: dict[str, int] = field(default_factory=dict)
-    rows: list[np.ndarray] = field(default_factory=list)
+class Side:
+    """The tables of one direction; rows are the items' word numbers in that direction."""
 
-    def __post_init__(self) -> None:
+    def __init__(self, rows: list[np.ndarray], similarity: float, recall: float) -> None:
         found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for k, (_, ws) in enumerate(self.items):
-            row = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int64)
-            self.rows.append(row)
-            for a, size, e in blocks_of(len(row), allowed(len(row), self.similarity)):
+        for k, row in enumerate(rows):
+            for a, size, e in blocks_of(len(row), allowed(len(row), similarity)):
                 found.setdefault((size, e), []).append((k, a))
-        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(r[:-1] << 32 | r[1:] for r in self.rows)]))
+        self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *(r[:-1] << 32 | r[1:] for r in rows)]))
         self.bits = walk_bits()
         rng = np.random.default_rng(13)
         grouped: list[list[tuple[int, int]]] = []
@@ -218,7 +219,7 @@ class Index:
                 grouped.append([size])
         self.bands, steps = [], set()
         for sizes in grouped:
-            sampled, tables = tables_for(tuple(sizes), self.recall)
+            sampled, tables = tables_for(tuple(sizes), recall)
             # After twice its length a walk has mostly passed the block's end.
             picks = np.stack([np.sort(rng.choice(2 * sizes[0][0], sampled, replace=False)) for _ in range(tables)])
             steps |= set(picks.reshape(-1).tolist())
@@ -226,7 +227,7 @@ class Index:
             lengths = [size[0] for size in sizes for _ in found[size]]
             whole = np.zeros((len(own), 4 * LONG), np.int64)
             for row, (k, a), m in zip(whole, own, lengths):
-                row[:m] = self.rows[k][a : a + m]
+                row[:m] = rows[k][a : a + m]
             at = np.unique(picks)
             parts = [np.arange(i, min(i + WINDOWS, len(own))) for i in range(0, len(own), WINDOWS)]
             keys = np.concatenate([cells(walks(whole.reshape(-1), p * 4 * LONG, self.bits, at), at, picks, np.arange(len(p))) for p in parts]).reshape(-1)
@@ -290,6 +291,29 @@ class Index:
                 item = band.items[hit % len(band.items)]
                 yield np.stack([item[:, 0], own[hit // len(band.items)] - item[:, 1]], axis=1)
 
+
+@dataclass
+class Index:
+    """What the executors need to find the items of one group."""
+
+    items: list[tuple[int | None, list[str]]]
+    similarity: float
+    recall: float
+    vocabulary: dict[str, int] = field(default_factory=dict)
+    rows: list[np.ndarray] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        for _, ws in self.items:
+            self.rows.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int64))
+        self.sides = [Side(self.rows, self.similarity, self.recall), Side([r[::-1] for r in self.rows], self.similarity, self.recall)]
+
+    def candidates(self, ids: np.ndarray) -> np.ndarray:
+        """(item, start) of each item that a table proposes for a window in ids; start is where the whole item would be."""
+        lengths = np.array([len(r) for r in self.rows])
+        ahead, back = self.sides[0].candidates(ids), self.sides[1].candidates(ids[::-1])
+        back[:, 1] = len(ids) - back[:, 1] - lengths[back[:, 0]]
+        return np.unique(np.concatenate([ahead, back]), axis=0)
+
     def find(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(text, item, edits, first word) for each leaked item of each text, with the fewest edits, then leftmost."""
         get = self.vocabulary.get
@@ -326,7 +350,6 @@ class Index:
             at = until
         return [(first + i, k, *b) for i, b in best.items()]
 
-
 def item_groups(benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> Iterator[Index]:
     """The items by groups, each as the index that one pass over the documents takes; the driver holds one at a time."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL").distinct()

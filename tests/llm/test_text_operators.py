@@ -321,7 +321,7 @@ def test_stretches_and_batches_of_words_change_nothing(monkeypatch):
     assert index.find(texts) == whole
 
 
-@pytest.mark.parametrize("kinds", ["substitute", "insert", "delete", "any"])
+@pytest.mark.parametrize("kinds", ["substitute", "insert", "delete", "any", "start", "end"])
 @pytest.mark.parametrize("m, trials", [(14, 300), (37, 300), (64, 200), (100, 100), (300, 20)])
 def test_recall_at_the_largest_distance(m, trials, kinds):
     """Edits at random places of the item, as many as may be; before and after it stand known words."""
@@ -331,8 +331,9 @@ def test_recall_at_the_largest_distance(m, trials, kinds):
     texts = []
     for _ in range(trials):
         text = [[w] for w in item]
-        for i in rng.sample(range(1, m - 1), e):
-            kind = rng.choice(["substitute", "insert", "delete"]) if kinds == "any" else kinds
+        places = range(e) if kinds == "start" else range(m - e, m) if kinds == "end" else rng.sample(range(1, m - 1), e)
+        for i in places:
+            kind = rng.choice(["substitute", "delete"]) if kinds in ("start", "end") else rng.choice(["substitute", "insert", "delete"]) if kinds == "any" else kinds
             text[i] = {"substitute": ["other"], "insert": [item[i], "other"], "delete": []}[kind]
         texts.append(" ".join([*item[: m // 2 : 3], *(w for ws in text for w in ws), *item[:: m // 5]]))
     found = index.find(texts)
@@ -352,8 +353,8 @@ def test_filter_drops_no_window():
                 at = rng.randrange(len(own))
                 own[at : at + rng.randrange(2)] = rng.choice([[], [0]])
             ids = np.array([0, 0, *own, 0], np.int64)
-            starts = [s for found in index.windows(ids, len(ids)) for s in found.tolist()]
-            assert 2 in starts
+            assert 2 in [s for found in index.sides[0].windows(ids, len(ids)) for s in found.tolist()]
+            assert 1 in [s for found in index.sides[1].windows(ids[::-1], len(ids)) for s in found.tolist()]
 
 
 def test_walks_equal_the_definition():

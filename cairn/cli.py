@@ -41,7 +41,9 @@ def main(args: list[str] | None = None) -> int:
     up = commands.add_parser("upgrade")
     up.add_argument("id")
     up.add_argument("ref")
-    commands.add_parser("publish").add_argument("--output", required=True)
+    publish = commands.add_parser("publish")
+    publish.add_argument("--output", required=True)
+    publish.add_argument("--tag", help="the release that the artifact is for; the lock then refers to it")
     a = parser.parse_args(args)
 
     if a.command == "init":
@@ -74,8 +76,10 @@ def main(args: list[str] | None = None) -> int:
         for r in engine.status(manifest, lock).collect():
             print(f"{r['id']}\t{r['version']}\t{r['status']}")
     elif a.command == "publish":
-        for r in engine.publish(manifest, a.output).collect():
+        for r in engine.publish(manifest, a.output, lock=lock if a.tag else None, tag=a.tag or "").collect():
             print(f"{r['checksum'].removeprefix('sha256:')}  {r['file']}")
+        if a.tag:
+            write_text(LOCK, render_lock(lock))
     elif a.command == "gc":
         for key in engine.store.collect_garbage([s.store_key for s in lock.sources.values()]):
             print(f"removed {key}")

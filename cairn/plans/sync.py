@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import os
+import sys
+import tempfile
 import time
+import uuid
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +22,7 @@ from cairn.plans.store import ChunkStore
 from cairn.schema import ChunkOptions
 from cairn.sources import artifacts
 from cairn.sources.config import Lock, Manifest, SourceLock
-from cairn.sources.files import fetch, scan
+from cairn.sources.files import fetch, scan, shared_copy
 
 ENGINE_VERSION = "0.1.0"
 LOCAL = "local"
@@ -54,11 +58,49 @@ class Engine:
 
     def __init__(self, spark: SparkSession, store: ChunkStore, embedder: Embedder, options: ChunkOptions = ChunkOptions(), artifact_url=artifacts.artifact_url) -> None:
         self.spark, self.store, self.embedder, self.options, self.artifact_url = spark, store, embedder, options, artifact_url
+        self.told = lambda line: print(line, file=sys.stderr)
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        """df written once to the shared folder, where there is one, so that what is made of it twice is read twice only."""
+        shared = self.spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            return df.persist(StorageLevel.DISK_ONLY)  # one machine
+        path = f"{shared.rstrip('/')}/cairn-sync-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _from_artifacts(self, manifest: Manifest, lock: Lock) -> dict[str, SyncResult]:
+        """What prebuilt artifacts give, by id; the other dependencies are built from their sources.
+
+        A locked url and checksum are used as they are; else the release is asked for the artifact and its checksum. An
+        artifact that cannot be had or is not what its checksum says leaves the dependency to its source.
+        """
+        done: dict[str, SyncResult] = {}
+        for dep in manifest.dependencies:
+            held = lock.sources.get(dep.id, SourceLock())
+            began = time.monotonic()
+            try:
+                url, digest = (held.artifact_url, held.artifact_hash) if held.version == dep.ref else ("", "")
+                if not (url and digest):
+                    url = self.artifact_url(dep.source, dep.ref, manifest.embedding_model)
+                    if not artifacts.exists(url):
+                        continue
+                    digest = artifacts.published_checksum(url)
+                with tempfile.TemporaryDirectory(prefix="cairn-artifact-") as folder:
+                    name = "artifact.json.gz"
+                    artifacts.download(url, os.path.join(folder, name), digest)
+                    done[dep.id] = self.ingest_artifact(f"{shared_copy(self.spark, folder, name)}/{name}", lock, dep.id, dep.ref, url, digest)
+                done[dep.id].elapsed = time.monotonic() - began
+            except Exception as e:  # noqa: BLE001  the source is still there
+                self.told(f"{dep.id}: no artifact, built from its source: {e}")
+        return done
 
     def _files(self, manifest: Manifest, root: str, results: dict[str, SyncResult]) -> tuple[list[DataFrame], dict[str, tuple[str, str, str]]]:
         """Files of every source that could be read, and (source, version, commit) by id."""
         parts, known = [], {}
-        for dep in manifest.dependencies:
+        for dep in (d for d in manifest.dependencies if d.id not in results):
             began = time.monotonic()
             try:
                 commit, files = fetch(self.spark, dep.source, dep.ref, dep.docs, dep.code, dep.code_extensions)
@@ -66,19 +108,20 @@ class Engine:
                 parts.append(files.select(F.lit(dep.id).alias("id"), "path", "content"))
             except Exception as e:  # noqa: BLE001  one source's failure is that source's result
                 results[dep.id] = SyncResult(dep.id, "error", str(e), time.monotonic() - began)
-        if manifest.index or manifest.private:
+        if manifest.index or manifest.private:  # private paths are indexed here and never published
             known[LOCAL] = (LOCAL, "", "")
             own = scan(self.spark, root, [*manifest.index, *manifest.private])
             parts.append(own.select(F.lit(LOCAL).alias("id"), "path", "content"))
         return parts, known
 
     def sync(self, manifest: Manifest, lock: Lock, root: str = ".") -> list[SyncResult]:
-        """All sources in one job; the lock is changed in place. A source that is stored already costs its hash only."""
-        results: dict[str, SyncResult] = {}
+        """Artifacts first, then all other sources in one job; the lock is changed in place. A source that is stored already
+        costs its hash only."""
+        results = self._from_artifacts(manifest, lock)
         parts, known = self._files(manifest, root, results)
         if parts:
             files = reduce(DataFrame.unionByName, parts)
-            identified = identify(files, self.embedder.model, self.options)
+            identified = self._kept(identify(files, self.embedder.model, self.options))
             rows = {r["id"]: r for r in identified.collect()}  # one short row for each source of the manifest
             begin = time.monotonic()
             stored = self.store.keys()
@@ -105,13 +148,14 @@ class Engine:
         """Take an artifact's chunks as they are, each under its own key, unless all its keys are stored."""
         begin = time.monotonic()
         chunks = artifacts.read(self.spark, path)
-        keys = [r[0] for r in chunks.select("store_key").distinct().collect()]
+        first = chunks.groupBy("store_key").agg(F.max("commit").alias("commit")).collect()  # one row for each source in it
+        keys = [r["store_key"] for r in first]
         stored = {r[0] for r in self.store.keys().collect()}
         missing = sorted(set(keys) - stored)
         if missing:
-            self.store.upsert_all(chunks.where(F.col("store_key").isin(missing)))
+            self.store.upsert_all(chunks.where(F.col("store_key").isin(missing)).drop("commit"))
         if keys:
-            lock.sources[dep_id] = SourceLock(version=version, artifact_url=url, artifact_hash=digest, store_key=min(keys), ingestion_type="artifact")
+            lock.sources[dep_id] = SourceLock(version=version, commit=min(first)["commit"], artifact_url=url, artifact_hash=digest, store_key=min(keys), ingestion_type="artifact")
         return SyncResult(dep_id, "synced" if missing else "skipped", elapsed=time.monotonic() - begin)
 
     def upgrade(self, manifest: Manifest, lock: Lock, dep_id: str, ref: str, root: str = ".") -> list[SyncResult]:
@@ -127,31 +171,49 @@ class Engine:
             self.store.delete(old)
         return results
 
-    def publish(self, manifest: Manifest, path: str, root: str = ".") -> DataFrame:
-        """Chunks of all dependencies and the public local files as an artifact; gives the parts' checksums."""
+    def publish(self, manifest: Manifest, path: str, root: str = ".", lock: Lock | None = None, tag: str = "") -> DataFrame:
+        """Chunks of all dependencies and the public local files as an artifact, each with its source's commit; gives the
+        parts' checksums. With a lock and a release's tag, the lock then refers each dependency to the release's artifact:
+        one part, as that is what a release holds."""
         public = Manifest(manifest.embedding_model, manifest.embedding_dimensions, manifest.publish, manifest.index, [], manifest.dependencies)
         results: dict[str, SyncResult] = {}
         parts, known = self._files(public, root, results)
         if failed := [f"{r.id}: {r.error}" for r in results.values()]:
             raise ValueError("cannot publish: " + "; ".join(failed))
-        files = reduce(DataFrame.unionByName, parts)
-        dims = self.spark.createDataFrame([(i, s, v) for i, (s, v, _) in known.items()], "id string, source string, source_version string")
+        files = self._kept(reduce(DataFrame.unionByName, parts)) if parts else None
+        if files is None or files.isEmpty():
+            raise ValueError("no chunks; there is nothing to publish")
+        dims = self.spark.createDataFrame([(i, *k) for i, k in known.items()], "id string, source string, source_version string, commit string")
         keyed = identify(files, self.embedder.model, self.options).join(F.broadcast(dims), "id").drop("content_hash")
-        artifacts.write(processed(files.join(F.broadcast(keyed), "id").drop("id"), self.embedder, self.options), path, self.embedder.model, known.get(next(iter(known)), ("", "", ""))[2])
-        return artifacts.checksums(self.spark, path)
+        chunks = processed(files.join(F.broadcast(keyed), "id").drop("id"), self.embedder, self.options)
+        artifacts.write(chunks.coalesce(1) if lock else chunks, path, self.embedder.model, F.col("commit"))
+        sums = artifacts.checksums(self.spark, path).where(F.col("file").endswith(".gz"))
+        if lock:
+            digest = sums.first()["checksum"]
+            for dep in manifest.dependencies:
+                own = lock.sources.setdefault(dep.id, SourceLock())
+                own.artifact_url, own.artifact_hash, own.ingestion_type = self.artifact_url(dep.source, tag or dep.ref, self.embedder.model), digest, "artifact"
+        return sums
 
     def status(self, manifest: Manifest, lock: Lock) -> DataFrame:
-        """(id, version, status) of each dependency: not synced, store missing or synced."""
+        """(id, version, status) of each dependency: not synced, store missing, synced, or unknown where the store cannot be
+        read."""
         deps = self.spark.createDataFrame([(i, d.id, d.ref) for i, d in enumerate(manifest.dependencies)], "place int, id string, ref string")
         locked = self.spark.createDataFrame([(k, s.version, s.store_key) for k, s in lock.sources.items()], "id string, version string, store_key string")
-        return status_of(deps, locked, self.store.keys()).orderBy("place").select("id", "version", "status")
-
-
-def status_of(deps: DataFrame, locked: DataFrame, stored: DataFrame) -> DataFrame:
-    """deps left-joined to what is locked and what is stored."""
-    held = stored.select("store_key", F.lit(True).alias("held"))
+        try:
+            stored = self.spark.createDataFrame([(r[0],) for r in self.store.keys().collect()], "store_key string")
+        except Exception as e:  # noqa: BLE001
+            self.told(f"the store cannot be read: {e}")
+            stored = None
+        return status_of(deps, locked, stored).orderBy("place").select("id", "version", "status")
+
+
+def status_of(deps: DataFrame, locked: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """deps left-joined to what is locked and what is stored; None stands for a store that cannot be read."""
+    missing = "unknown" if stored is None else "store missing"
+    held = (locked.limit(0) if stored is None else stored).select("store_key", F.lit(True).alias("held"))
     joined = deps.join(locked.withColumn("in_lock", F.lit(True)), "id", "left").join(held, "store_key", "left")
-    state = F.when(F.col("in_lock").isNull(), "not synced").when(F.col("held").isNull(), "store missing").otherwise("synced")
+    state = F.when(F.col("in_lock").isNull(), "not synced").when(F.col("held").isNull(), missing).otherwise("synced")
     return joined.withColumns({"status": state, "version": F.when(F.coalesce("version", F.lit("")) != "", F.col("version")).otherwise(F.col("ref"))})
 
 

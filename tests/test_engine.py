@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import http.server
 import io
 import json
+import shutil
 import subprocess
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,7 +199,9 @@ def test_artifact_round_trip(spark, tmp_path):
     assert artifacts.download(source.as_uri(), str(target), identity.checksum(source.read_bytes())) and target.exists()
     with pytest.raises(ValueError, match="mismatch"):
         artifacts.download(source.as_uri(), str(tmp_path / "no.gz"), "sha256:0")
-    assert not (tmp_path / "no.gz").exists() and not artifacts.exists("http://localhost:1/x")
+    assert not (tmp_path / "no.gz").exists() and not (tmp_path / "no.gz.part").exists()
+    with pytest.raises(OSError):
+        artifacts.exists("http://localhost:1/x")
 
 
 def test_manifest_and_lock(tmp_path):
@@ -278,6 +283,156 @@ def test_sync_upgrade_publish(spark, repo, tmp_path):
     assert fresh.store.has_key(old)
 
 
+@pytest.fixture
+def server(tmp_path):
+    """Serves a folder; notes each request's method, path and Authorization."""
+    folder, asked = tmp_path / "served", []
+    folder.mkdir()
+
+    class Handler(http.server.SimpleHTTPRequestHandler):
+        def __init__(self, *a):
+            super().__init__(*a, directory=str(folder))
+
+        def send_head(self):
+            asked.append((self.command, self.path, self.headers.get("Authorization")))
+            return super().send_head()
+
+        def log_message(self, *a):
+            pass
+
+    with http.server.ThreadingHTTPServer(("localhost", 0), Handler) as own:
+        threading.Thread(target=own.serve_forever, daemon=True).start()
+        yield folder, f"http://localhost:{own.server_port}", asked
+        own.shutdown()
+
+
+def test_artifacts_come_first(spark, repo, tmp_path, server, monkeypatch):
+    root, git = repo
+    folder, url, asked = server
+    monkeypatch.setenv("GIT_TOKEN", "secret")
+    e = embedding.HashEmbedder("hash", 8)
+    place = lambda source, ref, model: f"{url}/o/n/{ref}-{model}.json.gz"
+    engine = lambda name: Engine(spark, ChunkStore(spark, f"file://{tmp_path}/{name}", 8), e, artifact_url=place)
+    m = config.Manifest("hash", dependencies=[config.Dependency("dep", str(root), "v1", ["docs"], ["src"])])
+
+    # absent: built from the source
+    lock = config.Lock()
+    assert counts(engine("a").sync(m, lock))["synced"] == 1 and lock.sources["dep"].ingestion_type == "built"
+    assert asked == [("HEAD", "/o/n/v1-hash.json.gz", "token secret")]
+
+    # good: taken as it is, and again by what the lock says
+    published = config.Lock()
+    sums = engine("a").publish(m, f"file://{tmp_path}/art", lock=published, tag="v1").collect()
+    assert len(sums) == 1 and published.sources["dep"].artifact_hash == sums[0]["checksum"] and published.sources["dep"].artifact_url == place("", "v1", "hash")
+    (folder / "o/n").mkdir(parents=True)
+    target = folder / "o/n/v1-hash.json.gz"
+    shutil.copy(next((tmp_path / "art").glob("part-*.gz")), target)
+    (folder / "o/n/v1-hash.json.gz.sha256").write_text(identity.checksum_line(sums[0]["checksum"], target.name))
+    fresh, lock = engine("b"), config.Lock()
+    assert counts(fresh.sync(m, lock))["synced"] == 1
+    own = lock.sources["dep"]
+    assert (own.ingestion_type, own.artifact_hash, own.commit) == ("artifact", sums[0]["checksum"], git("rev-parse", "HEAD"))
+    assert fresh.store.has_key(own.store_key)
+    asked.clear()
+    assert counts(fresh.sync(m, lock))["skipped"] == 1 and [a[0] for a in asked] == ["GET"]
+
+    # corrupt: told, and built from the source
+    target.write_bytes(target.read_bytes()[:-20])
+    told, lock = [], config.Lock()
+    third = engine("c")
+    third.told = told.append
+    assert counts(third.sync(m, lock))["synced"] == 1 and lock.sources["dep"].ingestion_type == "built"
+    assert "checksum mismatch" in told[0]
+    with pytest.raises(ValueError, match="nothing to publish"):
+        third.publish(config.Manifest("hash"), f"file://{tmp_path}/none")
+
+
+def test_status_of_a_store_that_cannot_be_read(spark, tmp_path, monkeypatch):
+    engine = Engine(spark, ChunkStore(spark, f"file://{tmp_path}/t", 8), embedding.HashEmbedder("hash", 8))
+    engine.told = lambda line: None
+    lock = config.Lock(sources={"a": config.SourceLock(version="v0", store_key="k"), "b": config.SourceLock()})
+    m = config.Manifest("hash", dependencies=[config.Dependency(i, "s", "v1") for i in "abc"])
+    state = lambda: {r["id"]: (r["version"], r["status"]) for r in engine.status(m, lock).collect()}
+    assert state() == {"a": ("v0", "store missing"), "b": ("v1", "store missing"), "c": ("v1", "not synced")}
+
+    def broken():
+        raise OSError("no store")
+
+    monkeypatch.setattr(engine.store, "keys", broken)
+    assert state() == {"a": ("v0", "unknown"), "b": ("v1", "unknown"), "c": ("v1", "not synced")}
+
+
+def test_a_failed_swap_keeps_the_old_rows(spark, store, monkeypatch):
+    store.upsert("k", chunks(spark, one_hot(1)))
+    real = store._fs
+
+    class Stuck:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def rename(self, a, b):
+            return False if "_aside-" in a.toString() else self.fs.rename(a, b)
+
+    monkeypatch.setattr(store, "_fs", lambda path: (Stuck(real(path)[0]), real(path)[1]))
+    with pytest.raises(OSError):
+        store.upsert("k", chunks(spark, one_hot(2)))
+    monkeypatch.setattr(store, "_fs", real)
+    assert store.chunks().count() == 1
+    store.upsert("k", chunks(spark, one_hot(2)))
+    assert store.chunks().count() == 2
+
+
+def test_unusable_vectors_are_no_neighbours(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0]), (5, [1.0, None]), (6, [float("nan"), 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    near = lambda metric: [(r["vec_id"], r["distance"]) for r in search.nearest(df, [1.0, 0.0], 5, metric, "embedding", ("vec_id",)).collect()]
+    assert near("l2") == [(1, 0.0), (3, 1.0)] and near("cosine") == [(1, 0.0), (3, 1.0)]
+    assert [tuple(r) for r in search.nearest_batched(df, [1.0, 0.0], 5, "embedding").collect()] == [(1, 0.0), (3, 1.0)]
+    more = df.union(spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(10, 60)], df.schema))
+    got = [tuple(r) for r in search.nearest_to_all(more, more.where("vec_id % 10 = 0"), 3, "embedding", block=2).orderBy("query_id", "rank").collect()]
+    usable = [(i, v) for i, v in rows if v and len(v) == 2 and None not in v and v[0] == v[0]] + [(i, [float(i % 7), float(i % 5)]) for i in range(10, 60)]
+    want = []
+    for q, v in usable:
+        if q % 10 == 0:
+            by = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), i) for i, w in usable if i != q)
+            want += [(q, i, d, r) for r, (d, i) in enumerate(by[:3], 1)]
+    assert got == sorted(want, key=lambda x: (x[0], x[3]))
+
+
+def test_local_model_server(tmp_path):
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def answer(self, body):
+            data = json.dumps(body).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(data)
+
+        def do_GET(self):
+            self.answer({"models": [{"name": "m:latest"}, {"name": "n:7b"}]})
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            assert asked["model"] == "m"
+            self.answer({"embeddings": [[1.0, 2.0, 3.0] for _ in asked["input"]]})
+
+        def log_message(self, *a):
+            pass
+
+    with http.server.ThreadingHTTPServer(("localhost", 0), Handler) as own:
+        threading.Thread(target=own.serve_forever, daemon=True).start()
+        url = f"http://localhost:{own.server_port}"
+        e = embedding.LocalEmbedder("ollama/m", url=url)
+        assert (e.model, e.dims) == ("ollama/m", 3) and e.embed(["x", "y"]) == [[1.0, 2.0, 3.0]] * 2
+        with pytest.raises(ValueError, match="no model"):
+            embedding.LocalEmbedder("ollama/n", url=url)
+        own.shutdown()
+    with pytest.raises(ValueError, match="no model server"):
+        embedding.LocalEmbedder("ollama/m", url="http://localhost:1")
+
+
 def test_empty_source_is_not_done_again(spark, tmp_path):
     (tmp_path / "p").mkdir()
     (tmp_path / "p/blank.txt").write_text(" \n")

@@ -54,6 +54,8 @@ STRETCH = 1 << 18
 #: Tokens that one task counts before it passes them on, and numbers of a block of parameters or cells.
 HELD_TOKENS = 4_000_000
 BLOCK = 1 << 14
+#: Where the seen tokens stand from the first of them on.
+PLACES = (*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1))
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15
 
@@ -236,11 +238,13 @@ class Network:
             self.parts[6][:] = words.log_within
 
     def hidden(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """ids: numbers with SIDE further ones at both ends. What each inner position sees, and the hidden layer."""
+        """ids: numbers with SIDE further ones at both ends. Their embeddings, and the inner positions' hidden layer."""
         n = len(ids) - 2 * SIDE
         seen = self.parts[0][ids]
-        x = np.hstack([seen[o : o + n] for o in (*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1))])
-        return x, np.tanh(x @ self.parts[1] + self.parts[2])
+        z = np.broadcast_to(self.parts[2], (n, HIDDEN)).copy()
+        for k, o in enumerate(PLACES):
+            z += seen[o : o + n] @ self.parts[1][k * WIDTH : (k + 1) * WIDTH]
+        return seen, np.tanh(z, out=z)
 
 
 def by_class(class_of: np.ndarray):
@@ -259,7 +263,8 @@ def log_likelihoods(ids: np.ndarray, words: Lexicon, net: Network) -> np.ndarray
     cls = words.class_of[own]
     y = h @ out + out_bias
     y -= y.max(axis=1, keepdims=True)
-    total = y[np.arange(len(own)), cls] - np.log(np.exp(y).sum(axis=1))
+    total = y[np.arange(len(own)), cls]
+    total -= np.log(np.exp(y, out=y).sum(axis=1))
     order, runs = by_class(cls)
     sorted_h, sorted_own = h[order], own[order]
     for c, s, e in runs:
@@ -268,7 +273,8 @@ def log_likelihoods(ids: np.ndarray, words: Lexicon, net: Network) -> np.ndarray
             y = sorted_h[s:e] @ vectors[a:b].T + bias[a:b]
             y -= y.max(axis=1, keepdims=True)
             at = np.maximum(sorted_own[s:e] - 1 - a, 0)
-            total[order[s:e]] += y[np.arange(e - s), at] - np.log(np.exp(y).sum(axis=1))
+            part = y[np.arange(e - s), at]
+            total[order[s:e]] += part - np.log(np.exp(y, out=y).sum(axis=1))
     return np.where(own > 0, total, 0.0)
 
 
@@ -292,7 +298,7 @@ class Learner:
     def step(self, ids: np.ndarray) -> None:
         words, net = self.words, self.net
         _, inner, _, out, out_bias, vectors, bias = net.parts
-        x, h = net.hidden(ids)
+        seen, h = net.hidden(ids)
         own = ids[SIDE : len(ids) - SIDE]
         real = own > 0
         n = max(1, int(real.sum()))
@@ -323,16 +329,17 @@ class Learner:
                 self.move(6, slice(a, b), y.sum(axis=0))
         dh[order] += dh_within
         dz = dh * (1 - h * h)
-        dx = dz @ inner.T
-        seen = np.zeros((len(ids), WIDTH), np.float32)
-        for k, o in enumerate((*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1))):
-            seen[o : o + len(own)] += dx[:, k * WIDTH : (k + 1) * WIDTH]
+        back, d_inner = np.zeros_like(seen), np.empty_like(inner)
+        for k, o in enumerate(PLACES):
+            part = slice(k * WIDTH, (k + 1) * WIDTH)
+            d_inner[part] = seen[o : o + len(own)].T @ dz
+            back[o : o + len(own)] += dz @ inner[part].T
         by = np.argsort(ids.astype(np.uint16), kind="stable")
         begin = np.flatnonzero(np.concatenate([[True], ids[by][1:] != ids[by][:-1]]))
-        which, sums = ids[by][begin], np.add.reduceat(seen[by], begin, axis=0)
+        which, sums = ids[by][begin], np.add.reduceat(back[by], begin, axis=0)
         some = which > 0  # what stands beyond the ends stays 0
         self.move(0, which[some], sums[some])
-        self.move(1, slice(None), x.T @ dz)
+        self.move(1, slice(None), d_inner)
         self.move(2, slice(None), dz.sum(axis=0))
         self.move(3, slice(None), d_out)
         self.move(4, slice(None), d_out_bias)

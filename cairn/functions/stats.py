@@ -7,8 +7,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def descriptive(values: DataFrame, value: str, *keys: str) -> DataFrame:
@@ -41,16 +44,52 @@ def cliffs_delta(values: DataFrame, value: str, is_x: Column, *keys: str) -> Dat
     return summed.select(*keys, delta.alias("delta"), cliffs_label(delta).alias("effect"))
 
 
+def walsh_quantiles(values: np.ndarray, shares: tuple[float, ...]) -> list[float]:
+    """Quantiles, by linear interpolation, of the averages of all pairs i <= j of the values, without forming them: how many
+    averages are at most x is counted over the sorted values, and x is found by halving."""
+    d = np.sort(np.asarray(values, float))
+    n = len(d)
+    total = n * (n + 1) // 2
+
+    def at_most(x: float) -> tuple[int, float]:
+        """How many averages are at most x, and the greatest of them."""
+        last = np.searchsorted(d, 2 * x - d, "right")  # j with d_i + d_j <= 2 x, up to rounding
+        last -= (last > 0) & ((d + d[np.maximum(last - 1, 0)]) / 2 > x)
+        count = np.maximum(last - np.arange(n), 0)
+        some = count > 0
+        return int(count.sum()), float(((d[some] + d[last[some] - 1]) / 2).max()) if some.any() else -math.inf
+
+    def ranked(k: int) -> float:
+        """The k-th least average, from 0."""
+        low, high = d[0], d[-1]
+        for _ in range(200):
+            mid = low + (high - low) / 2
+            if not low < mid < high:
+                break
+            low, high = (low, mid) if at_most(mid)[0] > k else (mid, high)
+        return at_most(low)[1] if at_most(low)[0] > k else at_most(high)[1]
+
+    out = []
+    for share in shares:
+        place = share * (total - 1)
+        below = int(place)
+        a, b = ranked(below), ranked(min(below + 1, total - 1))
+        out.append(a + (place - below) * (b - a))
+    return out
+
+
 def hodges_lehmann(diffs: DataFrame, diff: str, *keys: str) -> DataFrame:
-    """(keys..., median_difference, ci_low, ci_high) from the Walsh averages of paired differences.
+    """(keys..., median_difference, ci_low, ci_high) from the Walsh averages of paired differences; a key's differences are
+    one task's, their averages are never formed."""
+    names = ("median_difference", "ci_low", "ci_high")
+    own = diffs.select(*keys, F.col(diff).cast("double").alias("d")).where("d IS NOT NULL")
+    schema = T.StructType([*own.schema.fields[:-1], *(T.StructField(n, T.DoubleType()) for n in names)])
 
-    Within a key the averages of d_i and d_j, i <= j, are made by a join on the key; a metric has a few hundred pairs.
-    """
-    own = diffs.select(*keys, F.col(diff).alias("d")).withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy("d")))
-    right = own.withColumnsRenamed({"d": "e", "i": "j"})
-    walsh = own.join(right, list(keys)).where("i <= j").select(*keys, ((F.col("d") + F.col("e")) / 2).alias("w"))
-    q = F.percentile("w", F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975)))
-    return walsh.groupBy(*keys).agg(q.alias("q")).select(*keys, *[F.col("q")[i].alias(n) for i, n in enumerate(("median_difference", "ci_low", "ci_high"))])
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        found = walsh_quantiles(rows.column("d").to_numpy(), (0.5, 0.025, 0.975))
+        return pa.table([*(pa.array([k.as_py()], k.type) for k in key), *(pa.array([v]) for v in found)], [*keys, *names])
+
+    return own.groupBy(*keys).applyInArrow(run, schema)
 
 
 def signed_ranks(diffs: DataFrame, diff: str, *keys: str) -> DataFrame:

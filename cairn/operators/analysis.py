@@ -39,10 +39,17 @@ def compare(pairs: DataFrame, alpha: float = 0.05) -> DataFrame:
     return stats.holm(out, "p", "metric", alpha=alpha)
 
 
-def by_task(trials: DataFrame, treated: str) -> DataFrame:
-    """(task_id, mean_engagement, quality_median): of the treated trials that aren't warm-ups."""
-    own = trials.where((F.col("repetition") > 0) & (F.col("condition") == treated))
-    return own.groupBy("task_id").agg(F.round(F.avg("engagement"), 4).alias("mean_engagement"), F.percentile(F.coalesce("composite_quality", F.lit(0.0)), F.lit(0.5)).alias("quality_median"))
+STATISTICS = ("median", "p25", "p75", "mean", "std", "n")
+
+
+def by_task(trials: DataFrame, treated: str, control: str) -> DataFrame:
+    """(task_id, mean_engagement, treated_*, control_*) over complete pairs: the treated trials' engagement, and the
+    statistics of both sides' quality, a missing one counting as 0."""
+    pairs = paired(trials, treated, control, ("engagement", "composite_quality"))
+    engaged = pairs.where("metric = 'engagement'").groupBy("task_id").agg(F.round(F.avg("x"), 4).alias("mean_engagement"))
+    quality = pairs.where("metric = 'composite_quality'")
+    side = lambda c, name: stats.descriptive(quality, c, "task_id").withColumnsRenamed({k: f"{name}_{k}" for k in STATISTICS})
+    return engaged.join(side("x", "treated"), "task_id").join(side("y", "control"), "task_id")
 
 
 def summary(trials: DataFrame, treated: str) -> DataFrame:

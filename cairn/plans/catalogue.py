@@ -6,6 +6,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +18,11 @@ from cairn.operators import analysis, trials
 from cairn.operators.chunking import chunk_files
 from cairn.operators.embedding import HashEmbedder, with_vectors
 from cairn.operators.lines import blocks, chunk_by_lines
-from cairn.operators.search import filtered, list_sources, nearest, nearest_batched
-from cairn.plans.sync import new_keys, status_of
-from cairn.schema import SearchOptions
+from cairn.operators.search import filtered, list_sources, nearest, nearest_batched, nearest_to_all
+from cairn.plans import serve
+from cairn.plans.store import ChunkStore
+from cairn.plans.sync import SyncResult, counts, new_keys, status_of
+from cairn.schema import ChunkOptions, SearchOptions
 from cairn.sources.artifacts import record_id, records
 
 QUERIES: dict = {}
@@ -91,6 +97,14 @@ def vector_topk_batched(spark, sf_dir):
     return nearest_batched(table(spark, sf_dir, "embeddings"), q, 10, "embedding").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
+@query(f"WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, {_L2} AS distance FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id), r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id))::INTEGER AS rank FROM d) SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5")
+def vector_topk_all(spark, sf_dir):
+    """Every vector whose id is divisible by 100 is asked against all others."""
+    rows = table(spark, sf_dir, "embeddings")
+    found = nearest_to_all(rows, rows.where("vec_id % 100 = 0"), 5, "embedding")
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 @query(f"WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), d AS (SELECT e.label, vec_id, round({_L2}, 6) AS distance FROM embeddings e, q) SELECT label, vec_id, distance, (row_number() OVER (PARTITION BY label ORDER BY distance, vec_id))::INTEGER AS rank FROM d QUALIFY rank <= 3")
 def vector_topk_per_group(spark, sf_dir):
     q, _ = _query_vector(spark, sf_dir)
@@ -119,14 +133,52 @@ def filters_pushed(spark, sf_dir):
 # Keys and sets
 
 
-@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def _item_chunks(spark, sf_dir):
+    """Benchmark items as Markdown files of five sources, chunked and embedded."""
+    items = table(spark, sf_dir, "benchmark")
+    source = F.concat(F.lit("s"), (F.col("item_id") % 5).cast("string"))
+    files = items.select(source.alias("source"), F.lit("v1").alias("source_version"), F.sha2(source, 256).alias("store_key"), F.concat(F.col("item_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("# Item\n"), "text").cast("binary").alias("content"))
+    return with_vectors(chunk_files(files), HashEmbedder("hash", 8))
+
+
+def _item_store(spark, sf_dir):
+    """A chunk table of the items in a folder of its own, removed when the session ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    path = f"{shared.rstrip('/')}/cairn-catalogue-{uuid.uuid4().hex}"
+    store = ChunkStore(spark, path, 8)
+    fs, place = store._fs(path)
+    fs.deleteOnExit(place)
+    store.upsert_all(_item_chunks(spark, sf_dir))
+    return store
+
+
+def _source_keys(n):
+    return {f"s{i}": hashlib.sha256(f"s{i}".encode()).hexdigest() for i in range(n)}
+
+
+@query("SELECT 's' || i AS source, i < 5 AND EXISTS (SELECT 1 FROM benchmark WHERE item_id % 5 = i) AS held FROM range(7) t(i)")
 def has_key(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    """Seven keys asked of a store that holds five."""
+    store = _item_store(spark, sf_dir)
+    return spark.createDataFrame([(name, store.has_key(key)) for name, key in _source_keys(7).items()], "source string, held boolean")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT 's' || (item_id % 5) AS source, 'v1' AS source_version, sha256('s' || (item_id % 5)) AS store_key, count(*) AS chunk_count FROM benchmark WHERE item_id % 5 IN (1, 3) GROUP BY ALL")
 def gc_unreferenced(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """What a store still lists after the keys that no lock refers to are gone; a key that isn't stored is no harm."""
+    store, keys = _item_store(spark, sf_dir), _source_keys(7)
+    dead = store.collect_garbage([keys["s1"], keys["s3"], keys["s6"]])
+    assert sorted(dead) == sorted(keys[k] for k in ("s0", "s2", "s4"))
+    return store.list_sources()
+
+
+@query("SELECT 's' || g AS source, CASE WHEN g = 2 THEN 'v2' ELSE 'v1' END AS source_version, sha256('s' || g) AS store_key, CASE WHEN g = 2 THEN 1 ELSE n END AS chunk_count FROM (SELECT item_id % 5 AS g, count(*) AS n FROM benchmark GROUP BY 1) WHERE g <> 4")
+def replace_and_delete(spark, sf_dir):
+    """One key replaced by a single chunk, one emptied; the others stay."""
+    store, keys = _item_store(spark, sf_dir), _source_keys(5)
+    store.upsert(keys["s2"], _item_chunks(spark, sf_dir).where("source = 's2'").orderBy("path").limit(1).withColumn("source_version", F.lit("v2")))
+    store.upsert(keys["s4"], store.chunks().limit(0))
+    return store.list_sources()
 
 
 @query("SELECT sha256(text) AS store_key, min(doc_id) AS id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id)) GROUP BY 1")
@@ -145,10 +197,15 @@ def status_join(spark, sf_dir):
     return status_of(deps, locked, stored).select("id", "version", "status")
 
 
-@query("SELECT source, sum(n)::BIGINT AS n FROM (SELECT source, count(*) AS n FROM documents GROUP BY source UNION ALL SELECT 'pages', count(*) FROM pages) GROUP BY source")
+@query(r"SELECT CASE item_id % 3 WHEN 0 THEN 'doc' ELSE 'code' END AS chunk_type, CASE item_id % 3 WHEN 0 THEN 'Item' WHEN 1 THEN 'f' || item_id ELSE item_id || '.txt' END AS breadcrumb, CASE item_id % 3 WHEN 0 THEN trim(text) WHEN 1 THEN 'def f' || item_id || E'():\n    return ' || repeat(chr(34), 3) || text || repeat(chr(34), 3) ELSE trim(text) END AS text FROM benchmark")
 def append_union(spark, sf_dir):
-    both = table(spark, sf_dir, "documents").select("source").unionByName(table(spark, sf_dir, "pages").select(F.lit("pages").alias("source")))
-    return both.groupBy("source").agg(F.count("*").alias("n"))
+    """Sections, declarations and line chunks of files of three kinds, in one table."""
+    n = F.col("item_id").cast("string")
+    kind = F.col("item_id") % 3
+    body = F.when(kind == 0, F.concat(F.lit("# Item\n"), "text")).when(kind == 1, F.concat(F.lit("def f"), n, F.lit('():\n    return """'), "text", F.lit('"""\n'))).otherwise(F.col("text"))
+    end = F.when(kind == 0, ".md").when(kind == 1, ".py").otherwise(".txt")
+    files = table(spark, sf_dir, "benchmark").select(F.concat(n, end).alias("path"), body.cast("binary").alias("content"))
+    return chunk_files(files).select("chunk_type", "breadcrumb", "text")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
@@ -201,19 +258,36 @@ def line_blocks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(b).alias("blocks"), F.sha2(F.array_join(b, "|"), 256).alias("digest"))
 
 
-@query("WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations), w AS (SELECT *, list_filter(regexp_split_to_array(before, '[\t\n ]+'), lambda x: x <> '') AS ws FROM c) SELECT conv_id, turn, CASE WHEN ws IS NULL OR len(ws) = 0 THEN text ELSE array_to_string(ws[greatest(len(ws) - 3, 1):], ' ') || chr(10) || chr(10) || text END AS text FROM w")
+@query(r"WITH w AS (SELECT item_id, trim(text) AS text, list_filter(regexp_split_to_array(text, '[\t\n\x0B\f\r ]+'), lambda x: x <> '') AS ws FROM benchmark) SELECT item_id, 0 AS chunk_index, 'One' AS breadcrumb, text FROM w UNION ALL SELECT item_id, 1, 'One > Two', array_to_string(ws[greatest(len(ws) - 3, 1):], ' ') || E'\n\nnext ' || item_id FROM w")
 def chunk_overlap(spark, sf_dir):
-    n = text.overlap_words(5)
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    own = table(spark, sf_dir, "conversations").withColumn("ws", text.words(before))
-    tail = F.array_join(F.slice("ws", F.greatest(F.size("ws") - n + 1, F.lit(1)), n), " ")
-    return own.select("conv_id", "turn", F.when(F.coalesce(F.size("ws"), F.lit(0)) > 0, F.concat(tail, F.lit("\n\n"), "text")).otherwise(F.col("text")).alias("text"))
+    """Two sections; the second begins with the first one's last words (5 tokens are 4 words)."""
+    body = F.concat(F.lit("# One\n"), "text", F.lit("\n## Two\nnext "), F.col("item_id").cast("string"))
+    files = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.col("item_id").cast("string"), F.lit(".md")).alias("path"), body.cast("binary").alias("content"))
+    return chunk_files(files, ChunkOptions(overlap=5)).select("item_id", "chunk_index", "breadcrumb", "text")
+
+
+@query(r"WITH p AS (SELECT item_id, unnest([1, 2, 3]) AS part, trim(text) AS text FROM benchmark) SELECT item_id, (part - 1)::INTEGER AS chunk_index, 'Long' AS breadcrumb, CASE part WHEN 2 THEN E'```\n# no heading\n\n' || text || E'\n```' ELSE part || ' ' || text END AS text FROM p")
+def markdown_split(spark, sf_dir):
+    """A section over the most tokens is split at its paragraphs; what stands in fences is neither heading nor paragraph's end."""
+    fenced = F.concat(F.lit("```\n# no heading\n\n"), F.trim("text"), F.lit("\n```"))
+    body = F.concat(F.lit("# Long\n1 "), F.trim("text"), F.lit("\n\n"), fenced, F.lit("\n\n3 "), F.trim("text"))
+    files = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.col("item_id").cast("string"), F.lit(".md")).alias("path"), body.cast("binary").alias("content"))
+    return chunk_files(files, ChunkOptions(least=0, most=12)).select("item_id", "chunk_index", "breadcrumb", "text")
+
 
+@query(r"SELECT item_id, 0 AS chunk_index, 'Short' AS breadcrumb, E'one\n\n' || trim(text) AS text FROM benchmark")
+def markdown_merge(spark, sf_dir):
+    """Two short sections of one heading path become one chunk."""
+    body = F.concat(F.lit("# Short\none\n# Short\n"), "text")
+    files = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.col("item_id").cast("string"), F.lit(".md")).alias("path"), body.cast("binary").alias("content"))
+    return chunk_files(files).select("item_id", "chunk_index", "breadcrumb", "text")
 
-@query("SELECT doc_id, CASE WHEN doc_id % 6 BETWEEN 1 AND 3 THEN (doc_id % 6)::INTEGER ELSE 0 END AS level, CASE WHEN doc_id % 6 BETWEEN 1 AND 3 THEN lang || ' #' ELSE '' END AS title FROM documents")
+
+@query("SELECT doc_id, CASE WHEN doc_id % 6 BETWEEN 1 AND 3 THEN (doc_id % 6)::INTEGER ELSE 0 END AS level, CASE WHEN doc_id % 6 BETWEEN 1 AND 3 THEN trim(string_split(text, chr(10))[1]) || ' #' ELSE '' END AS title FROM documents")
 def heading_parse(spark, sf_dir):
-    line = F.concat(F.repeat(F.lit("#"), (F.col("doc_id") % 6).cast("int")), F.lit(" \t"), "lang", F.lit(" # "))
-    level, title = text.heading(line)
+    """Each text's first line behind 0 to 5 signs; three levels count."""
+    line = F.concat(F.repeat(F.lit("#"), (F.col("doc_id") % 6).cast("int")), F.lit(" \t"), F.split("text", "\n")[0], F.lit(" # "))
+    level, title = text.heading(F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("x"), line)).otherwise(line))
     return table(spark, sf_dir, "documents").select("doc_id", level.alias("level"), title.alias("title"))
 
 
@@ -230,12 +304,26 @@ def markdown_chunks(spark, sf_dir):
     return chunk_files(files).select("doc_id", "breadcrumb", "chunk_type", "chunk_index", F.sha2("text", 256).alias("digest"))
 
 
-@query("SELECT doc_id, 'f' || doc_id || ' | ' || 'C' || doc_id AS breadcrumb, 0 AS chunk_index, 'python' AS language FROM documents")
+_PYTHON_SQL = r"SELECT item_id, 'import os' AS a, '@x' || chr(10) || 'def f' || item_id || E'():\n    return ' || q || text || q AS b, E'def g():\n    pass' AS c, 'class C' || item_id || E':\n    x = ' || q || text || q AS d FROM (SELECT *, repeat(chr(34), 3) AS q FROM benchmark)"
+
+
+def _python_files(spark, sf_dir):
+    """Three declarations around each text."""
+    n = F.col("item_id").cast("string")
+    body = F.concat(F.lit("import os\n\n@x\ndef f"), n, F.lit('():\n    return """'), "text", F.lit('"""\n\ndef g():\n    pass\n\nclass C'), n, F.lit(':\n    x = """'), "text", F.lit('"""\n'))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.concat(n, F.lit(".py")).alias("path"), body.cast("binary").alias("content"))
+
+
+@query(f"SELECT item_id, 0 AS chunk_index, 'python' AS language, 'f' || item_id || ' | g | C' || item_id AS breadcrumb, array_to_string([a, b, c, d], chr(10) || chr(10)) AS text FROM ({_PYTHON_SQL})")
 def code_chunks(spark, sf_dir):
-    n = F.col("doc_id").cast("string")
-    body = F.concat(F.lit("import os\n\n@x\ndef f"), n, F.lit("():\n    return 1\n\nclass C"), n, F.lit(":\n    pass\n")).cast("binary")
-    files = table(spark, sf_dir, "documents").select("doc_id", F.concat(n, F.lit(".py")).alias("path"), body.alias("content"))
-    return chunk_files(files).select("doc_id", "breadcrumb", "chunk_index", "language")
+    """Declarations packed into one chunk."""
+    return chunk_files(_python_files(spark, sf_dir)).select("item_id", "chunk_index", "language", "breadcrumb", "text")
+
+
+@query(f"SELECT item_id, unnest([0, 1, 2, 3]) AS chunk_index, unnest(['', 'f' || item_id, 'g', 'C' || item_id]) AS breadcrumb, unnest([a, b, c, d]) AS text FROM ({_PYTHON_SQL})")
+def code_split(spark, sf_dir):
+    """A target that each declaration goes over: each is a chunk, and so is what stands before them."""
+    return chunk_files(_python_files(spark, sf_dir), ChunkOptions(target=1)).select("item_id", "chunk_index", "breadcrumb", "text")
 
 
 # Identity
@@ -259,9 +347,11 @@ def store_key(spark, sf_dir):
     return identity.content_hash(_document_files(spark, sf_dir), "id").select("id", key.alias("store_key"))
 
 
-@query("SELECT sha256(text) AS digest, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT sha256(text) AS store_key, min(doc_id) AS id FROM documents GROUP BY 1")
 def dup_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+    """Of sources with one key the first does the work."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("store_key"))
+    return new_keys(docs, docs.limit(0))
 
 
 def _document_chunks(spark, sf_dir):
@@ -298,10 +388,12 @@ def ingest_search(spark, sf_dir):
 # Event logs and scores
 
 
-@query("SELECT event_type, count(*) AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS k_sum FROM events GROUP BY event_type")
+@query("SELECT event_type AS type, count(*) AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS turns FROM events WHERE event_id % 10 > 0 GROUP BY event_type")
 def json_event_metrics(spark, sf_dir):
-    k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.coalesce(k, F.lit(0))).alias("k_sum"))
+    """Events as lines of a log, one in ten of them broken."""
+    line = F.concat(F.lit('{"type":"'), "event_type", F.lit('","num_turns":'), F.coalesce(F.get_json_object("props", "$.k"), F.lit("null")), F.when(F.col("event_id") % 10 > 0, "}").otherwise(""))
+    lines = table(spark, sf_dir, "events").select(F.col("user_id").alias("trial_id"), F.col("event_id").alias("line_no"), line.alias("value"))
+    return trials.parse_events(lines).groupBy("type").agg(F.count("*").alias("n"), F.sum(F.coalesce("num_turns", F.lit(0))).alias("turns"))
 
 
 @query("SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS hits, round(coalesce(count(*) FILTER (WHERE event_type = 'purchase') / nullif(count(*), 0)::DOUBLE, 0), 6) AS share FROM events GROUP BY user_id")
@@ -310,25 +402,38 @@ def tool_ratio(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(hit.alias("hits"), F.round(trials.ratio(hit, F.count("*")), 6).alias("share"))
 
 
-@query("SELECT user_id, arg_max(event_type, event_id) AS last_type FROM events GROUP BY user_id")
+@query("SELECT user_id AS trial_id, arg_max(json_extract_string(props, '$.k')::BIGINT, event_id) AS num_turns FROM events WHERE event_type = 'purchase' GROUP BY user_id")
 def last_event(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last_type"))
+    """The last result event of each log counts; purchases are the results here."""
+    line = F.concat(F.lit('{"type":"result","num_turns":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    lines = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("trial_id"), F.col("event_id").alias("line_no"), line.alias("value"))
+    return trials.efficiency(trials.parse_events(lines)).select("trial_id", "num_turns")
 
 
-@query("SELECT user_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS types FROM events GROUP BY user_id")
+_TOOL = "CASE WHEN role <> 'assistant' THEN NULL WHEN length(text) % 2 = 0 THEN 'mcp__search' WHEN length(text) % 3 = 0 THEN 'WebFetch' ELSE 'mcp__read' END"
+
+
+@query(f"SELECT conv_id AS trial_id, coalesce(array_to_string(list_sort(list(DISTINCT tool) FILTER (WHERE starts_with(tool, 'mcp__'))), ','), '') AS tools FROM (SELECT conv_id, {_TOOL} AS tool FROM conversations) GROUP BY conv_id")
 def distinct_sorted(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("types"))
+    """The index's tools that each trial used, once each and in order."""
+    return trials.behavior(_log(spark, sf_dir)).select("trial_id", F.array_join("index_tools", ",").alias("tools"))
 
 
 def _log(spark, sf_dir):
-    """conversations as event logs: assistants call a tool in even turns, the last turn is the result."""
+    """conversations as event logs: assistants speak and call a tool, most calls have results, of either form; every turn
+    gives a broken line and a result event."""
     c = table(spark, sf_dir, "conversations")
-    name = F.when(F.length("text") % 2 == 0, "mcp__search").when(F.length("text") % 3 == 0, "WebFetch").otherwise("Read")
-    block = F.array(F.struct(F.lit("tool_use").alias("type"), F.col("turn").cast("string").alias("id"), name.alias("name")))
-    line = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.when(F.col("role") == "assistant", block).alias("content")).alias("message")))
+    name = F.when(F.length("text") % 2 == 0, "mcp__search").when(F.length("text") % 3 == 0, "WebFetch").otherwise("mcp__read")
+    none = F.lit(None).cast("string")
+    block = lambda kind, **own: F.struct(F.lit(kind).alias("type"), *[own.get(k, none).alias(k) for k in ("id", "name", "text", "tool_use_id", "content")])
+    said = F.when(F.col("role") == "assistant", F.array(block("text", text=F.concat(F.lit(" "), F.substring("text", 1, 20), F.lit(" "))), block("tool_use", id=F.col("turn").cast("string"), name=name)))
+    listed = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text")), F.struct(F.lit("text").alias("type"), F.lit("end").alias("text"))))
+    given = F.when((F.col("role") == "assistant") & (F.col("turn") % 4 != 3), F.array(block("tool_result", tool_use_id=F.col("turn").cast("string"), content=F.when(F.col("turn") % 3 == 0, listed).otherwise(F.col("text")))))
+    event = lambda kind, content: F.to_json(F.struct(kind.alias("type"), F.struct(content.alias("content")).alias("message")))
     result = F.to_json(F.struct(F.lit("result").alias("type"), F.lit(0.5).alias("total_cost_usd"), F.col("turn").alias("num_turns"), F.struct(F.length("text").alias("input_tokens"), F.lit(7).alias("cache_read_input_tokens")).alias("usage"), F.col("text").alias("result")))
-    rows = c.select(F.col("conv_id").alias("trial_id"), F.explode(F.array(F.struct((F.col("turn") * 3).alias("line_no"), line.alias("value")), F.struct((F.col("turn") * 3 + 1).alias("line_no"), F.lit("{broken").alias("value")), F.struct((F.col("turn") * 3 + 2).alias("line_no"), result.alias("value")))).alias("e"))
-    return trials.parse_events(rows.select("trial_id", "e.*"))
+    lines = [event(F.col("role"), said), F.lit("{broken"), event(F.lit("user"), given), result]
+    rows = c.select(F.col("conv_id").alias("trial_id"), F.inline(F.array(*[F.struct((F.col("turn") * 4 + i).alias("line_no"), x.alias("value")) for i, x in enumerate(lines)])))
+    return trials.parse_events(rows)
 
 
 @query("SELECT conv_id AS trial_id, 0.5::DOUBLE AS total_cost_usd, max(turn) AS num_turns, arg_max(length(text), turn) + 7 AS input_tokens, sha256(arg_max(text, turn)) AS response FROM conversations GROUP BY conv_id")
@@ -336,20 +441,19 @@ def event_efficiency(spark, sf_dir):
     return trials.efficiency(_log(spark, sf_dir)).select("trial_id", "total_cost_usd", "num_turns", "input_tokens", F.sha2("response", 256).alias("response"))
 
 
-@query("WITH a AS (SELECT conv_id, CASE WHEN role <> 'assistant' THEN NULL WHEN length(text) % 2 = 0 THEN 'mcp__search' WHEN length(text) % 3 = 0 THEN 'WebFetch' ELSE 'Read' END AS tool FROM conversations) SELECT conv_id AS trial_id, count(*) FILTER (WHERE tool = 'mcp__search') AS index_calls, count(*) FILTER (WHERE tool <> 'mcp__search') AS other_calls, count(tool) AS total_calls, count(*) FILTER (WHERE tool = 'WebFetch') AS web_calls, round(coalesce(count(*) FILTER (WHERE tool = 'mcp__search') / nullif(count(tool), 0)::DOUBLE, 0), 6) AS engagement FROM a GROUP BY conv_id")
+@query(f"WITH a AS (SELECT conv_id, {_TOOL} AS tool FROM conversations) SELECT conv_id AS trial_id, count(*) FILTER (WHERE starts_with(tool, 'mcp__')) AS index_calls, count(*) FILTER (WHERE NOT starts_with(tool, 'mcp__')) AS other_calls, count(tool) AS total_calls, count(*) FILTER (WHERE tool = 'WebFetch') AS web_calls, round(coalesce(count(*) FILTER (WHERE starts_with(tool, 'mcp__')) / nullif(count(tool), 0)::DOUBLE, 0), 6) AS engagement FROM a GROUP BY conv_id")
 def event_behavior(spark, sf_dir):
     return trials.behavior(_log(spark, sf_dir)).drop("index_tools").withColumn("engagement", F.round("engagement", 6))
 
 
-@query("SELECT conv_id AS trial_id, turn::VARCHAR AS id, 0 AS output_length FROM conversations WHERE role = 'assistant'")
+@query(f"WITH o AS (SELECT conv_id AS trial_id, turn::VARCHAR AS id, {_TOOL} AS tool, CASE WHEN turn % 4 = 3 THEN '' WHEN turn % 3 = 0 THEN text || chr(10) || 'end' ELSE text END AS output FROM conversations WHERE role = 'assistant') SELECT trial_id, id, tool, length(output)::INTEGER AS output_length, sha256(CASE WHEN length(output) > 500 THEN substr(output, 1, 500) || '...' ELSE output END) AS preview FROM o")
 def tool_calls(spark, sf_dir):
-    return trials.tool_calls(_log(spark, sf_dir)).select("trial_id", "id", "output_length")
+    return trials.tool_calls(_log(spark, sf_dir)).select("trial_id", "id", "tool", "output_length", F.sha2("output_preview", 256).alias("preview"))
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id")
+@query(f"WITH p AS (SELECT conv_id, turn, 0 AS k, '## Assistant' || chr(10) || chr(10) || trim(substr(text, 1, 20)) || chr(10) AS part FROM conversations WHERE role = 'assistant' AND trim(substr(text, 1, 20)) <> '' UNION ALL SELECT conv_id, turn, 1, '**Tool call:** `' || {_TOOL} || '`' || chr(10) FROM conversations WHERE role = 'assistant' UNION ALL SELECT conv_id, turn, 2, '## Final Response' || chr(10) || chr(10) || text || chr(10) FROM conversations WHERE text <> '') SELECT conv_id AS trial_id, sha256('# Conversation Transcript' || chr(10) || chr(10) || string_agg(part, chr(10) ORDER BY turn, k)) AS transcript FROM p GROUP BY conv_id")
 def transcript(spark, sf_dir):
-    parts = F.sort_array(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("part"))))
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["part"]), "\n").alias("transcript"))
+    return trials.transcripts(_log(spark, sf_dir)).select("trial_id", F.sha2("transcript", 256).alias("transcript"))
 
 
 @query("SELECT doc_id, round(CASE WHEN lang = 'en' THEN (1.0 * regexp_matches(text, 'the', 'i')::INTEGER + 2.0 * regexp_matches(text, 'licensed under', 'i')::INTEGER) / 3.0 WHEN lang = 'fr' THEN regexp_matches(text, ' (dans|pour) ', 'i')::INTEGER ELSE 1.0 END::DOUBLE, 6) AS fact_score FROM documents")
@@ -359,18 +463,22 @@ def fact_score(spark, sf_dir):
     return trials.fact_scores(docs, facts, "doc_id").select("doc_id", F.round("fact_score", 6).alias("fact_score"))
 
 
-@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 0.5 WHEN lang = 'fr' THEN 1.0 WHEN lang = 'de' THEN 0.0 ELSE 1.0 END::DOUBLE AS structure_score FROM documents")
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN (CASE WHEN doc_id % 2 = 0 THEN 0.5 ELSE 0.0 END) WHEN lang = 'fr' THEN (CASE WHEN doc_id % 2 = 0 THEN 1.0 ELSE 0.0 END) WHEN lang = 'de' THEN 0.0 ELSE 1.0 END::DOUBLE AS structure_score FROM documents")
 def structure_score(spark, sf_dir):
+    """Checks of each text, every second one with a block of YAML that quotes it."""
     checks = spark.createDataFrame([("en", "contains_code_block", None, None), ("en", "kind", "Other", None), ("fr", "required_field", None, "spec.lang"), ("de", "api_version", "v2", None)], "task_id string, type string, expected string, field string")
-    body = F.concat(F.lit("```yaml\napiVersion: v1\nkind: Doc\nspec:\n  lang: "), "lang", F.lit("\n```\n"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("task_id"), body.alias("response"))
+    quoted = F.concat(F.lit("```yaml\napiVersion: v1\nkind: Doc\nspec:\n  lang: "), "lang", F.lit("\n  text: "), F.to_json(F.struct("text")), F.lit("\n```\n"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("task_id"), F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n"), quoted)).otherwise("")).alias("response"))
     return trials.structure_scores(docs, checks, "doc_id")
 
 
-@query("SELECT doc_id, contains(text, '!!') AS shouted FROM documents")
+@query("SELECT doc_id, (doc_id % 3 = 0)::INTEGER::DOUBLE AS structure_score FROM documents")
 def code_block_check(spark, sf_dir):
-    fenced = F.when(F.contains("text", F.lit("!!")), F.concat(F.lit("```x\n"), "text", F.lit("```"))).otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_like(fenced, F.lit(r"(?s)```\w*\n.*?```")).alias("shouted"))
+    """A fence that is closed, one that isn't, and none."""
+    fence = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("```x\n"), "text", F.lit("```"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```x\n"), "text")).otherwise(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("t").alias("task_id"), fence.alias("response"))
+    checks = spark.createDataFrame([("t", "contains_code_block", None, None)], "task_id string, type string, expected string, field string")
+    return trials.structure_scores(docs, checks, "doc_id")
 
 
 @query("SELECT doc_id, round(CASE WHEN toxic = 1 THEN (0.3 * quality + 0.3 * 0.5) / 0.6 ELSE 0.3 * quality + 0.3 * 0.5 + 0.4 * (4 - 1) / 4.0 END::DOUBLE, 6) AS composite FROM labels")
@@ -441,15 +549,16 @@ def holm(spark, sf_dir):
     return stats.holm(tests, "p", "user_id").select("user_id", F.round("p_corrected", 5).alias("p_corrected"), "significant")
 
 
-_TRIALS_SQL = "SELECT c_mktsegment AS task_id, c_nationkey AS repetition, CASE o_orderstatus WHEN 'O' THEN 'with' ELSE 'without' END AS condition, count(*) AS num_turns, round(sum(o_totalprice), 2) AS total_cost_usd FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' GROUP BY 1, 2, 3"
+_TRIALS_SQL = "SELECT c_mktsegment AS task_id, c_nationkey AS repetition, CASE o_orderstatus WHEN 'O' THEN 'with' ELSE 'without' END AS condition, count(*) AS num_turns, round(sum(o_totalprice), 2) AS total_cost_usd FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P' AND NOT (o_orderstatus = 'O' AND c_nationkey % 7 = 3) GROUP BY 1, 2, 3"
 
 
 def _trials(spark, sf_dir):
-    """One trial for each segment, nation and order status; nation 0 is a warm-up."""
+    """One trial for each segment, nation and order status; nation 0 is a warm-up, some nations lack the treated side."""
     o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.where("NOT (o_orderstatus = 'O' AND c_nationkey % 7 = 3)")
     side = F.when(F.col("o_orderstatus") == "O", "with").otherwise("without")
     out = o.groupBy(F.col("c_mktsegment").alias("task_id"), F.col("c_nationkey").alias("repetition"), side.alias("condition")).agg(F.count("*").alias("num_turns"), F.round(F.sum("o_totalprice"), 2).alias("total_cost_usd"))
-    return out.withColumns({"trial_order": F.lit(0), "engagement": F.col("num_turns") / 100, "index_calls": F.col("num_turns") - 5, "composite_quality": F.lit(None).cast("double")})
+    return out.withColumns({"trial_order": F.lit(0), "engagement": F.col("num_turns") / 100, "index_calls": F.col("num_turns") - 5, "composite_quality": F.when(F.col("num_turns") % 5 > 0, F.col("num_turns") / 8)})
 
 
 @query(f"WITH t AS ({_TRIALS_SQL}), b AS (SELECT x.task_id, x.repetition, x.num_turns AS nx, y.num_turns AS ny, x.total_cost_usd AS cx, y.total_cost_usd AS cy FROM t x JOIN t y USING (task_id, repetition) WHERE x.condition = 'with' AND y.condition = 'without' AND repetition > 0) SELECT task_id, repetition, 'num_turns' AS metric, nx::DOUBLE AS x, ny::DOUBLE AS y FROM b UNION ALL SELECT task_id, repetition, 'total_cost_usd', cx, cy FROM b")
@@ -462,9 +571,14 @@ def incomplete_pairs(spark, sf_dir):
     return analysis.incomplete(_trials(spark, sf_dir))
 
 
-@query(f"WITH t AS ({_TRIALS_SQL}) SELECT task_id, round(avg(num_turns / 100.0::DOUBLE), 4) AS mean_engagement, 0.0::DOUBLE AS quality_median FROM t WHERE repetition > 0 AND condition = 'with' GROUP BY task_id")
+_BOTH_SQL = f"WITH t AS (SELECT *, CASE WHEN num_turns % 5 > 0 THEN num_turns / 8.0::DOUBLE ELSE 0 END AS quality FROM ({_TRIALS_SQL}) WHERE repetition > 0), b AS (SELECT x.task_id, x.num_turns / 100.0::DOUBLE AS engagement, x.quality AS x, y.quality AS y FROM t x JOIN t y USING (task_id, repetition) WHERE x.condition = 'with' AND y.condition = 'without')"
+_SIDE_SQL = "median({0}) AS {1}_median, quantile_cont({0}, 0.25) AS {1}_p25, quantile_cont({0}, 0.75) AS {1}_p75, round(avg({0}), 6) AS {1}_mean, round(coalesce(stddev_samp({0}), 0), 6) AS {1}_std, count(*) AS {1}_n"
+
+
+@query(f"{_BOTH_SQL} SELECT task_id, round(avg(engagement), 4) AS mean_engagement, {_SIDE_SQL.format('x', 'treated')}, {_SIDE_SQL.format('y', 'control')} FROM b GROUP BY task_id")
 def task_summary(spark, sf_dir):
-    return analysis.by_task(_trials(spark, sf_dir), "with")
+    out = analysis.by_task(_trials(spark, sf_dir), "with", "without")
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith(("_mean", "_std"))})
 
 
 @query(f"WITH t AS ({_TRIALS_SQL}) SELECT count(*) AS trials, round(count(*) FILTER (WHERE condition = 'with' AND num_turns > 5) / (count(*) FILTER (WHERE condition = 'with'))::DOUBLE, 6) AS engaged_share, round(sum(total_cost_usd), 2) AS total_cost_usd FROM t WHERE repetition > 0")
@@ -473,21 +587,36 @@ def run_summary(spark, sf_dir):
     return out.select("trials", F.round("engaged_share", 6).alias("engaged_share"), "total_cost_usd")
 
 
-@query("SELECT c_mktsegment AS metric, count(DISTINCT c_nationkey) AS n FROM customer GROUP BY 1")
+_SIDES_SQL = "SELECT metric, a AS x, coalesce(b, 0) AS y, round(a, 6) - round(coalesce(b, 0), 6) AS d FROM (SELECT c_mktsegment AS metric, c_nationkey AS nation, avg(c_acctbal) AS a FROM customer GROUP BY 1, 2) LEFT JOIN (SELECT s_nationkey, avg(s_acctbal) AS b FROM supplier GROUP BY 1) ON s_nationkey = nation"
+
+
+@query(f"""WITH p AS ({_SIDES_SQL}), side AS (SELECT metric, round(median(x), 4) AS x_median, round(quantile_cont(y, 0.75), 4) AS y_p75, round(stddev_samp(y), 4) AS y_std, count(*) AS n FROM p GROUP BY metric),
+r AS (SELECT metric, d, rank() OVER (PARTITION BY metric ORDER BY abs(d)) + (count(*) OVER (PARTITION BY metric, abs(d)) - 1) / 2.0 AS r FROM p WHERE d <> 0),
+w AS (SELECT metric, round(least(coalesce(sum(r) FILTER (WHERE d > 0), 0), coalesce(sum(r) FILTER (WHERE d < 0), 0))::DOUBLE, 3) AS w FROM r GROUP BY metric),
+c AS (SELECT a.metric, round(sum(CASE WHEN a.x > b.y THEN 1.0 WHEN a.x < b.y THEN -1.0 ELSE 0 END)::DOUBLE / count(*), 6) AS delta FROM p a JOIN p b ON a.metric = b.metric GROUP BY a.metric),
+i AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY d) AS i FROM p), h AS (SELECT a.metric, median((a.d + b.d) / 2) AS hl, quantile_cont((a.d + b.d) / 2, 0.025) AS low FROM i a JOIN i b ON a.metric = b.metric AND a.i <= b.i GROUP BY a.metric)
+SELECT metric, n, x_median, y_p75, y_std, w, delta, round(hl, 2) AS median_difference, round(low, 2) AS ci_low FROM side JOIN w USING (metric) JOIN c USING (metric) JOIN h USING (metric)""")
 def compare_metrics(spark, sf_dir):
-    """All statistics of the paired comparison at once."""
+    """The statistics of the paired comparison; the tests hold p against enumeration."""
     s = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.avg("s_acctbal").alias("y"))
     c = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("metric"), "c_nationkey").agg(F.avg("c_acctbal").alias("x"))
-    pairs = c.join(s, F.col("c_nationkey") == F.col("s_nationkey"), "left").select("metric", "x", F.coalesce("y", F.lit(0.0)).alias("y"))
-    return analysis.compare(pairs).select("metric", F.col("x_n").alias("n"))
+    pairs = c.join(s, F.col("c_nationkey") == F.col("s_nationkey"), "left").select("metric", F.round("x", 6).alias("x"), F.round(F.coalesce("y", F.lit(0.0)), 6).alias("y"))
+    out = analysis.compare(pairs)
+    return out.select("metric", F.col("x_n").alias("n"), *[F.round(a, d).alias(b) for a, b, d in (("x_median", "x_median", 4), ("y_p75", "y_p75", 4), ("y_std", "y_std", 4), ("W", "w", 3), ("delta", "delta", 6), ("median_difference", "median_difference", 2), ("ci_low", "ci_low", 2))])
 
 
-@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+@query("SELECT CASE WHEN toxic = 1 THEN 'error' WHEN quality = 1 THEN 'synced' ELSE 'skipped' END AS status, count(*) AS n FROM labels GROUP BY 1 UNION ALL SELECT 'none', 0")
 def status_counters(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    """A sync's results counted by status; labels stand for the results of a manifest."""
+    told = F.when(F.col("toxic") == 1, "error").when(F.col("quality") == 1, "synced").otherwise("skipped")
+    results = [SyncResult(str(r["doc_id"]), r["status"]) for r in table(spark, sf_dir, "labels").select("doc_id", told.alias("status")).toLocalIterator()]
+    return spark.createDataFrame([(k, n) for k, n in counts(results).items() if n] + [("none", counts([])["error"])], "status string, n long")
 
 
-@query(f"WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), t AS (SELECT vec_id, label, round({_L2}, 6) AS d FROM embeddings e, q ORDER BY d, vec_id LIMIT 5) SELECT printf('--- Result %d (score: %.3f) --- vec %d, label %d', row_number() OVER (ORDER BY d, vec_id), 1 - d, vec_id, label) AS line FROM t")
+@query(f"WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), t AS (SELECT vec_id, label, round({_L2}, 6) AS d FROM embeddings e, q ORDER BY d, vec_id LIMIT 5), f AS (SELECT row_number() OVER (ORDER BY d, vec_id) AS i, printf(E'\n--- Result %d (score: %.3f) ---\nSource: s%d', row_number() OVER (ORDER BY d, vec_id), 1 - d, label) || CASE WHEN label % 2 = 0 THEN ' @ v2' ELSE '' END || printf(E'\nPath: %d\nSection: top\nType: doc\n\nvector %d\n', vec_id, vec_id) AS part FROM t) SELECT E'Found 5 results:\n' || string_agg(part, '' ORDER BY i) AS text FROM f")
 def format_results(spark, sf_dir):
-    rank = F.row_number().over(Window.orderBy("distance", "vec_id"))  # five rows
-    return vector_topk(spark, sf_dir).select(F.format_string("--- Result %d (score: %.3f) --- vec %d, label %d", rank, "score", "vec_id", "label").alias("line"))
+    """What the search tool answers, for the five nearest vectors as chunks."""
+    n = F.col("vec_id").cast("string")
+    version = F.when(F.col("label") % 2 == 0, "v2").otherwise("")
+    rows = vector_topk(spark, sf_dir).select("score", F.concat(F.lit("s"), F.col("label").cast("string")).alias("source"), version.alias("source_version"), n.alias("path"), F.lit("top").alias("breadcrumb"), F.lit("doc").alias("chunk_type"), F.lit("").alias("language"), F.concat(F.lit("vector "), n).alias("text"), "distance", "vec_id")
+    return spark.createDataFrame([(serve.format_results(rows.orderBy("distance", "vec_id").collect()),)], "text string")

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import json
 import random
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
-from cairn.operators import analysis
+from cairn.operators import analysis, trials
+from cairn.sources import trials as records
+from cairn.sources.config import write_text
 
 SCHEDULE = "trial_order int, task_id string, condition string, repetition int, is_warmup boolean, condition_order string"
 
@@ -23,6 +28,7 @@ class RunConfig:
     seed: int | None = None
     treated: str = "with"
     control: str = "without"
+    weights: tuple[float, float, float] = (0.3, 0.3, 0.4)  # of facts, structure and the judge
 
 
 def schedule(config: RunConfig) -> list[tuple]:
@@ -45,6 +51,49 @@ def schedule_table(spark: SparkSession, config: RunConfig) -> DataFrame:
     return spark.createDataFrame(schedule(config), SCHEDULE)
 
 
+def evaluate(spark: SparkSession, run: str, tasks: str, config: RunConfig, judge: Callable[[str, str, str, str], list[tuple[int, str]]] | None = None, force: bool = False) -> dict[str, int]:
+    """Score a run's trials and write the scores back into their records; gives how many were evaluated and skipped.
+
+    Warm-ups, trials that have scores (unless ``force``), and those without a rubric or a response are skipped. ``judge``
+    takes (response, prompt, reference, criteria) and gives its calls' scores and reasons; without one, or where it fails,
+    its weight is dealt to the other two.
+    """
+    found = [p for p in sorted(Path(run).glob("*/*.json")) if "-tools" not in p.stem and "-transcript" not in p.stem]
+    rows, held, skipped = [], {}, 0
+    for path in found:
+        data = json.loads(path.read_text())
+        meta, quality = data["meta"], data.setdefault("quality", {})
+        response = Path(run, (data.get("artifacts") or {}).get("response") or "-")
+        scored = quality.get("fact_score") is not None and not force
+        if meta["repetition"] == 0 or scored or not Path(tasks, f"{meta['task_id']}.rubric.yaml").exists() or not response.is_file():
+            skipped += 1
+            continue
+        held[str(path)] = data
+        rows.append((str(path), meta["task_id"], response.read_text()))
+    if rows:
+        responses = spark.createDataFrame(rows, "path string, task_id string, response string")
+        facts, checks = records.read_rubrics(spark, tasks, sorted({r[1] for r in rows}))
+        answers = [(path, i, score, why) for path, task, text in rows for i, (score, why) in enumerate(_judged(judge, tasks, task, text))]
+        judged = trials.judge_median(spark.createDataFrame(answers, "path string, call int, score int, reasoning string"), "path")
+        scores = trials.fact_scores(responses, facts, "path").join(trials.structure_scores(responses, checks, "path"), "path").join(judged, "path", "left")
+        scores = scores.withColumn("composite", trials.composite(F.col("fact_score"), F.col("structure_score"), F.col("judge_score").cast("double"), config.weights))
+        for r in scores.collect():  # one row for each trial
+            data = held[r["path"]]
+            data["quality"] |= {"fact_score": round(r["fact_score"], 4), "structure_score": round(r["structure_score"], 4), "judge_score": r["judge_score"], "judge_reasoning": r["judge_reasoning"], "composite_quality": round(r["composite"], 4)}
+            write_text(r["path"], json.dumps(data, indent=2))
+    return {"evaluated": len(rows), "skipped": skipped}
+
+
+def _judged(judge, tasks: str, task: str, response: str) -> list[tuple[int, str]]:
+    rubric = records.read_rubric(tasks, task)
+    if judge is None or not rubric.get("judge_criteria"):
+        return []
+    try:
+        return judge(response, records.read_prompt(tasks, task), records.read_reference(tasks, rubric.get("reference_answer") or ""), rubric["judge_criteria"])
+    except Exception:  # noqa: BLE001  a judge that fails is no judge
+        return []
+
+
 def analyze(trials: DataFrame, config: RunConfig, alpha: float = 0.05) -> dict:
     """The report of a run as plain values; None if no pair is complete."""
     scored = not trials.where("composite_quality IS NOT NULL").isEmpty()
@@ -63,10 +112,16 @@ def analyze(trials: DataFrame, config: RunConfig, alpha: float = 0.05) -> dict:
         "config": {k: list(v) if isinstance(v, tuple) else v for k, v in asdict(config).items()},
         "summary": told.asDict() | {"incomplete_pairs": analysis.incomplete(trials).count()},
         "per_metric": per_metric,
-        "per_task": {r["task_id"]: r.asDict() for r in analysis.by_task(trials, config.treated).orderBy("task_id").collect()},
+        "per_task": {r["task_id"]: _task(r, scored) for r in analysis.by_task(trials, config.treated, config.control).orderBy("task_id").collect()},
     }
 
 
+def _task(r: Row, scored: bool) -> dict:
+    side = lambda s: {"median": r[f"{s}_median"], "iqr": [r[f"{s}_p25"], r[f"{s}_p75"]], "mean": r[f"{s}_mean"], "std": r[f"{s}_std"], "n": r[f"{s}_n"]}
+    none = {"median": 0.0, "iqr": [0.0, 0.0], "mean": 0.0, "std": 0.0, "n": 0}
+    return {"mean_engagement": r["mean_engagement"], "quality_treated": side("treated") if scored else none, "quality_control": side("control") if scored else none}
+
+
 def shown(value: float, metric: str) -> str:
     if "cost" in metric:
         return f"${value:.3f}"
@@ -84,6 +139,6 @@ def report_markdown(run: str, report: dict) -> str:
     out = [f"# Evaluation report: {run}", "", f"- Trials: {s['trials']}", f"- Incomplete pairs: {s['incomplete_pairs']}", f"- Engaged share: {s['engaged_share']:.1%}", f"- Total cost: ${s['total_cost_usd'] or 0:.2f}", ""]
     out += ["| Metric | Treated (median) | Control (median) | Cliff's d | Effect | p (corrected) | Sig. |", "|---|---|---|---|---|---|---|"]
     out += [f"| {m} | {shown(d['treated']['median'], m)} | {shown(d['control']['median'], m)} | {d['cliffs_delta']:.3f} | {d['effect']} | {d['p_corrected']:.4f} | {'*' if d['significant'] else ''} |" for m, d in report["per_metric"].items()]
-    out += ["", "| Task | Engagement | Quality (median) |", "|---|---|---|"]
-    out += [f"| {t} | {d['mean_engagement']:.1%} | {d['quality_median']:.3f} |" for t, d in report["per_task"].items()]
+    out += ["", "| Task | Engagement | Quality, treated (median) | Quality, control (median) |", "|---|---|---|---|"]
+    out += [f"| {t} | {d['mean_engagement']:.1%} | {d['quality_treated']['median']:.3f} | {d['quality_control']['median']:.3f} |" for t, d in report["per_task"].items()]
     return "\n".join(out) + "\n"

@@ -20,19 +20,29 @@ def read_trials(spark: SparkSession, run: str, schema=None) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """(trial_id, line_no, value): trial_id is the log's file name, line_no its line's place."""
-    text = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_name", r"\A(.*?)(?:\.ndjson|\.jsonl)?\z", 1).alias("trial_id"), "value")
-    return text.select("trial_id", F.posexplode(F.split(F.trim("value"), "\r?\n")).alias("line_no", "value"))
+    """(trial_id, line_no, value): trial_id is the log's file name; line_no rises with the lines of a log, not one by one.
 
+    Long logs are read in splits: the number is the split's first byte and the line's number in its task. A task reads no
+    more bytes than a full split has, so what comes before a split never reaches its numbers.
+    """
+    name = F.regexp_extract("_metadata.file_name", r"\A(.*?)(?:\.ndjson|\.jsonl)?\z", 1)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_metadata.file_block_start")
+    lines = spark.read.text(path).select(name.alias("trial_id"), place.alias("line_no"), F.regexp_replace("value", "\r\\z", "").alias("value"))
+    return lines.where(F.trim("value") != "")
 
-def read_rubrics(spark: SparkSession, folder: str, tasks: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(facts, checks) of the tasks' rubric files; a task without a file has none."""
+
+def read_rubric(folder: str, task: str) -> dict:
     import yaml
 
+    path = Path(folder, f"{task}.rubric.yaml")
+    return (yaml.safe_load(path.read_text()) or {}) if path.exists() else {}
+
+
+def read_rubrics(spark: SparkSession, folder: str, tasks: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(facts, checks) of the tasks' rubric files; a task without a file has none."""
     facts, checks = [], []
     for task in tasks:
-        path = Path(folder, f"{task}.rubric.yaml")
-        data = yaml.safe_load(path.read_text()) if path.exists() else {}
+        data = read_rubric(folder, task)
         for f in data.get("required_facts") or []:
             facts.append((task, f["pattern"], f.get("description", ""), float(f.get("weight", 1.0))))
         for c in data.get("structure_checks") or []:

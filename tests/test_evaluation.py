@@ -100,6 +100,59 @@ def test_hodges_lehmann(spark):
     assert [got[c] for c in ("median_difference", "ci_low", "ci_high")] == pytest.approx([np.median(walsh), np.percentile(walsh, 2.5), np.percentile(walsh, 97.5)])
 
 
+def test_walsh_quantiles_equal_all_pairs():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 10, 57, 200):
+        for own in (rng.normal(size=n), rng.integers(-3, 4, n).astype(float), np.zeros(n)):
+            walsh = [(a + b) / 2 for i, a in enumerate(sorted(own)) for b in sorted(own)[i:]]
+            assert stats.walsh_quantiles(own, (0.5, 0.025, 0.975, 0.0, 1.0)) == pytest.approx([np.percentile(walsh, q) for q in (50, 2.5, 97.5, 0, 100)], abs=1e-12)
+
+
+def test_long_logs_keep_their_order(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / f"logs/{name}.ndjson").write_text("\r\n".join(f'{{"type": "x{i}"}}' for i in range(3000)) + "\r\n\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = readers.read_events(spark, f"file://{tmp_path}/logs").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name in ("a", "b"):
+        own = sorted((r["line_no"], r["value"]) for r in rows if r["trial_id"] == name)
+        assert [v for _, v in own] == [f'{{"type": "x{i}"}}' for i in range(3000)] and len({n for n, _ in own}) == 3000
+
+
+def test_evaluate_scores_once_and_writes_back(spark, tmp_path):
+    run, tasks = tmp_path / "run", tmp_path / "tasks"
+    (run / "t1").mkdir(parents=True)
+    (run / "t2").mkdir()
+    tasks.mkdir()
+    (tasks / "t1.rubric.yaml").write_text("required_facts:\n- {pattern: alpha, weight: 1}\n- {pattern: beta, weight: 3}\nstructure_checks:\n- {type: contains_code_block}\njudge_criteria: fair\n")
+    (tasks / "t1.md").write_text("Say alpha.")
+    trial = lambda task, rep, response, **quality: json.dumps({"meta": {"task_id": task, "condition": "with", "repetition": rep}, "quality": quality, "artifacts": {"response": response}})
+    (run / "t1/with-0.json").write_text(trial("t1", 0, "t1/r.md"))
+    (run / "t1/with-1.json").write_text(trial("t1", 1, "t1/r.md"))
+    (run / "t1/with-2.json").write_text(trial("t1", 2, "t1/r.md", fact_score=0.5))
+    (run / "t1/with-3.json").write_text(trial("t1", 3, "t1/none.md"))
+    (run / "t1/with-1-tools.json").write_text("[]")
+    (run / "t2/with-1.json").write_text(trial("t2", 1, "t1/r.md"))
+    (run / "t1/r.md").write_text("Alpha here\n```\nx\n```\n")
+    asked = []
+
+    def judge(response, prompt, reference, criteria):
+        asked.append((prompt, criteria))
+        return [(3, "fair"), (5, "good"), (5, "fine")]
+
+    read = lambda name: json.loads((run / name).read_text())["quality"]
+    config = evaluation.RunConfig(tasks=("t1",))
+    assert evaluation.evaluate(spark, str(run), str(tasks), config, judge) == {"evaluated": 1, "skipped": 4} and asked == [("Say alpha.", "fair")]
+    assert read("t1/with-1.json") == {"fact_score": 0.25, "structure_score": 1.0, "judge_score": 5, "judge_reasoning": "good", "composite_quality": round(0.3 * 0.25 + 0.3 + 0.4, 4)}
+    assert read("t1/with-0.json") == {} and read("t1/with-2.json") == {"fact_score": 0.5}
+    assert evaluation.evaluate(spark, str(run), str(tasks), config) == {"evaluated": 0, "skipped": 5}
+    assert evaluation.evaluate(spark, str(run), str(tasks), config, force=True) == {"evaluated": 2, "skipped": 3}
+    assert read("t1/with-2.json")["composite_quality"] == round((0.3 * 0.25 + 0.3) / 0.6, 4) and read("t1/with-2.json")["judge_score"] is None
+
+
 def test_wilcoxon(spark):
     rows = [("a", v) for v in (1.5, -0.5, 2.0, 3.0, 0.0, -1.0)] + [("z", 0.0)] + [("t", v) for v in (1.0, 1.0, -1.0, 2.0)]
     got = {r["m"]: r for r in stats.wilcoxon(values(spark, rows), "v", "m").collect()}
@@ -143,7 +196,7 @@ def test_analysis_and_report(spark):
     assert set(report["per_metric"]) == set(analysis.METRICS + analysis.QUALITY)
     assert report["summary"]["trials"] == 11 and report["summary"]["incomplete_pairs"] == 1 and report["summary"]["engaged_share"] == 1.0
     assert report["summary"]["total_cost_usd"] == round(statistics.fsum(r[4] for r in trial_rows() if r[1] > 0), 2)
-    assert report["per_task"]["t1"]["mean_engagement"] == 0.4 and report["per_task"]["t1"]["quality_median"] == 1.0
+    assert report["per_task"]["t1"]["mean_engagement"] == 0.4 and report["per_task"]["t1"]["quality_treated"]["median"] == 1.0 and report["per_task"]["t2"]["quality_control"] == {"median": 0.0, "iqr": [0.0, 0.0], "mean": 0.0, "std": 0.0, "n": 2}
     text = evaluation.report_markdown("run", report)
     assert "| total_cost_usd | $2.200 |" in text and json.loads(evaluation.report_json(report)) and "| input_tokens | 200 |" in text
     assert set(evaluation.analyze(spark.createDataFrame(trial_rows(), TRIALS), config)["per_metric"]) == set(analysis.METRICS)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import bounded_batches, materialize, partitions
+from cairn.llm.common import bounded_batches, join_counted, materialize, partitions
 from cairn.llm.suffix_dedup import by_bucket, dealt, unpack
 
 SEED = 42
@@ -179,6 +179,25 @@ def run_links(keys: np.ndarray, fps: np.ndarray, distance: int, masks: np.ndarra
     return np.concatenate(a), np.concatenate(b)
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) of the links' nodes but the least ones: what the links connect, by as few."""
+    nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = index[: len(a)], index[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b):
+            np.minimum.at(new, label[side], low)
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[own], nodes[label[own]]
+
+
 def key_masks(distance: int, blocks: int) -> list[int]:
     """The bits that each of ``block_keys`` stands for."""
     widths = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
@@ -365,8 +384,8 @@ def peel_sets(sets: list[np.ndarray], similarity: float = SIMILARITY) -> np.ndar
 
 
 def block_mates(nodes: DataFrame, blocks: int, similarity: float = SIMILARITY) -> DataFrame:
-    """(src, dst): links between nodes (name, bits) that share a block and are near by their check bits; they connect all
-    such nodes of a block."""
+    """(src, dst): links that connect all nodes (name, bits) that share a block and are near by their check bits; each task
+    gives a forest of what it has found, so that a family's links don't grow with its blocks."""
     buckets = max(8, -(-nodes.count() * blocks // BUCKET_KEYS))
     least = check_distance(similarity)
     weight = 1 << np.arange(WIDE_BLOCK, dtype=np.int64)
@@ -388,8 +407,8 @@ def block_mates(nodes: DataFrame, blocks: int, similarity: float = SIMILARITY) -
         key, name, *check = unpack((x.as_buffer() for x in table.column("blob")), "qq" + "Q" * (CHECK_BITS // 64))
         by = np.lexsort((name, key))
         x, y = run_links(key[by], np.stack(check, axis=1)[by], least)
-        x, y = name[by][x], name[by][y]
-        return pa.table([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["src", "dst"])
+        x, y = forest(name[by][x], name[by][y])  # a family shares many blocks; one link for each member is enough
+        return pa.table([pa.array(x), pa.array(y)], ["src", "dst"])
 
     return by_bucket(nodes.mapInArrow(keys, "bucket long, blob binary"), buckets).applyInArrow(mates, "src long, dst long").distinct()
 
@@ -414,7 +433,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc_id", "name", "bits"])
 
     sketches = materialize(texts.mapInArrow(sketch, "doc_id long, name long, bits binary"), "sketches")
-    nodes = materialize(sketches.groupBy("name").agg(F.min("doc_id").alias("low"), F.first("bits").alias("bits")), "shingle-nodes")
+    nodes = materialize(sketches.groupBy("name").agg(F.min("doc_id").alias("low"), F.first("bits").alias("bits"), F.count("*").alias("copies")), "shingle-nodes")
     stars = connected_components(block_mates(nodes.select("name", "bits"), blocks, similarity), "shingle-links")
     clusters = stars.union(stars.select(F.col("dst").alias("src"), "dst").distinct()).join(nodes.select(F.col("name").alias("src"), "low"), "src")
     asked = texts.join(clusters, texts.doc_id == clusters.low).select("dst", "src", "text")
@@ -446,17 +465,22 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
     parts = asked.mapInArrow(cut, "root long, name long, own binary").repartition(partitions(spark), "root").sortWithinPartitions("root")
     settled = materialize(parts.mapInArrow(verify, "name long, root long").distinct(), "shingle-components")
-    rooted = nodes.select("name", "low").join(settled, "name", "left").select("name", "low", F.coalesce("root", "name").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return sketches.select("doc_id", "name").join(rooted.join(lows, "root").select("name", "component_id"), "name").select("doc_id", "component_id")
+    rooted = nodes.select("name", "low", "copies").join(settled, "name", "left").select("name", "low", "copies", F.coalesce("root", "name").alias("root"))
+    classes = materialize(lows_of(rooted, "name"), "classes")
+    return join_counted(sketches.select("doc_id", "name"), classes, "name", "copies", [F.col("doc_id")]).select("doc_id", "component_id")
+
+
+def lows_of(rooted: DataFrame, key: str) -> DataFrame:
+    """(key, copies, component_id): the least doc_id of all nodes with the same root."""
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members"))
+    return join_counted(rooted.select(key, "copies", "root"), materialize(lows, "lows"), "root", "members", [F.col(key)]).select(key, "copies", "component_id")
 
 
 def simhash_components(docs: DataFrame, distance: int = 4, shingle: int = 4, blocks: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs; see the module's text for the defined cases."""
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "fp-nodes")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "fp-nodes")
     stars = connected_components(near_links(nodes.select("fp"), distance, blocks), "fp-links")
-    rooted = nodes.join(stars, nodes.fp == stars.src, "left").select("fp", "low", F.coalesce("dst", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = rooted.join(lows, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = nodes.join(stars, nodes.fp == stars.src, "left").select("fp", "low", "copies", F.coalesce("dst", "fp").alias("root"))
+    classes = materialize(lows_of(rooted, "fp"), "classes")
+    return join_counted(fps, classes, "fp", "copies", [F.col("doc_id")]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

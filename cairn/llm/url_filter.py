@@ -3,7 +3,12 @@
 A labelled page is bad if it is toxic or of quality 0. The share of bad pages is shrunk level by level, from all pages
 to the public suffix, the registered domain and the host: the posterior mean of one level is the mean of the
 beta-binomial prior of the next, whose concentration comes from the spread of the shares at that level (moments).
-A host is blocked if the lower bound of its posterior share of bad pages is above ``MAX_BAD``.
+A host is blocked if the lower bound of its posterior share of bad pages is above ``MAX_BAD``. The bound is the normal
+one, from the posterior's mean and variance, as native functions and SQL have no beta quantile; at few labelled pages it
+leans on the prior and is rough.
+
+A public suffix is the last label, or two where the last is a country's and the one before is of ``SECOND_LEVEL``; another
+rule can be given as a pattern.
 
 A page's label is the row of ``labels`` whose doc_id is the page's id; several such rows count once, bad if any is.
 
@@ -20,12 +25,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import materialize
+from cairn.llm.common import join_counted, materialize
 
 #: The rules of the production query, as (rule, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Public suffixes of two labels; any other suffix is the host's last label.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "co.nz", "com.br", "co.in", "co.kr", "co.za")
+#: Labels under which countries register names.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "gv", "id", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+#: Its first group is a suffix of two labels.
+TWO_LABELS = rf"(?:\A|\.)((?:{'|'.join(SECOND_LEVEL)})\.[a-z][a-z])\z"
 MAX_BAD = 0.3
 Z = 1.645
 EDGE = 1e-6
@@ -51,12 +58,13 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def domain_of(host: Column) -> tuple[Column, Column]:
+def domain_of(host: Column, two_labels: str = TWO_LABELS) -> tuple[Column, Column]:
     """Registered domain and suffix of a host, without user and port; an IPv4 address is its own domain and suffix."""
     bare = F.regexp_replace(F.regexp_replace(host, r"\A.*@", ""), r":[0-9]*\z", "")
     last2 = F.regexp_extract(bare, r"([^.]*\.[^.]*)\z", 1)
-    suffix = F.when(last2.isin(*TWO_LABEL_SUFFIXES), last2).otherwise(F.regexp_extract(bare, r"([^.]*)\z", 1))
-    domain = F.when(last2.isin(*TWO_LABEL_SUFFIXES), F.regexp_extract(bare, r"([^.]*\.[^.]*\.[^.]*)\z", 1)).otherwise(last2)
+    two = F.regexp_like(bare, F.lit(two_labels))
+    suffix = F.when(two, F.regexp_extract(bare, two_labels, 1)).otherwise(F.regexp_extract(bare, r"([^.]*)\z", 1))
+    domain = F.when(two, F.regexp_extract(bare, r"([^.]*\.[^.]*\.[^.]*)\z", 1)).otherwise(last2)
     address = F.regexp_like(bare, F.lit(r"\A[0-9]+(\.[0-9]+){3}\z"))
     return F.when(address | (domain == ""), bare).otherwise(domain), F.when(address, bare).otherwise(suffix)
 
@@ -74,10 +82,11 @@ def concentration(groups: DataFrame) -> float:
     return 1 / rho - 1
 
 
-def host_reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
-    """hosts: host, n labelled pages, y bad ones. Returns host, mean and lower bound of the bad share."""
-    domain, suffix = domain_of(F.col("host"))
-    hosts = hosts.select("host", "n", "y", domain.alias("domain"), suffix.alias("suffix"))
+def host_reputation(hosts: DataFrame, z: float = Z, two_labels: str = TWO_LABELS) -> DataFrame:
+    """hosts: host, n labelled pages, y bad ones, and how many pages. Returns host, pages, mean and lower bound of the bad
+    share."""
+    domain, suffix = domain_of(F.col("host"), two_labels)
+    hosts = hosts.select("host", "pages", "n", "y", domain.alias("domain"), suffix.alias("suffix"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     n, y = suffixes.agg(F.sum("n"), F.sum("y")).first()
@@ -91,20 +100,20 @@ def host_reputation(hosts: DataFrame, z: float = Z) -> DataFrame:
     k = concentration(hosts)
     mean = posterior(k)
     bound = F.col("mean") - F.lit(z) * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + k + 1))
-    return hosts.select("host", "n", mean.alias("mean")).select("host", "mean", bound.alias("bound"))
+    return hosts.select("host", "pages", "n", mean.alias("mean")).select("host", "pages", "mean", bound.alias("bound"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX_BAD, z: float = Z) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX_BAD, z: float = Z, two_labels: str = TWO_LABELS) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_mean, bad_bound) for every row of pages."""
     host, path = split_url(F.col("url"))
     own = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
     bad = F.greatest(F.col("toxic").cast("int"), 1 - F.col("quality").cast("int"))  # greatest skips nulls
     marks = labels.select(F.col("doc_id").cast("long").alias("label_id"), bad.alias("bad")).where("bad IS NOT NULL").groupBy("label_id").agg(F.max("bad").alias("bad"))
     counted = own.join(marks, F.col("page_id") == F.col("label_id"), "left")
-    hosts = counted.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("y"))
-    standing = host_reputation(materialize(hosts, "hosts"), z)
+    hosts = counted.groupBy("host").agg(F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("y"))
+    standing = materialize(host_reputation(materialize(hosts, "hosts"), z, two_labels), "standing")
     rule, says = matched_rule(F.col("host"), F.col("path"), rules)
-    judged = own.join(standing, "host", "left")  # a host with very many pages is split by the adaptive skew join
+    judged = join_counted(own, standing, "host", "pages", [F.col("page_id"), F.col("path")])
     verdict = F.coalesce(F.col("says"), F.when(F.col("bound") > max_bad, "block").otherwise("allow"))
     judged = judged.withColumns({"rule": rule, "says": says})
     return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("mean", 9).alias("bad_mean"), F.round("bound", 9).alias("bad_bound"))
@@ -126,15 +135,14 @@ def _level(source: str, key: str) -> str:
     return f"""SELECT 1 / least(greatest(coalesce((sum(n * (y/n - {mm}) * (y/n - {mm}) / ({mm} * (1 - {mm}))) - count(*)) / nullif(sum(n - 1), 0), 0), {EDGE}), {1 - EDGE}) - 1 AS {key} FROM {source} WHERE n > 0"""
 
 
-_two = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
 _rule, _verdict = rule_sql()
 ORACLE_SQL = f"""
 WITH rest AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
 own AS (SELECT page_id, translate(regexp_extract(r, '\\A([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '\\A[^/?#]*([^?#]*)', 1) AS path FROM rest),
 marks AS (SELECT doc_id, max(greatest(toxic, 1 - quality)) AS bad FROM labels GROUP BY doc_id),
 counted AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS y, regexp_replace(regexp_replace(host, '\\A.*@', ''), ':[0-9]*\\z', '') AS bare FROM own LEFT JOIN marks ON page_id = doc_id GROUP BY host),
-parts AS (SELECT *, regexp_extract(bare, '([^.]*\\.[^.]*)\\z', 1) AS last2, regexp_matches(bare, '\\A[0-9]+(\\.[0-9]+){{3}}\\z') AS address FROM counted),
-named AS (SELECT host, n, y, bare, address, CASE WHEN last2 IN ({_two}) THEN regexp_extract(bare, '([^.]*\\.[^.]*\\.[^.]*)\\z', 1) ELSE last2 END AS d, CASE WHEN address THEN bare WHEN last2 IN ({_two}) THEN last2 ELSE regexp_extract(bare, '([^.]*)\\z', 1) END AS suffix FROM parts),
+parts AS (SELECT *, regexp_extract(bare, '([^.]*\\.[^.]*)\\z', 1) AS last2, regexp_matches(bare, '\\A[0-9]+(\\.[0-9]+){{3}}\\z') AS address, regexp_extract(bare, '{TWO_LABELS}', 1) AS two FROM counted),
+named AS (SELECT host, n, y, bare, address, CASE WHEN two <> '' THEN regexp_extract(bare, '([^.]*\\.[^.]*\\.[^.]*)\\z', 1) ELSE last2 END AS d, CASE WHEN address THEN bare WHEN two <> '' THEN two ELSE regexp_extract(bare, '([^.]*)\\z', 1) END AS suffix FROM parts),
 hosts AS (SELECT host, n, y, suffix, CASE WHEN address OR d = '' THEN bare ELSE d END AS domain FROM named),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(y) AS y FROM hosts GROUP BY suffix, domain),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(y) AS y, coalesce((SELECT sum(y) / nullif(sum(n), 0) FROM hosts), 0) AS m FROM domains GROUP BY suffix),

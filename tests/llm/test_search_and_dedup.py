@@ -285,6 +285,15 @@ def test_very_long_runs_go_on_under_finer_keys(spark, monkeypatch):
         assert same_classes(simhash.peel(fps[:, None], 4).tolist(), components_of(len(fps), *zip(*links)))
 
 
+def test_forests_connect_the_same():
+    rng = np.random.default_rng(8)
+    for n, m in ((1, 0), (5, 4), (200, 150), (2000, 2500)):
+        a, b = rng.integers(-n, n, (2, m))
+        x, y = simhash.forest(a, b)
+        plain = components_of(2 * n, (a + n).tolist(), (b + n).tolist())
+        assert same_classes(plain, components_of(2 * n, (x + n).tolist(), (y + n).tolist())) and (y < x).all() and len(set(x.tolist())) == len(x)
+
+
 def test_wide_fingerprints_differ_as_stated():
     rng = np.random.default_rng(7)
     blocks = simhash.wide_blocks()

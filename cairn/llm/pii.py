@@ -4,10 +4,11 @@ Base spans come from fixed patterns and always stay. Looser patterns propose fur
 labelers (shape by regex, gazetteer, context words, boundaries) vote on every candidate, base spans included, for or
 against or not at all. Expectation-maximisation over the counts of vote patterns of all documents estimates how
 reliable each labeler is; its posteriors are the soft labels on which the final span classifier, a logistic
-regression over kind and votes, is trained. Candidates that it accepts and that overlap no span so far are added.
+regression over kind, votes and the span's own form (how many digits, what stands between them), is trained. Candidates
+that it accepts and that overlap no span so far are added.
 
-The text is read once: each document's base spans and candidates with their votes go to the shared folder, the counts
-of vote patterns (a fixed number of patterns) to the driver.
+The text is read once: each document's base spans and candidates with their votes and forms go to the shared folder, the
+counts of patterns (of a fixed number) to the driver.
 
 Defined cases: a null text is empty and has no spans; offsets are code points, ends exclusive; repeated rows and null
 doc_ids are handled row by row; an empty table gives an empty result; other columns are ignored.
@@ -60,6 +61,10 @@ AGAINST = re.compile(r"version|isbn|issn|serial|build|invoice|order|release|revi
 #: Where digits stand; the looser patterns of digits are tried only here.
 ZONE = re.compile(r"[+(]?[0-9][0-9\x20().+-]*")
 LABELERS = ("shape", "gazetteer", "context", "boundary", "length")
+#: A span's form: the number of its digits, up to each of these or more, and what stands between its parts.
+DIGITS = (3, 9, 12, 16)
+MARKS = 4
+FORMS = (len(DIGITS) + 1) * MARKS
 WINDOW = 32
 THRESHOLD = 0.5
 
@@ -162,8 +167,18 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     return shape, gazetteer, context, -1 if joined else 1, length
 
 
+def form(kind: str, found: str) -> int:
+    """The span's form as one number below FORMS."""
+    n = len(digits_of(found))
+    if kind == "email":
+        mark = 0 if "@" in found else 1 if "\uff20" in found else 2 if re.search(r"[(\[{]", found) else 3
+    else:
+        mark = 1 if " " in found else 2 if "-" in found or "(" in found else 3 if "." in found else 0
+    return sum(n > d for d in DIGITS) * MARKS + mark
+
+
 def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, int]]]:
-    """Base spans; and (kind, start, end, votes as a number) of all candidates, base spans first."""
+    """Base spans; and (kind, start, end, votes and form as a number) of all candidates, base spans first."""
     base = base_spans(text)
     taken = [Taken([(s, e) for k, s, e in base if k == kind]) for kind in range(len(KINDS))]
     proposed = list(base)
@@ -181,19 +196,23 @@ def candidates(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
         code = 0
         for v in votes(KINDS[k], text, s, e):
             code = 3 * code + v + 1
-        out.append((k, s, e, code))
+        out.append((k, s, e, code * FORMS + form(KINDS[k], text[s:e])))
     return base, out
 
 
 @dataclass
 class Classifier:
-    weights: np.ndarray  # by kind and by labeler's vote
+    weights: np.ndarray  # by kind, by labeler's vote, by number of digits and by mark
 
     def probability(self, kind: int, code: int) -> float:
         return float(1 / (1 + np.exp(-(features(kind, code) @ self.weights))))
 
 
+WIDTH = len(KINDS) + 3 * len(LABELERS) + len(DIGITS) + 1 + MARKS
+
+
 def vote_row(code: int) -> list[int]:
+    code //= FORMS
     out = []
     for _ in LABELERS:
         out.append(code % 3)
@@ -202,18 +221,20 @@ def vote_row(code: int) -> list[int]:
 
 
 def features(kind: int, code: int) -> np.ndarray:
-    x = np.zeros(len(KINDS) + 3 * len(LABELERS))
+    x = np.zeros(WIDTH)
     x[kind] = 1
     for i, v in enumerate(vote_row(code)):
         x[len(KINDS) + 3 * i + v] = 1
+    at = len(KINDS) + 3 * len(LABELERS)
+    digits, mark = divmod(code % FORMS, MARKS)
+    x[at + digits] = x[at + len(DIGITS) + 1 + mark] = 1
     return x
 
 
 def learn(counts: dict[tuple[int, int], int], rounds: int = 50) -> Classifier:
-    """counts: how often each (kind, vote pattern) occurs. EM for the labelers' reliabilities, then the classifier."""
-    width = len(KINDS) + 3 * len(LABELERS)
+    """counts: how often each (kind, pattern) occurs. EM over the votes for the labelers' reliabilities, then the classifier."""
     if not counts:
-        return Classifier(np.full(width, -1.0))
+        return Classifier(np.full(WIDTH, -1.0))
     keys = sorted(counts)
     n = np.array([counts[k] for k in keys], float)
     kind = np.array([k[0] for k in keys])
@@ -229,12 +250,12 @@ def learn(counts: dict[tuple[int, int], int], rounds: int = 50) -> Classifier:
             log_odds = log_odds + np.log(good / good.sum() / (bad / bad.sum()))[rows[:, i]]
         share = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
     x = np.stack([features(k, c) for k, c in keys])
-    w = np.zeros(width)
+    w = np.zeros(WIDTH)
     scale = n / n.sum()
     for _ in range(50):  # Newton steps of the ridge-penalised logistic regression on the soft labels
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (scale * (p - share)) + 1e-4 * w
-        curve = (x * (scale * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-4 * np.eye(width)
+        curve = (x * (scale * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-4 * np.eye(WIDTH)
         w = w - np.linalg.solve(curve, gradient)
     return Classifier(w)
 
@@ -243,7 +264,7 @@ def scanned(docs: DataFrame, *keep: str) -> DataFrame:
     """(keep..., base, found): spans as flat lists of 3 and candidates as flat lists of 4 numbers for each row."""
     bounded_batches(docs.sparkSession)
     own = docs.select(*keep, F.col("text").cast("string").alias("cairn_text"))
-    kept = own.drop("cairn_text").schema
+    kept = docs.select(*keep).schema
 
     def run(batches):
         for b in batches:
@@ -253,16 +274,16 @@ def scanned(docs: DataFrame, *keep: str) -> DataFrame:
                 base.append([v for s in x for v in s])
                 found.append([v for s in y for v in s])
             ints = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(base, ints), pa.array(found, ints)], [*b.schema.names[:-1], "base", "found"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(base, ints), pa.array(found, ints)], [*b.schema.names[:-1], "cairn_base", "cairn_found"])
 
-    return own.mapInArrow(run, kept.add("base", T.ArrayType(T.LongType())).add("found", T.ArrayType(T.LongType())))
+    return own.mapInArrow(run, kept.add("cairn_base", T.ArrayType(T.LongType())).add("cairn_found", T.ArrayType(T.LongType())))
 
 
 def pattern_counts(scan: DataFrame) -> dict[tuple[int, int], int]:
-    """Over all candidates; there are at most kinds x 3^labelers patterns."""
-    number = F.sequence(F.lit(0), (F.size("found") / 4).cast("int") - 1)
-    pair = F.transform(number, lambda i: F.struct(F.get("found", 4 * i).alias("kind"), F.get("found", 4 * i + 3).alias("code")))
-    each = scan.where(F.size("found") > 0).select(F.explode(pair).alias("c"))
+    """Over all candidates; there are at most kinds x 3^labelers x FORMS patterns."""
+    number = F.sequence(F.lit(0), (F.size("cairn_found") / 4).cast("int") - 1)
+    pair = F.transform(number, lambda i: F.struct(F.get("cairn_found", 4 * i).alias("kind"), F.get("cairn_found", 4 * i + 3).alias("code")))
+    each = scan.where(F.size("cairn_found") > 0).select(F.explode(pair).alias("c"))
     return {(r["kind"], r["code"]): r["n"] for r in each.groupBy("c.kind", "c.code").agg(F.count("*").alias("n")).collect()}
 
 
@@ -316,33 +337,31 @@ def find_pii(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with each span of its texts replaced by its kind in brackets; n_chars, if there, follows the new text.
 
-    The spans are found once for the training counts and once more beside the text, which is cheaper than a join that
-    moves every text. Where spans of two kinds overlap, the stretch they cover is replaced by the first one's mark.
+    The texts are searched once and kept beside what was found until the classifier is trained. Where spans of two kinds
+    overlap, the stretch they cover is replaced by the first one's mark.
     """
-    scan = scanned(docs.select(F.lit(0).alias("k"), "text"), "k").select("found")
-    model = learn(pattern_counts(scan))
-    schema = docs.schema
-    at = schema.names.index("text")
-    counted = schema.names.index("n_chars") if "n_chars" in schema.names else None
+    columns, schema = docs.columns, docs.schema
+    scan = materialize(scanned(docs, *columns), "pii-texts")
+    model = learn(pattern_counts(scan.select("cairn_found")))
+    at = columns.index("text")
+    counted = columns.index("n_chars") if "n_chars" in columns else None
 
     def run(batches):
         for b in batches:
             texts = []
-            for t in b.column(at).to_pylist():
-                if t is not None:
-                    base, found = candidates(t)
-                    flat = [v for s in base for v in s], [v for s in found for v in s]
+            for t, base, found in zip(b.column(at).to_pylist(), b.column(len(columns)).to_pylist(), b.column(len(columns) + 1).to_pylist()):
+                if t is not None and found:
                     done, parts = 0, []
-                    for s, e, k in sorted((s, e, k) for k, s, e in decide(*flat, model, threshold)):
+                    for s, e, k in sorted((s, e, k) for k, s, e in decide(base, found, model, threshold)):
                         if s >= done:
                             parts += [t[done:s], f"[{KINDS[k].upper()}]"]
                         done = max(done, e)
                     t = "".join([*parts, t[done:]])
                 texts.append(t)
-            columns = list(b.columns)
-            columns[at] = pa.array(texts, b.schema.field(at).type)
+            out = list(b.columns[: len(columns)])
+            out[at] = pa.array(texts, b.schema.field(at).type)
             if counted is not None:
-                columns[counted] = pa.array([None if t is None else len(t) for t in texts], b.schema.field(counted).type)
-            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+                out[counted] = pa.array([None if t is None else len(t) for t in texts], b.schema.field(counted).type)
+            yield pa.RecordBatch.from_arrays(out, columns)
 
-    return docs.mapInArrow(run, schema)
+    return scan.mapInArrow(run, schema)

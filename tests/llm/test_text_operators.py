@@ -394,7 +394,7 @@ def test_base_spans_equal_the_patterns(text):
 @pytest.mark.parametrize("text", ["1" * 300_000, "+1 415 555 0199, " * 20_000, "1.2.3.4 " * 30_000, "(555) 555-1234 " * 20_000, "a@" * 150_000, "x at y dot com " * 20_000])
 def test_pii_of_long_texts_is_not_quadratic(text):
     base, found = pii.candidates(text)
-    spans = pii.decide([v for s in base for v in s], [v for s in found for v in s], pii.Classifier(np.ones(len(pii.KINDS) + 3 * len(pii.LABELERS))))
+    spans = pii.decide([v for s in base for v in s], [v for s in found for v in s], pii.Classifier(np.ones(pii.WIDTH)))
     assert set(base) <= set(spans) and len(spans) == len(set(base) | {s[:3] for s in found})
 
 
@@ -435,14 +435,64 @@ def test_pii_cases(spark):
 
 
 def test_labelers_are_learned_from_their_agreement():
-    def code(*votes):
+    def code(*votes, form=3 * pii.MARKS):
         out = 0
         for v in votes:
             out = 3 * out + v + 1
-        return out
+        return out * pii.FORMS + form
 
     model = pii.learn({(2, code(1, 1, 1, 1, 1)): 500, (2, code(1, 1, 0, 1, 1)): 300, (2, code(-1, -1, 0, -1, -1)): 400, (2, code(-1, 1, -1, -1, -1)): 200})
     assert model.probability(2, code(1, 1, 0, 1, 1)) > 0.9 > 0.1 > model.probability(2, code(-1, -1, 0, -1, -1))
+    # Two forms that the votes tell apart: the classifier learns from the spans themselves too.
+    spaced, plain = 3 * pii.MARKS + 1, 3 * pii.MARKS
+    model = pii.learn({(2, code(1, 1, 1, 1, 1, form=spaced)): 500, (2, code(-1, -1, -1, -1, -1, form=plain)): 500, (2, code(1, -1, 0, 1, -1, form=spaced)): 40, (2, code(1, -1, 0, 1, -1, form=plain)): 40})
+    odds = lambda p: p / (1 - p)
+    assert odds(model.probability(2, code(1, -1, 0, 1, -1, form=spaced))) > 2 * odds(model.probability(2, code(1, -1, 0, 1, -1, form=plain)))
+
+
+def test_forms():
+    assert [pii.form("phone", t) for t in ("555", "555-1234", "(415) 555 0199", "4111.1111.1111.1111", "12345678901234567")] == [0, pii.MARKS + 2, 2 * pii.MARKS + 1, 3 * pii.MARKS + 3, 4 * pii.MARKS]
+    assert [pii.form("email", t) for t in ("a@b.cc", "a\uff20b.cc", "a (at) b.cc", "a at b dot cc")] == [0, 1, 2, 3]
+
+
+def plain_decision(text, model):
+    """All spans by the definition, every overlap looked at."""
+    overlap = lambda a, b: a[1] < b[2] and b[1] < a[2]
+    base = sorted(plain_base(text))
+    found = [(0, m.start(), m.end()) for m in pii.LOOSE["email"].finditer(text)]
+    for zone in pii.ZONE.finditer(text):
+        if len(pii.digits_of(zone.group())) >= 4:
+            found += [(k, m.start(), m.end()) for k in (1, 2, 3) for m in pii.LOOSE[pii.KINDS[k]].finditer(text, zone.start(), zone.end())]
+    found = [c for c in found if not any(b[0] == c[0] and overlap(b, c) for b in base)]
+    scored = []
+    for k, s, e in found:
+        code = 0
+        for v in pii.votes(pii.KINDS[k], text, s, e):
+            code = 3 * code + v + 1
+        if (p := model.probability(k, code * pii.FORMS + pii.form(pii.KINDS[k], text[s:e]))) >= pii.THRESHOLD:
+            scored.append((-p, s, e, k))
+    spans = list(base)
+    for _, s, e, k in sorted(scored):
+        if not any(overlap((k, s, e), x) for x in spans):
+            spans.append((k, s, e))
+    return sorted(spans)
+
+
+def test_added_spans_equal_plain_decisions(spark):
+    rng = random.Random(11)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    parts = [
+        lambda: f"call {digits(3)}-{digits(3)}-{digits(4)}", lambda: f"fax ({digits(3)}) {digits(3)} {digits(4)}", lambda: f"+{digits(11)}", lambda: f"order {digits(16)}", lambda: f"card {digits(4)} {digits(4)} {digits(4)} {digits(4)}",
+        lambda: f"mail {rng.choice('abc')} at {rng.choice('xyz')} dot com", lambda: "who(at)where.org", lambda: "a@b.co", lambda: f"version 1.{digits(2)}.{digits(3)}.4", lambda: f"host {rng.randrange(256)}.{rng.randrange(256)}.1.{rng.randrange(300)}", lambda: "words here",
+    ]
+    texts = [" ".join(rng.choice(parts)() for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    counts = Counter((c[0], c[3]) for t in texts for c in pii.candidates(t)[1])
+    assert pii.pattern_counts(pii.scanned(df, "doc_id")) == counts
+    model = pii.learn(dict(counts))
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(df).collect()}
+    assert got == {i: pii.listed(plain_decision(t, model)) for i, t in enumerate(texts)}
+    assert sum(len(plain_decision(t, model)) - len(plain_base(t)) for t in texts) > 50
 
 
 # Urls
@@ -653,7 +703,7 @@ def test_one_long_text_leaves_the_others_optimal(spark):
 
 
 def test_pipeline_stages_equal_brute_force(spark):
-    from test_search_and_dedup import brute_components
+    from test_search_and_dedup import brute_shingle_components
 
     sf = "/root/testdata/sf0.01"
     docs = table(spark, sf, "documents")
@@ -663,7 +713,7 @@ def test_pipeline_stages_equal_brute_force(spark):
         assert out.columns == columns
         before, after = {r["doc_id"]: r["text"] for r in docs.collect()}, {r["doc_id"]: r["text"] for r in out.collect()}
         if name == "near_duplicates":
-            assert set(after) == {c for _, _, c in brute_components(list(before.items()))}
+            assert set(after) == {c for _, c in brute_shingle_components(list(before.items()))}
         elif name == "decontamination":
             items = [decontaminate.words(r["text"]) for r in table(spark, sf, "benchmark").collect()]
             joined = {d: " " + " ".join(decontaminate.words(t)) + " " for d, t in before.items()}
@@ -691,6 +741,16 @@ def test_pipeline_cases(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(empty)).collect() == []
 
 
+def test_pipeline_takes_columns_in_any_order(spark, tmp_path):
+    rows = [("the cat sat on the mat today", "en", 1), ("the cat sat on the mat today", "en", None), ("the dog is in the house", "en", 5), ("le chat est dans la maison", None, 4)]
+    spark.createDataFrame(rows, "text string, lang string, doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("the dog is in the house", 2)], "text string, item_id long").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    assert rows_of(corpus_pipeline.run(spark, str(tmp_path)), "doc_id") == [(1,), (4,), (None,)]
+
+
 def test_pipeline_with_languages_to_learn(spark, tmp_path):
     rows = [(i, f"the cat number{i} sat on the mat and saw dog{i * 7} run{i * 3} far away{i}", "en", "s", 1) for i in range(60)] + [(100, "12 34", "en", "s", 1), (101, "the cat alone sat there", None, "s", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

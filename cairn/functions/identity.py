@@ -17,7 +17,7 @@ def content_hash(files: DataFrame, *keys: str) -> DataFrame:
 
     A source's files are read in their order and hashed one after the other, so that a task holds a batch of them.
     """
-    own = files.select(*keys, F.col("path").cast("string"), F.col("content").cast("binary"))
+    own = files.select(*keys, F.col("path").cast("string").alias("hashed_path"), F.col("content").cast("binary").alias("hashed_content"))
     schema = T.StructType([*own.schema.fields[: len(keys)], T.StructField("content_hash", T.StringType())])
 
     def run(batches):
@@ -46,7 +46,7 @@ def content_hash(files: DataFrame, *keys: str) -> DataFrame:
             done.append((*held, PREFIX + digest.hexdigest()))
             yield batch()
 
-    order = [*keys, "path"]
+    order = [*keys, "hashed_path"]
     return own.repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, schema)
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import decontaminate, language_id, lm_score, packing, pii, simhash, suffix_dedup, topk, url_filter, warc
+from cairn.llm import decontaminate, language_id, lm_score, packing, pii, seed_extend, simhash, suffix_dedup, topk, url_filter, warc
 from cairn.llm.common import table
 
 
@@ -50,5 +51,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.length_buckets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_lm_score, op3_language_id, op4_topk, op5_suffix_dedup, op6_decontaminate, op7_simhash, op8_pii, op9_warc, op10_packing)} | {"pipeline": corpus_pipeline.run}
-ORACLE_SQL = {"op1_url_filter": url_filter.ORACLE_SQL, "op4_topk": topk.ORACLE_SQL, "op5_suffix_dedup": suffix_dedup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_packing": packing.ORACLE_SQL}
+def op11_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = seed_extend.without_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", seed_extend.digest(F.col("kept_text")).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_lm_score, op3_language_id, op4_topk, op5_suffix_dedup, op6_decontaminate, op7_simhash, op8_pii, op9_warc, op10_packing, op11_seed_extend)} | {"pipeline": corpus_pipeline.run}
+ORACLE_SQL = {"op1_url_filter": url_filter.ORACLE_SQL, "op4_topk": topk.ORACLE_SQL, "op5_suffix_dedup": suffix_dedup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_packing": packing.ORACLE_SQL, "op11_seed_extend": seed_extend.ORACLE_SQL}

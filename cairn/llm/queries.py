@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import decontaminate, language_id, lm_score, packing, pii, seed_extend, simhash, suffix_dedup, topk, url_filter, warc
+from cairn.llm import decontaminate, divergence, language_id, lm_score, packing, pii, seed_extend, simhash, suffix_dedup, topk, url_filter, warc, zone_map
 from cairn.llm.common import table
 
 
@@ -56,5 +56,13 @@ def op11_seed_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", seed_extend.digest(F.col("kept_text")).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_lm_score, op3_language_id, op4_topk, op5_suffix_dedup, op6_decontaminate, op7_simhash, op8_pii, op9_warc, op10_packing, op11_seed_extend)} | {"pipeline": corpus_pipeline.run}
-ORACLE_SQL = {"op1_url_filter": url_filter.ORACLE_SQL, "op4_topk": topk.ORACLE_SQL, "op5_suffix_dedup": suffix_dedup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_packing": packing.ORACLE_SQL, "op11_seed_extend": seed_extend.ORACLE_SQL}
+def op12_zone_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zone_map.clustered_layout(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_lm_score, op3_language_id, op4_topk, op5_suffix_dedup, op6_decontaminate, op7_simhash, op8_pii, op9_warc, op10_packing, op11_seed_extend, op12_zone_map, op13_divergence)} | {"pipeline": corpus_pipeline.run}
+ORACLE_SQL = {"op1_url_filter": url_filter.ORACLE_SQL, "op4_topk": topk.ORACLE_SQL, "op5_suffix_dedup": suffix_dedup.ORACLE_SQL, "op9_warc": warc.ORACLE_SQL, "op10_packing": packing.ORACLE_SQL, "op11_seed_extend": seed_extend.ORACLE_SQL, "op12_zone_map": zone_map.ORACLE_SQL, "op13_divergence": divergence.ORACLE_SQL}

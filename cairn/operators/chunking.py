@@ -17,35 +17,45 @@ _FOUND = T.ArrayType(T.StructType([T.StructField("breadcrumb", T.StringType()),
 
 
 def _structured(files: DataFrame, options: ChunkOptions) -> DataFrame:
-    """files with a column found: the chunks of Markdown and of code with declarations, null where lines decide."""
+    """files with the columns found, the chunks of Markdown and of code with declarations, null where lines decide, and
+    error, what a chunker said to a file that it could not take."""
     at, where = files.columns.index("text"), files.columns.index("path")
-    schema = T.StructType([*files.schema.fields, T.StructField("doc", T.BooleanType()), T.StructField("found", _FOUND)])
+    schema = T.StructType([*files.schema.fields, T.StructField("doc", T.BooleanType()), T.StructField("found", _FOUND), T.StructField("error", T.StringType())])
     kind = pa.list_(pa.struct([("breadcrumb", pa.string()), ("text", pa.string())]))
 
     def run(batches):
         for b in batches:
-            docs, found = [], []
+            docs, found, errors = [], [], []
             for text, path in zip(b.column(at).to_pylist(), b.column(where).to_pylist()):
-                doc = path.lower().endswith((".md", ".mdx"))
-                own = chunk_markdown(text, options) if doc else chunk_code(text, path, options)
+                doc, own, error = path.lower().endswith((".md", ".mdx")), None, None
+                try:
+                    own = chunk_markdown(text, options) if doc else chunk_code(text, path, options)
+                except Exception as e:  # noqa: BLE001  one file's failure is that file's row
+                    error = f"{path}: {type(e).__name__}: {e}"
                 docs.append(doc)
                 found.append(None if own is None else [{"breadcrumb": c, "text": t} for c, t in own])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(docs), pa.array(found, kind)], [*b.schema.names, "doc", "found"])
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(docs), pa.array(found, kind), pa.array(errors, pa.string())], [*b.schema.names, "doc", "found", "error"])
 
     return files.mapInArrow(run, schema)
 
 
-def chunk_files(files: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
+def chunk_files(files: DataFrame, options: ChunkOptions = ChunkOptions(), quarantine: bool = False) -> DataFrame:
     """files: path, content (bytes) and further columns. One row for each chunk: text, breadcrumb, chunk_type,
-    chunk_index and language beside path and the further columns. Blank files have none."""
+    chunk_index and language beside path and the further columns. Blank files have none.
+
+    A file that its chunker cannot take stops the job; with quarantine there is a column error instead, null for chunks, and
+    such a file is one row with null text."""
     own = files.withColumn("text", F.col("content").cast("string")).drop("content")
     own = own.where(F.col("text").isNotNull() & ~is_blank(F.col("text")))
     known = F.lower(F.regexp_extract("path", r"(\.[^./]*)\z", 1)).isin(".go", ".py", ".ts", ".tsx", ".js", ".jsx", ".java", ".rs") | is_markdown(F.col("path"))
-    none = own.where(~known).withColumns({"doc": F.lit(False), "found": F.lit(None).cast(_FOUND)})
+    none = own.where(~known).withColumns({"doc": F.lit(False), "found": F.lit(None).cast(_FOUND), "error": F.lit(None).cast("string")})
     every = _structured(own.where(known), options).unionByName(none)
     rest = [c for c in own.columns if c != "text"]
     lined = F.transform(line_chunks(F.col("text"), options), lambda t: F.struct(F.col("path").cast("string").alias("breadcrumb"), t.alias("text")))
     kind = F.when(F.col("doc") & F.col("found").isNotNull(), "doc").otherwise("code").alias("chunk_type")
-    chunks = every.select(*rest, kind, F.posexplode(F.coalesce("found", lined)).alias("chunk_index", "c"))
-    chunks = chunks.select(*rest, "chunk_index", F.col("c.text").alias("text"), F.col("c.breadcrumb").alias("breadcrumb"), "chunk_type")
+    failed = F.array(F.struct(F.col("path").cast("string").alias("breadcrumb"), F.lit(None).cast("string").alias("text"))) if quarantine else F.raise_error(F.col("error")).cast(_FOUND)
+    found = F.when(F.col("error").isNotNull(), failed).otherwise(F.coalesce("found", lined))
+    chunks = every.select(*rest, "error", kind, F.posexplode(found).alias("chunk_index", "c"))
+    chunks = chunks.select(*rest, "chunk_index", F.col("c.text").alias("text"), F.col("c.breadcrumb").alias("breadcrumb"), "chunk_type", *["error"] * quarantine)
     return chunks.withColumn("language", language(F.col("path")))

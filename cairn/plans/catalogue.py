@@ -7,8 +7,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,8 +19,9 @@ from cairn.operators.lines import blocks, chunk_by_lines
 from cairn.operators.search import filtered, list_sources, nearest, nearest_batched, nearest_to_all
 from cairn.plans import serve
 from cairn.plans.store import ChunkStore
-from cairn.plans.sync import SyncResult, counts, new_keys, status_of
+from cairn.plans.sync import count_by_status, isolated, new_keys, processed, status_of
 from cairn.schema import ChunkOptions, SearchOptions
+from cairn.shared import scratch_path, written
 from cairn.sources.artifacts import record_id, records
 
 QUERIES: dict = {}
@@ -143,11 +142,7 @@ def _item_chunks(spark, sf_dir):
 
 def _item_store(spark, sf_dir):
     """A chunk table of the items in a folder of its own, removed when the session ends."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    path = f"{shared.rstrip('/')}/cairn-catalogue-{uuid.uuid4().hex}"
-    store = ChunkStore(spark, path, 8)
-    fs, place = store._fs(path)
-    fs.deleteOnExit(place)
+    store = ChunkStore(spark, scratch_path(spark, "catalogue"), 8)
     store.upsert_all(_item_chunks(spark, sf_dir))
     return store
 
@@ -376,13 +371,40 @@ def hash_embedding(spark, sf_dir):
     return own.select("doc_id", F.round(F.col("vector")[0].cast("double"), 5).alias("first"), F.round(F.col("vector")[15].cast("double"), 5).alias("last"))
 
 
-@query()
+_HASHED = "list_transform(range(32), lambda i: ('0x' || substr(sha256(text), (2 * i + 1)::INTEGER, 2))::INTEGER / 255.0::DOUBLE * 2 - 1)"
+
+
+@query(f"WITH b AS (SELECT item_id, trim(text) AS text FROM benchmark), v AS (SELECT item_id, text, {_HASHED} AS v FROM b), n AS (SELECT item_id, text, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM v), q AS (SELECT v FROM n ORDER BY item_id LIMIT 1), d AS (SELECT item_id || '.md' AS path, text, list_sum(list_transform(list_zip(n.v, q.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM n, q) SELECT path, 'Item' AS breadcrumb, text, round(d, 4) AS distance FROM d ORDER BY d, path LIMIT 5")
 def ingest_search(spark, sf_dir):
     """Files to chunks to vectors to the five nearest of a question; the nearest is the question's own chunk."""
     files = table(spark, sf_dir, "benchmark").select(F.concat(F.col("item_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("# Item\n"), "text").cast("binary").alias("content"), F.lit("").alias("store_key"))
     embedder = HashEmbedder("hash", 32)
     q = table(spark, sf_dir, "benchmark").orderBy("item_id").select("text").first()[0].strip()
-    return nearest(with_vectors(chunk_files(files), embedder), embedder.embed([q])[0], 5)
+    found = nearest(with_vectors(chunk_files(files), embedder), embedder.embed([q])[0], 5)
+    return found.select("path", "breadcrumb", "text", F.abs(F.round("distance", 4)).alias("distance"))
+
+
+class Picky:
+    """An embedder whose provider refuses some texts, and gives an unusable vector for others."""
+
+    model, dims = "picky", 2
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        if any("eringing" in t for t in texts):
+            raise ValueError("refused")
+        return [[float(len(t)), 0.5 if "threes" not in t else float("nan")] for t in texts]
+
+
+@query("WITH d AS (SELECT source || '/' || (doc_id // 5)::VARCHAR AS id, text AS t FROM documents WHERE trim(text, E' \n\t\r') <> ''), s AS (SELECT id, bool_or(contains(t, 'eringing')) OR bool_or(contains(t, 'threes')) AS failed, count(*) AS n FROM d GROUP BY id) SELECT id, CASE WHEN failed THEN 'error' ELSE 'synced' END AS status, CASE WHEN failed THEN 0 ELSE n END AS files FROM s")
+def sync_isolated(spark, sf_dir):
+    """Many sources in one plan: those of which a text is refused are errors and store nothing, the others are whole."""
+    docs = table(spark, sf_dir, "documents")
+    source = F.concat_ws("/", F.col("source"), F.expr("doc_id div 5").cast("string"))
+    files = docs.select(source.alias("source"), F.lit("v1").alias("source_version"), F.sha2(source, 256).alias("store_key"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
+    made = written(processed(files, Picky(), quarantine=True), "made")
+    good, failed = isolated(made, "store_key", "source")
+    stored = good.groupBy("source").agg(F.count_distinct("path").alias("files")).select(F.col("source").alias("id"), F.lit("synced").alias("status"), "files")
+    return stored.unionByName(failed.select(F.col("source").alias("id"), F.lit("error").alias("status"), F.lit(0).cast("long").alias("files")))
 
 
 # Event logs and scores
@@ -605,12 +627,11 @@ def compare_metrics(spark, sf_dir):
     return out.select("metric", F.col("x_n").alias("n"), *[F.round(a, d).alias(b) for a, b, d in (("x_median", "x_median", 4), ("y_p75", "y_p75", 4), ("y_std", "y_std", 4), ("W", "w", 3), ("delta", "delta", 6), ("median_difference", "median_difference", 2), ("ci_low", "ci_low", 2))])
 
 
-@query("SELECT CASE WHEN toxic = 1 THEN 'error' WHEN quality = 1 THEN 'synced' ELSE 'skipped' END AS status, count(*) AS n FROM labels GROUP BY 1 UNION ALL SELECT 'none', 0")
+@query("WITH t AS (SELECT CASE WHEN toxic = 1 THEN 'error' WHEN quality = 1 THEN 'synced' ELSE 'skipped' END AS status FROM labels) SELECT s.status, count(t.status) AS n FROM (VALUES ('synced'), ('skipped'), ('error')) s(status) LEFT JOIN t ON t.status = s.status GROUP BY s.status")
 def status_counters(spark, sf_dir):
     """A sync's results counted by status; labels stand for the results of a manifest."""
     told = F.when(F.col("toxic") == 1, "error").when(F.col("quality") == 1, "synced").otherwise("skipped")
-    results = [SyncResult(str(r["doc_id"]), r["status"]) for r in table(spark, sf_dir, "labels").select("doc_id", told.alias("status")).toLocalIterator()]
-    return spark.createDataFrame([(k, n) for k, n in counts(results).items() if n] + [("none", counts([])["error"])], "status string, n long")
+    return count_by_status(table(spark, sf_dir, "labels").select(told.alias("status")))
 
 
 @query(f"WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), t AS (SELECT vec_id, label, round({_L2}, 6) AS d FROM embeddings e, q ORDER BY d, vec_id LIMIT 5), f AS (SELECT row_number() OVER (ORDER BY d, vec_id) AS i, printf(E'\n--- Result %d (score: %.3f) ---\nSource: s%d', row_number() OVER (ORDER BY d, vec_id), 1 - d, label) || CASE WHEN label % 2 = 0 THEN ' @ v2' ELSE '' END || printf(E'\nPath: %d\nSection: top\nType: doc\n\nvector %d\n', vec_id, vec_id) AS part FROM t) SELECT E'Found 5 results:\n' || string_agg(part, '' ORDER BY i) AS text FROM f")

@@ -61,40 +61,58 @@ class ChunkStore:
             fs.delete(staged, True)
             self.delete(store_key)
             return
-        self._swap(fs, staged, self._fs(self._partition(store_key))[1])
-
-    def _swap(self, fs, staged, place) -> None:
-        """staged takes place's place. The old rows go aside first and only go away when the new ones are there; a failure
-        puts them back."""
-        old = self._fs(f"{self.path}/_old-{uuid.uuid4().hex}")[1]
-        had = fs.exists(place)
-        if had and not fs.rename(place, old):
-            raise OSError(f"cannot move {place} aside")
-        moved = False
+        self._swap(fs, [(staged, self._fs(self._partition(store_key))[1])])
+
+    def _swap(self, fs, moves: list[tuple]) -> None:
+        """Each staged folder takes its place. The old ones go aside and only go away when all new ones are there; a failure
+        puts them all back."""
+        aside = f"{self.path}/_old-{uuid.uuid4().hex}"
+        fs.mkdirs(self._fs(aside)[1])
+        undo: list[tuple] = []
+
+        def move(a, b) -> None:
+            if not fs.rename(a, b):
+                raise OSError(f"cannot move {a} to {b}")
+            undo.append((b, a))
+
         try:
-            moved = fs.rename(staged, place)
-            if not moved:
-                raise OSError(f"cannot move {staged} to {place}")
+            for i, (staged, place) in enumerate(moves):
+                if fs.exists(place):
+                    move(place, self._fs(f"{aside}/{i}")[1])
+                move(staged, place)
+        except Exception:
+            for b, a in reversed(undo):
+                fs.rename(b, a)
+            raise
         finally:
-            if had and not moved:
-                fs.rename(old, place)
-        if had:
-            fs.delete(old, True)
+            fs.delete(self._fs(aside)[1], True)
 
     def upsert_all(self, chunks: DataFrame) -> None:
-        """Replace the chunks of every key that chunks has rows of, in one job."""
-        spread = self._shaped(chunks).repartition("store_key", F.pmod(F.hash("path"), F.lit(16)))  # few files a key, no key in one task
-        spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("store_key").parquet(self.path)
+        """Replace the chunks of every key that chunks has rows of. All are written aside in one job, as many tasks to a key as
+        its rows need, and then take the old ones' places; a failure in either leaves all old ones. A reader in between may
+        see some keys' new rows and others' old ones."""
+        aside = f"{self.path}/_aside-{uuid.uuid4().hex}"
+        fs, root = self._fs(aside)
+        try:
+            self._shaped(chunks).hint("rebalance", "store_key").write.partitionBy("store_key").parquet(aside)
+            new = [f.getPath() for f in fs.listStatus(root) if f.isDirectory()]
+            self._swap(fs, [(p, self._fs(f"{self.path}/{p.getName()}")[1]) for p in new])
+        finally:
+            fs.delete(root, True)
 
     def delete(self, store_key: str) -> None:
         fs, p = self._fs(self._partition(store_key))
         fs.delete(p, True)
 
     def has_key(self, store_key: str) -> bool:
-        return not self.chunks().where(F.col("store_key") == store_key).select("store_key").limit(1).isEmpty()
+        return self._exists(self._partition(store_key))
 
     def keys(self) -> DataFrame:
-        return self.chunks().select("store_key").distinct()
+        """From the folders' names; no file is read."""
+        fs, root = self._fs(self.path)
+        name = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        found = [f.getPath().getName() for f in fs.listStatus(root) if f.isDirectory()]
+        return self.spark.createDataFrame([(name(n.partition("=")[2]),) for n in found if n.startswith("store_key=")], "store_key string")
 
     def list_sources(self) -> DataFrame:
         return list_sources(self.chunks())

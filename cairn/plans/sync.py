@@ -6,20 +6,19 @@ import os
 import sys
 import tempfile
 import time
-import uuid
 from dataclasses import dataclass
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.identity import content_hash, store_key
 from cairn.operators.chunking import chunk_files
-from cairn.operators.embedding import Embedder, with_vectors
+from cairn.operators.embedding import Embedder, VectorStore, with_vectors
 from cairn.plans.store import ChunkStore
 from cairn.schema import ChunkOptions
+from cairn.shared import written
 from cairn.sources import artifacts
 from cairn.sources.config import Lock, Manifest, SourceLock
 from cairn.sources.files import fetch, scan, shared_copy
@@ -48,9 +47,17 @@ def new_keys(identified: DataFrame, stored: DataFrame) -> DataFrame:
     return fresh.groupBy("store_key").agg(F.min("id").alias("id"))
 
 
-def processed(files: DataFrame, embedder: Embedder, options: ChunkOptions = ChunkOptions()) -> DataFrame:
-    """files: source, source_version, store_key, path, content. Chunks with vectors, ready for the store."""
-    return with_vectors(chunk_files(files, options), embedder)
+def processed(files: DataFrame, embedder: Embedder, options: ChunkOptions = ChunkOptions(), vectors: VectorStore | None = None, quarantine: bool = False) -> DataFrame:
+    """files: source, source_version, store_key, path, content. Chunks with vectors, ready for the store; with quarantine
+    also what failed, as rows with an error."""
+    return with_vectors(chunk_files(files, options, quarantine), embedder, vectors=vectors, quarantine=quarantine)
+
+
+def isolated(made: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """made: quarantined chunks. The chunks of the sources (keys) of which nothing failed, and (keys, failures, error) of the
+    others: what is stored of a source is whole or, if it was there before, what it was."""
+    failed = made.where("error IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("failures"), F.min("error").alias("error"))
+    return made.join(failed.select(*keys), list(keys), "left_anti").drop("error"), failed
 
 
 class Engine:
@@ -58,19 +65,9 @@ class Engine:
 
     def __init__(self, spark: SparkSession, store: ChunkStore, embedder: Embedder, options: ChunkOptions = ChunkOptions(), artifact_url=artifacts.artifact_url) -> None:
         self.spark, self.store, self.embedder, self.options, self.artifact_url = spark, store, embedder, options, artifact_url
+        self.vectors = VectorStore(spark, f"{store.path}/_vectors", embedder)
         self.told = lambda line: print(line, file=sys.stderr)
 
-    def _kept(self, df: DataFrame) -> DataFrame:
-        """df written once to the shared folder, where there is one, so that what is made of it twice is read twice only."""
-        shared = self.spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            return df.persist(StorageLevel.DISK_ONLY)  # one machine
-        path = f"{shared.rstrip('/')}/cairn-sync-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-        return self.spark.read.schema(df.schema).parquet(path)
-
     def _from_artifacts(self, manifest: Manifest, lock: Lock) -> dict[str, SyncResult]:
         """What prebuilt artifacts give, by id; the other dependencies are built from their sources.
 
@@ -109,31 +106,43 @@ class Engine:
             except Exception as e:  # noqa: BLE001  one source's failure is that source's result
                 results[dep.id] = SyncResult(dep.id, "error", str(e), time.monotonic() - began)
         if manifest.index or manifest.private:  # private paths are indexed here and never published
-            known[LOCAL] = (LOCAL, "", "")
-            own = scan(self.spark, root, [*manifest.index, *manifest.private])
-            parts.append(own.select(F.lit(LOCAL).alias("id"), "path", "content"))
+            began = time.monotonic()
+            try:
+                own = scan(self.spark, root, [*manifest.index, *manifest.private])
+                parts.append(own.select(F.lit(LOCAL).alias("id"), "path", "content"))
+                known[LOCAL] = (LOCAL, "", "")
+            except Exception as e:  # noqa: BLE001
+                results[LOCAL] = SyncResult(LOCAL, "error", str(e), time.monotonic() - began)
         return parts, known
 
     def sync(self, manifest: Manifest, lock: Lock, root: str = ".") -> list[SyncResult]:
         """Artifacts first, then all other sources in one job; the lock is changed in place. A source that is stored already
-        costs its hash only."""
+        costs its hash only. A source of which a file cannot be read, chunked or embedded is an error: the others are
+        stored, and its old chunks and lock stay."""
         results = self._from_artifacts(manifest, lock)
         parts, known = self._files(manifest, root, results)
         if parts:
             files = reduce(DataFrame.unionByName, parts)
-            identified = self._kept(identify(files, self.embedder.model, self.options))
+            identified = written(identify(files, self.embedder.model, self.options), "sync")
             rows = {r["id"]: r for r in identified.collect()}  # one short row for each source of the manifest
             begin = time.monotonic()
             stored = self.store.keys()
             empty = {s.store_key for s in lock.sources.values() if s.ingestion_type == "empty"}
             fresh = {r["id"] for r in new_keys(identified, stored).collect() if r["store_key"] not in empty}
+            failed: dict[str, str] = {}
             if fresh:
                 dims = self.spark.createDataFrame([(i, *known[i][:2], rows[i]["store_key"]) for i in sorted(fresh)], "id string, source string, source_version string, store_key string")
                 work = files.join(F.broadcast(dims), "id").drop("id")
-                self.store.upsert_all(processed(work, self.embedder, self.options))
+                made = written(processed(work, self.embedder, self.options, self.vectors, quarantine=True), "chunks")
+                good, faults = isolated(made, "store_key")
+                failed = {r["store_key"]: f"{r['error']} ({r['failures']} failed)" for r in faults.collect()}  # a row for each source at most
+                self.store.upsert_all(good)
             took = time.monotonic() - begin
             have = {r[0] for r in self.store.keys().collect()} if fresh else set()
             for i, row in rows.items():
+                if row["store_key"] in failed:
+                    results[i] = SyncResult(i, "error", failed[row["store_key"]], took)
+                    continue
                 kind = "built" if i not in fresh or row["store_key"] in have else "empty"
                 lock.sources[i] = SourceLock(version=known[i][1], commit=known[i][2], content_hash=row["content_hash"], store_key=row["store_key"], ingestion_type=kind)
                 results[i] = SyncResult(i, "synced" if i in fresh else "skipped", elapsed=took if i in fresh else 0.0)
@@ -180,12 +189,12 @@ class Engine:
         parts, known = self._files(public, root, results)
         if failed := [f"{r.id}: {r.error}" for r in results.values()]:
             raise ValueError("cannot publish: " + "; ".join(failed))
-        files = self._kept(reduce(DataFrame.unionByName, parts)) if parts else None
+        files = written(reduce(DataFrame.unionByName, parts), "publish") if parts else None
         if files is None or files.isEmpty():
             raise ValueError("no chunks; there is nothing to publish")
         dims = self.spark.createDataFrame([(i, *k) for i, k in known.items()], "id string, source string, source_version string, commit string")
         keyed = identify(files, self.embedder.model, self.options).join(F.broadcast(dims), "id").drop("content_hash")
-        chunks = processed(files.join(F.broadcast(keyed), "id").drop("id"), self.embedder, self.options)
+        chunks = processed(files.join(F.broadcast(keyed), "id").drop("id"), self.embedder, self.options, self.vectors)
         artifacts.write(chunks.coalesce(1) if lock else chunks, path, self.embedder.model, F.col("commit"))
         sums = artifacts.checksums(self.spark, path).where(F.col("file").endswith(".gz"))
         if lock:
@@ -217,8 +226,17 @@ def status_of(deps: DataFrame, locked: DataFrame, stored: DataFrame | None) -> D
     return joined.withColumns({"status": state, "version": F.when(F.coalesce("version", F.lit("")) != "", F.col("version")).otherwise(F.col("ref"))})
 
 
+STATUSES = ("synced", "skipped", "error")
+
+
 def counts(results: list[SyncResult]) -> dict[str, int]:
-    return {s: sum(r.status == s for r in results) for s in ("synced", "skipped", "error")}
+    return {s: sum(r.status == s for r in results) for s in STATUSES}
+
+
+def count_by_status(results: DataFrame) -> DataFrame:
+    """results: status and others, such as the results of many manifests. (status, n), each status once, with 0 too."""
+    every = results.sparkSession.createDataFrame([(s,) for s in STATUSES], "status string")
+    return every.join(results.groupBy("status").agg(F.count("*").alias("n")), "status", "left").na.fill(0, ["n"])
 
 
 def default_store_path() -> str:

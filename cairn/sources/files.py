@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
+import shutil
 import subprocess
 import tempfile
-import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.text import extension
 from cairn.schema import FILES
+from cairn.shared import scratch_path
 
 COMMIT = re.compile(r"[0-9a-f]{40}")
 DOC_EXTENSIONS = (".md", ".mdx")
@@ -27,17 +29,16 @@ def extension_set(given: list[str] | tuple[str, ...]) -> tuple[str, ...]:
 
 def shared_copy(spark: SparkSession, root: str, path: str) -> str:
     """Where executors find root/path, as the folder that path is relative to: a copy in the folder that
-    ``spark.checkpoint.dir`` names, or root itself where that is unset, as on one machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
+    ``spark.checkpoint.dir`` names, or root itself where that is unset on one machine."""
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    if local and not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
         return "file://" + root
-    target = f"{shared.rstrip('/')}/cairn-files-{uuid.uuid4().hex}"
+    target = scratch_path(spark, "files")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(target).getFileSystem(spark._jsc.hadoopConfiguration())
     place = hadoop(hadoop(target), path) if path != "." else hadoop(target)
     fs.mkdirs(place.getParent())
     fs.copyFromLocalFile(hadoop("file://" + os.path.join(root, path)), place)
-    fs.deleteOnExit(hadoop(target))
     return target
 
 
@@ -85,6 +86,7 @@ def fetch(spark: SparkSession, source: str, ref: str, docs: list[str], code: lis
     """(commit, files): documents first, then code. The clone is the driver's work; scan() takes its files to where the
     executors find them."""
     into = tempfile.mkdtemp(prefix="cairn-git-")
+    atexit.register(shutil.rmtree, into, True)  # on one machine it is read where it is
     commit = checkout(source, ref, into)
     files = scan(spark, into, docs, DOC_EXTENSIONS).unionByName(scan(spark, into, code, extension_set(code_extensions or [])))
     return commit, files

@@ -83,11 +83,13 @@ def concentration(groups: DataFrame) -> float:
 
 
 def host_reputation(hosts: DataFrame, z: float = Z, two_labels: str = TWO_LABELS) -> DataFrame:
-    """hosts: host, n labelled pages, y bad ones, and how many pages. Returns host, pages, mean and lower bound of the bad
-    share."""
+    """hosts: host, n labelled pages, y bad ones, and others such as how many pages. Returns host, the others, mean and lower
+    bound of the bad share."""
+    others = [c for c in hosts.columns if c not in ("host", "n", "y")]
     domain, suffix = domain_of(F.col("host"), two_labels)
-    hosts = hosts.select("host", "pages", "n", "y", domain.alias("domain"), suffix.alias("suffix"))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
+    hosts = hosts.select("host", *others, "n", "y", F.struct(suffix.alias("suffix"), domain.alias("domain")).alias("site"))
+    sites = hosts.groupBy("site").agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.count("*").alias("hosts"))
+    domains = sites.select("site.suffix", "site.domain", "n", "y", "hosts", "site")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("y").alias("y"))
     n, y = suffixes.agg(F.sum("n"), F.sum("y")).first()
     top = y / n if n else 0.0
@@ -95,12 +97,12 @@ def host_reputation(hosts: DataFrame, z: float = Z, two_labels: str = TWO_LABELS
     suffixes = suffixes.withColumn("m", F.lit(top))
     suffixes = suffixes.select("suffix", posterior(concentration(suffixes)).alias("m"))
     domains = domains.join(suffixes, "suffix")
-    domains = domains.select("suffix", "domain", posterior(concentration(domains)).alias("m"))
-    hosts = hosts.join(domains, ["suffix", "domain"])
+    domains = materialize(domains.select("site", "hosts", posterior(concentration(domains)).alias("m")), "domains")
+    hosts = join_counted(hosts, domains, "site", "hosts", [F.col("host")])  # one domain may have very many hosts
     k = concentration(hosts)
     mean = posterior(k)
     bound = F.col("mean") - F.lit(z) * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + k + 1))
-    return hosts.select("host", "pages", "n", mean.alias("mean")).select("host", "pages", "mean", bound.alias("bound"))
+    return hosts.select("host", *others, "n", mean.alias("mean")).select("host", *others, "mean", bound.alias("bound"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float = MAX_BAD, z: float = Z, two_labels: str = TWO_LABELS) -> DataFrame:
@@ -109,8 +111,10 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, max_bad: float
     own = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
     bad = F.greatest(F.col("toxic").cast("int"), 1 - F.col("quality").cast("int"))  # greatest skips nulls
     marks = labels.select(F.col("doc_id").cast("long").alias("label_id"), bad.alias("bad")).where("bad IS NOT NULL").groupBy("label_id").agg(F.max("bad").alias("bad"))
-    counted = own.join(marks, F.col("page_id") == F.col("label_id"), "left")
-    hosts = counted.groupBy("host").agg(F.count("*").alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("y"))
+    # Repeated ids and null ones meet as one row for each host.
+    counted = own.groupBy("page_id", "host").agg(F.count("*").alias("c")).join(marks, F.col("page_id") == F.col("label_id"), "left")
+    marked = F.when(F.col("bad").isNotNull(), F.col("c"))
+    hosts = counted.groupBy("host").agg(F.sum("c").alias("pages"), F.coalesce(F.sum(marked), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("c") * F.col("bad")), F.lit(0)).alias("y"))
     standing = materialize(host_reputation(materialize(hosts, "hosts"), z, two_labels), "standing")
     rule, says = matched_rule(F.col("host"), F.col("path"), rules)
     judged = join_counted(own, standing, "host", "pages", [F.col("page_id"), F.col("path")])

@@ -1,8 +1,8 @@
 """Code chunks at top-level declarations.
 
-Python is parsed by ``ast``. The other languages have no parser in the standard library; a scanner that knows their
-strings, comments and brackets finds the top-level items, and each item's first words tell what it declares. Where
-nothing is declared, or Python does not parse, the line chunker takes over.
+Python is parsed by ``ast``. The other languages have no parser in the standard library; ``lexing`` finds their top-level
+items, and each item's first words tell what it declares. Where nothing is declared, or Python does not parse, the line
+chunker takes over.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import ast
 import re
 from collections.abc import Callable
 
+from cairn.operators import lexing
 from cairn.operators.markdown import SPACES, n_tokens
 from cairn.schema import ChunkOptions
 
@@ -38,59 +39,11 @@ def python_items(source: str) -> list[Item]:
     return out
 
 
-_SKIP = {
-    "c": re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S),
-    "go": re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])+'|`[^`]*`", re.S),
-    "rust": re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|r(#*)\".*?\"\1|\"(?:\\.|[^\"\\])*\"|'(?:\\[^']+|[^'\\])'", re.S),
-}
-_CLOSES = {"(": ")", "[": "]", "{": "}"}
-
-
-def top_level(source: str, skip: re.Pattern, ends_by_line: bool) -> list[str]:
-    """Items at bracket depth 0. One ends at a semicolon, after a closing brace that ends its line, or (where line ends
-    count) at the end of a line; comments between items are items of their own."""
-    out: list[str] = []
-    depth, start, i = 0, -1, 0
-
-    def close(end: int) -> None:
-        nonlocal start
-        if start >= 0 and (text := source[start:end].strip(SPACES)):
-            out.append(text)
-        start = -1
-
-    while i < len(source):
-        m = skip.match(source, i)
-        if m:
-            comment = m[0].startswith(("//", "/*"))
-            if start < 0 and comment:
-                out.append(m[0])
-            elif start < 0:
-                start = i
-            i = m.end()
-            continue
-        c = source[i]
-        if start < 0 and c not in SPACES:
-            start = i
-        if c in "([{":
-            depth += 1
-        elif c in ")]}":
-            depth = max(0, depth - 1)
-            if c == "}" and not depth:
-                rest = source[i + 1 : (source + "\n").index("\n", i + 1)].strip(" \t\r")
-                if not rest or rest.startswith("//"):
-                    close(i + 1)
-        elif not depth and c == ";":
-            close(i + 1)
-        elif not depth and c == "\n" and ends_by_line and start >= 0:
-            close(i)
-        i += 1
-    close(len(source))
-    return out
-
-
 def _go(text: str) -> str | None:
-    if m := re.match(r"func\s*\(\s*(?:\w+\s+)?\*?\s*(\w+)[^)]*\)\s*(\w+)", text):
-        return f"{m[1]}.{m[2]}"
+    if m := re.match(r"func\s*\(\s*(?:\w+\s+)?(\*?)\s*(\w+)\s*(\[[^)]*\])?\s*,?\s*\)\s*(\w+)", text):
+        if m[3] and not m[1]:
+            return m[4]  # a generic receiver is named only through a pointer
+        return f"{m[2]}{m[3] or ''}.{m[4]}"
     if m := re.match(r"func\s+(\w+)", text):
         return m[1]
     if re.match(r"type\b", text):
@@ -99,15 +52,18 @@ def _go(text: str) -> str | None:
     return m[1] if (m := re.match(r"(const|var)\b", text)) else None
 
 
-_SCRIPT = r"(?:async\s+)?function\s*\*?\s*(\w+)|(?:abstract\s+)?class\s+(\w+)"
-_TYPED = r"|interface\s+(\w+)|type\s+(\w+)|(?:const\s+)?enum\s+(\w+)"
+_DECORATORS = r"(?:@[\w.$]+(?:\s*\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))?\s*)*"
+_SCRIPT = r"(?:async\s+)?function\s+([\w$]+)|class\s+(?!extends\b)([\w$]+)"
+_TYPED = r"|interface\s+([\w$]+)|type\s+([\w$]+)(?=\s*[=<])|(?:const\s+)?enum\s+([\w$]+)"
 
 
 def _script(typed: bool) -> Callable[[str], str | None]:
-    named = re.compile(_SCRIPT + (_TYPED if typed else "") + r"|(?:const|let)\s+(\w+|[\[{][^=]*[\]}])" + ("" if typed else r"|var\s+(\w+|[\[{][^=]*[\]}])"))
-    shown = re.compile(_SCRIPT + _TYPED + r"|(?:const|let|var)\s+(\w+|[\[{][^=]*[\]}])")
+    named = re.compile(_SCRIPT + (_TYPED if typed else "") + r"|(?:const|let)\s+([\w$]+|[\[{][^=]*[\]}])" + ("" if typed else r"|var\s+([\w$]+|[\[{][^=]*[\]}])"))
+    shown = re.compile(_DECORATORS + "(?:" + _SCRIPT + _TYPED + r"|(?:const|let|var)\s+([\w$]+|[\[{][^=]*[\]}]))")
+    lead = re.compile(_DECORATORS)
 
     def declared(text: str) -> str | None:
+        text = text[lead.match(text).end() :]
         if m := re.match(r"export\b\s*(?:default\s+)?", text):
             inner = shown.match(text, m.end())
             return next((g for g in inner.groups() if g), "export") if inner else "export"
@@ -118,7 +74,7 @@ def _script(typed: bool) -> Callable[[str], str | None]:
 
 
 def _java(text: str) -> str | None:
-    m = re.match(r"(?:@[\w.]+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|abstract|final|static|sealed|non-sealed|strictfp)\s+)*(?:class|interface|enum)\s+(\w+)", text)
+    m = re.match(r"(?:@(?!interface\b)[\w.]+\s*(?:\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\))?\s*|(?:public|protected|private|abstract|final|static|sealed|non-sealed|strictfp)\s+)*(?:class|interface|enum)\s+(\w+)", text)
     return m[1] if m else None
 
 
@@ -135,13 +91,13 @@ def _rust(text: str) -> str | None:
 
 #: By extension: how items are found, and what an item's text declares.
 SCANNED = {
-    ".go": ("go", True, _go),
-    ".ts": ("c", True, _script(True)),
-    ".tsx": ("c", True, _script(True)),
-    ".js": ("c", True, _script(False)),
-    ".jsx": ("c", True, _script(False)),
-    ".java": ("c", False, _java),
-    ".rs": ("rust", False, _rust),
+    ".go": ("go", _go),
+    ".ts": ("script", _script(True)),
+    ".tsx": ("script", _script(True)),
+    ".js": ("script", _script(False)),
+    ".jsx": ("script", _script(False)),
+    ".java": ("java", _java),
+    ".rs": ("rust", _rust),
 }
 
 
@@ -154,8 +110,9 @@ def items(source: str, ext: str) -> list[Item]:
             return []
     if ext not in SCANNED:
         return []
-    skip, by_line, declared = SCANNED[ext]
-    return [(t, declared(t)) for t in top_level(source, _SKIP[skip], by_line)]
+    language, declared = SCANNED[ext]
+    texts = [source[a:b].strip(SPACES) for a, b in lexing.items(source, language)]
+    return [(t, declared(lexing.outline(t, language).strip(SPACES))) for t in texts if t]
 
 
 def pack_items(found: list[Item], options: ChunkOptions) -> list[tuple[str, str]]:

@@ -247,6 +247,33 @@ def line_chunks(spark, sf_dir):
     return chunk_by_lines(files).select("doc_id", "chunk_index", F.size(text.words(F.col("text"))).alias("words"))
 
 
+#: By language: how a file ends, and its items as (what they declare, text); % is a number, ~ a text of letters.
+_SOURCES = (
+    (".js", (("re%", 'const re% = /["{]/;'), ("a%", 'function a%() { return `~ ${g({ x: "}" })}{` }'), ("x%", "let x% = a\n .b()"))),
+    (".rs", (("", "/* ~ /* b */ fn no() {} */\n\n#[derive(Debug)]"), ("S%", "pub struct S% { a: char }"), ("impl S%", "impl<'a> S% { fn f() { r#\"~\"}\"# } }"))),
+    (".go", (("T[K].M%", "func (s *T[K]) M%() {\n\tx(`~}`, '{')\n}"), ("var", "var a% = 1 +\n\t2"))),
+    (".java", (("C%", "@X(y = {1}, z = @W(\")\"))\nfinal class C% { char c = '}'; /* ~ } */ }"), ("E%", "enum E% { A { }, B }"))),
+    (".ts", (("D%", "@c({ s: '}' })\nexport class D% { /* ~ */ }"), ("Q%", "type Q% =\n  | { a: `}~` }\n  | string"))),
+)
+_LETTERS = "[^A-Za-z .,\n]"
+_quoted = lambda t: "'" + t.replace("'", "''") + "'"
+_ITEMS_SQL = " UNION ALL ".join(f"SELECT {k} AS kind, {i} AS chunk_index, {_quoted(crumb)} AS breadcrumb, {_quoted(body)} AS body" for k, (_, found) in enumerate(_SOURCES) for i, (crumb, body) in enumerate(found))
+
+
+@query(f"WITH i AS ({_ITEMS_SQL}), d AS (SELECT doc_id, doc_id::VARCHAR AS n, regexp_replace(text, '{_LETTERS}', '', 'g') AS w FROM documents) SELECT doc_id, chunk_index::INTEGER AS chunk_index, replace(breadcrumb, '%', n) AS breadcrumb, sha256(replace(replace(body, '%', n), '~', w)) AS digest FROM d JOIN i ON kind = doc_id % 5")
+def code_boundaries(spark, sf_dir):
+    """Every text within a template, raw string or comment of one of five languages, beside what looks like its end."""
+    n = F.col("doc_id").cast("string")
+    words = F.regexp_replace("text", _LETTERS, "")
+    source, end = F.lit(""), F.lit("")
+    for k, (ext, found) in enumerate(_SOURCES):
+        body = "\n".join(t for _, t in found)
+        own = F.replace(F.replace(F.lit(body), F.lit("%"), n), F.lit("~"), words)
+        source, end = F.when(F.col("doc_id") % 5 == k, own).otherwise(source), F.when(F.col("doc_id") % 5 == k, ext).otherwise(end)
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat(n, end).alias("path"), source.cast("binary").alias("content"))
+    return chunk_files(files, ChunkOptions(target=1)).select("doc_id", "chunk_index", "breadcrumb", F.sha2("text", 256).alias("digest"))
+
+
 @query(r"WITH t AS (SELECT doc_id, string_split(replace(text, '. ', E'.\n\n'), E'\n\n') AS b FROM documents) SELECT doc_id, len(b)::INTEGER AS blocks, sha256(array_to_string(b, '|')) AS digest FROM t")
 def line_blocks(spark, sf_dir):
     b = blocks(F.replace("text", F.lit(". "), F.lit(".\n \t\n\n")))

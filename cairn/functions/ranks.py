@@ -45,16 +45,29 @@ def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[k].eqNullSafe(right[k]) for k in keys))
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: dict[str, str | Column]) -> DataFrame:
-    """df with running sums within each group of keys, the own row included: name -> column. Rows of a group should differ
-    in the order: equal ones are added in any order. The sums are of whole numbers or decimals, so that they are exact."""
-    values = {f"cairn_v{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(sums.values())}
-    own = df.withColumns(values).repartitionByRange(ranges(df.sparkSession), *keys, *order)
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: dict[str, str | Column], greatest: dict[str, str | Column] | None = None) -> DataFrame:
+    """df with running sums (and running greatest values) within each group of keys, the own row included: name -> column;
+    beside each sum, in name_all, that of the whole group. Rows of a group should differ in the order: equal ones are taken
+    in any order. The sums are of whole numbers or decimals, so that they are exact."""
+    none = not keys
+    keys = list(keys) or ["cairn_group"]
+    own = df.withColumn("cairn_group", F.lit(0)) if none else df
+    kinds = [("s", F.sum, name, c) for name, c in sums.items()] + [("m", F.max, name, c) for name, c in (greatest or {}).items()]
+    values = {f"cairn_{k}{i}": F.col(c) if isinstance(c, str) else c for i, (k, _, _, c) in enumerate(kinds)}
+    folds = dict(zip(values, (f for _, f, _, _ in kinds)))
+    own = own.withColumns(values).repartitionByRange(ranges(df.sparkSession), *keys, *order)
     own = written(own.withColumn("cairn_part", F.spark_partition_id()), "running")
-    parts = own.groupBy(*keys, "cairn_part").agg(*[F.sum(v).alias(v) for v in values])
-    before = Window.partitionBy(*keys).orderBy("cairn_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
-    parts = parts.select(*keys, "cairn_part", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_before") for v in values])
+    parts = own.groupBy(*keys, "cairn_part").agg(*[fold(v).alias(v) for v, fold in folds.items()])  # a row for each range
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("cairn_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*keys, "cairn_part", *[fold(v).over(before).alias(f"{v}_before") for v, fold in folds.items()], *[F.sum(v).over(group).alias(f"{v}_all") for v in values if v.startswith("cairn_s")])
     within = Window.partitionBy(*keys, "cairn_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    own = own.select(*df.columns, "cairn_part", *[F.sum(v).over(within).alias(v) for v in values])
+    own = own.select(*dict.fromkeys([*df.columns, *keys]), "cairn_part", *[fold(v).over(within).alias(v) for v, fold in folds.items()])
     joined = own.join(parts, same(own, parts, [*keys, "cairn_part"]))
-    return joined.select(*[own[c] for c in df.columns], *[(own[v] + parts[f"{v}_before"]).alias(name) for v, name in zip(values, sums)])
+    out = []
+    for v, (kind, _, name, _) in zip(values, kinds):
+        if kind == "s":
+            out += [(own[v] + F.coalesce(parts[f"{v}_before"], F.lit(0))).alias(name), parts[f"{v}_all"].alias(f"{name}_all")]
+        else:
+            out.append(F.greatest(own[v], parts[f"{v}_before"]).alias(name))
+    return joined.select(*[own[c] for c in df.columns], *out)

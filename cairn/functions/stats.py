@@ -1,6 +1,8 @@
 """Paired non-parametric statistics as DataFrame plans.
 
-Each takes a long table and grouping columns, so all metrics of a run are one plan.
+Each takes a long table and grouping columns, so all metrics of a run are one plan. What needs an order (quantiles, ranks,
+Holm's steps) is taken from running sums over ranges of the different values, so that a key of any size is spread over
+tasks; only the Hodges-Lehmann estimate holds a key's differences in one.
 """
 
 from __future__ import annotations
@@ -9,18 +11,38 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.functions.ranks import running, same
+
+
+EXACT = "decimal(38,0)"
+
+
+def quantiles(values: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
+    """(keys..., names...): quantiles by linear interpolation, from the places of the different values."""
+    v = F.col(value).cast("double").alias("v")
+    counted = values.where(F.col(value).isNotNull()).select(*keys, v).groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    placed = running(counted, keys, ["v"], {"upto": "c"})
+    out = []
+    for name, share in shares.items():
+        place = (F.col("upto_all") - 1) * F.lit(share)
+        low = F.floor(place)
+        at = lambda k: F.min(F.when(F.col("upto") > k, F.col("v")))
+        out += [at(low).alias(f"{name}_a"), at(F.least(low + 1, F.col("upto_all") - 1)).alias(f"{name}_b"), F.max(place - low).alias(f"{name}_w")]
+    found = placed.groupBy(*keys).agg(*out)
+    return found.select(*keys, *[F.when(F.col(f"{n}_w") == 0, F.col(f"{n}_a")).otherwise(F.col(f"{n}_a") * (1 - F.col(f"{n}_w")) + F.col(f"{n}_b") * F.col(f"{n}_w")).alias(n) for n in shares])
+
 
 def descriptive(values: DataFrame, value: str, *keys: str) -> DataFrame:
-    """(keys..., median, p25, p75, mean, std, n); std is 0 for a single value."""
+    """(keys..., median, p25, p75, mean, std, n); std is 0 for a single value. No task holds a key's values."""
     v = F.col(value)
-    return values.groupBy(*keys).agg(
-        F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.25)).alias("p25"), F.percentile(v, F.lit(0.75)).alias("p75"),
-        F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.count(v).alias("n"),
-    )
+    sums = values.groupBy(*keys).agg(F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.count(v).alias("n"))
+    found = quantiles(values, value, {"median": 0.5, "p25": 0.25, "p75": 0.75}, *keys)
+    joined = sums.join(found, same(sums, found, keys) if keys else F.lit(True), "left")
+    return joined.select(*[sums[k] for k in keys], "median", "p25", "p75", "mean", "std", "n")
 
 
 def cliffs_label(delta: Column) -> Column:
@@ -35,12 +57,11 @@ def cliffs_delta(values: DataFrame, value: str, is_x: Column, *keys: str) -> Dat
     """
     own = values.select(*keys, F.col(value).alias("v"), is_x.alias("x"))
     at = own.groupBy(*keys, "v").agg(F.count_if("x").alias("nx"), F.count_if(~F.col("x")).alias("ny"))
-    below = F.coalesce(F.sum("ny").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("ny").over(Window.partitionBy(*keys))
-    at = at.withColumns({"less": below, "all": total})
-    more, less = F.col("nx") * F.col("less"), F.col("nx") * (F.col("all") - F.col("less") - F.col("ny"))
-    summed = at.groupBy(*keys).agg(F.sum(more - less).alias("d"), F.sum("nx").alias("n1"), F.sum("ny").alias("n2"))
-    delta = F.coalesce(F.try_divide(F.col("d").cast("double"), (F.col("n1") * F.col("n2")).cast("double")), F.lit(0.0))
+    at = running(at, keys, ["v"], {"upto": "ny"})
+    more, less = F.col("upto") - F.col("ny"), F.col("upto_all") - F.col("upto")
+    net = F.col("nx").cast(EXACT) * (more - less).cast(EXACT)
+    summed = at.groupBy(*keys).agg(F.sum(net.cast(EXACT)).alias("d"), F.sum("nx").alias("n1"), F.sum("ny").alias("n2"))
+    delta = F.coalesce(F.try_divide(F.col("d").cast("double"), F.col("n1").cast("double") * F.col("n2").cast("double")), F.lit(0.0))
     return summed.select(*keys, delta.alias("delta"), cliffs_label(delta).alias("effect"))
 
 
@@ -94,14 +115,14 @@ def hodges_lehmann(diffs: DataFrame, diff: str, *keys: str) -> DataFrame:
 
 def signed_ranks(diffs: DataFrame, diff: str, *keys: str) -> DataFrame:
     """(keys..., n, w_plus, w_minus, ties): zero differences dropped, equal sizes share their mean rank."""
-    own = diffs.where(F.col(diff) != 0).select(*keys, F.col(diff).alias("d"), F.abs(F.col(diff)).alias("a"))
-    rank = F.rank().over(Window.partitionBy(*keys).orderBy("a"))
-    same = F.count("*").over(Window.partitionBy(*keys, "a"))
-    own = own.withColumns({"r": rank, "s": same}).withColumn("r", F.col("r") + (F.col("s") - 1) / 2)
-    return own.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"),
-        F.sum((F.col("s") * F.col("s") - 1).cast("double")).alias("ties"),
-    )
+    own = diffs.where(F.col(diff) != 0).select(*keys, (F.col(diff) > 0).alias("up"), F.abs(F.col(diff)).alias("a"))
+    sizes = own.groupBy(*keys, "a").agg(F.count("*").alias("c"), F.count_if("up").alias("up"))
+    sizes = running(sizes, keys, ["a"], {"upto": "c"})
+    twice = (2 * F.col("upto") - F.col("c") + 1).cast(EXACT)  # twice the mean rank
+    half = lambda n: F.sum((n.cast(EXACT) * twice).cast(EXACT)).cast("double") / 2
+    c = F.col("c").cast(EXACT)
+    ties = F.sum(F.when(F.col("c") > 1, (c * (F.col("c") * F.col("c") - 1).cast(EXACT)).cast(EXACT)).otherwise(F.lit(0).cast(EXACT)))
+    return sizes.groupBy(*keys).agg(F.sum("c").alias("n"), half(F.col("up")).alias("w_plus"), half(F.col("c") - F.col("up")).alias("w_minus"), ties.cast("double").alias("ties"))
 
 
 def wilcoxon_p(n: int, w: float, ties: float) -> float:
@@ -127,10 +148,8 @@ def wilcoxon(diffs: DataFrame, diff: str, *keys: str) -> DataFrame:
 
 def holm(tests: DataFrame, p: str, name: str, *keys: str, alpha: float = 0.05) -> DataFrame:
     """tests with p_corrected and significant: the step-down correction within keys; ties in p go by name."""
-    by = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
-    ordered = by.orderBy(p, name)
-    raised = F.col(p) * (F.count("*").over(by) - F.row_number().over(ordered) + 1)
-    out = tests.withColumn("p_corrected", raised)
-    running = F.max("p_corrected").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = out.withColumn("p_corrected", F.least(running, F.lit(1.0)))
+    placed = running(tests, keys, [p, name], {"cairn_place": F.lit(1)})
+    raised = F.col(p) * (F.col("cairn_place_all") - F.col("cairn_place") + 1)
+    out = running(placed.drop("p_corrected", "significant"), keys, [p, name], {}, {"p_corrected": raised}).drop("cairn_place", "cairn_place_all")
+    out = out.withColumn("p_corrected", F.least("p_corrected", F.lit(1.0)))
     return out.withColumn("significant", F.col("p_corrected") <= alpha)

@@ -227,6 +227,7 @@ def extended(texts: DataFrame, matches: DataFrame, length: int, piece: int) -> D
 def repeated_windows(windows: DataFrame) -> DataFrame:
     """(doc, name, more): of each text the open windows that a smaller doc_id has too."""
     least = windows.groupBy("one", "two").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most")
+    least = materialize(least, "least")  # so that both sides are dealt out for the join, and Spark can split a common string
     hit = windows.join(least, ["one", "two"]).where("least < doc")
     return hit.groupBy("doc", "name").agg(F.collect_set("at").alias("more"))
 

@@ -16,18 +16,42 @@ from pyspark.sql import functions as F
 INDEX_PREFIX = "mcp__"
 WEB_TOOLS = ("WebSearch", "WebFetch")
 PREVIEW = 500
-_BLOCK = "array<struct<type:string,id:string,name:string,text:string,input:string,tool_use_id:string,content:string>>"
-_EVENT = f"struct<type:string,message:struct<content:{_BLOCK}>,total_cost_usd:double,duration_ms:bigint,num_turns:bigint,usage:struct<input_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint,output_tokens:bigint>,result:string>"
+_USAGE = ("input_tokens", "cache_read_input_tokens", "cache_creation_input_tokens", "output_tokens")
+
+
+def taken(v: str | Column, path: str, kind: str) -> Column:
+    """What a variant holds at path as that type, where it can be taken as such; else null."""
+    return F.try_variant_get(v, path, kind)
+
+
+def whole(v: str | Column, path: str) -> Column:
+    """A count, whichever way it is written: 7, 7.0 or "7"."""
+    return F.coalesce(taken(v, path, "bigint"), taken(v, path, "double").cast("bigint"), taken(v, path, "string").try_cast("double").try_cast("bigint"))
 
 
 def parse_events(lines: DataFrame) -> DataFrame:
-    """lines: trial_id, line_no, value. Lines that aren't JSON objects with a type are left out."""
-    parsed = lines.select("trial_id", "line_no", F.from_json("value", _EVENT).alias("e"))
-    return parsed.where("e.type IS NOT NULL").select("trial_id", "line_no", "e.*")
+    """lines: trial_id, line_no, value. (trial_id, line_no, type, content, total_cost_usd, duration_ms, num_turns, usage,
+    result, event): what the metrics ask for, and the whole event as a variant.
+
+    Lines that aren't JSON objects with a type are left out. A value of another form than asked for is taken as far as it
+    can be, and touches no other: counts may be written 7, 7.0 or "7", and content may hold blocks of any kind.
+    """
+    parsed = lines.select("trial_id", "line_no", F.try_parse_json("value").alias("event"))
+    usage = F.struct(*[whole("event", f"$.usage.{c}").alias(c) for c in _USAGE])
+    out = parsed.select(
+        "trial_id", "line_no", taken("event", "$.type", "string").alias("type"), taken("event", "$.message.content", "array<variant>").alias("content"), taken("event", "$.total_cost_usd", "double").alias("total_cost_usd"),
+        whole("event", "$.duration_ms").alias("duration_ms"), whole("event", "$.num_turns").alias("num_turns"), usage.alias("usage"), taken("event", "$.result", "string").alias("result"), "event",
+    )
+    return out.where("type IS NOT NULL")
+
+
+_FIELDS = ("type", "id", "name", "text", "input", "tool_use_id")
 
 
 def _blocks(events: DataFrame, who: str) -> DataFrame:
-    return events.where(F.col("type") == who).select("trial_id", "line_no", F.posexplode("message.content").alias("place", "b")).select("trial_id", "line_no", "place", "b.*")
+    """A row for each block; what isn't an object has nulls."""
+    each = events.where(F.col("type") == who).select("trial_id", "line_no", F.posexplode("content").alias("place", "b"))
+    return each.select("trial_id", "line_no", "place", *[taken("b", f"$.{c}", "string").alias(c) for c in _FIELDS], taken("b", "$.content", "array<variant>").alias("parts"), taken("b", "$.content", "string").alias("content"))
 
 
 def efficiency(events: DataFrame) -> DataFrame:
@@ -55,9 +79,8 @@ def behavior(events: DataFrame) -> DataFrame:
 def tool_calls(events: DataFrame) -> DataFrame:
     """(trial_id, id, tool, input, output_length, output_preview): each call beside its result, "" without one."""
     calls = _blocks(events, "assistant").where("type = 'tool_use'").groupBy("trial_id", "id").agg(F.max_by("name", F.struct("line_no", "place")).alias("tool"), F.max_by(F.coalesce("input", F.lit("{}")), F.struct("line_no", "place")).alias("input"))
-    parts = F.from_json("content", "array<struct<text:string>>")
-    listed = F.array_join(F.transform(parts, lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
-    text = F.when(F.col("content").startswith("["), F.coalesce(listed, F.col("content"))).otherwise(F.coalesce("content", F.lit("")))
+    listed = F.array_join(F.transform("parts", lambda p: F.coalesce(taken(p, "$.text", "string"), F.lit(""))), "\n")
+    text = F.coalesce(listed, "content", F.lit(""))
     given = _blocks(events, "user").where("type = 'tool_result'").select("trial_id", F.coalesce("tool_use_id", F.lit("")).alias("id"), "line_no", "place", text.alias("output"))
     given = given.groupBy("trial_id", "id").agg(F.max_by("output", F.struct("line_no", "place")).alias("output"))
     both = calls.join(given, ["trial_id", "id"], "left").withColumn("output", F.coalesce("output", F.lit("")))

@@ -459,6 +459,20 @@ def last_event(spark, sf_dir):
     return trials.efficiency(trials.parse_events(lines)).select("trial_id", "num_turns")
 
 
+@query("WITH e AS (SELECT user_id AS trial_id, event_id, json_extract_string(props, '$.k')::BIGINT AS k, event_id % 4 AS form FROM events), l AS (SELECT trial_id, max(event_id) AS last FROM e GROUP BY trial_id), c AS (SELECT trial_id, count(*) AS calls FROM e WHERE form < 3 GROUP BY trial_id) SELECT e.trial_id, k AS num_turns, k + CASE WHEN form = 3 THEN 0 ELSE 5 END AS input_tokens, coalesce(calls, 0) AS total_calls FROM e JOIN l ON event_id = last LEFT JOIN c ON c.trial_id = e.trial_id")
+def loose_events(spark, sf_dir):
+    """Logs in which counts are written 7, 7.0 or "7", and content holds loose elements beside tool calls, or none at all."""
+    k, form = F.get_json_object("props", "$.k"), F.col("event_id") % 4
+    n = F.when(form == 1, F.concat(k, F.lit(".0"))).when(form == 2, F.concat(F.lit('"'), k, F.lit('"'))).otherwise(k)
+    more = F.when(form == 0, "5").when(form == 1, "5.0").when(form == 2, '"5"').otherwise("[5]")
+    content = F.when(form < 3, '[null, "loose", 1, {"type": "tool_use", "id": "a", "name": "mcp__x"}, {"type": ["odd"]}]').otherwise('{"type": "tool_use"}')
+    lines = [F.concat(F.lit('{"type": "result", "num_turns": '), n, F.lit(', "usage": {"input_tokens": '), n, F.lit(', "cache_read_input_tokens": '), more, F.lit("}}")), F.concat(F.lit('{"type": "assistant", "message": {"content": '), content, F.lit("}}"))]
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("trial_id"), F.inline(F.array(*[F.struct((F.col("event_id") * 2 + i).alias("line_no"), x.alias("value")) for i, x in enumerate(lines)])))
+    events = trials.parse_events(rows)
+    found = trials.efficiency(events).select("trial_id", "num_turns", "input_tokens")
+    return found.join(trials.behavior(events).select("trial_id", "total_calls"), "trial_id")
+
+
 _TOOL = "CASE WHEN role <> 'assistant' THEN NULL WHEN length(text) % 2 = 0 THEN 'mcp__search' WHEN length(text) % 3 = 0 THEN 'WebFetch' ELSE 'mcp__read' END"
 
 
@@ -474,10 +488,10 @@ def _log(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     name = F.when(F.length("text") % 2 == 0, "mcp__search").when(F.length("text") % 3 == 0, "WebFetch").otherwise("mcp__read")
     none = F.lit(None).cast("string")
-    block = lambda kind, **own: F.struct(F.lit(kind).alias("type"), *[own.get(k, none).alias(k) for k in ("id", "name", "text", "tool_use_id", "content")])
+    block = lambda kind, **own: F.struct(F.lit(kind).alias("type"), *[own.get(k, none).alias(k) for k in ("id", "name", "text", "tool_use_id")], own.get("content", none.cast("variant")).alias("content"))
     said = F.when(F.col("role") == "assistant", F.array(block("text", text=F.concat(F.lit(" "), F.substring("text", 1, 20), F.lit(" "))), block("tool_use", id=F.col("turn").cast("string"), name=name)))
     listed = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text")), F.struct(F.lit("text").alias("type"), F.lit("end").alias("text"))))
-    given = F.when((F.col("role") == "assistant") & (F.col("turn") % 4 != 3), F.array(block("tool_result", tool_use_id=F.col("turn").cast("string"), content=F.when(F.col("turn") % 3 == 0, listed).otherwise(F.col("text")))))
+    given = F.when((F.col("role") == "assistant") & (F.col("turn") % 4 != 3), F.array(block("tool_result", tool_use_id=F.col("turn").cast("string"), content=F.when(F.col("turn") % 3 == 0, F.parse_json(listed)).otherwise(F.col("text").cast("variant")))))
     event = lambda kind, content: F.to_json(F.struct(kind.alias("type"), F.struct(content.alias("content")).alias("message")))
     result = F.to_json(F.struct(F.lit("result").alias("type"), F.lit(0.5).alias("total_cost_usd"), F.col("turn").alias("num_turns"), F.struct(F.length("text").alias("input_tokens"), F.lit(7).alias("cache_read_input_tokens")).alias("usage"), F.col("text").alias("result")))
     lines = [event(F.col("role"), said), F.lit("{broken"), event(F.lit("user"), given), result]

@@ -47,6 +47,27 @@ def test_tool_calls_and_transcript(events):
     assert text == "# Conversation Transcript\n\n## Assistant\n\nLooking.\n\n**Tool call:** `mcp__index__search`\n\n**Tool call:** `WebSearch`\n\n**Tool call:** `Read`\n\n## Final Response\n\nearly\n\n## Final Response\n\ndone\n"
 
 
+def test_values_of_other_forms_are_taken_as_they_are(spark):
+    """Counts as 12.0 or "7", a loose element beside tool calls, an odd field beside good ones."""
+    lines = [
+        {"type": "assistant", "message": {"content": ["loose", 5, None, {"type": "tool_use", "id": 1, "name": "mcp__a", "input": {"q": [1]}}, {"type": "text", "text": {"odd": 1}}]}},
+        {"type": "assistant", "message": {"content": "only text"}},
+        {"type": "assistant", "message": "odd"},
+        {"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": "1", "content": ["x", {"text": "y"}]}]}},
+        {"type": "result", "total_cost_usd": "0.5", "duration_ms": 1.0e3, "num_turns": "7", "usage": {"input_tokens": 12.0, "cache_read_input_tokens": "3", "cache_creation_input_tokens": [1], "output_tokens": "4.0"}, "result": 9, "extra": {"deep": [1, "a"]}},
+        [1],
+        7,
+    ]
+    rows = [("t", i, json.dumps(e)) for i, e in enumerate(lines)] + [("t", 90, '{"type": "result"'), ("u", 1, '{"type": "result", "usage": 3, "num_turns": null}')]
+    events = trials.parse_events(spark.createDataFrame(rows, "trial_id string, line_no long, value string"))
+    got = {r["trial_id"]: tuple(r)[1:] for r in trials.efficiency(events).collect()}
+    assert got == {"t": (0.5, 15, 4, 1000, 7, "9"), "u": (0.0, 0, 0, 0, 0, "")}
+    calls = trials.tool_calls(events).collect()
+    assert [(r["id"], r["tool"], json.loads(r["input"]), r["output_preview"]) for r in calls] == [("1", "mcp__a", {"q": [1]}, "\ny")]
+    assert trials.behavior(events).where("trial_id = 't'").first()["total_calls"] == 1
+    assert events.where(F.try_variant_get("event", "$.extra.deep[1]", "string") == "a").count() == 1
+
+
 def test_facts_and_structure(spark, tmp_path):
     (tmp_path / "t1.rubric.yaml").write_text("task_id: t1\nrequired_facts:\n- {pattern: 'gate(way)?', description: d, weight: 3}\n- {pattern: 'absent', description: d}\nstructure_checks:\n- {type: kind, description: d, expected: Gateway}\n- {type: required_field, description: d, field: spec.a.b}\n- {type: odd, description: d}\n- {type: no_yaml_errors, description: d}\n")
     facts, checks = readers.read_rubrics(spark, str(tmp_path), ["t1", "t2"])

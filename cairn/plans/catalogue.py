@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import identity, stats, text, vector
 from cairn.operators import analysis, trials
+from cairn.operators.cells import CellIndex
 from cairn.operators.chunking import chunk_files
 from cairn.operators.embedding import HashEmbedder, with_vectors
 from cairn.operators.lines import blocks, chunk_by_lines
@@ -96,7 +97,10 @@ def vector_topk_batched(spark, sf_dir):
     return nearest_batched(table(spark, sf_dir, "embeddings"), q, 10, "embedding").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query(f"WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, {_L2} AS distance FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id), r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id))::INTEGER AS rank FROM d) SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5")
+_ALL_SQL = f"WITH d AS (SELECT q.vec_id AS query_id, e.vec_id, {_L2} AS distance FROM embeddings e JOIN embeddings q ON q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id), r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id))::INTEGER AS rank FROM d) SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5"
+
+
+@query(_ALL_SQL)
 def vector_topk_all(spark, sf_dir):
     """Every vector whose id is divisible by 100 is asked against all others."""
     rows = table(spark, sf_dir, "embeddings")
@@ -104,6 +108,15 @@ def vector_topk_all(spark, sf_dir):
     return found.withColumn("distance", F.round("distance", 6))
 
 
+@query(_ALL_SQL)
+def vector_topk_pruned(spark, sf_dir):
+    """The same, from an index by cells: of each question only the cells are read that can hold a neighbour."""
+    rows = table(spark, sf_dir, "embeddings")
+    index = CellIndex.build(rows, scratch_path(spark, "cells"))
+    found = index.search_all(rows.where("vec_id % 100 = 0"), 5)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
 @query(f"WITH q AS (SELECT embedding FROM embeddings WHERE vec_id = 0), d AS (SELECT e.label, vec_id, round({_L2}, 6) AS distance FROM embeddings e, q) SELECT label, vec_id, distance, (row_number() OVER (PARTITION BY label ORDER BY distance, vec_id))::INTEGER AS rank FROM d QUALIFY rank <= 3")
 def vector_topk_per_group(spark, sf_dir):
     q, _ = _query_vector(spark, sf_dir)

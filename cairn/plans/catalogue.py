@@ -24,6 +24,7 @@ from cairn.plans.sync import count_by_status, isolated, new_keys, processed, sta
 from cairn.schema import ChunkOptions, SearchOptions
 from cairn.shared import scratch_path, written
 from cairn.sources.artifacts import record_id, records
+from cairn.streaming.follow import feed_stream, follow
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -216,6 +217,19 @@ def append_union(spark, sf_dir):
     return chunk_files(files).select("chunk_type", "breadcrumb", "text")
 
 
+@query("WITH c AS (SELECT client_id, op, trim(concat_ws(' ', segment, city)) AS text FROM client_changes WHERE client_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY seq DESC NULLS LAST, change_id DESC NULLS LAST) = 1) SELECT client_id::VARCHAR AS path, text FROM c WHERE op IS DISTINCT FROM 'D' AND text <> ''")
+def stream_changes(spark, sf_dir):
+    """A feed of changes, taken by a stream in batches and in no order: the store has each path's last text, unless it is
+    gone."""
+    c = table(spark, sf_dir, "client_changes")
+    feed = scratch_path(spark, "feed")
+    changes = c.select(F.col("client_id").cast("string").alias("path"), "seq", F.col("change_id").alias("tie"), F.coalesce(F.col("op") == "D", F.lit(False)).alias("deleted"), F.concat_ws(" ", "segment", "city").cast("binary").alias("content"))
+    changes.repartition(4, "seq").write.parquet(feed)
+    store = ChunkStore(spark, scratch_path(spark, "followed"), 8)
+    follow(feed_stream(spark, feed, 2), store, HashEmbedder("hash", 8), "clients", scratch_path(spark, "checkpoint"), buckets=8).awaitTermination()
+    return store.chunks().select("path", "text")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def resume_unfinished(spark, sf_dir):
     done = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))

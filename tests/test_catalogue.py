@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from cairn.plans.catalogue import ORACLE, QUERIES
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations client_changes".split()
 
 
 @pytest.fixture(scope="module")

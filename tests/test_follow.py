@@ -1,0 +1,125 @@
+"""A followed folder: whatever was added, changed or removed, and wherever it stopped, the store equals a fresh build."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from cairn.operators.embedding import HashEmbedder
+from cairn.plans.store import ChunkStore
+from cairn.plans.sync import processed
+from cairn.streaming.follow import FEED, feed_stream, follow, last_changes, note_changes
+
+E = HashEmbedder("hash", 8)
+
+
+class Place:
+    def __init__(self, spark, root):
+        self.spark, self.root, self.inbox = spark, root, root / "in"
+        self.inbox.mkdir()
+        self.feed, self.store = f"file://{root}/feed", ChunkStore(spark, f"file://{root}/t", 8)
+        self.clock = 1_700_000_000
+
+    def put(self, name, text):
+        (self.inbox / name).write_text(text)
+        self.clock += 10
+        os.utime(self.inbox / name, (self.clock, self.clock))
+
+    def note(self):
+        return note_changes(self.spark, f"file://{self.inbox}", self.feed)
+
+    def run(self, embedder=E, **options):
+        q = follow(feed_stream(self.spark, self.feed, options.pop("files", None)), self.store, embedder, "inbox", f"file://{self.root}/ck", **options)
+        q.awaitTermination()
+
+    def held(self):
+        rows = self.store.chunks().collect()
+        assert len({r["store_key"] for r in rows}) <= 4
+        return sorted((r["path"].rsplit("/", 1)[-1], r["chunk_index"], r["text"]) for r in rows)
+
+    def fresh(self):
+        files = self.spark.read.format("binaryFile").load(f"file://{self.inbox}").select("path", "content", F.lit("inbox").alias("source"), F.lit("").alias("source_version"), F.lit("").alias("store_key"))
+        return sorted((r["path"].rsplit("/", 1)[-1], r["chunk_index"], r["text"]) for r in processed(files, E).collect())
+
+
+@pytest.fixture
+def place(spark, tmp_path):
+    return Place(spark, tmp_path)
+
+
+def test_added_changed_removed(place):
+    for i in range(6):
+        place.put(f"{i}.md", f"# T{i}\none {i}\n# U\ntwo")
+    assert place.note() == 6 and place.note() == 0
+    place.run(buckets=4)
+    assert place.held() == place.fresh() and len(place.held()) == 12
+    place.put("1.md", "# new\nonly")
+    place.put("9.txt", "nine")
+    (place.inbox / "2.md").unlink()
+    (place.inbox / "3.md").write_text(" \n")
+    assert place.note() == 4
+    place.run(buckets=4)
+    assert place.held() == place.fresh() and ("1.md", 0, "only") in place.held() and not any(n in ("2.md", "3.md") for n, *_ in place.held())
+    place.put("2.md", "back")
+    for i in (0, 1, 4, 5):
+        (place.inbox / f"{i}.md").unlink()
+    place.note()
+    place.run(buckets=4)
+    assert place.held() == place.fresh() == [("2.md", 0, "back"), ("9.txt", 0, "nine")]
+    place.run(buckets=4)
+    assert place.held() == place.fresh()
+
+
+def test_a_file_put_back_with_an_older_time(place):
+    place.put("a.md", "first")
+    place.note()
+    place.put("a.md", "second, longer")
+    place.note()
+    (place.inbox / "a.md").write_text("first")
+    os.utime(place.inbox / "a.md", (1_600_000_000, 1_600_000_000))
+    assert place.note() == 1
+    place.run(buckets=2)
+    assert place.held() == [("a.md", 0, "first")]
+
+
+def test_restart_in_the_middle(place):
+    """A batch dies while it embeds; the next start does it again and the store is whole at each moment."""
+
+    class Dies:
+        model, dims = "dies", 8
+
+        def __init__(self, word):
+            self.word = word
+
+        def embed(self, texts):
+            if self.word and any(self.word in t for t in texts):
+                raise ValueError("provider failed")
+            return E.embed(texts)
+
+    for i in range(3):
+        place.put(f"{i}.md", f"old {i}")
+    place.note()
+    place.run(Dies(""), buckets=2)
+    before = place.held()
+    place.put("0.md", "new 0")
+    place.put("1.md", "new POISON")
+    (place.inbox / "2.md").unlink()
+    place.note()
+    with pytest.raises(Exception, match="provider failed"):
+        place.run(Dies("POISON"), buckets=2)
+    assert place.held() == before
+    place.run(Dies(""), buckets=2)
+    assert place.held() == place.fresh()
+
+
+def test_late_and_repeated_changes_undo_nothing(spark, tmp_path):
+    store = ChunkStore(spark, f"file://{tmp_path}/t", 8)
+    batches = [[("p", 5, 0, False, b"five"), ("q", 1, 0, False, b"q one"), (None, 1, 0, False, b"none")], [("p", 3, 0, False, b"three"), ("q", 2, 1, True, None), ("q", 2, 0, False, b"q tie")], [("p", 5, 0, False, b"five"), ("r", 1, 0, True, None), ("q", 1, 9, False, b"late")]]
+    for rows in batches:
+        spark.createDataFrame(rows, FEED).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/feed")
+        follow(feed_stream(spark, f"file://{tmp_path}/feed", 1), store, E, "s", f"file://{tmp_path}/ck", buckets=3).awaitTermination()
+    assert [(r["path"], r["text"]) for r in store.chunks().collect()] == [("p", "five")]
+    want = {r["path"]: r["deleted"] for r in last_changes(spark.read.parquet(f"file://{tmp_path}/feed")).collect()}
+    assert want == {"p": False, "q": True, "r": True}

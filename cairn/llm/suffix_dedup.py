@@ -49,6 +49,9 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 #: Text bytes of one home, and of one task's share of anchors and contexts.
 SHARE_BYTES = 8 << 20
+#: The most shares: Spark takes no table of over 100,000 buckets, and shuffles have the square of their number in blocks.
+#: Beyond 420 GB of text a share grows with it (2 GB at 100 TB), and with it a task's memory.
+MOST_SHARES = 50_000
 #: Anchors held by one task before they are passed on, and window starts hashed at a time.
 HELD = 400_000
 SEGMENT = 1 << 21
@@ -617,11 +620,12 @@ def second_pass(texts: DataFrame, rows: DataFrame) -> DataFrame:
     return texts.groupBy("home").cogroup(by_home(rows)).applyInArrow(run, RESULT)
 
 
-def remove_repeats(docs: DataFrame, share_bytes: int = SHARE_BYTES, hot_share: float = HOT_SHARE, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, share_bytes: int = SHARE_BYTES, hot_share: float = HOT_SHARE, seeds: tuple[int, ...] = SEEDS, most_shares: int = MOST_SHARES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of docs."""
     spark = docs.sparkSession
     bounded_batches(spark)
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    share_bytes = max(share_bytes, -(-total // most_shares))
     buckets = max(8, -(-total // share_bytes))
     name = f"cairn_homes_{uuid.uuid4().hex}"
     # A table in buckets by home: the two passes over the texts read it where it is.

@@ -119,6 +119,8 @@ def test_repeats_cases(spark, monkeypatch):
     rows += [(100 + i, text(3) + base[40:200] + text(2)) for i in range(30)]
     df = spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", n_bytes int")
     got = [tuple(r) for r in suffix_dedup.remove_repeats(df, share_bytes=4000).collect()]
+    tiny = [tuple(r) for r in suffix_dedup.remove_repeats(df, share_bytes=1, most_shares=12).collect()]  # would be a bucket for each byte
+    assert sorted(map(repr, tiny)) == sorted(map(repr, got))
     key = lambda r: (r[0] is None, r)
     assert sorted(got, key=lambda r: str(key(r))) == sorted(brute_repeats(rows), key=lambda r: str(key(r)))
     assert suffix_dedup.remove_repeats(df.limit(0)).collect() == []

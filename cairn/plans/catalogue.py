@@ -18,6 +18,7 @@ from cairn.operators.chunking import chunk_files
 from cairn.operators.embedding import HashEmbedder, with_vectors
 from cairn.operators.lines import blocks, chunk_by_lines
 from cairn.operators.search import filtered, list_sources, nearest, nearest_batched, nearest_to_all
+from cairn.operators.tables import register
 from cairn.plans import serve
 from cairn.plans.store import ChunkStore
 from cairn.plans.sync import count_by_status, isolated, new_keys, processed, status_of
@@ -287,8 +288,10 @@ _quoted = lambda t: "'" + t.replace("'", "''") + "'"
 _ITEMS_SQL = " UNION ALL ".join(f"SELECT {k} AS kind, {i} AS chunk_index, {_quoted(crumb)} AS breadcrumb, {_quoted(body)} AS body" for k, (_, found) in enumerate(_SOURCES) for i, (crumb, body) in enumerate(found))
 
 
-@query(f"WITH i AS ({_ITEMS_SQL}), d AS (SELECT doc_id, doc_id::VARCHAR AS n, regexp_replace(text, '{_LETTERS}', '', 'g') AS w FROM documents) SELECT doc_id, chunk_index::INTEGER AS chunk_index, replace(breadcrumb, '%', n) AS breadcrumb, sha256(replace(replace(body, '%', n), '~', w)) AS digest FROM d JOIN i ON kind = doc_id % 5")
-def code_boundaries(spark, sf_dir):
+_BOUNDARIES_SQL = f"WITH i AS ({_ITEMS_SQL}), d AS (SELECT doc_id, doc_id::VARCHAR AS n, regexp_replace(text, '{_LETTERS}', '', 'g') AS w FROM documents) SELECT doc_id, chunk_index::INTEGER AS chunk_index, replace(breadcrumb, '%', n) AS breadcrumb, sha256(replace(replace(body, '%', n), '~', w)) AS digest FROM d JOIN i ON kind = doc_id % 5"
+
+
+def _boundary_files(spark, sf_dir):
     """Every text within a template, raw string or comment of one of five languages, beside what looks like its end."""
     n = F.col("doc_id").cast("string")
     words = F.regexp_replace("text", _LETTERS, "")
@@ -297,10 +300,23 @@ def code_boundaries(spark, sf_dir):
         body = "\n".join(t for _, t in found)
         own = F.replace(F.replace(F.lit(body), F.lit("%"), n), F.lit("~"), words)
         source, end = F.when(F.col("doc_id") % 5 == k, own).otherwise(source), F.when(F.col("doc_id") % 5 == k, ext).otherwise(end)
-    files = table(spark, sf_dir, "documents").select("doc_id", F.concat(n, end).alias("path"), source.cast("binary").alias("content"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(n, end).alias("path"), source.cast("binary").alias("content"))
+
+
+@query(_BOUNDARIES_SQL)
+def code_boundaries(spark, sf_dir):
+    files = _boundary_files(spark, sf_dir)
     return chunk_files(files, ChunkOptions(target=1)).select("doc_id", "chunk_index", "breadcrumb", F.sha2("text", 256).alias("digest"))
 
 
+@query(_BOUNDARIES_SQL)
+def chunk_in_sql(spark, sf_dir):
+    """The same by the table function."""
+    register(spark)
+    files = _boundary_files(spark, sf_dir)
+    return spark.sql("SELECT doc_id, c.chunk_index, c.breadcrumb, sha2(c.text, 256) AS digest FROM {files}, LATERAL chunk(path, content, 1) c", files=files)
+
+
 @query(r"WITH t AS (SELECT doc_id, string_split(replace(text, '. ', E'.\n\n'), E'\n\n') AS b FROM documents) SELECT doc_id, len(b)::INTEGER AS blocks, sha256(array_to_string(b, '|')) AS digest FROM t")
 def line_blocks(spark, sf_dir):
     b = blocks(F.replace("text", F.lit(". "), F.lit(".\n \t\n\n")))

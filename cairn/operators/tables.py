@@ -74,6 +74,7 @@ CHUNK_COLUMNS = "chunk_index int, text string, breadcrumb string, chunk_type str
 
 
 def register(spark: SparkSession) -> None:
-    """chunk as a table function, gitrepo as a source."""
+    """chunk as a table function, gitrepo as a source, which needs the session to push conditions to Python sources."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.udtf.register("chunk", udtf(Chunk, returnType=CHUNK_COLUMNS))
     spark.dataSource.register(GitRepository)

@@ -103,7 +103,7 @@ class GitRepository(DataSource):
     """Options: path (the source), ref (branch, tag or commit), under and extensions (JSON lists; all, if not given).
 
     Links are left out. Files come once each, in no order. Conditions on path (equal, in, prefix, suffix) are decided before
-    any content is read where ``spark.sql.python.filterPushdown.enabled`` is set.
+    any content is read; ``spark.sql.python.filterPushdown.enabled`` must be set (``tables.register`` does).
     """
 
     @classmethod

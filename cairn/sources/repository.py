@@ -15,7 +15,7 @@ import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringEndsWith, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from cairn.sources.files import checkout
@@ -53,7 +53,6 @@ class RepositoryReader(DataSourceReader):
         self.under = [os.path.normpath(p) for p in json.loads(options.get("under", '["."]'))]
         self.extensions = tuple(json.loads(options.get("extensions", "[]")))
         self.share = int(options.get("sharebytes", SHARE_BYTES))
-        self.tests: list[Filter] = []
         into = tempfile.mkdtemp(prefix="cairn-git-")
         try:
             self.commit = checkout(self.source, self.ref, into)
@@ -67,23 +66,9 @@ class RepositoryReader(DataSourceReader):
         inside = any(p == "." or path == p or path.startswith(p + "/") for p in self.under)
         return inside and (not self.extensions or path.endswith(self.extensions))
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        for f in filters:
-            known = isinstance(f, EqualTo | In | StringStartsWith | StringEndsWith) and f.attribute == ("path",)
-            if known:
-                self.tests.append(f)
-            else:
-                yield f
-
-    def holds(self, path: str) -> bool:
-        tests = {EqualTo: lambda f: path == f.value, In: lambda f: path in f.value, StringStartsWith: lambda f: path.startswith(f.value), StringEndsWith: lambda f: path.endswith(f.value)}
-        return all(tests[type(f)](f) for f in self.tests)
-
     def partitions(self) -> list[Share]:
         out, size = [Share([])], 0
         for path, blob, n in self.files:
-            if not self.holds(path):
-                continue
             if out[-1].blobs and size + n > self.share:
                 out.append(Share([]))
                 size = 0
@@ -102,8 +87,9 @@ class RepositoryReader(DataSourceReader):
 class GitRepository(DataSource):
     """Options: path (the source), ref (branch, tag or commit), under and extensions (JSON lists; all, if not given).
 
-    Links are left out. Files come once each, in no order. Conditions on path (equal, in, prefix, suffix) are decided before
-    any content is read; ``spark.sql.python.filterPushdown.enabled`` must be set (``tables.register`` does).
+    Links are left out. Files come once each, in no order. What is not asked for by ``under`` and ``extensions`` is not
+    read. Conditions of a query are not pushed here: Spark keeps one reader for all queries over a view, so that one query's
+    conditions would hold for the next.
     """
 
     @classmethod

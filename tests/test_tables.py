@@ -64,7 +64,7 @@ def test_repository_as_a_source(spark, repo):
         read(ref="no-such").collect()
 
 
-def test_conditions_on_paths_are_decided_before_reading(spark, repo):
+def test_queries_over_one_view_do_not_touch_each_other(spark, repo):
     root, _ = repo
     register(spark)
     spark.read.format("gitrepo").option("ref", "v1").load(str(root)).createOrReplaceTempView("files")

@@ -121,11 +121,9 @@ def _yaml_documents(response: str) -> tuple[list, bool]:
     return [d for d in out if isinstance(d, dict)], sound
 
 
-def check_structure(kind: str, response: str, expected: str | None, field: str | None) -> bool:
-    """One structural check of a response; unknown kinds fail."""
-    if kind == "contains_code_block":
-        return re.search(r"```(?:\w*)\n(.*?)```", response, re.S) is not None
-    docs, sound = _yaml_documents(response)
+def check_structure(kind: str, documents: tuple[list, bool], expected: str | None, field: str | None) -> bool:
+    """One structural check of a response's YAML documents (and whether all were sound); unknown kinds fail."""
+    docs, sound = documents
     if kind == "no_yaml_errors":
         return sound
     if kind in ("api_version", "kind"):
@@ -139,16 +137,30 @@ def check_structure(kind: str, response: str, expected: str | None, field: str |
     return any(has(d, (field or "").split(".")) for d in docs)
 
 
+def has_code_block(response: Column) -> Column:
+    return F.regexp_like(response, F.lit(r"(?Us)```\w*\n.*?```"))
+
+
 def structure_scores(responses: DataFrame, checks: DataFrame, *keys: str) -> DataFrame:
-    """checks: task_id, type, expected, field. Share of the task's checks that pass; 1 for a task without any."""
+    """checks: task_id, type, expected, field. Share of the task's checks that pass; 1 for a task without any.
 
-    @F.pandas_udf("boolean")
-    def passes(kind: pd.Series, response: pd.Series, expected: pd.Series, field: pd.Series) -> pd.Series:
-        return pd.Series([None if k is None else check_structure(k, r or "", e, f) for k, r, e, f in zip(kind, response, expected, field)])
+    A task's checks come to a response together, so that its YAML is parsed once; the check for a code block is native.
+    """
 
-    tested = responses.join(checks, "task_id", "left")
-    passed = tested.withColumn("passed", passes("type", "response", "expected", "field").cast("double"))
-    return passed.groupBy(*keys).agg(F.coalesce(F.avg("passed"), F.lit(1.0)).alias("structure_score"))
+    @F.pandas_udf("int")
+    def passing(response: pd.Series, asked: pd.Series) -> pd.Series:
+        out = []
+        for r, own in zip(response, asked):
+            documents = _yaml_documents(r or "") if own is not None and len(own) else None
+            out.append(sum(check_structure(c["type"], documents, c["expected"], c["field"]) for c in own) if documents else 0)
+        return pd.Series(out)
+
+    block = F.col("type") == "contains_code_block"
+    asked = checks.where("type IS NOT NULL").groupBy("task_id").agg(F.count_if(block).alias("blocks"), F.collect_list(F.when(~block, F.struct("type", "expected", "field"))).alias("others"))
+    tested = responses.join(asked, "task_id", "left")
+    code = F.when(has_code_block(F.coalesce("response", F.lit(""))), F.col("blocks")).otherwise(F.lit(0))
+    passed = tested.withColumns({"passed": code + F.when(F.size("others") > 0, passing("response", "others")).otherwise(0), "asked": F.col("blocks") + F.size("others")})
+    return passed.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum("passed").cast("double"), F.sum("asked").cast("double")), F.lit(1.0)).alias("structure_score"))
 
 
 def judge_answer(raw: Column) -> tuple[Column, Column]:

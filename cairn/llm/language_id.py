@@ -41,10 +41,12 @@ UNKNOWN = "und"
 #: The gate's texts go in pieces of this length, and it is calibrated on held-out prefixes of these lengths.
 PIECE = 1024
 LENGTHS = tuple(1 << k for k in range(3, 11))
-#: Share of the held-out texts of each length that the gate may reject, and how many of them a threshold needs.
+#: Share of the held-out texts of each length that the gate may reject by what they show.
 REJECTED = 0.001
-LEAST_HELD = 1000  # fewer cannot show 1 in 1,000
 HELD_ROWS = 2000
+#: Least score and nearness as they are taken to be before any text is seen, and for how many texts that counts.
+PRIOR = (0.3, 0.1)
+PRIOR_TEXTS = 1000
 #: Landmarks that a text is nearest to.
 NEAREST = 20
 LETTER = re.compile(r"[^\W\d_]")
@@ -254,14 +256,13 @@ def claims(model: Model, text: str) -> tuple[str, float, float]:
 def calibrate(docs: DataFrame, model: Model, rows: int = HELD_ROWS) -> dict[int, tuple[float, float]]:
     """For each of LENGTHS the least score and nearness that the gate lets pass, from held-out labelled rows.
 
-    A bounded sample, of about ``rows`` rows in equal parts of the languages, comes to the driver; a length of which fewer than LEAST_HELD held-out texts are there is left out.
+    What the held-out texts of a length show is weighed with PRIOR by their number, by one rule for any number of them, none
+    included, so that a table's size changes a threshold little by little. A bounded sample, of about ``rows`` rows in equal
+    parts of the languages, comes to the driver.
     """
     own = labelled(docs, True)
     found = own.where(F.col("lang").isin(model.languages)).groupBy("lang").agg(F.count("*").alias("n")).collect()
-    if not found:
-        return {}
-    counts = docs.sparkSession.createDataFrame(found, "lang string, n long")
-    texts = drawn(own, -(-rows // len(found)), counts).select("text")
+    held: dict[int, list] = {n: [] for n in LENGTHS}
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -270,19 +271,27 @@ def calibrate(docs: DataFrame, model: Model, rows: int = HELD_ROWS) -> dict[int,
             found = [claims(sent.value, t)[1:] for t in prefixes]
             yield pa.RecordBatch.from_arrays([pa.array(map(len, prefixes), pa.int64()), *(pa.array([c[i] for c in found], pa.float64()) for i in (0, 1))], ["length", "score", "near"])
 
-    held: dict[int, list] = {}
-    for r in texts.mapInArrow(run, "length long, score double, near double").collect():
-        held.setdefault(r["length"], []).append((r["score"], r["near"]))
-    return {n: tuple(np.quantile(np.array(c), REJECTED, axis=0).tolist()) for n, c in held.items() if len(c) >= LEAST_HELD}
+    if found:
+        counts = docs.sparkSession.createDataFrame(found, "lang string, n long")
+        texts = drawn(own, -(-rows // len(found)), counts).select("text")
+        for r in texts.mapInArrow(run, "length long, score double, near double").collect():
+            held[r["length"]].append((r["score"], r["near"]))
+    return {n: thresholds(c) for n, c in held.items()}
+
+
+def thresholds(found: list[tuple[float, float]]) -> tuple[float, float]:
+    shown = np.quantile(np.array(found), REJECTED, axis=0) if found else np.zeros(2)
+    weighed = (len(found) * shown + PRIOR_TEXTS * np.array(PRIOR)) / (len(found) + PRIOR_TEXTS)
+    return float(weighed[0]), float(weighed[1])
 
 
-def passes(gate: dict[int, tuple[float, float]], length: int, score: float, near: float, otherwise: float) -> bool:
-    """Held against the calibrated length next below, as both measures rise with it; otherwise: where none is there."""
-    at = max((n for n in gate if n <= length), default=None)
-    return score >= otherwise if at is None else score >= gate[at][0] and near >= gate[at][1]
+def passes(gate: dict[int, tuple[float, float]], length: int, score: float, near: float) -> bool:
+    """Held against the length next below, as both measures rise with it; shorter texts against the shortest."""
+    at = max((n for n in gate if n <= length), default=min(gate))
+    return score >= gate[at][0] and near >= gate[at][1]
 
 
-def claimed(docs: DataFrame, lang: str, model: Model, otherwise: float) -> DataFrame:
+def claimed(docs: DataFrame, lang: str, model: Model) -> DataFrame:
     """The rows of docs that a language claims, with one more column, that language."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -295,7 +304,7 @@ def claimed(docs: DataFrame, lang: str, model: Model, otherwise: float) -> DataF
         for b in batches:
             texts = b.column(at).to_pylist()
             found = [claims(own, t) if has_letter(t) else None for t in texts]
-            keep = [i for i, c in enumerate(found) if c and passes(gate, len(texts[i]), c[1], c[2], otherwise)]
+            keep = [i for i, c in enumerate(found) if c and passes(gate, len(texts[i]), c[1], c[2])]
             rows = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in b.columns), pa.array([found[i][0] for i in keep], pa.string())], [*b.schema.names, lang])
 

@@ -776,4 +776,34 @@ def test_language_stage_rejects_other_languages(spark, known):
 
 
 def test_every_operator_is_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
+
+
+#: The first article of the Declaration of Human Rights, in languages that the tables don't have.
+STRANGE = {
+    "ru": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства. ",
+    "zh": "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+    "ar": "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء. ",
+}
+
+
+def test_the_gate_gives_a_text_one_verdict_in_tables_of_any_size(spark):
+    verdicts = []
+    for sf in ("sf0.001", "sf0.01", "sf0.1"):
+        docs = table(spark, f"/root/testdata/{sf}", "documents")
+        model = language_id.train(docs)
+        gate = language_id.calibrate(docs, model)
+        assert set(gate) == set(language_id.LENGTHS)
+        own = [r["text"] for r in docs.where("lang IS NOT NULL").orderBy("doc_id").select("text").limit(300).collect()]
+        judged = lambda t: language_id.passes(gate, len(t), *language_id.claims(model, t)[1:])
+        verdicts.append({(name, n): judged((t * 40)[:n]) for name, t in STRANGE.items() for n in (200, 1500)})
+        kept = [judged(t) for t in own if language_id.has_letter(t)]
+        assert sum(kept) >= 0.99 * len(kept)
+    assert verdicts[0] == verdicts[1] == verdicts[2] and not any(verdicts[0].values())
+
+
+def test_thresholds_move_little_by_little():
+    shown = [(0.6, 0.3)]
+    steps = [language_id.thresholds(shown * n) for n in (0, 1, 100, 1000, 10**6)]
+    assert steps[0] == language_id.PRIOR and steps == sorted(steps) and abs(steps[-1][0] - 0.6) < 1e-3
+    assert abs(steps[1][0] - steps[0][0]) < 1e-3

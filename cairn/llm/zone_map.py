@@ -12,7 +12,10 @@
    others pass the query on to the nodes below. At a leaf the list of cells says whether a row matches.
 
 Levels with at most ``FEW_NODES`` nodes are broadcast (bounds only); larger ones and the leaves are joined by shuffles.
-All of it is DataFrame operations.
+All of it is DataFrame operations. To the driver come the bounds, two numbers for each shuffle partition, and Spark's sample
+of some rows for each when it deals by ranges; ``read_box`` gets the names of the files that it reads.
+
+``write_layout`` writes the files and their zone map, ``read_box`` reads a box of coordinates from them.
 
 Defined cases: a null value is the smallest of its dimension; a null id comes first within its z; rows that are equal in
 z and id have any order among themselves; repeated rows are placed one by one; an empty table gives an empty result;
@@ -25,7 +28,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions.ranks import numbered, running
@@ -90,13 +93,15 @@ def coordinates_of(z: Column, k: int, bits: int) -> list[Column]:
     return out
 
 
-def placed(docs: DataFrame, dimensions: list[Dimension], id_column: str = "doc_id", bits: int = BITS, file_rows: int = FILE_ROWS) -> DataFrame:
-    """(id, z, position, file, c0, c1, ...) of every row."""
+def placed(docs: DataFrame, dimensions: list[Dimension], id_column: str = "doc_id", bits: int = BITS, file_rows: int = FILE_ROWS, whole: bool = False) -> DataFrame:
+    """(id, z, position, file, c0, c1, ...) of every row; with whole also ``row``, all of its columns."""
     names = [f"v{i}" for i in range(len(dimensions))]
-    values = materialize(docs.select(F.col(id_column).cast("long").alias("id"), *[d.value.alias(v) for v, d in zip(names, dimensions)]), "values")
+    kept = ["row"] * whole
+    values = docs.select(F.col(id_column).cast("long").alias("id"), *[d.value.alias(v) for v, d in zip(names, dimensions)], *[F.struct(*docs.columns).alias("row")] * whole)
+    values = materialize(values, "values")
     n = values.count()
     steps = bounds(values, names, n, bits) if n else {v: [] for v in names}
-    own = values.select("id", *[coordinate(F.col(v), steps[v]).alias(f"c{i}") for i, v in enumerate(names)])
+    own = values.select("id", *kept, *[coordinate(F.col(v), steps[v]).alias(f"c{i}") for i, v in enumerate(names)])
     own = own.withColumn("z", interleaved([F.col(f"c{i}") for i in range(len(names))], bits))
     return numbered(own, ["z", "id"], "position").withColumn("file", F.expr(f"position div {file_rows}"))
 
@@ -162,6 +167,34 @@ def clustered_layout(docs: DataFrame, dimensions: list[Dimension] | None = None,
     return out.select(F.col("id").alias(id_column), "z", "position", "file", "files_touched", "files_matching", "file_bounds")
 
 
+def write_layout(docs: DataFrame, path: str, dimensions: list[Dimension] | None = None, id_column: str = "doc_id", bits: int = BITS, file_rows: int = FILE_ROWS, files_a_task: int = 64) -> DataFrame:
+    """Write docs as Parquet files of ``file_rows`` rows in their order under path/rows, and their zone map under
+    path/zones; gives the zone map: file, name, lo0, hi0, ..., cells."""
+    dimensions = dimensions or document_dimensions()
+    k = len(dimensions)
+    rows = placed(docs, dimensions, id_column, bits, file_rows, whole=True)
+    # Runs of whole files go to one task each, the last one's short file at its end.
+    dealt = rows.withColumn("run", F.expr(f"file div {files_a_task}")).repartition("run").sortWithinPartitions("position")
+    layout = [F.col("position").alias("cairn_position"), F.col("z").alias("cairn_z"), *[F.col(f"c{i}").alias(f"cairn_c{i}") for i in range(k)]]
+    dealt.select("row.*", *layout).write.option("maxRecordsPerFile", file_rows).parquet(f"{path}/rows")
+    stored = docs.sparkSession.read.parquet(f"{path}/rows")
+    told = stored.select(F.expr(f"cairn_position div {file_rows}").alias("file"), F.col("_metadata.file_path").alias("name"), *[F.col(f"cairn_c{i}").alias(f"c{i}") for i in range(k)])
+    names = told.groupBy("file").agg(F.min("name").alias("name"))
+    names.join(zones(told, k), "file").write.parquet(f"{path}/zones")
+    return docs.sparkSession.read.parquet(f"{path}/zones")
+
+
+def read_box(spark: SparkSession, path: str, box: list[tuple[int, int]]) -> DataFrame:
+    """Rows of a written layout whose coordinates lie in box (least and greatest of each dimension). Only the files are read
+    that hold such a row: their names are what the zone map answers."""
+    dims = range(len(box))
+    meets = all_of([(F.col(f"lo{i}") <= box[i][1]) & (F.col(f"hi{i}") >= box[i][0]) for i in dims])
+    held = F.exists("cells", lambda c: all_of([c[f"c{i}"].between(*box[i]) for i in dims]))
+    names = [r[0] for r in spark.read.parquet(f"{path}/zones").where(meets).where(held).select("name").collect()]
+    rows = spark.read.parquet(*names) if names else spark.read.parquet(f"{path}/rows").limit(0)
+    return rows.where(all_of([F.col(f"cairn_c{i}").between(*box[i]) for i in dims]))
+
+
 #: crc32 by its table of 256 steps, computed here; every different cell against every file and cell.
 _POLY = 0xEDB88320
 _STEP = "list_reduce(range(9), lambda c, k: CASE WHEN k = 0 THEN c WHEN c & 1 = 1 THEN xor(c >> 1, {p}) ELSE c >> 1 END, {c})"

@@ -75,3 +75,25 @@ def test_interleaving_turns_back(spark):
     df = spark.range(4096).select(F.col("id").alias("z"))
     at = zone_map.coordinates_of(F.col("z"), 3, 4)
     assert df.where(zone_map.interleaved(at, 4) != F.col("z")).count() == 0
+
+
+def test_written_layout(spark, tmp_path):
+    rows = documents(230, 8)
+    df = spark.createDataFrame([(*r, i % 3) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, z int").repartition(5)
+    path = f"file://{tmp_path}/layout"
+    zones = {r["file"]: r for r in zone_map.write_layout(df, path, file_rows=10, files_a_task=3).collect()}
+    want = {r["doc_id"]: r for r in zone_map.clustered_layout(df, file_rows=10).collect()}
+    assert set(zones) == set(range(23)) and len({r["name"] for r in zones.values()}) == 23
+    for r in want.values():
+        own = zones[r["file"]]
+        assert r["file_bounds"] == ",".join(str(own[f"{x}{i}"]) for i in range(4) for x in ("lo", "hi"))
+    stored = spark.read.parquet(f"{path}/rows")
+    assert {(r["doc_id"], r["cairn_position"], r["z"]) for r in stored.collect()} == {(r[0], want[r[0]]["position"], i % 3) for i, r in enumerate(rows)}
+    sizes = stored.groupBy(F.col("_metadata.file_path")).count().collect()
+    assert sorted(n for _, n in sizes) == [10] * 23
+    at = [c for c in stored.where("doc_id = 7").select(*[f"cairn_c{i}" for i in range(4)]).first()]
+    box = [(c - w, c + w) for c, w in zip(at, REACH)]
+    got = zone_map.read_box(spark, path, box)
+    inside = stored.where(zone_map.all_of([F.col(f"cairn_c{i}").between(*b) for i, b in enumerate(box)]))
+    assert sorted(map(str, got.collect())) == sorted(map(str, inside.collect())) and len(got.inputFiles()) == want[7]["files_matching"]
+    assert zone_map.read_box(spark, path, [(99, 99)] * 4).collect() == []

@@ -465,11 +465,11 @@ class Picky:
         return [[float(len(t)), 0.5 if "threes" not in t else float("nan")] for t in texts]
 
 
-@query("WITH d AS (SELECT source || '/' || (doc_id // 5)::VARCHAR AS id, text AS t FROM documents WHERE trim(text, E' \n\t\r') <> ''), s AS (SELECT id, bool_or(contains(t, 'eringing')) OR bool_or(contains(t, 'threes')) AS failed, count(*) AS n FROM d GROUP BY id) SELECT id, CASE WHEN failed THEN 'error' ELSE 'synced' END AS status, CASE WHEN failed THEN 0 ELSE n END AS files FROM s")
+@query("WITH d AS (SELECT source || '/' || (doc_id // 100)::VARCHAR AS id, text AS t FROM documents WHERE trim(text, E' \n\t\r') <> ''), s AS (SELECT id, bool_or(contains(t, 'eringing')) OR bool_or(contains(t, 'threes')) AS failed, count(*) AS n FROM d GROUP BY id) SELECT id, CASE WHEN failed THEN 'error' ELSE 'synced' END AS status, CASE WHEN failed THEN 0 ELSE n END AS files FROM s")
 def sync_isolated(spark, sf_dir):
     """Many sources in one plan: those of which a text is refused are errors and store nothing, the others are whole."""
     docs = table(spark, sf_dir, "documents")
-    source = F.concat_ws("/", F.col("source"), F.expr("doc_id div 5").cast("string"))
+    source = F.concat_ws("/", F.col("source"), F.expr("doc_id div 100").cast("string"))
     files = docs.select(source.alias("source"), F.lit("v1").alias("source_version"), F.sha2(source, 256).alias("store_key"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content"))
     made = written(processed(files, Picky(), quarantine=True), "made")
     good, failed = isolated(made, "store_key", "source")

@@ -6,14 +6,14 @@ import json
 import random
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
-from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.operators import analysis, trials
+from cairn.shared import written
 from cairn.sources import trials as records
-from cairn.sources.config import write_text
 
 SCHEDULE = "trial_order int, task_id string, condition string, repetition int, is_warmup boolean, condition_order string"
 
@@ -51,47 +51,67 @@ def schedule_table(spark: SparkSession, config: RunConfig) -> DataFrame:
     return spark.createDataFrame(schedule(config), SCHEDULE)
 
 
-def evaluate(spark: SparkSession, run: str, tasks: str, config: RunConfig, judge: Callable[[str, str, str, str], list[tuple[int, str]]] | None = None, force: bool = False) -> dict[str, int]:
+Judge = Callable[[str, str, str, str], list[tuple[int, str]]]
+
+
+def evaluate(spark: SparkSession, run: str, tasks: str, config: RunConfig, judge: Judge | None = None, force: bool = False) -> dict[str, int]:
     """Score a run's trials and write the scores back into their records; gives how many were evaluated and skipped.
 
-    Warm-ups, trials that have scores (unless ``force``), and those without a rubric or a response are skipped. ``judge``
-    takes (response, prompt, reference, criteria) and gives its calls' scores and reasons; without one, or where it fails,
-    its weight is dealt to the other two.
+    Warm-ups, trials that have scores (unless ``force``), and those without a rubric or a response are skipped; so is a
+    file that is no record. ``judge`` runs in Spark's tasks: it takes (response, prompt, reference, criteria) and gives its
+    calls' scores and reasons; without one, or where it fails, its weight is dealt to the other two. The driver sees two
+    counts. Both folders must be where all executors reach them. Scores are put down before any record is changed, so a
+    lost task writes the same again; a judge whose task is lost before its answers are put down is asked again.
     """
-    found = [p for p in sorted(Path(run).glob("*/*.json")) if "-tools" not in p.stem and "-transcript" not in p.stem]
-    rows, held, skipped = [], {}, 0
-    for path in found:
-        data = json.loads(path.read_text())
-        meta, quality = data["meta"], data.setdefault("quality", {})
-        response = Path(run, (data.get("artifacts") or {}).get("response") or "-")
-        scored = quality.get("fact_score") is not None and not force
-        if meta["repetition"] == 0 or scored or not Path(tasks, f"{meta['task_id']}.rubric.yaml").exists() or not response.is_file():
-            skipped += 1
-            continue
-        held[str(path)] = data
-        rows.append((str(path), meta["task_id"], response.read_text()))
-    if rows:
-        responses = spark.createDataFrame(rows, "path string, task_id string, response string")
-        facts, checks = records.read_rubrics(spark, tasks, sorted({r[1] for r in rows}))
-        answers = [(path, i, score, why) for path, task, text in rows for i, (score, why) in enumerate(_judged(judge, tasks, task, text))]
-        judged = trials.judge_median(spark.createDataFrame(answers, "path string, call int, score int, reasoning string"), "path")
-        scores = trials.fact_scores(responses, facts, "path").join(trials.structure_scores(responses, checks, "path"), "path").join(judged, "path", "left")
-        scores = scores.withColumn("composite", trials.composite(F.col("fact_score"), F.col("structure_score"), F.col("judge_score").cast("double"), config.weights))
-        for r in scores.collect():  # one row for each trial
-            data = held[r["path"]]
-            data["quality"] |= {"fact_score": round(r["fact_score"], 4), "structure_score": round(r["structure_score"], 4), "judge_score": r["judge_score"], "judge_reasoning": r["judge_reasoning"], "composite_quality": round(r["composite"], 4)}
-            write_text(r["path"], json.dumps(data, indent=2))
-    return {"evaluated": len(rows), "skipped": skipped}
-
-
-def _judged(judge, tasks: str, task: str, response: str) -> list[tuple[int, str]]:
-    rubric = records.read_rubric(tasks, task)
-    if judge is None or not rubric.get("judge_criteria"):
-        return []
-    try:
-        return judge(response, records.read_prompt(tasks, task), records.read_reference(tasks, rubric.get("reference_answer") or ""), rubric["judge_criteria"])
-    except Exception:  # noqa: BLE001  a judge that fails is no judge
-        return []
+    every = written(records.read_records(spark, run), "records")
+    due = every.where(F.col("repetition") != 0)
+    due = due if force else due.where(~F.col("scored"))
+    rubrics = written(records.read_rubric_files(due, tasks), "rubrics")
+    due = due.join(rubrics.select("task_id"), "task_id", "left_semi").select("path", "task_id", F.col("response").alias("name"))
+    responses = written(records.with_text(due, run, "name", "response").where("response IS NOT NULL"), "responses")
+    scores = trials.fact_scores(responses, records.facts_of(rubrics), "path").join(trials.structure_scores(responses, records.checks_of(rubrics), "path"), "path")
+    scores = scores.join(trials.judge_median(_answers(responses, rubrics, tasks, judge), "path"), "path", "left")
+    scores = scores.withColumn("composite", trials.composite(F.col("fact_score"), F.col("structure_score"), F.col("judge_score").cast("double"), config.weights))
+    done = write_back(written(scores, "scores"))
+    return {"evaluated": done, "skipped": every.count() - done}
+
+
+def _answers(responses: DataFrame, rubrics: DataFrame, tasks: str, judge: Judge | None) -> DataFrame:
+    """(path, call, score, reasoning) of the judge's calls, for responses whose task has criteria and a prompt."""
+    schema = "path string, call int, score int, reasoning string"
+    spark = responses.sparkSession
+    if judge is None:
+        return spark.createDataFrame([], schema)
+    asked = rubrics.where("criteria IS NOT NULL").select("task_id", "criteria", "reference", F.concat("task_id", F.lit(".md")).alias("name"))
+    asked = records.with_text(records.with_text(asked, tasks, "name", "prompt").where("prompt IS NOT NULL"), tasks, "reference", "answer")
+    asked = asked.drop("name", "reference")
+
+    def run(frames):
+        for df in frames:
+            rows = []
+            for r in df.itertuples(index=False):
+                try:
+                    given = judge(r.response, r.prompt.strip(), r.answer or "", r.criteria)
+                    rows += [(r.path, i, score, why) for i, (score, why) in enumerate(given)]
+                except Exception:  # noqa: BLE001  a judge that fails is no judge
+                    pass
+            yield pd.DataFrame(rows, columns=["path", "call", "score", "reasoning"])
+
+    return written(responses.join(asked, "task_id").mapInPandas(run, schema), "answers")
+
+
+def write_back(scores: DataFrame) -> int:
+    """Each record gets its scores, by the task that holds them; how many were written. Writing twice changes nothing."""
+
+    def run(frames):
+        for df in frames:
+            for r in df.itertuples(index=False):
+                judged = r.judge_score is not None and r.judge_score == r.judge_score
+                quality = {"fact_score": round(r.fact_score, 4), "structure_score": round(r.structure_score, 4), "judge_score": int(r.judge_score) if judged else None}
+                records.update_record(r.path, quality | {"judge_reasoning": r.judge_reasoning if judged else None, "composite_quality": round(r.composite, 4)})
+            yield df[["path"]]
+
+    return scores.mapInPandas(run, "path string").count()
 
 
 def analyze(trials: DataFrame, config: RunConfig, alpha: float = 0.05) -> dict:

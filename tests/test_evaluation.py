@@ -158,15 +158,16 @@ def test_evaluate_scores_once_and_writes_back(spark, tmp_path):
     (run / "t1/with-1-tools.json").write_text("[]")
     (run / "t2/with-1.json").write_text(trial("t2", 1, "t1/r.md"))
     (run / "t1/r.md").write_text("Alpha here\n```\nx\n```\n")
-    asked = []
+    asked = tmp_path / "asked"  # judges run in tasks
 
     def judge(response, prompt, reference, criteria):
-        asked.append((prompt, criteria))
+        with open(asked, "a") as f:
+            f.write(f"{prompt}|{criteria}\n")
         return [(3, "fair"), (5, "good"), (5, "fine")]
 
     read = lambda name: json.loads((run / name).read_text())["quality"]
     config = evaluation.RunConfig(tasks=("t1",))
-    assert evaluation.evaluate(spark, str(run), str(tasks), config, judge) == {"evaluated": 1, "skipped": 4} and asked == [("Say alpha.", "fair")]
+    assert evaluation.evaluate(spark, str(run), str(tasks), config, judge) == {"evaluated": 1, "skipped": 4} and asked.read_text() == "Say alpha.|fair\n"
     assert read("t1/with-1.json") == {"fact_score": 0.25, "structure_score": 1.0, "judge_score": 5, "judge_reasoning": "good", "composite_quality": round(0.3 * 0.25 + 0.3 + 0.4, 4)}
     assert read("t1/with-0.json") == {} and read("t1/with-2.json") == {"fact_score": 0.5}
     assert evaluation.evaluate(spark, str(run), str(tasks), config) == {"evaluated": 0, "skipped": 5}
@@ -174,6 +175,58 @@ def test_evaluate_scores_once_and_writes_back(spark, tmp_path):
     assert read("t1/with-2.json")["composite_quality"] == round((0.3 * 0.25 + 0.3) / 0.6, 4) and read("t1/with-2.json")["judge_score"] is None
 
 
+def test_evaluate_odd_runs(spark, tmp_path):
+    run, tasks = tmp_path / "a run #1", tmp_path / "tasks"
+    tasks.mkdir()
+    assert evaluation.evaluate(spark, str(run), str(tasks), evaluation.RunConfig()) == {"evaluated": 0, "skipped": 0}
+    (run / "t").mkdir(parents=True)
+    assert evaluation.evaluate(spark, str(run), str(tasks), evaluation.RunConfig()) == {"evaluated": 0, "skipped": 0}
+    (tasks / "t.rubric.yaml").write_text("")
+    (tasks / "t.md").write_text("Ask.")
+    (tasks / "u.rubric.yaml").write_text("judge_criteria: fair\nreference_answer: ../tasks/u-answer.txt\n")
+    (tasks / "u.md").write_text("\n Ask u. \n")
+    (tasks / "u-answer.txt").write_text("because")
+    record = lambda task, response: json.dumps({"extra": ["é", {"z": 1.50}], "meta": {"task_id": task, "repetition": 1}, "artifacts": {"response": response}}, ensure_ascii=False)
+    (run / "t/a.json").write_text(record("t", "t/empty.md"))
+    (run / "t/b.json").write_text(record("u", "t/said.md"))
+    (run / "t/c.json").write_text(record("u", "t/refused.md"))
+    (run / "t/d.json").write_text("{no record")
+    (run / "t/e.json").write_text(json.dumps({"meta": {"task_id": "t", "repetition": 1}}))
+    (run / "t/deeper").mkdir()
+    (run / "t/deeper/f.json").write_text(record("t", "t/said.md"))
+    (run / "t/empty.md").write_text("")
+    (run / "t/said.md").write_text("why")
+    (run / "t/refused.md").write_text("no")
+    (run / "t/picture.png").write_bytes(b"\xff\xfe\x00")
+
+    def judge(response, prompt, reference, criteria):
+        if response == "no":
+            raise OSError("no answer")
+        assert (response, prompt, reference, criteria) == ("why", "Ask u.", "because", "fair")
+        return [(2, "thin")]
+
+    assert evaluation.evaluate(spark, str(run), str(tasks), evaluation.RunConfig(), judge) == {"evaluated": 3, "skipped": 2}
+    read = lambda name: json.loads((run / "t" / name).read_text())
+    assert read("a.json") == json.loads(record("t", "t/empty.md")) | {"quality": {"fact_score": 1.0, "structure_score": 1.0, "judge_score": None, "judge_reasoning": None, "composite_quality": 1.0}}
+    assert read("b.json")["quality"] == {"fact_score": 1.0, "structure_score": 1.0, "judge_score": 2, "judge_reasoning": "thin", "composite_quality": 0.7}
+    assert read("c.json")["quality"]["judge_score"] is None and read("c.json")["quality"]["composite_quality"] == 1.0
+    assert (run / "t/d.json").read_text() == "{no record" and "quality" not in read("e.json") and "quality" not in read("deeper/f.json")
+    assert not list(run.glob("**/*.part"))
+
+
+def test_many_trials_share_a_response(spark, tmp_path):
+    run, tasks = tmp_path / "run", tmp_path / "tasks"
+    (run / "t").mkdir(parents=True)
+    tasks.mkdir()
+    (tasks / "t.rubric.yaml").write_text("required_facts: [{pattern: a}]\n")
+    (run / "t/r.md").write_text("a")
+    for i in range(60):
+        (run / f"t/{i}.json").write_text(json.dumps({"meta": {"task_id": "t", "repetition": i}, "artifacts": {"response": "t/r.md"}}))
+    assert evaluation.evaluate(spark, str(run), str(tasks), evaluation.RunConfig()) == {"evaluated": 59, "skipped": 1}
+    assert evaluation.evaluate(spark, str(run), str(tasks), evaluation.RunConfig()) == {"evaluated": 0, "skipped": 60}
+    assert readers.read_records(spark, str(run)).where("scored").count() == 59
+
+
 def test_wilcoxon(spark):
     rows = [("a", v) for v in (1.5, -0.5, 2.0, 3.0, 0.0, -1.0)] + [("z", 0.0)] + [("t", v) for v in (1.0, 1.0, -1.0, 2.0)]
     got = {r["m"]: r for r in stats.wilcoxon(values(spark, rows), "v", "m").collect()}

@@ -36,11 +36,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write df to the shared folder, in a folder for each value of ``by``, and read it back: lineage ends there, and a
+    lost executor loses nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

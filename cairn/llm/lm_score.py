@@ -10,9 +10,12 @@ token of a cell has an equal share of the cell's count, which is the token's own
 count in each bucket is kept for tokens never seen. log p(token | both sides) is the sum of these; a document's score is
 the sum over all its tokens.
 
-Counts are taken over all documents. Training goes in rounds; each takes its part of the documents (by a hash of the
-text), all positions of them. Every partition of the corpus trains a copy of the network, and the copies' parameters are
-averaged block by block on the executors, weighted by their positions. What is gathered grows with the corpus, what the
+Counts are taken over all documents. Texts are cut into tokens once more and written as numbers; scoring and training read
+those. Training takes every position once: pieces of the texts are dealt by their hashes to shards of like size, whose
+number follows the corpus's tokens alone, and shards to rounds. In a round every shard trains a copy of the network,
+its pieces in the order of their hashes, and the copies' steps (and the learner's paces) are averaged block by block on
+the executors before the next round starts. So the result does not hang on how the table is split or ordered, and more
+text means more rounds, up to ROUNDS, and then more copies in each. What is gathered grows with the corpus, what the
 driver holds does not.
 
 Defined cases: a null, empty or blank text has no tokens, score 0 and a null mean; very long texts go in stretches, cut
@@ -22,6 +25,7 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -44,9 +48,13 @@ CLASSES = 48
 SIDE = 3
 WIDTH = 16
 HIDDEN = 16
-ROUNDS = 2
-#: The documents are dealt to so many parts, of which each round takes one.
-PARTS = 2
+#: Rounds at most; tokens of a shard while there are fewer rounds, and beyond; copies of a round at most, beyond which
+#: shards grow instead.
+ROUNDS = 24
+SMALL_SHARD, SHARD = 1 << 16, 1 << 20
+COPIES = 4096
+#: Tokens of a piece of a long text.
+PIECE = 1 << 16
 RATE = 0.1
 #: Tokens of one step, and characters that are cut into tokens at a time.
 STEP = 8192
@@ -279,11 +287,15 @@ def log_likelihoods(ids: np.ndarray, words: Lexicon, net: Network) -> np.ndarray
 
 
 class Learner:
-    """Steps of AdaGrad on the mean log-loss."""
+    """Steps of AdaGrad on the mean log-loss; its paces are one flat array, to be carried on."""
 
-    def __init__(self, words: Lexicon, net: Network) -> None:
+    def __init__(self, words: Lexicon, net: Network, paces: np.ndarray | None = None) -> None:
         self.words, self.net = words, net
-        self.seen = [np.full(p.shape[:1] if i in (0, 5) else p.shape, 1e-8, np.float32) for i, p in enumerate(net.parts)]
+        shapes = [p.shape[:1] if i in (0, 5) else p.shape for i, p in enumerate(net.parts)]
+        sizes = [int(np.prod(s)) for s in shapes]
+        self.paces = np.full(sum(sizes), 1e-8, np.float32) if paces is None else paces
+        ends = np.cumsum(sizes)
+        self.seen = [self.paces[e - n : e].reshape(s) for s, n, e in zip(shapes, sizes, ends)]
 
     def move(self, i: int, rows, gradient: np.ndarray) -> None:
         part, seen = self.net.parts[i], self.seen[i]
@@ -354,76 +366,133 @@ def stretches(texts: list[np.ndarray], step: int = STEP):
         yield whole[at : at + step + 2 * SIDE], at
 
 
-def train_round(docs: DataFrame, words: Lexicon, net: Network, number: int) -> Network:
-    """One round: each partition of its part of docs trains a copy from net; their weighted mean is the new network."""
+def coded(docs: DataFrame, words: Lexicon) -> DataFrame:
+    """(doc_id, key, n_tokens, rare, numbers) for every row of docs, written: a hash of the row, the number of its tokens,
+    the sum of their parts of buckets' probabilities as logs, and their numbers, two bytes each."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((words, net.flat))
+    sent = spark.sparkContext.broadcast(words)
 
     def run(batches):
+        lexicon = sent.value
+        for b in batches:
+            rare, numbers, n = [], [], []
+            for t in b.column(2):
+                own = tokens(t.as_py())
+                found = lexicon.numbers(own)
+                n.append(len(own))
+                rare.append(float(lexicon.rare_logs(own, found).sum()))
+                numbers.append(found.astype(np.uint16).tobytes())
+            columns = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(rare, pa.float64()), pa.array(numbers, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_tokens", "rare", "numbers"])
+
+    text = F.col("text").cast("string")
+    own = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text, F.col("doc_id").cast("long")).alias("key"), text)
+    return materialize(own.mapInArrow(run, "doc_id long, key long, n_tokens long, rare double, numbers binary"), "coded")
+
+
+def read_numbers(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint16).astype(np.int32)
+
+
+def rounds_of(total: int) -> tuple[int, int]:
+    """Rounds, and shards of each, for a corpus of so many tokens."""
+    rounds = min(ROUNDS, max(1, -(-total // SMALL_SHARD)))
+    return rounds, min(COPIES, max(1, -(-total // (SHARD * rounds))))
+
+
+def shards(numbered: DataFrame, rounds: int, copies: int) -> DataFrame:
+    """(round, shard, key, numbers): the pieces of all texts, written by round, those of a shard together."""
+
+    def run(batches):
+        for b in batches:
+            for key, numbers in zip(b.column(0).to_pylist(), b.column(1)):
+                raw = numbers.as_buffer()
+                for i, at in enumerate(range(0, raw.size, 2 * PIECE)):
+                    own = int(mix(np.array([(key + i * BASE) % (1 << 64)], U64))[0])
+                    place = own % (rounds * copies)
+                    yield pa.RecordBatch.from_pydict({"round": pa.array([place % rounds], pa.int32()), "shard": pa.array([place // rounds], pa.int32()), "key": pa.array([own >> 1]), "numbers": pa.array([raw.slice(at, min(2 * PIECE, raw.size - at)).to_pybytes()], pa.binary())})
+
+    pieces = numbered.select("key", "numbers").mapInArrow(run, "round int, shard int, key long, numbers binary")
+    return materialize(pieces.repartition("round", "shard"), "shards", "round")
+
+
+def train_round(own: DataFrame, words: Lexicon, net: Network, paces: np.ndarray, copies: int) -> tuple[Network, np.ndarray]:
+    """own: (shard, key, numbers) of one round. Each shard trains a copy; the new network and paces are the old ones and
+    the copies' mean steps, weighted by positions."""
+    flat = np.concatenate([net.flat, paces])
+    sent = own.sparkSession.sparkContext.broadcast((words, flat))
+    size = len(net.flat)
+    starts = range(0, len(flat), BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, flat = sent.value
-        own = Network(lexicon, flat.copy())
-        learner, seen, held, size = Learner(lexicon, own), 0, [], 0
+        moved = flat.copy()
+        learner = Learner(lexicon, Network(lexicon, moved[:size]), moved[size:])
+        seen, held, waiting = 0, [], 0
 
         def learn():
-            n = sum(map(len, held))
             for ids, _ in stretches(held):
                 learner.step(ids)
-            return n
 
         for b in batches:
-            for t in b.column(0):
-                held.append(lexicon.numbers(tokens(t.as_py())))
-                size += len(held[-1])
-                if size >= 8 * STEP:
-                    seen += learn()
-                    held, size = [], 0
-        seen += learn()
-        if seen:
-            starts = range(0, len(flat), BLOCK)
-            moved = [((own.flat[s : s + BLOCK].astype(np.float64) - flat[s : s + BLOCK]) * seen).astype(np.float32).tobytes() for s in starts]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(starts)), pa.int32()), pa.array([float(seen)] * len(starts)), pa.array(moved, pa.binary())], ["block", "seen", "moved"])
-
-    def mean(key, copies):  # of one block: 64 KB for each partition of the corpus
-        seen = sum(copies.column("seen").to_pylist())
-        total = sum(np.frombuffer(m.as_buffer(), np.float32).astype(np.float64) for m in copies.column("moved"))
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], ["block", "moved"])
-
-    part = docs.where(F.pmod(F.xxhash64(F.col("text").cast("string")), F.lit(PARTS)) == number % PARTS)
-    copies = part.select(F.col("text").cast("string")).mapInArrow(run, "block int, seen double, moved binary")
-    flat = net.flat.copy()
-    for r in copies.groupBy("block").applyInArrow(mean, "block int, moved binary").toLocalIterator():  # one network in all
+            for numbers in b.column("numbers"):
+                held.append(read_numbers(numbers))
+                waiting += len(held[-1])
+                if waiting >= 8 * STEP:
+                    learn()
+                    seen, held, waiting = seen + waiting, [], 0
+        learn()
+        seen += waiting
+        steps = [((moved[s : s + BLOCK].astype(np.float64) - flat[s : s + BLOCK]) * seen).astype(np.float32).tobytes() for s in starts]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(starts)), pa.int32()), pa.array([float(seen)] * len(starts)), pa.array(steps, pa.binary())], ["block", "seen", "moved"])
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # of one block
+        block, seen, total = 0, 0.0, 0.0
+        for b in batches:
+            for at, n, step in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                block, seen = at, seen + n
+                total = total + np.frombuffer(step.as_buffer(), np.float32).astype(np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], ["block", "moved"])
+
+    ordered = own.repartition(2 * copies, "shard").sortWithinPartitions("shard", "key")
+    trained = ordered.select("shard", "numbers").groupBy("shard").applyInArrow(run, "block int, seen double, moved binary")
+    for r in trained.groupBy("block").applyInArrow(mean, "block int, moved binary").toLocalIterator():  # one network in all
         moved = np.frombuffer(r["moved"], np.float32)
         flat[r["block"] * BLOCK : r["block"] * BLOCK + len(moved)] += moved
-    return Network(words, flat)
+    return Network(words, flat[:size]), flat[size:]
 
 
-def train(docs: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> Network:
-    """The network after ``rounds`` rounds; PARTS of them take every position of every document once."""
-    bounded_batches(docs.sparkSession)
+def train_coded(numbered: DataFrame, words: Lexicon) -> Network:
+    total = numbered.agg(F.sum("n_tokens")).first()[0] or 0
+    rounds, copies = rounds_of(total)
+    own = shards(numbered, rounds, copies)
     net = Network(words)
+    paces = Learner(words, net).paces
     for number in range(rounds):
-        net = train_round(docs, words, net, number)
+        net, paces = train_round(own.where(F.col("round") == number), words, net, paces, copies)
     return net
 
 
+def train(docs: DataFrame, words: Lexicon) -> Network:
+    """The network after all rounds, which take every position of every document once."""
+    bounded_batches(docs.sparkSession)
+    return train_coded(coded(docs, words), words)
+
+
 def pseudo_likelihood(docs: DataFrame, model: tuple[Lexicon, Network] | None = None) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for every row of docs; trained on docs if no model is given."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    if model is None:
-        words = lexicon(materialize(token_counts(docs), "token-counts"))
-        model = words, train(docs, words)
-    sent = spark.sparkContext.broadcast((model[0], model[1].flat))  # of fixed size
+    words = lexicon(materialize(token_counts(docs), "token-counts")) if model is None else model[0]
+    numbered = coded(docs, words)
+    flat = (train_coded(numbered, words) if model is None else model[1]).flat
+    sent = spark.sparkContext.broadcast((words, flat))  # of fixed size
 
     def run(batches):
         lexicon, flat = sent.value
         net = Network(lexicon, flat)
         for b in batches:
-            held, rare = [], []
-            for t in b.column(1):
-                own = tokens(t.as_py())
-                held.append(lexicon.numbers(own))
-                rare.append(float(lexicon.rare_logs(own, held[-1]).sum()))
+            held = [read_numbers(x) for x in b.column(3)]
             sums = np.zeros(len(held))
             begin = np.cumsum([0, *(len(x) + SIDE for x in held)])  # of each text among the inner positions
             for ids, at in stretches(held):
@@ -432,9 +501,9 @@ def pseudo_likelihood(docs: DataFrame, model: tuple[Lexicon, Network] | None = N
                 for i in range(first - 1, min(last, len(held))):
                     a, z = np.clip([begin[i] - at, begin[i] + len(held[i]) - at], 0, len(own) - 1)
                     sums[i] += own[z] - own[a]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in held], pa.int64()), pa.array(sums + rare, pa.float64())], ["doc_id", "n_tokens", "log_likelihood"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sums + b.column(2).to_numpy(), pa.float64())], ["doc_id", "n_tokens", "log_likelihood"])
 
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    own = numbered.select("doc_id", "n_tokens", "rare", "numbers")
     scored = own.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
     return scored.select("doc_id", "n_tokens", "log_likelihood", mean.alias("mean_log_likelihood"))

@@ -209,6 +209,48 @@ def test_rare_tokens_have_their_own_share(spark):
     assert got[4] < min(got[1], got[5])
 
 
+def mean_of(docs, model):
+    rows = lm_score.pseudo_likelihood(docs, model).collect()
+    return sum(r["log_likelihood"] for r in rows) / sum(r["n_tokens"] for r in rows)
+
+
+def test_training_does_not_hang_on_the_split_and_learns_from_more(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SMALL_SHARD", 4096)
+    monkeypatch.setattr(lm_score, "SHARD", 8192)
+    monkeypatch.setattr(lm_score, "ROUNDS", 4)
+    monkeypatch.setattr(lm_score, "PIECE", 100)
+    rng = random.Random(21)
+    rows = [(i, " ".join(grammar_text(rng))) for i in range(2000)]
+    docs, unseen = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, " ".join(grammar_text(rng))) for i in range(300)], DOCS)
+    words = lm_score.lexicon(lm_score.token_counts(docs))
+    assert lm_score.rounds_of(lm_score.coded(docs, words).agg(F.sum("n_tokens")).first()[0]) == (4, 8)
+    ways = [docs.coalesce(1), docs.repartition(8), docs.orderBy(F.rand(3)).repartition(64)]
+    nets = [lm_score.train(d, words) for d in ways]
+    for net in nets[1:]:
+        assert np.allclose(net.flat, nets[0].flat, atol=1e-4)
+    some = lm_score.train(docs.where("doc_id % 10 = 0"), words)
+    untrained, little, much = (mean_of(unseen, (words, net)) for net in (lm_score.Network(words), some, nets[0]))
+    assert untrained < little < much
+
+
+def test_rounds_follow_the_tokens():
+    assert lm_score.rounds_of(0) == lm_score.rounds_of(1) == (1, 1)
+    sizes = [lm_score.rounds_of(10**k) for k in range(3, 15)]
+    assert sizes == sorted(sizes) and sizes[-1] == (lm_score.ROUNDS, lm_score.COPIES)
+
+
+def test_shards_hold_every_piece_once(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "PIECE", 7)
+    texts = ["a b c d e f g h i j k l m n o p", "a b", None, "", "a b c d e f g", "a b"]
+    docs = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)], DOCS)
+    words = lm_score.lexicon(lm_score.token_counts(docs))
+    rows = lm_score.shards(lm_score.coded(docs, words), 3, 2).collect()
+    got = sorted(tuple(np.frombuffer(r["numbers"], np.uint16).tolist()) for r in rows)
+    whole = [words.numbers(lm_score.tokens(t)).tolist() for t in texts]
+    assert got == sorted(tuple(x[i : i + 7]) for x in whole for i in range(0, len(x), 7))
+    assert {r["round"] for r in rows} <= {0, 1, 2} and {r["shard"] for r in rows} <= {0, 1}
+
+
 def test_vocabulary_follows_the_counts(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "VOCABULARY", 2)
     monkeypatch.setattr(lm_score, "OWN_SHARE", 0.01)

@@ -26,11 +26,12 @@ result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ MOST = 12_000
 BUCKETS = 95
 #: Each cell is of one bucket.
 CELLS = BUCKETS * 44_000
-CLASSES = 48
+CLASSES = 32
 SIDE = 3
 WIDTH = 16
 HIDDEN = 16
@@ -57,7 +58,7 @@ COPIES = 4096
 PIECE = 1 << 16
 RATE = 0.1
 #: Tokens of one step, and characters that are cut into tokens at a time.
-STEP = 8192
+STEP = 16384
 STRETCH = 1 << 18
 #: Tokens that one task counts before it passes them on, and numbers of a block of parameters or cells.
 HELD_TOKENS = 4_000_000
@@ -405,27 +406,31 @@ def shards(numbered: DataFrame, rounds: int, copies: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
+            keys, pieces = [], []
             for key, numbers in zip(b.column(0).to_pylist(), b.column(1)):
                 raw = numbers.as_buffer()
                 for i, at in enumerate(range(0, raw.size, 2 * PIECE)):
-                    own = int(mix(np.array([(key + i * BASE) % (1 << 64)], U64))[0])
-                    place = own % (rounds * copies)
-                    yield pa.RecordBatch.from_pydict({"round": pa.array([place % rounds], pa.int32()), "shard": pa.array([place // rounds], pa.int32()), "key": pa.array([own >> 1]), "numbers": pa.array([raw.slice(at, min(2 * PIECE, raw.size - at)).to_pybytes()], pa.binary())})
+                    keys.append((key + i * BASE) % (1 << 64))
+                    pieces.append(raw.slice(at, min(2 * PIECE, raw.size - at)).to_pybytes())
+            own = mix(np.array(keys, U64))
+            place = own % U64(rounds * copies)
+            columns = [(place % U64(rounds)).astype(np.int32), (place // U64(rounds)).astype(np.int32), (own >> U64(1)).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(pieces, pa.binary())], ["round", "shard", "key", "numbers"])
 
     pieces = numbered.select("key", "numbers").mapInArrow(run, "round int, shard int, key long, numbers binary")
     return materialize(pieces.repartition("round", "shard"), "shards", "round")
 
 
-def train_round(own: DataFrame, words: Lexicon, net: Network, paces: np.ndarray, copies: int) -> tuple[Network, np.ndarray]:
-    """own: (shard, key, numbers) of one round. Each shard trains a copy; the new network and paces are the old ones and
+def train_round(own: DataFrame, words: Broadcast, net: Network, paces: np.ndarray, copies: int) -> tuple[Network, np.ndarray]:
+    """own: (shard, key, numbers) of one round; words: a lexicon, which may be without cells. Each shard trains a copy; the new network and paces are the old ones and
     the copies' mean steps, weighted by positions."""
     flat = np.concatenate([net.flat, paces])
-    sent = own.sparkSession.sparkContext.broadcast((words, flat))
+    sent = own.sparkSession.sparkContext.broadcast(flat)
     size = len(net.flat)
     starts = range(0, len(flat), BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, flat = sent.value
+        lexicon, flat = words.value, sent.value
         moved = flat.copy()
         learner = Learner(lexicon, Network(lexicon, moved[:size]), moved[size:])
         seen, held, waiting = 0, [], 0
@@ -459,7 +464,8 @@ def train_round(own: DataFrame, words: Lexicon, net: Network, paces: np.ndarray,
     for r in trained.groupBy("block").applyInArrow(mean, "block int, moved binary").toLocalIterator():  # one network in all
         moved = np.frombuffer(r["moved"], np.float32)
         flat[r["block"] * BLOCK : r["block"] * BLOCK + len(moved)] += moved
-    return Network(words, flat[:size]), flat[size:]
+    sent.destroy()  # a round's copies of the network don't stay on the executors
+    return Network(words.value, flat[:size]), flat[size:]
 
 
 def train_coded(numbered: DataFrame, words: Lexicon) -> Network:
@@ -468,8 +474,9 @@ def train_coded(numbered: DataFrame, words: Lexicon) -> Network:
     own = shards(numbered, rounds, copies)
     net = Network(words)
     paces = Learner(words, net).paces
+    sent = numbered.sparkSession.sparkContext.broadcast(replace(words, cells=words.cells[:0]))
     for number in range(rounds):
-        net, paces = train_round(own.where(F.col("round") == number), words, net, paces, copies)
+        net, paces = train_round(own.where(F.col("round") == number), sent, net, paces, copies)
     return net
 
 
@@ -486,7 +493,7 @@ def pseudo_likelihood(docs: DataFrame, model: tuple[Lexicon, Network] | None = N
     words = lexicon(materialize(token_counts(docs), "token-counts")) if model is None else model[0]
     numbered = coded(docs, words)
     flat = (train_coded(numbered, words) if model is None else model[1]).flat
-    sent = spark.sparkContext.broadcast((words, flat))  # of fixed size
+    sent = spark.sparkContext.broadcast((replace(words, cells=words.cells[:0]), flat))  # of fixed size
 
     def run(batches):
         lexicon, flat = sent.value

@@ -849,3 +849,32 @@ def test_thresholds_move_little_by_little():
     steps = [language_id.thresholds(shown * n) for n in (0, 1, 100, 1000, 10**6)]
     assert steps[0] == language_id.PRIOR and steps == sorted(steps) and abs(steps[-1][0] - 0.6) < 1e-3
     assert abs(steps[1][0] - steps[0][0]) < 1e-3
+
+
+def test_language_model_and_gate_take_every_row(spark):
+    """Each row counts once, whole, and however rows are dealt; the sums equal those of plain products."""
+    base = [(i, " ".join(f"{w}{i * k % 97}" for k, w in enumerate(("the", "cat", "and", "dog") if i % 2 else ("le", "chat", "et", "chien"))) * (1 + i % 60 * 9), "en" if i % 2 else "fr") for i in range(2400)]
+    df = spark.createDataFrame(base, DOCS + ", lang string")
+    own = language_id.labelled(df, False).collect()
+    counts = {k: sum(r["lang"] == k for r in own) for k in ("en", "fr")}
+    basis = language_id.Landmarks([language_id.grams(r["text"][:200]) for r in own[:12]])
+    square, sums = language_id.moments(language_id.labelled(df, False), basis, counts)
+    want_square, want_sums = np.zeros((12, 12)), np.zeros((2, 12))
+    for r in own:
+        pieces = language_id.cut(r["text"], language_id.TRAIN_CHARS)
+        for p in pieces:
+            k = basis.kernel(language_id.grams(p))
+            want_square += np.outer(k, k) / len(pieces) / counts[r["lang"]]
+            want_sums[int(r["lang"] == "fr")] += k / len(pieces) / counts[r["lang"]]
+    assert min(counts.values()) > 500 and any(len(r["text"]) > 2 * language_id.TRAIN_CHARS for r in own)
+    assert np.allclose(square, want_square, atol=1e-8) and np.allclose(sums, want_sums, atol=1e-8)
+    models = [language_id.train(d) for d in (df, df.repartition(5, "text").sortWithinPartitions(F.desc("text")))]
+    assert (models[0].weights == models[1].weights).all() and (models[0].bias == models[1].bias).all()
+    shown = {n: [] for n in language_id.LENGTHS}
+    for r in language_id.labelled(df, True).collect():
+        for n in language_id.LENGTHS:
+            if len(r["text"]) >= n:
+                shown[n].append(language_id.claims(models[0], r["text"][:n])[1:])
+    gate = language_id.calibrate(df, models[0])
+    for n, found in shown.items():
+        assert found and gate[n] == pytest.approx(language_id.thresholds(found), abs=2 / language_id.GRID)

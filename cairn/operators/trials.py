@@ -101,10 +101,13 @@ def transcripts(events: DataFrame) -> DataFrame:
 
 def fact_scores(responses: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
     """responses: keys, task_id, response. facts: task_id, pattern, weight. Weight of the patterns found over all;
-    1 for a task without facts, 0 where the weights add up to 0."""
-    tested = responses.join(facts, "task_id", "left")
-    hit = F.when(F.regexp_like("response", F.concat(F.lit("(?i)"), "pattern")), F.col("weight")).otherwise(0.0)
-    summed = tested.groupBy(*keys).agg(F.sum(hit).alias("hit"), F.sum("weight").alias("all"), F.count("pattern").alias("n"))
+    1 for a task without facts, 0 where the weights add up to 0.
+
+    A task's facts go to its responses, which stay where they are; only keys and sums are moved."""
+    asked = facts.groupBy("task_id").agg(F.collect_list(F.struct("pattern", "weight")).alias("facts"))
+    tested = responses.join(F.broadcast(asked), "task_id", "left").select(*keys, "response", F.explode_outer("facts").alias("fact"))
+    hit = F.when(F.regexp_like("response", F.concat(F.lit("(?i)"), "fact.pattern")), F.col("fact.weight")).otherwise(0.0)
+    summed = tested.groupBy(*keys).agg(F.sum(hit).alias("hit"), F.sum("fact.weight").alias("all"), F.count("fact.pattern").alias("n"))
     return summed.select(*keys, F.when(F.col("n") == 0, 1.0).otherwise(ratio(F.col("hit"), F.col("all"))).alias("fact_score"))
 
 
@@ -157,7 +160,7 @@ def structure_scores(responses: DataFrame, checks: DataFrame, *keys: str) -> Dat
 
     block = F.col("type") == "contains_code_block"
     asked = checks.where("type IS NOT NULL").groupBy("task_id").agg(F.count_if(block).alias("blocks"), F.collect_list(F.when(~block, F.struct("type", "expected", "field"))).alias("others"))
-    tested = responses.join(asked, "task_id", "left")
+    tested = responses.join(F.broadcast(asked), "task_id", "left")  # responses stay where they are
     code = F.when(has_code_block(F.coalesce("response", F.lit(""))), F.col("blocks")).otherwise(F.lit(0))
     passed = tested.withColumns({"passed": code + F.when(F.size("others") > 0, passing("response", "others")).otherwise(0), "asked": F.col("blocks") + F.size("others")})
     return passed.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum("passed").cast("double"), F.sum("asked").cast("double")), F.lit(1.0)).alias("structure_score"))

@@ -300,3 +300,19 @@ def test_trial_files(spark, tmp_path):
     for name in ("r1", "r1-tools", "r1-transcript"):
         (tmp_path / f"t1/{name}.json").write_text(json.dumps({"meta": {"task_id": "t1", "repetition": 1}}, indent=1))
     assert readers.read_trials(spark, f"file://{tmp_path}").count() == 1
+
+
+def test_responses_are_not_dealt_out_by_task(spark):
+    """Few tasks have all responses, so that one partition would hold a task's texts."""
+    df = spark.createDataFrame([(i, "t", "GATE") for i in range(8)], "trial_id int, task_id string, response string")
+    facts = spark.createDataFrame([("t", "gate", 1.0), ("t", "x", 3.0), ("t", None, 1.0)], "task_id string, pattern string, weight double")
+    checks = spark.createDataFrame([("t", "kind", "Other", None)], "task_id string, type string, expected string, field string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for scores, want in ((trials.fact_scores(df, facts, "trial_id"), 0.2), (trials.structure_scores(df, checks, "trial_id"), 0.0)):
+            plan = scores._jdf.queryExecution().sparkPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            assert {r[1] for r in scores.collect()} == {want}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)

@@ -114,8 +114,14 @@ def fact_scores(responses: DataFrame, facts: DataFrame, *keys: str) -> DataFrame
 def _yaml_documents(response: str) -> tuple[list, bool]:
     import yaml
 
+    fast = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
     out, sound = [], True
     for block in re.findall(r"```(?:ya?ml)\n(.*?)```", response, re.S):
+        try:
+            out += list(yaml.load_all(block, fast))
+            continue
+        except yaml.YAMLError:  # what libyaml refuses is judged by the plain loader
+            pass
         try:
             for doc in yaml.safe_load_all(block):
                 out.append(doc)
@@ -158,11 +164,12 @@ def structure_scores(responses: DataFrame, checks: DataFrame, *keys: str) -> Dat
             out.append(sum(check_structure(c["type"], documents, c["expected"], c["field"]) for c in own) if documents else 0)
         return pd.Series(out)
 
+    fenced = F.when(F.contains("response", F.lit("```y")), F.col("response"))  # others have no YAML
     block = F.col("type") == "contains_code_block"
     asked = checks.where("type IS NOT NULL").groupBy("task_id").agg(F.count_if(block).alias("blocks"), F.collect_list(F.when(~block, F.struct("type", "expected", "field"))).alias("others"))
     tested = responses.join(F.broadcast(asked), "task_id", "left")  # responses stay where they are
     code = F.when(has_code_block(F.coalesce("response", F.lit(""))), F.col("blocks")).otherwise(F.lit(0))
-    passed = tested.withColumns({"passed": code + F.when(F.size("others") > 0, passing("response", "others")).otherwise(0), "asked": F.col("blocks") + F.size("others")})
+    passed = tested.withColumns({"passed": code + F.when(F.size("others") > 0, passing(fenced, "others")).otherwise(0), "asked": F.col("blocks") + F.size("others")})
     return passed.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum("passed").cast("double"), F.sum("asked").cast("double")), F.lit(1.0)).alias("structure_score"))
 
 

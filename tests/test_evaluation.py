@@ -316,3 +316,12 @@ def test_responses_are_not_dealt_out_by_task(spark):
             assert {r[1] for r in scores.collect()} == {want}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_yaml_is_parsed_by_libyaml_first(monkeypatch):
+    import yaml
+
+    plain, asked = yaml.safe_load_all, []
+    monkeypatch.setattr(yaml, "safe_load_all", lambda block: asked.append(block) or plain(block))
+    assert trials._yaml_documents("```yaml\na: 1\n---\n- 2\n---\nb: {c: \"x\\/y\"}\n```") == ([{"a": 1}, {"b": {"c": "x/y"}}], True) and not asked
+    assert trials._yaml_documents("```yml\na: 1\n---\nb: [\n```") == ([{"a": 1}], False) and len(asked) == 1

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.text import INLINE_SPACE, is_blank, tokens_of, words
+from cairn.operators.markdown import SPACES, n_tokens
 from cairn.schema import ChunkOptions
 
 
@@ -64,3 +65,35 @@ def chunk_by_lines(files: DataFrame, options: ChunkOptions = ChunkOptions(), tex
     rest = [c for c in files.columns if c != text]
     out = files.where(~is_blank(F.col(text))).select(*rest, F.posexplode(line_chunks(F.col(text), options)).alias("chunk_index", "text"))
     return out.withColumns({"breadcrumb": F.col(path).cast("string"), "chunk_type": F.lit("code")})
+
+
+def packed_lines(text: str, options: ChunkOptions) -> list[str]:
+    """What ``line_chunks`` gives, for one text: blocks between blank lines towards the target size, too large ones
+    line by line."""
+    out: list[str] = []
+    held: list[str] = []
+    gap = "\n\n"
+
+    def flush() -> None:
+        if held:
+            out.append(gap.join(held))
+        held.clear()
+
+    groups: list[list[str]] = [[]]
+    for line in text.split("\n"):
+        if line.strip(SPACES):
+            groups[-1].append(line)
+        elif groups[-1]:
+            groups.append([])
+    for own in filter(None, groups):
+        block = "\n".join(own)
+        large = n_tokens(block) > options.most
+        if large or gap == "\n":
+            flush()
+        gap = "\n" if large else "\n\n"
+        for part in own if large else [block]:
+            if held and n_tokens(" ".join([*held, part])) > (options.most if large else options.target):
+                flush()
+            held.append(part)
+    flush()
+    return out

@@ -14,43 +14,12 @@ from pyspark.sql.functions import udtf
 
 from cairn.functions.text import LANGUAGES
 from cairn.operators.code import chunk_code
-from cairn.operators.markdown import SPACES, chunk_markdown, n_tokens
+from cairn.operators.lines import packed_lines
+from cairn.operators.markdown import SPACES, chunk_markdown
 from cairn.schema import ChunkOptions
 from cairn.sources.repository import GitRepository
 
 
-def packed_lines(text: str, options: ChunkOptions) -> list[str]:
-    """What ``lines.line_chunks`` gives, for one text: blocks between blank lines towards the target size, too large ones
-    line by line."""
-    out: list[str] = []
-    held: list[str] = []
-    gap = "\n\n"
-
-    def flush() -> None:
-        if held:
-            out.append(gap.join(held))
-        held.clear()
-
-    groups: list[list[str]] = [[]]
-    for line in text.split("\n"):
-        if line.strip(SPACES):
-            groups[-1].append(line)
-        elif groups[-1]:
-            groups.append([])
-    for own in filter(None, groups):
-        block = "\n".join(own)
-        large = n_tokens(block) > options.most
-        if large or gap == "\n":
-            flush()
-        gap = "\n" if large else "\n\n"
-        for part in own if large else [block]:
-            if held and n_tokens(" ".join([*held, part])) > (options.most if large else options.target):
-                flush()
-            held.append(part)
-    flush()
-    return out
-
-
 class Chunk:
     """chunk(path, content [, target [, least [, most [, overlap]]]]): the chunks of one file as ``chunk_files`` makes them."""
 

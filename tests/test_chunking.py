@@ -162,3 +162,16 @@ def test_files_to_chunks(spark):
     got = chunk_files(spark.createDataFrame(files, FILES)).orderBy("path", "chunk_index").collect()
     assert [(r["path"], r["breadcrumb"], r["chunk_type"], r["language"]) for r in got] == [("a.md", "T", "doc", ""), ("b.MDX", "", "doc", ""), ("c.go", "Server | main | Server.Start | const | var", "code", "go"), ("d.py", "d.py", "code", "python"), ("e.txt", "e.txt", "code", ""), ("h.c", "h.c", "code", "")]
     assert chunk_files(spark.createDataFrame([], FILES)).collect() == []
+
+
+def test_structured_files_carry_no_line_chunker(spark):
+    """Native line chunks are made of other files only; where a parser finds nothing, the same lines come from Python."""
+    text = "$ so\n" + "\n\n".join("\n".join(f"word{i} is {j}" for j in range(40)) for i in range(12)) + "\n \n" + "long " * 1500
+    rows = [(p, text.encode()) for p in ("a.go", "b.txt", "c.py")] + [(p, b" \n\xc2\xa0") for p in ("d.go", "e.md", "f.txt")] + [("g.go", None), ("h.txt", None)]
+    chunks = chunk_files(spark.createDataFrame(rows, "path string, content binary"))
+    plan = chunks._jdf.queryExecution().sparkPlan().toString()
+    assert not any("split(" in line for line in plan.split("\n") if "Generate" in line)
+    got = {}
+    for r in chunks.orderBy("path", "chunk_index").collect():
+        got.setdefault(r["path"], []).append((r["chunk_index"], r["text"], r["chunk_type"], r["breadcrumb"] == r["path"]))
+    assert set(got) == {"a.go", "b.txt", "c.py"} and got["a.go"] == got["b.txt"] == got["c.py"] and len(got["b.txt"]) > 2

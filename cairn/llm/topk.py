@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ LEADING = 0.5
 DENSE = 0.02
 #: Products below this are exact in doubles.
 EXACT = 2.0**53
+#: The largest double.
+MOST = float(np.finfo(float).max)
 #: Dimensions that are rotated together, vectors that the rotation is fitted on, and tasks that do so.
 TURN = 1024
 SAMPLE = 20_000
@@ -227,6 +230,25 @@ def matched(parts: DataFrame, queries: DataFrame, pairs: int, width: int, turn,
     return stream.mapInArrow(run, FOUND)
 
 
+def passed(rows: DataFrame, value: str, cuts: list[float], name: str) -> DataFrame:
+    """rows with ``name``: how many of the cuts are no less than the value.
+
+    One function that bisects: an expression with a branch for each cut is repeated wherever the optimizer moves it, and
+    the plans of some dozens of cuts do not fit into the driver.
+    """
+    splits = sorted({-min(max(c, -MOST), MOST) for c in cuts})
+    if not splits:
+        return rows.withColumn(name, F.lit(0))
+    held = rows.withColumn("cairn_held", -F.least(F.greatest(value, F.lit(-MOST)), F.lit(MOST)))
+    found = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol="cairn_held", outputCol=name).transform(held)
+    return found.withColumn(name, F.col(name).cast("int")).drop("cairn_held")
+
+
+def dealt(place: str, start: list[int], parts: list[int], row: str) -> Column:
+    """A row's number among the parts of its place, which begin at ``start``, by a hash of the row."""
+    return (F.get(F.lit(start), place) + F.pmod(F.xxhash64(row), F.get(F.lit(parts), place).cast("long"))).cast("int")
+
+
 def top_inner_products(vectors: DataFrame, k: int = K, scale: int = SCALE, is_query: Column | None = None, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest inner products with all other vectors.
 
@@ -244,22 +266,16 @@ def top_inner_products(vectors: DataFrame, k: int = K, scale: int = SCALE, is_qu
     levels = min(LEVELS, -(-n // block))
     # Levels by descending length: quantiles of the squared length, so that each has about as many rows.
     cuts = own.select(F.percentile_approx("sq", [1 - i / levels for i in range(1, levels)], 10000)).first()[0] if levels > 1 else []
-    number = F.lit(0)
-    for cut in sorted(set(cuts), reverse=True):
-        number = number + F.when(F.col("sq") <= cut, 1).otherwise(0)
-    placed = own.withColumn("level", number)
-    sizes = {r["level"]: (r["rows"], r["top"]) for r in placed.groupBy("level").agg(F.count("*").alias("rows"), F.max("sq").alias("top")).collect()}
+    placed = passed(own, "sq", cuts, "level")
+    sizes = placed.groupBy("level").agg(F.count("*").alias("rows"), F.max("sq").alias("top")).orderBy("level").collect()
     # Ties in length, such as one vector that is very common, are dealt to a level's blocks by a hash.
     spans, first = [], 0
-    start, parts, longest = F.lit(0), F.lit(1), F.lit(0.0)
-    for lv in sorted(sizes):
-        rows, top = sizes[lv][0], float(sizes[lv][1]) ** 0.5
-        cut = -(-rows // block)
-        spans.append(F.struct(F.lit(first).alias("first"), F.lit(first + cut - 1).alias("last"), F.lit(top).alias("top")))
-        here = F.col("level") == lv
-        start, parts, longest = F.when(here, F.lit(first)).otherwise(start), F.when(here, F.lit(cut)).otherwise(parts), F.when(here, F.lit(top)).otherwise(longest)
-        first += cut
-    placed = placed.select("vec_id", "v", (start + F.pmod(F.xxhash64("row"), parts.cast("long"))).cast("int").alias("block"), longest.alias("top"))
+    start, parts, longest = [0] * levels, [1] * levels, [0.0] * levels
+    for lv, rows, top in sizes:
+        start[lv], parts[lv], longest[lv] = first, -(-rows // block), float(top) ** 0.5
+        first += parts[lv]
+        spans.append(F.struct(F.lit(start[lv]).alias("first"), F.lit(first - 1).alias("last"), F.lit(longest[lv]).alias("top")))
+    placed = placed.select("vec_id", "v", dealt("level", start, parts, "row").alias("block"), F.get(F.lit(longest), "level").alias("top"))
     asked = own.where(F.col("vec_id") % QUERY_EVERY == 0 if is_query is None else is_query).select(F.col("row").alias("asked"), "vec_id", "v", F.sqrt("sq").alias("length"))
     groups = max(1, -(-asked.count() // group))
     # The longest block first: it gives every query a floor.
@@ -275,20 +291,15 @@ def top_inner_products(vectors: DataFrame, k: int = K, scale: int = SCALE, is_qu
         least = F.when(F.col("length") > 0, (F.col("floor") - 1e-6) / F.col("length") * (1 - 1e-9)).when(F.col("floor") <= 0, float("-inf")).otherwise(float("inf"))
         known = materialize(known.withColumn("least", F.when(F.isnan(least), float("-inf")).otherwise(least)), "topk-floors")
         steps = known.select(F.percentile_approx("least", [i / groups for i in range(1, groups)], 10000)).first()[0] if groups > 1 else []
-        number = F.lit(0)
-        for step in sorted(set(steps or [])):
-            number = number + F.when(F.col("least") > step, 1).otherwise(0)
+        known = passed(known, "least", steps or [], "group")
         # Equal needs, such as those of one very common query, are dealt on by a hash.
-        known = known.withColumn("group", number)
         needs = known.groupBy("group").agg(F.count("*").alias("rows"), F.min("least").alias("least")).collect()
-        reach, at, base, share = [], 0, F.lit(0), F.lit(1)
-        for r in needs:
-            cut = -(-r["rows"] // group)
-            reach += [F.struct(F.lit(at + i).alias("group"), F.lit(float(r["least"])).alias("least")) for i in range(cut)]
-            here = F.col("group") == r["group"]
-            base, share = F.when(here, F.lit(at)).otherwise(base), F.when(here, F.lit(cut)).otherwise(share)
-            at += cut
-        known = known.withColumn("group", (base + F.pmod(F.xxhash64("asked"), share.cast("long"))).cast("int"))
+        reach, at, base, share = [], 0, [0] * groups, [1] * groups
+        for g, rows, low in needs:
+            base[g], share[g] = at, -(-rows // group)
+            reach += [F.struct(F.lit(at + i).alias("group"), F.lit(float(low)).alias("least")) for i in range(share[g])]
+            at += share[g]
+        known = known.withColumn("group", dealt("group", base, share, "asked"))
         span = F.explode(F.filter(F.array(*spans), lambda x: ~(x["top"] < F.col("least")))).alias("span")
         known = known.select("asked", "vec_id", "v", "floor", "group", span).select("asked", "vec_id", "v", "floor", "group", F.explode(F.sequence("span.first", "span.last")).alias("block")).where("block > 0")
         # Vectors go only where a group of queries can need them.

@@ -81,6 +81,20 @@ def test_topk_large_components_stay_exact(spark):
     assert got == [(0, 1, 3, 2**63 - 1), (0, 2, 2, big + 256 * 128), (0, 3, 1, big + 256 * 64)]
 
 
+def test_topk_plans_stay_small(spark, monkeypatch):
+    """With many levels of length and groups of queries: a plan that grows with their square does not fit into the driver."""
+    sizes = []
+    length = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString())
+    write = topk.materialize
+    monkeypatch.setattr(topk, "materialize", lambda df, *a: sizes.append(length(df)) or write(df, *a))
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * rng.choice([0.2, 1, 4])]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    found = topk.top_inner_products(df, block=64, group=5)
+    assert max(*sizes, length(found)) < 20_000  # 5,247 characters; by branches 59,920
+    assert found_topk(found) == brute_topk(rows)
+
+
 # Suffix dedup
 
 
